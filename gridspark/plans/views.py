@@ -13,8 +13,16 @@ from ..model import GridSet
 from ..operators.decode import decode
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_GRIDS: dict[tuple[str, str], GridSet] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table; its schema is looked up once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,10 +149,13 @@ def vars_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gridset(spark: SparkSession, sf_dir: str) -> GridSet:
     """Cells plus catalogue; the catalogue tables are read many times, so they are kept."""
-    return GridSet(
-        cells=decoded(spark, sf_dir), vars=vars_(spark, sf_dir).persist(), dims=dims(spark, sf_dir).persist(),
-        attrs=attrs(spark, sf_dir), axes=axes(spark, sf_dir).persist(), coord2d=coord2d(spark, sf_dir),
-    )
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRIDS:
+        _GRIDS[key] = GridSet(
+            cells=decoded(spark, sf_dir), vars=vars_(spark, sf_dir).persist(), dims=dims(spark, sf_dir).persist(),
+            attrs=attrs(spark, sf_dir), axes=axes(spark, sf_dir).persist(), coord2d=coord2d(spark, sf_dir),
+        )
+    return _GRIDS[key]
 
 
 def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
