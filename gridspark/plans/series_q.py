@@ -318,8 +318,11 @@ def collection(spark, sf) -> GridSet:
         "dataset_id",
         F.explode(F.array(
             F.struct(F.lit("time").alias("dim"), (F.col("dataset_id") % 3 + 1).alias("length"), F.lit("time").alias("role")),
-            F.struct(F.lit("lat"), F.when(F.col("dataset_id") % 17 == 0, 5).otherwise(4), F.lit("latitude")),
-            F.struct(F.lit("lon"), F.lit(8), F.lit("longitude")),
+            F.struct(
+                F.lit("lat").alias("dim"), F.when(F.col("dataset_id") % 17 == 0, 5).otherwise(4).alias("length"),
+                F.lit("latitude").alias("role"),
+            ),
+            F.struct(F.lit("lon").alias("dim"), F.lit(8).alias("length"), F.lit("longitude").alias("role")),
         )).alias("d"),
     ).select("dataset_id", "d.dim", "d.length", "d.role")
     datasets = ids.select(
