@@ -9,7 +9,7 @@ from ..functions.scalars import parse_label
 from ..model import GridSet
 from .catalog import leading_axes, with_dim_map
 from .joins import lookup_join
-from .ordered import number_rows, with_neighbour
+from .ordered import number_rows, with_neighbours
 
 
 def frames(gs: GridSet, labels: DataFrame | None = None) -> DataFrame:
@@ -110,7 +110,7 @@ def missing_sources(gs: GridSet) -> DataFrame:
     have = lookup_join(seen, numbered, ["dataset_id"], "inner").select("variable", "_pos")
     have = lookup_join(have, partial.select("variable"), ["variable"], "left_semi")
     ends = have.unionByName(partial.select("variable", "_pos"))
-    gaps = with_neighbour(ends, ["variable"], [F.col("_pos")], {"_pos": "_before"}, -1)
+    gaps = with_neighbours(ends, ["variable"], [F.col("_pos")], {"_pos": "_before"})
     low = F.coalesce(F.col("_before"), F.lit(0)) + 1
     holes = gaps.filter(F.col("_pos") - low >= 1).select(
         "variable", F.explode(F.sequence(low, F.col("_pos") - 1)).alias("_pos")
@@ -202,9 +202,9 @@ def duplicate_labels(frame_rows: DataFrame) -> DataFrame:
     """Frames whose (variable, label) occurred before, with the previous occurrence."""
     many = frame_rows.groupBy("variable", "label").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     again = frame_rows.select("variable", "dataset_id", "t", "label").join(many, ["variable", "label"], "left_semi")
-    pairs = with_neighbour(
+    pairs = with_neighbours(
         again, ["variable", "label"], [F.col("dataset_id"), F.col("t")],
-        {"dataset_id": "previous_dataset", "t": "previous_t"}, -1,
+        {"dataset_id": "previous_dataset", "t": "previous_t"},
     )
     return pairs.filter("previous_dataset IS NOT NULL")
 

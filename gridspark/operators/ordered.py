@@ -60,29 +60,34 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) ->
     return out.withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")
 
 
-def with_neighbour(
-    df: DataFrame, by: list[str], order: list[Column], columns: dict[str, str], step: int
+def with_neighbours(
+    df: DataFrame, by: list[str], order: list[Column],
+    previous: dict[str, str] | None = None, following: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add the columns of the previous (``step=-1``) or next (``step=1``) row of the group.
+    """Add columns of the previous and of the next row of the group (NULL at its ends).
 
-    ``columns`` maps source column to result column.  Rows are laid out in blocks of
-    fixed size and each block also receives the one row before or after it, so a
-    window over a block never sees more than ``_BLOCK + 1`` rows.
+    Both arguments map source column to result column.  Rows are laid out in blocks of
+    fixed size and each block also receives the one row before and after it, so a
+    window over a block never sees more than ``_BLOCK + 2`` rows.
     """
+    previous, following = previous or {}, following or {}
     placed = dense_order(df, *[F.col(b) for b in by], *order)
     block = F.floor(F.col("_g") / _BLOCK)
-    edge = (F.col("_g") % _BLOCK) == (_BLOCK - 1 if step < 0 else 0)
-    homes = F.when(edge, F.array(block, block - step)).otherwise(F.array(block))
+    last = (F.col("_g") % _BLOCK) == _BLOCK - 1
+    first = (F.col("_g") % _BLOCK) == 0
+    homes = F.when(last, F.array(block, block + 1)).when(first, F.array(block, block - 1)).otherwise(F.array(block))
     spread = placed.withColumn("_block", F.explode(homes)).withColumn("_own", F.col("_block") == block)
     w = Window.partitionBy("_block").orderBy("_g")
-    shift = F.lag if step < 0 else F.lead
-    same = F.lit(True)
-    for b in by:
-        same = same & shift(F.col(b)).over(w).eqNullSafe(F.col(b))
-    out = spread.withColumn("_same", same)
-    for source, result in columns.items():
-        out = out.withColumn(result, F.when(F.col("_same"), shift(F.col(source)).over(w)))
-    return out.filter("_own").drop("_g", "_block", "_own", "_same")
+    out = spread
+    for shift, columns in ((F.lag, previous), (F.lead, following)):
+        if not columns:
+            continue
+        same = F.lit(True)
+        for b in by:
+            same = same & shift(F.col(b)).over(w).eqNullSafe(F.col(b))
+        for source, result in columns.items():
+            out = out.withColumn(result, F.when(same, shift(F.col(source)).over(w)))
+    return out.filter("_own").drop("_g", "_block", "_own")
 
 
 def running_sum(
@@ -95,6 +100,7 @@ def running_sum(
     keys = [*by, "_block"]
     inside = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
     totals = placed.groupBy(*keys).agg(F.sum(column).alias("_total"))
+    # one row per group and block
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.withColumn("_carry", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     return (

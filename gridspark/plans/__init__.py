@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["cells_q", "series_q", "spatial_q"]
+_MODULES = ["cells_q", "series_q", "spatial_q", "catalog_q"]
 
 
 def load() -> None:
