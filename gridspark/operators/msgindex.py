@@ -302,7 +302,7 @@ def valid_time() -> Column:
     seconds = F.lit(None).cast("bigint")
     for code, length in TIME_UNIT_SECONDS.items():
         seconds = F.when(unit == code, F.lit(length).cast("bigint")).otherwise(seconds)
-    return iso_label(F.timestamp_seconds(F.unix_seconds("reference_time") + value * seconds))
+    return iso_label(F.timestamp_seconds(F.unix_seconds(F.col("reference_time").cast("timestamp")) + value * seconds))
 
 
 def _in_ranges(x: Column, ranges: list[tuple[int, int]]) -> Column:

@@ -1,9 +1,10 @@
 """Row numbers, neighbours and prefix sums that survive a huge group.
 
-A window function sorts each group in one task.  These functions range-partition
-the rows by the whole sort key instead, number them inside each partition, and
-add the sizes of the preceding partitions (one row per partition).  A group that
-holds most of the data is then spread over many tasks.
+A window function sorts each group in one task.  When the input is large, these
+functions range-partition the rows by the whole sort key instead, number them inside
+each partition, and add the sizes of the preceding partitions (one row per partition).
+A group that holds most of the data is then spread over many tasks.  A counted small
+input takes the plain window.
 """
 
 from __future__ import annotations
@@ -15,29 +16,29 @@ from pyspark.sql.window import Window
 from .joins import cut_lineage
 
 _LOCAL_BITS = 33  # monotonically_increasing_id(): partition number above, position below
-_BLOCK = 100_000
+#: Rows that one window may hold.
+BLOCK = 100_000
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _settle(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Compute the input once, and tell whether all of it fits one window."""
+    rows = cut_lineage(df)
+    return rows, rows.count() <= BLOCK
 
 
-def dense_order(df: DataFrame, *order: Column, name: str = "_g") -> DataFrame:
-    """Add a dense 0-based position of every row in the total order ``order``.
-
-    ``order`` should identify rows; the result is checkpointed, so the positions
-    are fixed data even if an executor is lost later.
-    """
+def _spread(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Dense 0-based positions by range partitions; the positions are fixed data."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(
-        df.repartitionByRange(_partitions(df), *order)
+        rows.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
     part = F.shiftright("_mid", _LOCAL_BITS)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per shuffle partition
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    # offsets has one row per shuffle partition
     return (
         ranged.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
@@ -46,17 +47,28 @@ def dense_order(df: DataFrame, *order: Column, name: str = "_g") -> DataFrame:
     )
 
 
+def dense_order(df: DataFrame, *order: Column, name: str = "_g") -> DataFrame:
+    """Add a dense 0-based position of every row in the total order ``order``."""
+    rows, small = _settle(df)
+    if small:
+        return rows.coalesce(1).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    return _spread(rows, list(order), name)
+
+
 def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
-    """1-based ``row_number`` over ``by`` ordered by ``order``, without one-task groups."""
+    """1-based ``row_number`` over ``by`` ordered by ``order``."""
     if not by:
         return dense_order(df, *order, name="_g").withColumn(name, F.col("_g") + 1).drop("_g")
-    placed = dense_order(df, *[F.col(b) for b in by], *order)
+    rows, small = _settle(df)
+    if small:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn(name, F.row_number().over(w).cast("bigint"))
+    placed = _spread(rows, [*[F.col(b) for b in by], *order], "_g")
     firsts = placed.groupBy(*by).agg(F.min("_g").alias("_first"))
-    keys = [placed[b].eqNullSafe(firsts[b]) for b in by]
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
-    out = placed.join(firsts, cond).drop(*[firsts[b] for b in by])
+    match = F.lit(True)
+    for b in by:
+        match = match & placed[b].eqNullSafe(firsts[b])
+    out = placed.join(firsts, match).drop(*[firsts[b] for b in by])
     return out.withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")
 
 
@@ -66,22 +78,27 @@ def with_neighbours(
 ) -> DataFrame:
     """Add columns of the previous and of the next row of the group (NULL at its ends).
 
-    Both arguments map source column to result column.  Rows are laid out in blocks of
-    fixed size and each block also receives the one row before and after it, so a
-    window over a block never sees more than ``_BLOCK + 2`` rows.
+    Both arguments map source column to result column.  A large input is laid out in
+    blocks of fixed size and each block also receives the one row before and after it, so
+    no window sees more than ``BLOCK + 2`` rows.
     """
-    previous, following = previous or {}, following or {}
-    placed = dense_order(df, *[F.col(b) for b in by], *order)
-    block = F.floor(F.col("_g") / _BLOCK)
-    last = (F.col("_g") % _BLOCK) == _BLOCK - 1
-    first = (F.col("_g") % _BLOCK) == 0
+    shifts = ((F.lag, previous or {}), (F.lead, following or {}))
+    rows, small = _settle(df)
+    if small:
+        w = Window.partitionBy(*by).orderBy(*order)
+        out = rows
+        for shift, columns in shifts:
+            for source, result in columns.items():
+                out = out.withColumn(result, shift(F.col(source)).over(w))
+        return out
+    placed = _spread(rows, [*[F.col(b) for b in by], *order], "_g")
+    block = F.floor(F.col("_g") / BLOCK)
+    last = (F.col("_g") % BLOCK) == BLOCK - 1
+    first = (F.col("_g") % BLOCK) == 0
     homes = F.when(last, F.array(block, block + 1)).when(first, F.array(block, block - 1)).otherwise(F.array(block))
-    spread = placed.withColumn("_block", F.explode(homes)).withColumn("_own", F.col("_block") == block)
+    out = placed.withColumn("_block", F.explode(homes)).withColumn("_own", F.col("_block") == block)
     w = Window.partitionBy("_block").orderBy("_g")
-    out = spread
-    for shift, columns in ((F.lag, previous), (F.lead, following)):
-        if not columns:
-            continue
+    for shift, columns in shifts:
         same = F.lit(True)
         for b in by:
             same = same & shift(F.col(b)).over(w).eqNullSafe(F.col(b))
@@ -93,10 +110,12 @@ def with_neighbours(
 def running_sum(
     df: DataFrame, by: list[str], order: list[Column], column: str, name: str
 ) -> DataFrame:
-    """Inclusive prefix sum of ``column`` inside each group, blockwise."""
-    placed = dense_order(df, *[F.col(b) for b in by], *order).withColumn(
-        "_block", F.floor(F.col("_g") / _BLOCK)
-    )
+    """Inclusive prefix sum of ``column`` inside each group."""
+    rows, small = _settle(df)
+    if small:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn(name, F.sum(column).over(w))
+    placed = _spread(rows, [*[F.col(b) for b in by], *order], "_g").withColumn("_block", F.floor(F.col("_g") / BLOCK))
     keys = [*by, "_block"]
     inside = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, 0)
     totals = placed.groupBy(*keys).agg(F.sum(column).alias("_total"))

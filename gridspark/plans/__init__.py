@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["cells_q", "series_q", "spatial_q", "catalog_q"]
+_MODULES = ["cells_q", "series_q", "spatial_q", "catalog_q", "index_q", "source_q"]
 
 
 def load() -> None:

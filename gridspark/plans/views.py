@@ -21,6 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; its schema is looked up once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
+        # labels are UTC
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _TABLES[key]
 
@@ -284,5 +286,7 @@ def with_views(sql: str, names: tuple[str, ...]) -> str:
         return sql.strip()
     head = ",\n".join(f"{n} AS ({SQL[n].strip()})" for n in wanted)
     body = sql.strip()
-    glue = ",\n" + body[5:] if body.upper().startswith("WITH ") else "\n" + body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
+    glue = ",\n" + body[5:] if body.startswith("WITH ") else "\n" + body
     return f"WITH {head}{glue}"

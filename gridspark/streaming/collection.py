@@ -12,7 +12,7 @@ from ..model import GridSet
 from ..operators.collection import compatibility, duplicate_labels, frames, timeline
 from ..operators.decode import decode, finite_value
 from ..operators.derive import Derived, derived_vars
-from ..operators.joins import lookup_join
+from ..operators.joins import cut_lineage, lookup_join
 
 #: One row per dataset and variable; a dataset that failed to load has ``error`` set.
 ARRIVALS = (
@@ -42,7 +42,7 @@ def rebuild(arrivals: DataFrame, formulas: list[Derived] | None = None) -> dict[
     for d in formulas or []:
         extra = derived_vars(gs, d).withColumn("pos", F.lit(10_000))
         gs = GridSet(cells=None, vars=gs.vars.unionByName(extra), dims=gs.dims, datasets=gs.datasets)
-    steps = frames(gs, labels)
+    steps = cut_lineage(frames(gs, labels))
     twice = duplicate_labels(steps).select(
         "variable", "dataset_id",
         F.format_string(
@@ -78,7 +78,7 @@ def update_collection(formulas: list[Derived] | None, sink: str) -> Callable[[Da
             affected = affected.unionByName(
                 lookup_join(known.filter(F.col("variable").isin(needed)), touched, ["variable"], "left_anti")
             )
-        for name, rows in rebuild(affected.drop("batch_id"), formulas).items():
+        for name, rows in rebuild(cut_lineage(affected.drop("batch_id")), formulas).items():
             rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch_id={batch_id}")
         known.groupBy("dataset_id").agg(F.max(F.col("error").isNotNull()).alias("bad")).agg(
             F.count(F.when(~F.col("bad"), 1)).alias("loaded"), F.count(F.lit(1)).alias("finished")
