@@ -23,11 +23,11 @@ def frames(gs: GridSet, labels: DataFrame | None = None) -> DataFrame:
     )
     if labels is not None:
         on = [c for c in ("variable", "dataset_id", "t") if c in labels.columns]
-        steps = lookup_join(steps, labels, on)
+        steps = steps.join(labels, on, "left")
     else:
         steps = steps.withColumn("label", F.lit(None).cast("string"))
     if gs.datasets is not None and "identity" in gs.datasets.columns:
-        steps = lookup_join(steps, gs.datasets.select("dataset_id", "identity"), ["dataset_id"])
+        steps = steps.join(gs.datasets.select("dataset_id", "identity"), "dataset_id", "left")
     return steps.withColumn("label", F.coalesce("label", F.concat(F.lit("t="), F.col("t").cast("string"))))
 
 
@@ -56,7 +56,7 @@ def compatibility(gs: GridSet) -> DataFrame:
     rows = with_dim_map(gs.vars.select("dataset_id", "variable", *fields), gs.dims)
     fmt = F.lit(None).cast("string").alias("format")
     if gs.datasets is not None:
-        rows = lookup_join(rows, gs.datasets.select("dataset_id", "format"), ["dataset_id"])
+        rows = rows.join(gs.datasets.select("dataset_id", "format"), "dataset_id", "left")
     else:
         rows = rows.select("*", fmt)
     first = rows.groupBy("variable").agg(
@@ -107,15 +107,15 @@ def missing_sources(gs: GridSet) -> DataFrame:
         seen.groupBy("variable").agg(F.count(F.lit(1)).alias("_n"), F.min("dataset_id").alias("reference_id"))
         .withColumn("_pos", n_files.scalar() + 1).filter(F.col("_n") < F.col("_pos") - 1)
     )
-    have = lookup_join(seen, numbered, ["dataset_id"], "inner").select("variable", "_pos")
-    have = lookup_join(have, partial.select("variable"), ["variable"], "left_semi")
+    have = seen.join(partial.select("variable"), "variable", "left_semi")
+    have = have.join(numbered, "dataset_id").select("variable", "_pos")
     ends = have.unionByName(partial.select("variable", "_pos"))
     gaps = with_neighbours(ends, ["variable"], [F.col("_pos")], {"_pos": "_before"})
     low = F.coalesce(F.col("_before"), F.lit(0)) + 1
     holes = gaps.filter(F.col("_pos") - low >= 1).select(
         "variable", F.explode(F.sequence(low, F.col("_pos") - 1)).alias("_pos")
     )
-    named = lookup_join(lookup_join(holes, numbered, ["_pos"], "inner"), partial.select("variable", "reference_id"), ["variable"], "inner")
+    named = holes.join(numbered, "_pos").join(partial.select("variable", "reference_id"), "variable")
     return named.select(
         "variable", "dataset_id", "reference_id", F.lit("missing").alias("kind"),
         F.format_string(

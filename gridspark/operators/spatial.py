@@ -4,9 +4,10 @@ A nearest join here never compares all pairs.  Space is cut into cells, first co
 then finer.  For every query cell only those point cells are kept that can hold one of
 the k nearest points of *some* place in the query cell (lower bound of the distance
 against the best upper bound).  A query cell whose kept cells hold few points is done;
-the others are split again.  The search works on cell counts, so its cost does not
-depend on how the points cluster, and the final join reads a short candidate list per
-query: no explosion of pairs and no aggregation per query.
+the others are split again.  The search works on cell counts, and the final join reads a
+short candidate list per query: no explosion of pairs and no aggregation per query.
+Queries that see a dense cluster from afar are searched one by one against ever smaller
+point cells.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .joins import cut_lineage, lookup_join, sized_broadcast
 
 #: Points a query cell may have as candidates before it is split again.
 CANDIDATES = 256
+#: Undecided pairs of cells beyond which the search goes on query by query.
+LIVE_PAIRS = 20_000
 _MAX_ROUNDS = 24
 
 
@@ -62,10 +65,42 @@ def _gap(q: Column, p: Column, h: float) -> tuple[Column, Column]:
     return F.greatest(steps - 1, F.lit(0)) * h, (steps + 1) * h
 
 
-def candidate_cells(points: DataFrame, space: Space, k: int) -> list[tuple[float, DataFrame]]:
+def _counted(points: DataFrame, space: Space, h: float) -> DataFrame:
+    """Non-empty point cells of width h and the points (with copies) they hold."""
+    ps = _axes(space, "p")
+    return points.groupBy(*[_index(F.col(f"x{a}"), space, h).alias(p) for a, p in enumerate(ps)]).agg(
+        F.sum("n").alias("n")
+    )
+
+
+def _children(live: DataFrame, cells: DataFrame, space: Space, f: int) -> DataFrame:
+    """Replace the point cells of ``live`` by their non-empty children."""
+    ps = _axes(space, "p")
+    parents = cells.select(*[F.floor(F.col(p) / f).alias(f"_{p}") for p in ps], *ps, "n")
+    return live.withColumnsRenamed({p: f"_{p}" for p in ps}).join(parents, [f"_{p}" for p in ps]).drop(
+        *[f"_{p}" for p in ps]
+    )
+
+
+def _prune(pairs: DataFrame, by: list[str], near: Column, far: Column, k: int) -> DataFrame:
+    """Keep the cells that can hold one of the k nearest; ``_done`` when few points are left.
+
+    The k-th upper bound over the cells of a group limits the lower bounds of all.
+    """
+    group = Window.partitionBy(*by)
+    pairs = pairs.withColumn("_near", near).withColumn("_far", far)
+    pairs = pairs.withColumn("_held", F.sum("n").over(group.orderBy("_far")))
+    pairs = pairs.withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(group))
+    # a little slack covers rounding of cell borders
+    kept = pairs.filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-15))
+    return kept.withColumn("_done", F.sum("n").over(group) <= CANDIDATES)
+
+
+def candidate_cells(points: DataFrame, space: Space, k: int) -> tuple[list[tuple[float, DataFrame]], DataFrame | None]:
     """Pairs of query cell and point cell that decide the k nearest points.
 
-    ``points``: x0.., n (multiplicity).  Returns (cell width, pairs) per level.
+    ``points``: x0.., n (multiplicity).  Returns (cell width, pairs) per level, and the
+    undecided pairs of the last level if there are too many to go on cell by cell.
     """
     spark = points.sparkSession
     qs, ps = _axes(space, "q"), _axes(space, "p")
@@ -75,11 +110,7 @@ def candidate_cells(points: DataFrame, space: Space, k: int) -> list[tuple[float
     for turn in range(_MAX_ROUNDS):
         f = space.first_split if turn == 0 else space.split
         h = h / f
-        cells = points.groupBy(*[_index(F.col(f"x{a}"), space, h).alias(p) for a, p in enumerate(ps)]).agg(
-            F.sum("n").alias("n")
-        )
-        parents = cells.select(*[F.floor(F.col(p) / f).alias(f"_{p}") for p in ps], *ps, "n")
-        pairs = live.withColumnsRenamed({p: f"_{p}" for p in ps}).join(parents, [f"_{p}" for p in ps]).drop(*[f"_{p}" for p in ps])
+        pairs = _children(live, _counted(points, space, h), space, f)
         for a, q in enumerate(qs):
             # children of the query cell, limited to the domain of the queries
             lo, hi = (floor((v - space.origin) / h) for v in (space.low[a] - 1e-9, space.high[a] + 1e-9))
@@ -89,21 +120,60 @@ def candidate_cells(points: DataFrame, space: Space, k: int) -> list[tuple[float
         for q, p in zip(qs, ps):
             a, b = _gap(F.col(q), F.col(p), h)
             near, far = near + a * a, far + b * b
-        by_q = Window.partitionBy(*qs)
-        held = F.sum("n").over(by_q.orderBy("_far"))
-        pairs = pairs.withColumn("_near", near).withColumn("_far", far).withColumn("_held", held)
-        bound = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(by_q)
-        pairs = pairs.withColumn("_bound", bound)
-        # a little slack covers rounding of cell borders
-        kept = pairs.filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-15))
-        kept = kept.withColumn("_done", F.sum("n").over(by_q) <= CANDIDATES)
-        kept = cut_lineage(kept.select(*qs, *ps, "_done"))
+        kept = cut_lineage(_prune(pairs, qs, near, far, k).select(*qs, *ps, "_done"))
         levels.append((h, kept.filter("_done").drop("_done")))
         live = kept.filter(~F.col("_done")).drop("_done")
-        if live.isEmpty():
-            return levels
-    levels.append((h, live))
-    return levels
+        undecided = live.limit(LIVE_PAIRS + 1).count()
+        if undecided == 0:
+            return levels, None
+        if undecided > LIVE_PAIRS:
+            break
+    return levels, live
+
+
+def _lists(points: DataFrame, pairs: DataFrame, space: Space, h: float, by: list[str], payload: list[str]) -> DataFrame:
+    """Candidate points of each group of cells."""
+    ps = _axes(space, "p")
+    xs = [f"x{a}" for a in range(space.dims)]
+    placed = points.select(*xs, "n", *payload, *[_index(F.col(x), space, h).alias(p) for x, p in zip(xs, ps)])
+    return pairs.join(placed, ps).groupBy(*by).agg(F.collect_list(F.struct(*xs, "n", *payload)).alias("_cands"))
+
+
+def _search_each(queries: DataFrame, points: DataFrame, live: DataFrame, space: Space, h: float, payload: list[str], k: int) -> DataFrame:
+    """Candidates of the queries whose cells stay undecided, query by query.
+
+    Such queries see many points at nearly the same distance, e.g. a dense cluster from
+    afar; splitting their cells would not help.  Only point cells are split, against the
+    exact place of each query, so few cells per query survive a round.
+    """
+    qs, ps = _axes(space, "q"), _axes(space, "p")
+    xs = [f"x{a}" for a in range(space.dims)]
+    homes = live.select(*qs).distinct()
+    asked = queries
+    for x, q in zip(xs, qs):
+        asked = asked.withColumn(q, _index(F.col(x), space, h))
+    asked = cut_lineage(asked.join(homes, qs, "left_semi").withColumn("_qid", F.monotonically_increasing_id()))
+    front = asked.select("_qid", *xs, *qs).join(live, qs).select("_qid", *xs, *ps)
+    found = []
+    for turn in range(_MAX_ROUNDS):
+        h = h / space.split
+        pairs = _children(front, _counted(points, space, h), space, space.split)
+        near, far = F.lit(0.0), F.lit(0.0)
+        for x, p in zip(xs, ps):
+            lo = space.origin + F.col(p) * h
+            hi = lo + h
+            a = F.greatest(lo - F.col(x), F.col(x) - hi, F.lit(0.0))
+            b = F.greatest(F.abs(F.col(x) - lo), F.abs(F.col(x) - hi))
+            near, far = near + a * a, far + b * b
+        kept = cut_lineage(_prune(pairs, ["_qid"], near, far, k).select("_qid", *xs, *ps, "_done"))
+        last = turn == _MAX_ROUNDS - 1
+        done = kept.select("_qid", *ps) if last else kept.filter("_done").select("_qid", *ps)
+        found.append(_lists(points, done, space, h, ["_qid"], payload))
+        front = kept.filter(~F.col("_done")).drop("_done")
+        if last or front.isEmpty():
+            break
+    lists = reduce(DataFrame.unionByName, found)
+    return asked.drop(*qs).join(lists, "_qid").drop("_qid")
 
 
 def with_candidates(queries: DataFrame, points: DataFrame, space: Space, payload: list[str], k: int = 1) -> DataFrame:
@@ -111,32 +181,33 @@ def with_candidates(queries: DataFrame, points: DataFrame, space: Space, payload
 
     ``queries`` has x0.. (NULL when unusable); ``points`` has x0.., n and ``payload``.
     """
-    qs, ps = _axes(space, "q"), _axes(space, "p")
-    levels = candidate_cells(points, space, k)
+    qs = _axes(space, "q")
     xs = [f"x{a}" for a in range(space.dims)]
-    usable = F.lit(not points.isEmpty())
+    usable = F.lit(True)
     for x, low, high in zip(xs, space.low, space.high):
         # the margin admits rounding of unit vectors
         usable = usable & F.coalesce(F.col(x).between(low - 1e-9, high + 1e-9), F.lit(False))
-    lists = []
-    for i, (h, pairs) in enumerate(levels):
-        placed = points.select(
-            *xs, "n", *payload, *[_index(F.col(f"x{a}"), space, h).alias(p) for a, p in enumerate(ps)]
-        )
-        found = pairs.join(placed, ps).groupBy(*qs).agg(
-            F.collect_list(F.struct(*xs, "n", *payload)).alias("_cands")
-        )
-        lists.append(found.select(F.struct(F.lit(i).alias("level"), *qs).alias("_home"), "_cands"))
-    table = reduce(DataFrame.unionByName, lists)
+    if points.isEmpty():
+        shape = _lists(points, points.select(*[F.lit(0).cast("long").alias(p) for p in _axes(space, "p")]), space, 1.0, _axes(space, "p"), payload)
+        return queries.join(shape.select("_cands"), F.lit(False), "left")
+    levels, live = candidate_cells(points, space, k)
+    table = reduce(DataFrame.unionByName, [
+        _lists(points, pairs, space, h, qs, payload).select(F.struct(F.lit(i).alias("level"), *qs).alias("_home"), "_cands")
+        for i, (h, pairs) in enumerate(levels)
+    ])
     keys = F.array(*[
-        F.struct(F.lit(i).alias("level"), *[_index(F.col(f"x{a}"), space, h).alias(q) for a, q in enumerate(qs)])
+        F.struct(F.lit(i).alias("level"), *[_index(F.col(x), space, h).alias(q) for x, q in zip(xs, qs)])
         for i, (h, _) in enumerate(levels)
     ])
-    # final query cells do not overlap, so exactly one key of a usable query finds a list
+    # decided query cells do not overlap, so at most one key of a query finds a list
     homes = F.when(usable, keys).otherwise(F.array(F.lit(None)))
-    return queries.withColumn("_home", F.explode(homes)).join(
+    hit = queries.withColumn("_home", F.explode(homes)).join(
         sized_broadcast(table, 20_000), "_home", "left"
     ).filter(F.col("_cands").isNotNull() | F.col("_home").isNull()).drop("_home")
+    if live is None:
+        return hit
+    rest = _search_each(queries.filter(usable), points, live, space, levels[-1][0], payload, k)
+    return hit.unionByName(rest)
 
 
 def _dist2(c: Column, space: Space) -> Column:

@@ -159,9 +159,8 @@ def _(spark, sf):
 
 
 def _indexed(spark, sf):
-    refs = M.manifest_refs(documents(spark, sf))
-    arrays = M.array_meta(refs)
-    return M.chunk_index(M.chunk_refs(refs), arrays), arrays
+    arrays, refs = M.open_manifests(documents(spark, sf))
+    return M.chunk_index(refs, arrays), arrays
 
 
 @query(
@@ -299,8 +298,8 @@ def _(spark, sf):
 def _(spark, sf):
     entries, notes = M.build_manifest(parse_idx(lines(spark, sf), sizes(spark, sf)), headers(spark, sf))
     docs = M.manifest_documents(entries, notes).select(F.col("object").cast("string").alias("manifest"), "text")
-    refs = M.manifest_refs(docs)
-    found = M.chunk_index(M.chunk_refs(refs), M.array_meta(refs))
+    arrays, refs = M.open_manifests(docs)
+    found = M.chunk_index(refs, arrays)
     return found.select("manifest", "variable", "uri", "offset", "length")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ieee import NAN
 from ..model import GridError
-from ..operators.joins import lookup_join
+from ..operators.joins import cut_lineage, lookup_join
 from ..operators.msgindex import reconcile
 from ..operators.ordered import number_rows
 
@@ -30,7 +30,12 @@ def read_manifest(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
     docs = spark.read.text(pattern, wholetext=True).select(
         F.col("_metadata.file_path").alias("manifest"), F.col("value").alias("text")
     )
-    refs = manifest_refs(docs)
+    return open_manifests(docs)
+
+
+def open_manifests(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Array headers and chunk references of manifest documents, parsed once."""
+    refs = cut_lineage(manifest_refs(docs))
     return array_meta(refs), chunk_refs(refs)
 
 

@@ -68,10 +68,11 @@ def update_collection(formulas: list[Derived] | None, sink: str) -> Callable[[Da
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{sink}/arrivals/batch_id={batch_id}")
+        stored = spark.read.schema(ARRIVALS).parquet(f"{sink}/arrivals/batch_id={batch_id}")
         # after a retry or restart, later folders cannot exist yet
         known = spark.read.option("basePath", f"{sink}/arrivals").schema(f"{ARRIVALS}, batch_id INT").parquet(f"{sink}/arrivals")
         known = known.filter(F.col("batch_id") <= batch_id)
-        touched = known.filter(F.col("batch_id") == batch_id).select("variable").distinct()
+        touched = stored.select("variable").distinct()
         needed = sorted({r.name for d in formulas or [] for r in d.refs})
         affected = lookup_join(known, touched, ["variable"], "left_semi")
         if needed:
