@@ -151,7 +151,7 @@ def test_nearest_tie_takes_the_lowest_cell(spark):
     assert N.nearest_cell(q, grid.filter("r > 5")).filter("src_r IS NULL").count() == 2
 
 
-@pytest.mark.parametrize("limit,live", [(256, 20_000), (40, 2_000)])
+@pytest.mark.parametrize("limit,live", [(256, 20_000), (48, 4_000)])
 def test_nearest_mesh_and_reach_equal_brute_force(spark, monkeypatch, limit, live):
     monkeypatch.setattr(N, "CANDIDATES", limit)
     monkeypatch.setattr(N, "LIVE_PAIRS", live)
