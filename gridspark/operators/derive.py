@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..model import CELL_KEY, GridError, GridSet
 from .catalog import leading_axes
 from .decode import reclassify, visible_value
-from .joins import lookup_join
+from .joins import cut_lineage, lookup_join
 from .reduce import reduce_column
 
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
@@ -75,7 +75,7 @@ def _shapes(gs: GridSet, d: Derived) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged)
 
 
-def bind(gs: GridSet, d: Derived) -> DataFrame:
+def bind(gs: GridSet, d: Derived, shapes: DataFrame | None = None) -> DataFrame:
     """Per dataset: can it evaluate the formula?  ``dataset_id, accepted, reason``.
 
     Every reference must resolve to a plottable variable, all grids must have the same
@@ -84,7 +84,7 @@ def bind(gs: GridSet, d: Derived) -> DataFrame:
     check_name(d.name)
     if not d.refs:
         raise GridError("formula must reference at least one variable")
-    shapes = _shapes(gs, d)
+    shapes = _shapes(gs, d) if shapes is None else shapes
     pinned = [i for i, r in enumerate(d.refs) if r.dataset is not None]
     free = [i for i, r in enumerate(d.refs) if r.dataset is None]
     everyone = gs.vars.groupBy("dataset_id").agg(F.bool_or(F.col("variable") == d.name).alias("_taken"))
@@ -128,11 +128,11 @@ def bind(gs: GridSet, d: Derived) -> DataFrame:
     return out.select("dataset_id", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
-def _varying(gs: GridSet, d: Derived) -> list[tuple[str, ...]]:
+def _varying(shapes: DataFrame, d: Derived) -> list[tuple[str, ...]]:
     """Cell keys each reference varies over; axes of length one are left out."""
     found = {
         row["_ref"]: row
-        for row in _shapes(gs, d).groupBy("_ref").agg(F.max("n_time").alias("nt"), F.max("n_depth").alias("nz")).collect()
+        for row in shapes.groupBy("_ref").agg(F.max("n_time").alias("nt"), F.max("n_depth").alias("nz")).collect()
     }
     keys = []
     for i in range(len(d.refs)):
@@ -189,11 +189,16 @@ def derive(
     d = Derived(name, tuple(refs), expr, over)
     accepted = None
     if validate and gs.vars is not None and gs.dims is not None:
-        accepted = bind(gs, d)
+        check_name(name)
+        if not refs:
+            raise GridError("formula must reference at least one variable")
+        # a few columns per dataset and reference, used three times below
+        shapes = cut_lineage(_shapes(gs, d).select("_ref", "dataset_id", "n_time", "n_depth", "n_rows", "n_cols"))
+        accepted = cut_lineage(bind(gs, d, shapes))
         if not accepted.filter("accepted").take(1):
             why = accepted.select(F.min("reason")).first()[0]
             raise GridError(f"{name}: {why or 'dataset is not open'}")
-        keys = _varying(gs, d)
+        keys = _varying(shapes, d)
     else:
         check_name(name)
         keys = [tuple(CELL_KEY)] * len(refs)
