@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.ieee import is_finite
 from ..model import PLANE_KEY, GridError
 from .decode import finite_value
-from .joins import lookup_join
+from .joins import cut_lineage, lookup_join
 from .slicing import Bounds
 
 # Colours of masked and of filtered cells.
@@ -130,7 +130,8 @@ def normalise(
     df: DataFrame, plane_limits: DataFrame, by: list[str], scale: str = "linear", is_diff: bool = False
 ) -> DataFrame:
     """Add ``norm`` to each cell from the limits of its group; NULL for masked cells."""
-    joined = lookup_join(df, plane_limits, by)
+    # computed once: counting and joining the limits must not scan the cells twice
+    joined = lookup_join(df, cut_lineage(plane_limits), by)
     return joined.withColumn(
         "norm", normalise_value(finite_value(), F.col("lo"), F.col("hi"), scale, is_diff)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decode import finite_value
-from .joins import lookup_join
+from .joins import cut_lineage, lookup_join
 from .ordered import running_sum
 
 _RUN = 100_000
@@ -51,6 +51,7 @@ def histogram(df: DataFrame, by: list[str], density: bool = False) -> DataFrame:
     facts = facts.withColumn("_k", bin_count(F.col("n"), span)).withColumn(
         "_width", F.when(span > 0, span / F.col("_k")).otherwise(F.lit(1.0))
     )
+    facts = cut_lineage(facts)  # one row per group, used three times
     place = F.when(
         F.col("_hi") > F.col("_lo"),
         F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_width")), F.col("_k") - 1),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import compact, iso_label, slug
 from ..model import GridError
-from .joins import lookup_join
+from .joins import cut_lineage, lookup_join
 from .ordered import number_rows, with_neighbours
 
 # Short names of index lines and the parameter they stand for.
@@ -211,7 +211,7 @@ def unique_names(df: DataFrame, by: list[str], name: str = "name", ordinal: str
     ``_variant_<ordinal>`` afterwards.  First uses are found by aggregation, so a name
     that is used millions of times is no hot spot.
     """
-    first = df.groupBy(*by, name).agg(F.min(ordinal).alias("_first"))
+    first = cut_lineage(df.groupBy(*by, name).agg(F.min(ordinal).alias("_first")))
     rows = lookup_join(df, first, [*by, name], "inner")
     again = F.col(ordinal) > F.col("_first")
     if time is None:
@@ -221,7 +221,7 @@ def unique_names(df: DataFrame, by: list[str], name: str = "name", ordinal: str
     rows = rows.withColumn(
         "_dated", F.when(again & (F.coalesce(stamp, F.lit("")) != ""), F.concat(F.col(name), F.lit("_valid_"), stamp))
     )
-    dated = rows.filter("_dated IS NOT NULL").groupBy(*by, "_dated").agg(F.min(ordinal).alias("_first_dated"))
+    dated = cut_lineage(rows.filter("_dated IS NOT NULL").groupBy(*by, "_dated").agg(F.min(ordinal).alias("_first_dated")))
     rows = lookup_join(rows, dated, [*by, "_dated"])
     variant = F.concat(F.col(name), F.format_string("_variant_%03d", F.col(ordinal)))
     chosen = (

@@ -9,7 +9,7 @@ from ..functions.ieee import NAN, is_finite
 from ..functions.scalars import norm_lon, point_label
 from ..model import GridSet
 from .decode import finite_value
-from .joins import lookup_join
+from .joins import cut_lineage, lookup_join
 from .slicing import Bounds, with_coords
 
 _DIM_KEY = {"time": "t", "depth": "z", "latitude": "r", "longitude": "c"}
@@ -22,7 +22,7 @@ def label_points(points: DataFrame, gs: GridSet, row_dim: str = "lat", col_dim:
     """
     placed = with_coords(points, gs, row_dim, col_dim)
     base = placed.withColumn("_base", point_label(F.col("lat"), F.col("lon"), F.col("r"), F.col("c")))
-    first = base.groupBy("_base").agg(F.min("point").alias("_first"))
+    first = cut_lineage(base.groupBy("_base").agg(F.min("point").alias("_first")))
     again = F.concat("_base", F.lit(" #"), F.col("point").cast("string"))
     return lookup_join(base, first, ["_base"], "inner").withColumn(
         "label", F.when(F.col("point") > F.col("_first"), again).otherwise(F.col("_base"))
