@@ -7,7 +7,7 @@ missing.  The other tables are the catalogue.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -57,7 +57,6 @@ class GridSet:
     axes: DataFrame | None = None
     coord2d: DataFrame | None = None
     datasets: DataFrame | None = None
-    derived: tuple[str, ...] = field(default=())
 
     def with_cells(self, cells: DataFrame) -> "GridSet":
         return replace(self, cells=cells)

@@ -26,6 +26,10 @@ def cdf(df: DataFrame, by: list[str]) -> DataFrame:
     placed = summed.join(totals, by) if by else summed.withColumn("_total", totals.select("_total").scalar())
     before = F.col("_upto") - F.col("_n")
     pieces = placed.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / _RUN))))
+    longest = summed.agg(F.max("_n")).first()[0]
+    if longest is not None and longest > _RUN:
+        # one value may stand for most cells; its pieces go to different tasks
+        pieces = pieces.repartition(*by, "value", "_piece")
     low = before + F.col("_piece") * _RUN + 1
     high = F.least(low + _RUN - 1, F.col("_upto"))
     rank = pieces.withColumn("rank", F.explode(F.sequence(low, high)))

@@ -202,7 +202,7 @@ def with_candidates(queries: DataFrame, points: DataFrame, space: Space, payload
     # decided query cells do not overlap, so at most one key of a query finds a list
     homes = F.when(usable, keys).otherwise(F.array(F.lit(None)))
     hit = queries.withColumn("_home", F.explode(homes)).join(
-        sized_broadcast(table, 20_000), "_home", "left"
+        sized_broadcast(table, 5_000), "_home", "left"
     ).filter(F.col("_cands").isNotNull() | F.col("_home").isNull()).drop("_home")
     if live is None:
         return hit
@@ -364,8 +364,7 @@ def regrid(
     values = mesh_values.select("dataset_id", "variable", "t", "z", "m", "raw")
     hits = reached.join(values, "m")
     # cells without a reading: each plane lists the whole grid
-    per_plane = planes.withColumn("_on", F.lit(True))
-    holes = _fill_plane(per_plane, lookup)
+    holes = _fill_plane(planes, lookup)
     x = F.coalesce("raw", F.lit(NAN))
     full = holes.join(hits.drop("lat", "lon", "m"), ["dataset_id", "variable", "t", "z", "r", "c"], "left")
     return full.select(
@@ -380,7 +379,8 @@ def _fill_plane(planes: DataFrame, lookup: DataFrame) -> DataFrame:
         F.min("lat").alias("lat"), F.sort_array(F.collect_list(F.struct("c", "lon"))).alias("_cols")
     )
     n_rows = rows.agg(F.max("r").alias("n")).scalar()
-    spread = planes.withColumn("r", F.explode(F.sequence(F.lit(0), n_rows))).drop("_on")
+    key = ["dataset_id", "variable", "t", "z"]
+    spread = planes.select(*key, F.explode(F.sequence(F.lit(0), n_rows)).alias("r")).repartition(*key, "r")
     return lookup_join(spread, rows, ["r"], "inner").withColumn("_c", F.explode("_cols")).select(
         "dataset_id", "variable", "t", "z", "r", "lat", F.col("_c.c").alias("c"), F.col("_c.lon").alias("lon")
     )
