@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..model import GridSet
 from ..operators import binning as B
 from ..operators import collection as C
