@@ -360,11 +360,11 @@ def _(spark, sf):
     "d9_bbox_cells",
     f"""SELECT {KEY}, value, validity FROM decoded WHERE dataset_id=2 AND variable='qty'
         AND r IN (SELECT idx FROM axes WHERE dim='lat' AND coord BETWEEN -40 AND 30)
-        AND c IN (SELECT idx FROM axes WHERE dim='lon' AND coord BETWEEN 0 AND 190)""",
+        AND c IN (SELECT idx FROM axes WHERE dim='lon' AND coord BETWEEN 0 AND 180)""",
     ("decoded", "axes"),
 )
 def _(spark, sf):
-    return P.bbox(V.gridset(spark, sf), "qty", (0.0, 190.0), (-40.0, 30.0), 2).drop("raw")
+    return P.bbox(V.gridset(spark, sf), "qty", (0.0, 180.0), (-40.0, 30.0), 2).drop("raw")
 
 
 @query(
