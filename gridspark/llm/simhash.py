@@ -181,7 +181,7 @@ def quarters(fps: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFr
     masks = [0]
     rows = dealt(fps.select(F.lit(0).cast("long").alias("mask"), "fp"), masks)
     for _ in range(5):
-        masks = [x for m in masks for x in _submasks(m, budget + 1)]
+        masks = sorted({x for m in masks for x in _submasks(m, budget + 1)})
         value = F.col("mask").bitwiseAND(F.col("fp"))
         big = rows.groupBy("mask", value.alias("value")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group)
         big = settle(big.select("mask", "value"), "big-groups")
