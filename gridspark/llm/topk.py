@@ -45,7 +45,10 @@ def _exact_type(q: np.ndarray, x: np.ndarray):
 
 
 def nra(q: np.ndarray, qids: np.ndarray, x: np.ndarray, xids: np.ndarray, k: int):
-    """(query row, vector id, score) of the k best of each query; ties go to the smaller id."""
+    """(query row, vector id, score) of the k best of each query; ties go to the smaller id.
+
+    Where scores need more than 53 bits, bounds would be rounded, so none is used.
+    """
     if not q.size or not x.size:  # vectors without components: every score is zero
         pairs = [(i, v) for i in range(len(q)) for v in sorted(v for v in xids if v != qids[i])[:k]]
         return (np.array([p[i] for p in pairs], np.int64) for i in (0, 1)), np.zeros(len(pairs), np.int64)
@@ -73,7 +76,7 @@ def nra(q: np.ndarray, qids: np.ndarray, x: np.ndarray, xids: np.ndarray, k: int
                     + down[lo:hi] @ np.where(some <= bottom, some, lists[-1]).T
                 ).astype(float)
                 lower[~alive] = -math.inf
-                if lower.shape[1] >= k:
+                if lower.shape[1] >= k and kind is not object:
                     limit = np.maximum(limit, np.partition(lower, -k, axis=1)[:, -k])
                 alive &= upper >= limit[:, None]
                 left = alive.any(axis=0)
@@ -84,12 +87,12 @@ def nra(q: np.ndarray, qids: np.ndarray, x: np.ndarray, xids: np.ndarray, k: int
             score = (q[lo + i] * xs[rows[j]]).sum(axis=1)
             found.append([lo + i, ids[rows[j]], score])
         i, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((v, -s, i))
+        order = np.lexsort((v, -(np.unique(s, return_inverse=True)[1] if kind is object else s), i))
         i, v, s = i[order], v[order], s[order]
         first = np.searchsorted(i, i)
         kept = np.arange(len(i)) - first < k
         best = [i[kept], v[kept], s[kept]]
-        full = np.bincount(best[0], minlength=len(q)) == k
+        full = (np.bincount(best[0], minlength=len(q)) == k) & (kind is not object)
         threshold[full] = best[2][np.searchsorted(best[0], np.flatnonzero(full)) + k - 1].astype(float)
     return best[:2], best[2]
 
