@@ -70,8 +70,8 @@ def build_index(
     )
     cells = F.broadcast(directory(raw, capacity, max_depth))
     placed = raw.withColumn("cell", _cell(F.col("h"), max_depth)).join(cells, "cell").drop("cell")
-    # the hash after the bucket spreads the buckets that cannot be split any more
-    return settle(placed.repartition("bucket", "h"), "hash-index")
+    # by bucket; a bucket that one hot hash overfills is cut into several files
+    return settle(placed.hint("rebalance", "bucket"), "hash-index")
 
 
 def chains(index: DataFrame) -> DataFrame:
