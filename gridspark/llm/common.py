@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import scratch_path
 
 #: Characters of text that one numpy pass holds at once (a longer text makes a pass of its own).
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def read(spark, sf_dir: str, name: str) -> DataFrame:

@@ -31,6 +31,8 @@ MIN_COUNT = 2
 #: Weight of the shorter n-gram's probability, in counts.
 PRIOR = 30.0
 BITS, HASHES = 12, 4
+#: Bytes of text whose n-grams are counted together before they are shuffled.
+COUNTED = 8_000_000
 #: More bytes than this are not broadcast: a larger ``min_count`` is asked for instead.
 MAX_FILTER_BYTES = 1 << 30
 #: Words that occur in more than 1 / HEAD of all tokens are fewer than HEAD: they are broadcast.
@@ -129,26 +131,30 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(h, dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view(np.uint32).ravel()
 
 
+def _counted(batch: Batch, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct n-grams of all orders, and their counts; the start mark is one of them."""
+    found = [(batch.hashes, np.bincount(batch.ids, minlength=len(batch.words)))]
+    found.append((np.array([_START]), np.array([len(batch.sizes)])))
+    found += [np.unique(g, return_counts=True) for g in batch.grams(order)[1:]]
+    h, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    at = np.argsort(h)
+    return h[at], n[at]
+
+
 def gram_counts(docs: DataFrame, bits: int, order: int = ORDER, text_col: str = "text") -> DataFrame:
     """(part, blob): counted n-grams of each task, dealt by the first ``bits`` bits of their hash."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            batch = Batch([t.as_py() for t in b.column(0)])
-            grams = batch.grams(order)
-            found = [(batch.hashes, np.bincount(batch.ids, minlength=len(batch.words)))]
-            found.append((np.array([_START]), np.array([len(batch.sizes)])))
-            for g in grams[1:]:
-                found.append(np.unique(g, return_counts=True))
-            h, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            at = np.argsort(h)
-            h, n = h[at], n[at]
-            cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
-            rows = [(p, _pack(h[a:z], n[a:z])) for p, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
-            for at in range(0, len(rows), 256):
-                some = rows[at : at + 256]
-                yield batch_of({"part": pa.array([r[0] for r in some], pa.int32()), "blob": pa.array([r[1] for r in some], pa.binary())})
+            texts = b.column(0).to_pylist()
+            for lo, hi in chunks([len(t) for t in texts], COUNTED):
+                h, n = _counted(Batch(texts[lo:hi]), order)
+                cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+                rows = [(p, _pack(h[a:z], n[a:z])) for p, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
+                for at in range(0, len(rows), 256):
+                    some = rows[at : at + 256]
+                    yield batch_of({"part": pa.array([r[0] for r in some], pa.int32()), "blob": pa.array([r[1] for r in some], pa.binary())})
 
     return docs.select(text_of(text_col).cast("binary").alias("t")).mapInArrow(run, "part int, blob binary")
 
