@@ -84,14 +84,20 @@ def parse_label(label: Column) -> Column:
 
 
 def _origin_timestamp(origin: Column) -> Column:
-    """Timestamp of the origin text including its clock part, NULL when malformed."""
-    parts = r"^(\d{4}-\d{1,2}-\d{1,2})(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:\.\d+)?)?.*$"
+    """Timestamp of the origin text including its clock and zone offset, NULL when malformed."""
+    parts = (
+        r"^(\d{4}-\d{1,2}-\d{1,2})(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:\.\d+)?)?"
+        r"(?:\s*([+-]\d{1,2})(?::?(\d{2}))?(?!\d))?.*$"
+    )
     day = F.regexp_extract(origin, parts, 1)
     clock = [
         F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(origin, parts, i), F.lit("")), F.lit("99")), F.lit(0))
         for i in (2, 3, 4)
     ]
-    seconds = clock[0] * 3600 + clock[1] * 60 + clock[2]
+    hours, minutes = (F.coalesce(F.nullif(F.regexp_extract(origin, parts, i), F.lit("")).try_cast("int"), F.lit(0)) for i in (5, 6))
+    east = F.when(F.regexp_extract(origin, parts, 5).startswith("-"), -1).otherwise(1)
+    zone = hours * 3600 + east * minutes * 60  # +02:00 is two hours ahead of UTC
+    seconds = clock[0] * 3600 + clock[1] * 60 + clock[2] - zone
     midnight = F.try_to_timestamp(F.nullif(day, F.lit("")), F.lit("yyyy-M-d"))
     return F.timestamp_seconds(F.unix_seconds(midnight) + seconds.cast("long"))
 

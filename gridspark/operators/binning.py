@@ -68,7 +68,7 @@ def limits(df: DataFrame, by: list[str], scale: str = "linear", is_diff: bool =
     """Colour limits of each group: ``lo`` and ``hi``, NULL when there is no usable value.
 
     Linear: finite min and max.  Log: positive values; log of a difference: magnitudes.
-    A constant field is widened by half its magnitude (at least half of one).
+    A constant field is widened by half its magnitude (at least half of one) on the linear scale.
     """
     x = finite_value()
     if scale == "log":
@@ -77,7 +77,7 @@ def limits(df: DataFrame, by: list[str], scale: str = "linear", is_diff: bool =
     elif scale != "linear":
         raise GridError(f"unknown scale {scale!r}")
     out = df.groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    if not pad:
+    if not pad or scale == "log":  # widening could leave the scale
         return out
     margin = F.greatest(F.abs("lo"), F.lit(1.0)) * 0.5
     flat = F.col("hi") <= F.col("lo")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decode import finite_value
-from .joins import cut_lineage, lookup_join
+from .joins import cut_lineage, lookup_join, null_safe_join
 from .ordered import running_sum
 
 _RUN = 100_000
@@ -23,7 +23,7 @@ def cdf(df: DataFrame, by: list[str]) -> DataFrame:
     counts = df.filter(x.isNotNull()).groupBy(*by, x.alias("value")).agg(F.count(F.lit(1)).alias("_n"))
     summed = running_sum(counts, by, [F.col("value")], "_n", "_upto")
     totals = summed.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    placed = summed.join(totals, by) if by else summed.withColumn("_total", totals.select("_total").scalar())
+    placed = null_safe_join(summed, totals, by) if by else summed.withColumn("_total", totals.select("_total").scalar())
     before = F.col("_upto") - F.col("_n")
     pieces = placed.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / _RUN))))
     longest = summed.agg(F.max("_n")).first()[0]

@@ -33,6 +33,15 @@ def lookup_join(
     return big.join(sized_broadcast(small, max_rows), on, how)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where NULL equals NULL; the columns of ``on`` are those of ``left``."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    match = F.lit(True)
+    for c in on:
+        match = match & left[c].eqNullSafe(renamed[f"_right_{c}"])
+    return left.join(renamed, match, how).drop(*[f"_right_{c}" for c in on])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the checkpoint folder of the cluster; a scratch one only in local mode."""
     sc = spark.sparkContext

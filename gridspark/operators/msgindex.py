@@ -105,12 +105,12 @@ def _problem() -> Column:
     return (
         F.when(F.size("fields") < 2, "expected ordinal and byte offset")
         .when(F.col("ordinal").isNull(), "invalid message ordinal")
-        .when(F.col("ordinal") == 0, "message ordinal must be one-based")
+        .when(F.col("ordinal") == 0, "ordinals count from 1, found 0")
         .when(F.col("_prev_line").isNull() & (F.col("ordinal") != 1), "the first message ordinal must be one")
         .when(F.col("offset").isNull(), "invalid byte offset")
         .when(F.col("size").isNull() | (F.col("offset") >= F.col("size")), "byte offset is outside the source object")
-        .when(F.col("offset") <= F.col("_prev_offset"), "byte offsets must be strictly increasing")
-        .when(F.col("ordinal") <= F.col("_prev_ordinal"), "message ordinals must be strictly increasing")
+        .when(F.col("offset") <= F.col("_prev_offset"), "offset does not lie after the previous one")
+        .when(F.col("ordinal") <= F.col("_prev_ordinal"), "ordinal does not follow the previous one")
     )
 
 
@@ -245,11 +245,11 @@ def reconcile(idx: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]
     first = headers.groupBy("object", "offset").agg(F.min_by("message_length", "seq").alias("declared"))
     seen = idx.join(first, ["object", "offset"], "left")
     message = F.when(
-        F.col("declared").isNull(), F.format_string(".idx line %d has no corresponding message", F.col("line"))
+        F.col("declared").isNull(), F.format_string("line %d: no message begins at its offset", F.col("line"))
     ).when(
         F.col("declared") != F.col("length"),
         F.format_string(
-            ".idx line %d range is %d bytes but the message header declares %d bytes",
+            "line %d: the index gives %d bytes, the header %d",
             F.col("line"), F.col("length"), F.col("declared"),
         ),
     )
@@ -496,12 +496,14 @@ _FORECAST = r"^(.*)\.f((?!.*\.f)[0-9]{3})(.*)$"
 
 
 def forecast_key(paths: DataFrame) -> DataFrame:
-    """Add ``forecast_key`` and ``hour`` to ``path``s of forecast files; NULL for others.
+    """Add ``forecast_key`` and ``hour`` to ``path``s of remote forecast files; NULL for others.
 
-    The key is the name without its hour; the extension must be a message-file one.
+    The key is the name without its hour; the extension must be a message-file one.  Local
+    paths (without a scheme, or of scheme ``file``) have none.
     """
     path = F.col("path")
-    known = path.rlike(r"(?i)\.(grib|grib2|grb|grb2)$") & path.rlike(_FORECAST)
+    remote = path.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://") & ~path.rlike(r"(?i)^file:")
+    known = remote & path.rlike(r"(?i)\.(grib|grib2|grb|grb2)$") & path.rlike(_FORECAST)
     key = F.concat(F.regexp_extract(path, _FORECAST, 1), F.regexp_extract(path, _FORECAST, 3))
     hour = F.regexp_extract(path, r"^.*\.f([0-9]+)", 1).try_cast("int")
     return paths.withColumn("forecast_key", F.when(known, key)).withColumn("hour", F.when(known, hour))

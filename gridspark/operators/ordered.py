@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .joins import cut_lineage
+from .joins import cut_lineage, null_safe_join
 
 _LOCAL_BITS = 33  # monotonically_increasing_id(): partition number above, position below
 #: Rows that one window may hold.
@@ -65,10 +65,7 @@ def number_rows(df: DataFrame, by: list[str], order: list[Column], name: str) ->
         return rows.withColumn(name, F.row_number().over(w).cast("bigint"))
     placed = _spread(rows, [*[F.col(b) for b in by], *order], "_g")
     firsts = placed.groupBy(*by).agg(F.min("_g").alias("_first"))
-    match = F.lit(True)
-    for b in by:
-        match = match & placed[b].eqNullSafe(firsts[b])
-    out = placed.join(firsts, match).drop(*[firsts[b] for b in by])
+    out = null_safe_join(placed, firsts, by)
     return out.withColumn(name, F.col("_g") - F.col("_first") + 1).drop("_g", "_first")
 
 
@@ -123,8 +120,7 @@ def running_sum(
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.withColumn("_carry", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
     return (
-        placed.withColumn("_part", F.sum(column).over(inside))
-        .join(carried, keys)
+        null_safe_join(placed.withColumn("_part", F.sum(column).over(inside)), carried, keys)
         .withColumn(name, F.col("_part") + F.col("_carry"))
         .drop("_part", "_carry", "_block", "_g")
     )

@@ -100,8 +100,8 @@ def in_polygons(points: DataFrame, rings: DataFrame, key: list[str], holes: bool
 
     Points meet only the rings of their five-degree bin.  While the rings' vertices
     are few the bins are broadcast and the points are not shuffled; otherwise points and
-    rings join on the bin and the answers combine per ``key``, which must identify
-    points.  With ``holes`` the rings of one polygon cancel out pairwise; without, every
+    rings join on the bin and the answers combine per place, so ``key`` may repeat or be
+    NULL.  With ``holes`` the rings of one polygon cancel out pairwise; without, every
     ring counts alone.
     """
     ring_cols = ["ring_id", "polygon_id", "anchor", "edges", "w", "e", "s", "n"]
@@ -118,13 +118,14 @@ def in_polygons(points: DataFrame, rings: DataFrame, key: list[str], holes: bool
         else:
             test = F.exists("_rings", lambda r: _inside(r, lat, lon))
         return hit.withColumn("inside", F.coalesce(test, F.lit(False))).drop("_rings", "bin_lat", "bin_lon")
-    tested = placed.select(*key, "lat", "lon", "bin_lat", "bin_lon").join(
+    places = placed.select("lat", "lon", "bin_lat", "bin_lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    tested = places.join(
         binned.select("bin_lat", "bin_lon", F.struct(*ring_cols).alias("_ring")), ["bin_lat", "bin_lon"]
-    ).select(*key, F.col("_ring.polygon_id").alias("_pid"), _inside(F.col("_ring"), lat, lon).alias("_in")).filter("_in")
+    ).select("lat", "lon", F.col("_ring.polygon_id").alias("_pid"), _inside(F.col("_ring"), lat, lon).alias("_in")).filter("_in")
     if holes:
-        tested = tested.groupBy(*key, "_pid").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") % 2 == 1)
-    inside = tested.select(*key).distinct().withColumn("inside", F.lit(True))
-    return points.join(inside, key, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+        tested = tested.groupBy("lat", "lon", "_pid").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") % 2 == 1)
+    inside = tested.select("lat", "lon").distinct().withColumn("inside", F.lit(True))
+    return points.join(inside, ["lat", "lon"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
 def border_cells(mask: DataFrame, by: list[str] | None = None) -> DataFrame:

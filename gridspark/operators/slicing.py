@@ -15,6 +15,10 @@ from .catalog import leading_axes
 from .joins import lookup_join
 
 
+#: End of a window that reaches to the end of its axis: the largest index a cell can have, plus one.
+OPEN_END = 2**31 - 1
+
+
 @dataclass(frozen=True)
 class Bounds:
     """Half-open window of rows and columns."""
@@ -328,9 +332,14 @@ def north_up(df: DataFrame, orientation: DataFrame, n_rows: DataFrame) -> DataFr
 
 def mesh_plane(
     mesh_values: DataFrame, variable: str, t: int = 0, z: int = 0, dataset_id: int = 1,
-    fixed: dict[str, int] | None = None,
+    fixed: dict[str, int] | None = None, n_time: int | None = None, n_depth: int | None = None,
 ) -> DataFrame:
-    """Values of one time, level and set of further indices along the mesh axis."""
+    """Values of one time, level and set of further indices along the mesh axis.
+
+    With the axis lengths given, an index out of range is an error, as for :func:`plane`.
+    """
+    t = t if n_time is None else axis_index(t, n_time, "time")
+    z = z if n_depth is None else axis_index(z, n_depth, "level")
     rows = mesh_values.filter(
         (F.col("dataset_id") == dataset_id) & (F.col("variable") == variable) & (F.col("t") == t) & (F.col("z") == z)
     )

@@ -26,7 +26,7 @@ from ..model import FINITE, GridError
 from ..model import NAN as NAN_CLASS
 from .joins import cut_lineage, lookup_join, sized_broadcast
 
-#: Points a query cell may have as candidates before it is split again.
+#: Places a query cell may have as candidates before it is split again (copies of a point are one place).
 CANDIDATES = 256
 #: Undecided pairs of cells beyond which the search goes on query by query.
 LIVE_PAIRS = 20_000
@@ -66,17 +66,17 @@ def _gap(q: Column, p: Column, h: float) -> tuple[Column, Column]:
 
 
 def _counted(points: DataFrame, space: Space, h: float) -> DataFrame:
-    """Non-empty point cells of width h and the points (with copies) they hold."""
+    """Non-empty point cells of width h, the points (with copies) and the places they hold."""
     ps = _axes(space, "p")
     return points.groupBy(*[_index(F.col(f"x{a}"), space, h).alias(p) for a, p in enumerate(ps)]).agg(
-        F.sum("n").alias("n")
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("places")
     )
 
 
 def _children(live: DataFrame, cells: DataFrame, space: Space, f: int) -> DataFrame:
     """Replace the point cells of ``live`` by their non-empty children."""
     ps = _axes(space, "p")
-    parents = cells.select(*[F.floor(F.col(p) / f).alias(f"_{p}") for p in ps], *ps, "n")
+    parents = cells.select(*[F.floor(F.col(p) / f).alias(f"_{p}") for p in ps], *ps, "n", "places")
     return live.withColumnsRenamed({p: f"_{p}" for p in ps}).join(parents, [f"_{p}" for p in ps]).drop(
         *[f"_{p}" for p in ps]
     )
@@ -93,7 +93,7 @@ def _prune(pairs: DataFrame, by: list[str], near: Column, far: Column, k: int) -
     pairs = pairs.withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(group))
     # a little slack covers rounding of cell borders
     kept = pairs.filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-15))
-    return kept.withColumn("_done", F.sum("n").over(group) <= CANDIDATES)
+    return kept.withColumn("_done", F.sum("places").over(group) <= CANDIDATES)
 
 
 def candidate_cells(points: DataFrame, space: Space, k: int) -> tuple[list[tuple[float, DataFrame]], DataFrame | None]:

@@ -48,9 +48,9 @@ def _faulty(spark, sf):
              CASE k WHEN 3 THEN NULL WHEN 27 THEN 28 WHEN 33 THEN 1 ELSE ord END AS o, CASE k WHEN 9 THEN NULL WHEN 20 THEN 0 WHEN 27 THEN NULL ELSE off END AS f FROM l),
        q AS (SELECT *, lag(ord) OVER w pl, lag(o) OVER w po, lag(f) OVER w pf FROM p WINDOW w AS (PARTITION BY obj ORDER BY ord)),
        r AS (SELECT obj AS object, ord AS line, CASE WHEN nf < 2 THEN 'expected ordinal and byte offset' WHEN o IS NULL THEN 'invalid message ordinal'
-           WHEN o = 0 THEN 'message ordinal must be one-based' WHEN pl IS NULL AND o <> 1 THEN 'the first message ordinal must be one' WHEN f IS NULL THEN 'invalid byte offset'
-           WHEN f >= size THEN 'byte offset is outside the source object' WHEN f <= pf THEN 'byte offsets must be strictly increasing'
-           WHEN o <= po THEN 'message ordinals must be strictly increasing' END AS reason FROM q)
+           WHEN o = 0 THEN 'ordinals count from 1, found 0' WHEN pl IS NULL AND o <> 1 THEN 'the first message ordinal must be one' WHEN f IS NULL THEN 'invalid byte offset'
+           WHEN f >= size THEN 'byte offset is outside the source object' WHEN f <= pf THEN 'offset does not lie after the previous one'
+           WHEN o <= po THEN 'ordinal does not follow the previous one' END AS reason FROM q)
        SELECT object, line, reason FROM r WHERE reason IS NOT NULL""",
     ("idx_lines",),
 )
@@ -161,8 +161,8 @@ def _(spark, sf):
 
 @query(
     "h6_reconcile_diagnostics",
-    f"""WITH {HEAD} SELECT r.object, r.line, CASE WHEN declared IS NULL THEN concat('.idx line ', r.line, ' has no corresponding message')
-          ELSE concat('.idx line ', r.line, ' range is ', length, ' bytes but the message header declares ', declared, ' bytes') END AS message
+    f"""WITH {HEAD} SELECT r.object, r.line, CASE WHEN declared IS NULL THEN concat('line ', r.line, ': no message begins at its offset')
+          ELSE concat('line ', r.line, ': the index gives ', length, ' bytes, the header ', declared) END AS message
         FROM rec r LEFT JOIN hd USING (object, "offset") WHERE declared IS NULL OR declared <> length""",
     ("idx_lines",),
 )
@@ -365,6 +365,30 @@ def _(spark, sf):
     return M.forecast_key(forecast_paths(spark, sf))
 
 
+@query(
+    "h17_forecast_local_paths",
+    """SELECT o_orderkey, concat(['/data/', 'file:///data/', 'https://host/data/'][o_orderkey % 3 + 1], 'gfs.f', printf('%03d', o_orderkey % 385), '.grb2') AS path,
+         CASE WHEN o_orderkey % 3 = 2 THEN 'https://host/data/gfs.grb2' END AS forecast_key, CASE WHEN o_orderkey % 3 = 2 THEN CAST(o_orderkey % 385 AS INT) END AS hour FROM orders""",
+)
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    where = F.when(k % 3 == 0, "/data/").when(k % 3 == 1, "file:///data/").otherwise("https://host/data/")
+    path = F.concat(where, F.format_string("gfs.f%03d.grb2", k % 385))
+    return M.forecast_key(V.table(spark, sf, "orders").select("o_orderkey", path.alias("path")))
+
+
+@query(
+    "h17_forecast_collections",
+    """WITH x AS (SELECT o_custkey % 50 AS grp, concat('s3://runs/gfs.t', CASE WHEN o_custkey % 50 < 25 THEN 0 ELSE o_orderkey % 2 END, 'z') AS k FROM orders)
+       SELECT CAST(grp AS BIGINT) AS grp, count(*) > 1 AND min(k) = max(k) AS is_collection FROM x GROUP BY 1""",
+)
+def _(spark, sf):
+    cycle = F.when(F.col("o_custkey") % 50 < 25, 0).otherwise(F.col("o_orderkey") % 2)
+    path = F.format_string("s3://runs/gfs.t%dz.f%03d.grb2", cycle.cast("int"), F.col("o_orderkey") % 385)
+    rows = V.table(spark, sf, "orders").select((F.col("o_custkey") % 50).cast("bigint").alias("grp"), path.alias("path"))
+    return M.is_forecast_collection(rows, ["grp"])
+
+
 @query(
     "h18_forecast_times",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN concat('forecast f', printf('%03d', o_orderkey % 385))

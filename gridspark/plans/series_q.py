@@ -9,7 +9,7 @@ from ..operators import binning as B
 from ..operators import collection as C
 from ..operators import distribution as H
 from ..operators import series as T
-from ..operators.slicing import Bounds
+from ..operators.slicing import OPEN_END, Bounds
 from . import views as V
 from .registry import query
 
@@ -120,7 +120,7 @@ def _(spark, sf):
     ("decoded", "vars", "dims"),
 )
 def _(spark, sf):
-    return T.domain_summary(V.decoded(spark, sf), timeline(spark, sf), z=1, bounds=Bounds(2, 8, 0, 1_000_000))
+    return T.domain_summary(V.decoded(spark, sf), timeline(spark, sf), z=1, bounds=Bounds(2, 8, 0, OPEN_END))
 
 
 @query(
@@ -218,10 +218,20 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return B.scoped_limits(
-        V.decoded(spark, sf), ["dataset_id", "variable"], Bounds(0, 3, 0, 1_000_000), scope="global"
+        V.decoded(spark, sf), ["dataset_id", "variable"], Bounds(0, 3, 0, OPEN_END), scope="global"
     )
 
 
+@query(
+    "g13_scoped_limits_current",
+    """SELECT dataset_id, variable, min(CASE WHEN r < 3 THEN v END) AS lo, max(CASE WHEN r < 3 THEN v END) AS hi
+       FROM (SELECT *, CASE WHEN validity='Finite' THEN value END v FROM decoded) GROUP BY ALL""",
+    ("decoded",),
+)
+def _(spark, sf):
+    return B.scoped_limits(V.decoded(spark, sf), ["dataset_id", "variable"], Bounds(0, 3, 0, OPEN_END), scope="current")
+
+
 @query(
     "g14_normalise",
     """WITH l AS (SELECT dataset_id, variable, t, z, min(v) lo, max(v) hi FROM fin GROUP BY ALL)

@@ -203,7 +203,36 @@ def _(spark, sf):
 )
 def _(spark, sf):
     chunks, arrays = _indexed(spark, sf)
-    return M.complete_grid(M.decode_chunks(chunks, arrays), arrays)
+    return M.complete_grid(M.decode_chunks(chunks, arrays), arrays, chunks).drop("extra")
+
+
+RANK5 = (
+    '{"zarr_format":2,"shape":[2,1,3,2,5],"chunks":[1,1,2,2,2],"dtype":">i4","fill_value":-7,"compressor":null,"order":"C","filters":null}'
+)
+
+
+@query(
+    "a8_complete_grid_rank5",
+    """WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders), i AS (SELECT k, unnest(range(0, 60)) s FROM o),
+       p AS (SELECT k, s // 30 AS a, s % 30 // 10 AS b, s % 10 // 5 AS r, s % 5 AS c FROM i)
+       SELECT concat('m', k) AS manifest, 'x' AS variable, CAST(a AS INT) AS t, 0 AS z, CAST(r AS INT) AS r, CAST(c AS INT) AS c, CAST(b AS INT) AS mode,
+         CASE WHEN (a + b // 2 + c // 2 + k) % 3 = 0 THEN -7e0 ELSE CAST(k % 100 AS DOUBLE) END AS raw FROM p""",
+)
+def _(spark, sf):
+    # twelve chunks per array, a third of them absent; every cell of a chunk has the same value
+    rows = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    cells = F.array_join(F.array_repeat(F.format_string("%08x", F.col("k") % 100), 8), "")
+    body = F.concat(F.lit('":"base64:'), F.regexp_replace(F.base64(F.unhex(cells)), "\\s", ""), F.lit('"'))
+    entries = F.array(*[
+        F.when((F.lit(a + b + c) + F.col("k")) % 3 != 0, F.concat(F.lit(f'"x/{a}.0.{b}.0.{c}'), body))
+        for a in range(2) for b in range(2) for c in range(3)
+    ])
+    notes = '{"_ARRAY_DIMENSIONS":["t","z","mode","r","c"]}'
+    text = F.concat(F.lit('{"refs":{"x/.zarray":' + RANK5 + ',"x/.zattrs":' + notes + ","), F.array_join(F.filter(entries, lambda e: e.isNotNull()), ","), F.lit("}}"))
+    arrays, refs = M.open_manifests(rows.select(F.format_string("m%d", F.col("k")).alias("manifest"), text.alias("text")))
+    chunks = M.chunk_index(refs, arrays)
+    grid = M.complete_grid(M.decode_chunks(chunks, arrays), arrays, chunks)
+    return grid.withColumn("mode", F.try_element_at("extra", F.lit("mode"))).drop("extra")
 
 
 @query(
@@ -303,6 +332,23 @@ def _(spark, sf):
     return found.select("manifest", "variable", "uri", "offset", "length")
 
 
+@query(
+    "a14_manifest_shards",
+    f"""WITH {HEAD}, ok AS (SELECT r.object, r.line, r."offset", r.length, k FROM rec r JOIN hd USING (object, "offset") WHERE declared = length),
+        p AS (SELECT *, concat('grib2_message_', printf('%04d', line)) AS nm FROM ok UNION ALL SELECT *, concat('grib2_message_', printf('%04d', line), '_submessage_0001') FROM ok WHERE k % 7 = 0)
+        SELECT CAST(object AS VARCHAR) AS manifest, nm AS variable, CAST(object AS VARCHAR) AS uri, "offset", length FROM p""",
+    ("idx_lines",),
+)
+def _(spark, sf):
+    # several shards per object, written as files and read back
+    entries, notes = M.build_manifest(parse_idx(lines(spark, sf), sizes(spark, sf)), headers(spark, sf))
+    path = scratch_path(spark, "shards")
+    M.write_manifests(M.manifest_documents(entries, notes, shard_entries=50), path)
+    arrays, refs = M.read_manifest(spark, f"{path}/object=*/shard=*/*")
+    found = M.chunk_index(refs, arrays)
+    return found.select(F.regexp_extract("manifest", "object=([^/]*)$", 1).alias("manifest"), "variable", "uri", "offset", "length")
+
+
 # --- L: growing collections ---------------------------------------------------------
 
 
@@ -351,6 +397,25 @@ def _(spark, sf):
     return _grown(spark, sf, "progress")
 
 
+@query(
+    "l1_growing_diagnostics",
+    f"""WITH {FILES} SELECT DISTINCT dataset_id, concat('file ', dataset_id, ': file is truncated') AS message FROM files WHERE dataset_id % 23 = 22""",
+)
+def _(spark, sf):
+    # a dataset that failed to load arrives without a variable
+    rows = arrivals(spark, sf)
+    bad = rows.filter("error IS NOT NULL").select("dataset_id", "error").distinct()
+    bare = bad.select("dataset_id", F.format_string("file %d", F.col("dataset_id")).alias("path"), "error")
+    rows = rows.filter("error IS NULL").unionByName(bare, allowMissingColumns=True)
+    source, sink = scratch_path(spark, "arrivals"), scratch_path(spark, "collection")
+    rows.repartitionByRange(3, "dataset_id").write.parquet(source)
+    q = L.stream_collection(spark, source, sink, files_per_batch=1, available_now=True)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return L.latest(spark, sink, "diagnostics").filter("variable IS NULL").select("dataset_id", "message")
+
+
 @query(
     "l2_streaming_statistics",
     """SELECT dataset_id, variable, t, z, min(v) AS min, max(v) AS max, sum(v)/count(v) AS mean, count(v) AS finite_count

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ieee import NAN
 from ..model import GridError
-from ..operators.joins import cut_lineage, lookup_join
+from ..operators.joins import cut_lineage, lookup_join, null_safe_join
 from ..operators.msgindex import reconcile
 from ..operators.ordered import number_rows
 
@@ -27,9 +27,9 @@ _SPECIAL = r"^(?:.*/)?(\.zarray|\.zattrs|\.zgroup|zarr\.json)$"
 
 def read_manifest(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
     """Array headers and chunk references of all manifest files that match."""
-    docs = spark.read.text(pattern, wholetext=True).select(
-        F.col("_metadata.file_path").alias("manifest"), F.col("value").alias("text")
-    )
+    # the shards of one object are one manifest
+    name = F.regexp_replace(F.col("_metadata.file_path"), r"/shard=\d+/[^/]*$", "")
+    docs = spark.read.text(pattern, wholetext=True).select(name.alias("manifest"), F.col("value").alias("text"))
     return open_manifests(docs)
 
 
@@ -222,7 +222,11 @@ def _chunk_cells(data: bytes, dtype: str, idx, shape, chunks) -> tuple[np.ndarra
     kind = element_type(dtype)
     raw = inflate(data)
     values = np.frombuffer(raw, dtype=kind, count=len(raw) // kind.itemsize).astype("float64")
-    values = values[: int(np.prod(chunks))]
+    return _placed(values[: int(np.prod(chunks))], idx, shape, chunks)
+
+
+def _placed(values, idx, shape, chunks):
+    """Indices and values of a chunk's cells that lie inside the array."""
     where = np.array(np.unravel_index(np.arange(len(values)), tuple(chunks)), dtype="int64").reshape(len(chunks), -1)
     where += (np.asarray(idx, dtype="int64") * np.asarray(chunks, dtype="int64"))[:, None]
     inside = (where < np.asarray(shape, dtype="int64")[:, None]).all(axis=0)
@@ -239,7 +243,9 @@ def _reader(base: str | None):
         if state.get("uri") != uri:
             if "file" in state:
                 state["file"].close()
-            full = uri if "://" in uri or uri.startswith("/") else f"{base or '.'}/{uri}"
+            if base is None and not ("://" in uri or uri.startswith(("/", "file:"))):
+                raise GridError(f"relative reference {uri} needs a base folder")
+            full = uri if "://" in uri or uri.startswith(("/", "file:")) else f"{base}/{uri}"
             full = full.replace("file:///", "/").replace("file:/", "/")
             if full.startswith("/"):
                 system, path = fs.LocalFileSystem(), full
@@ -256,21 +262,23 @@ _DECODED = "manifest STRING, variable STRING, t INT, z INT, r INT, c INT, rest A
 _BATCH_CELLS = 200_000
 
 
-def decode_chunks(chunks: DataFrame, arrays: DataFrame, base: str | None = None) -> DataFrame:
+def decode_chunks(chunks: DataFrame, arrays: DataFrame, base: str | None = None, fill_missing: bool = False) -> DataFrame:
     """Cells of the referenced chunks: manifest, variable, t, z, r, c[, extra], raw.
 
     The last two axes are r and c; of the others the first is t, the second z, and any
     further ones go to the map ``extra``.  References are spread by (uri, offset), so a
     huge object is read by many tasks and each task reads forward.  A chunk that cannot be
-    read is left out, as an absent one would be.
+    read fails its task, which Spark repeats.  One whose object does not exist is absent: it
+    is left out, or has the fill value with ``fill_missing``.
+    Relative URIs need ``base``, a folder that every executor sees.
     """
-    head = arrays.select("manifest", "variable", "shape", "chunks", "dtype", "dims")
+    head = arrays.select("manifest", "variable", "shape", "chunks", "dtype", "fill", "dims")
     rows = lookup_join(chunks, head, ["manifest", "variable"], "inner")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(
         parts, F.coalesce("uri", "variable"), F.coalesce("offset", F.hash("idx").cast("bigint")), "idx"
     ).sortWithinPartitions("uri", "offset")
-    wanted = rows.select("manifest", "variable", "idx", "uri", "offset", "length", "inline", "shape", "chunks", "dtype")
+    wanted = rows.select("manifest", "variable", "idx", "uri", "offset", "length", "inline", "shape", "chunks", "dtype", "fill")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = _reader(base)
@@ -279,9 +287,12 @@ def decode_chunks(chunks: DataFrame, arrays: DataFrame, base: str | None = None)
             for row in batch.itertuples(index=False):
                 try:
                     data = bytes(row.inline) if row.inline is not None else read(row.uri, int(row.offset), int(row.length))
-                except OSError:
-                    continue
-                where, values = _chunk_cells(data, row.dtype, row.idx, row.shape, row.chunks)
+                except FileNotFoundError:
+                    if not fill_missing:
+                        continue
+                    where, values = _placed(np.full(int(np.prod(row.chunks)), row.fill, dtype="float64"), row.idx, row.shape, row.chunks)
+                else:
+                    where, values = _chunk_cells(data, row.dtype, row.idx, row.shape, row.chunks)
                 rank, zero = len(where), np.zeros(len(values), dtype="int32")
                 frame = pd.DataFrame({
                     "manifest": row.manifest, "variable": row.variable,
@@ -306,29 +317,54 @@ def decode_chunks(chunks: DataFrame, arrays: DataFrame, base: str | None = None)
     return names.select("manifest", "variable", "t", "z", "r", "c", extra.alias("extra"), "raw")
 
 
-def complete_grid(cells: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Add the cells of absent chunks with the fill value, NaN when there is none.
+def absent_chunks(chunks: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Chunks of the arrays' index space that have no reference: manifest, variable, idx.
 
-    The index space is spread row by row, so even one huge array uses all tasks.
+    ``chunks``: the result of :func:`chunk_index`, unpruned.  An array without dimensions has one chunk.
     """
-    rank = F.size("shape")
+    counts = F.zip_with("shape", "chunks", lambda n, c: F.ceil(n / c))
+    total = F.aggregate(counts, F.lit(1).cast("bigint"), lambda acc, n: acc * n)
+    space = arrays.select("manifest", "variable", counts.alias("_counts"), total.alias("_total")).filter("_total > 0")
+    flat = space.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1)))
+    every = flat.select("manifest", "variable", _unravel(F.col("_k"), F.col("_counts")).alias("idx"))
+    return every.join(chunks.select("manifest", "variable", "idx"), ["manifest", "variable", "idx"], "left_anti")
+
+
+def _unravel(k: Column, counts: Column) -> Column:
+    """Index along each axis of the ``k``-th element in C order."""
+    stride = lambda i: F.aggregate(
+        F.slice(counts, i + 2, F.greatest(F.size(counts) - i - 1, F.lit(0))), F.lit(1).cast("bigint"), lambda acc, n: acc * n
+    )
+    return F.transform(counts, lambda n, i: (F.floor(k / stride(i)) % n).cast("int"))
 
-    def length(test: Column, at: Column) -> Column:
-        return F.when(test, F.get("shape", at)).otherwise(F.lit(1))
 
-    space = arrays.select(
-        "manifest", "variable", "fill",
-        length(rank >= 3, F.lit(0)).alias("_nt"), length(rank >= 4, F.lit(1)).alias("_nz"),
-        length(rank >= 2, rank - 2).alias("_nr"), length(rank >= 1, rank - 1).alias("_nc"),
-    )
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    planes = space.filter("_nt > 0 AND _nz > 0 AND _nr > 0 AND _nc > 0").withColumn("t", F.explode(upto("_nt"))).withColumn("z", F.explode(upto("_nz")))
-    lines = planes.withColumn("r", F.explode(upto("_nr"))).repartition("manifest", "variable", "t", "z", "r")
-    full = lines.withColumn("c", F.explode(upto("_nc"))).select("manifest", "variable", "t", "z", "r", "c", "fill")
-    have = cells.select("manifest", "variable", "t", "z", "r", "c", "raw")
-    return full.join(have, ["manifest", "variable", "t", "z", "r", "c"], "left").select(
-        "manifest", "variable", "t", "z", "r", "c", F.coalesce("raw", "fill", F.lit(NAN)).alias("raw")
+def complete_grid(cells: DataFrame, arrays: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Add the cells of chunks without a reference, with the fill value, NaN when there is none.
+
+    ``cells`` come from :func:`decode_chunks`, with ``fill_missing`` where objects may be gone.
+    Absence is settled between chunk references, so decoded cells are not shuffled; only
+    absent chunks are expanded, whatever the number of dimensions.
+    """
+    head = arrays.select("manifest", "variable", "shape", F.col("chunks").alias("_size"), "dims", "fill")
+    gone = lookup_join(absent_chunks(chunks, arrays), head, ["manifest", "variable"], "inner").repartition("manifest", "variable", "idx")
+    inside = F.aggregate("_size", F.lit(1).cast("bigint"), lambda acc, n: acc * n)
+    rows = gone.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), inside - 1)))
+    offset = _unravel(F.col("_k"), F.transform("_size", lambda n: n.cast("bigint")))
+    start = F.zip_with("idx", "_size", lambda i, n: i * n)
+    rows = rows.withColumn("_at", F.zip_with(start, offset, lambda a, b: (a + b).cast("int")))
+    rows = rows.filter(F.forall(F.zip_with("_at", "shape", lambda i, n: i < n), lambda ok: ok))
+    rank = F.size("_at")
+
+    def axis(test: Column, at: Column) -> Column:
+        return F.when(test, F.get("_at", at)).otherwise(F.lit(0)).cast("int")
+
+    extra = F.when(rank > 4, F.map_from_arrays(F.slice("dims", F.lit(3), F.greatest(rank - 4, F.lit(0))), F.slice("_at", F.lit(3), F.greatest(rank - 4, F.lit(0)))))
+    filled = rows.select(
+        "manifest", "variable", axis(rank >= 3, F.lit(0)).alias("t"), axis(rank >= 4, F.lit(1)).alias("z"),
+        axis(rank >= 2, rank - 2).alias("r"), axis(rank >= 1, rank - 1).alias("c"), extra.alias("extra"),
+        F.coalesce("fill", F.lit(NAN)).alias("raw"),
     )
+    return cells.select("manifest", "variable", "t", "z", "r", "c", "extra", "raw").unionByName(filled)
 
 
 # --- writing ------------------------------------------------------------------------
@@ -382,18 +418,21 @@ def build_manifest(idx: DataFrame, headers: DataFrame, uri: Column | None = None
     return entries, diagnostics
 
 
-def manifest_documents(entries: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Manifest documents of at most ``SHARD_ENTRIES`` entries: object, shard, text.
+def manifest_documents(entries: DataFrame, diagnostics: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """Manifest documents of about ``shard_entries`` entries: object, shard, text.
 
-    Shard 0 also has the group header; diagnostics are listed in the attributes of shards
+    Arrays are numbered and dealt whole, so a header, its attributes and its chunk share a
+    shard.  Shard 0 also has the group header; diagnostics are listed in the attributes of shards
     of their own numbering, in pieces of the same size, so an object with millions of
     messages is written by many tasks.  All shards of an object read as one manifest.
     """
-    numbered = number_rows(entries, ["object"], [F.col("key")], "_n").withColumn(
-        "shard", F.floor((F.col("_n") - 1) / SHARD_ENTRIES).cast("int")
+    named = entries.withColumn("_array", F.regexp_replace("key", "/[^/]*$", ""))
+    arrays = number_rows(named.select("object", "_array").distinct(), ["object"], [F.col("_array")], "_n").withColumn(
+        "shard", F.floor((F.col("_n") - 1) / max(1, shard_entries // 3)).cast("int")
     )
+    numbered = null_safe_join(named, arrays, ["object", "_array"])
     noted = number_rows(diagnostics, ["object"], [F.col("line")], "_n").withColumn(
-        "shard", F.floor((F.col("_n") - 1) / SHARD_ENTRIES).cast("int")
+        "shard", F.floor((F.col("_n") - 1) / shard_entries).cast("int")
     ).groupBy("object", "shard").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("line", "message"))), lambda x: x["message"]).alias("_notes")
     )
@@ -402,7 +441,9 @@ def manifest_documents(entries: DataFrame, diagnostics: DataFrame) -> DataFrame:
     bodies = numbered.groupBy("object", "shard").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("key", pair.alias("p")))), lambda x: x["p"]).alias("_pairs")
     )
-    both = bodies.join(noted, ["object", "shard"], "full")
+    # also an object or a shard that has diagnostics only
+    parts = bodies.select("object", "shard").union(noted.select("object", "shard")).distinct()
+    both = null_safe_join(null_safe_join(parts, bodies, ["object", "shard"], "left"), noted, ["object", "shard"], "left")
     attrs = F.to_json(F.struct(
         F.lit("GRIB2").alias("source_format"), F.col("object").cast("string").alias("source_uri"),
         F.coalesce("_notes", F.array().cast("array<string>")).alias("diagnostics"),

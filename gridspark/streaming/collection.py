@@ -39,9 +39,11 @@ def catalogue(arrivals: DataFrame) -> tuple[GridSet, DataFrame]:
 def rebuild(arrivals: DataFrame, formulas: list[Derived] | None = None) -> dict[str, DataFrame]:
     """Frames, diagnostics and timeline of the given arrivals, formulas included."""
     gs, labels = catalogue(arrivals)
+    # every formula is bound against what the files hold, so none sees another's result
+    vars_ = gs.vars
     for d in formulas or []:
-        extra = derived_vars(gs, d).withColumn("pos", F.lit(10_000))
-        gs = GridSet(cells=None, vars=gs.vars.unionByName(extra), dims=gs.dims, datasets=gs.datasets)
+        vars_ = vars_.unionByName(derived_vars(gs, d).withColumn("pos", F.lit(10_000)))
+    gs = GridSet(cells=None, vars=vars_, dims=gs.dims, datasets=gs.datasets)
     steps = cut_lineage(frames(gs, labels))
     twice = duplicate_labels(steps).select(
         "variable", "dataset_id",
@@ -79,6 +81,8 @@ def update_collection(formulas: list[Derived] | None, sink: str) -> Callable[[Da
             affected = affected.unionByName(
                 lookup_join(known.filter(F.col("variable").isin(needed)), touched, ["variable"], "left_anti")
             )
+        # a file that failed to load has no variable
+        affected = affected.unionByName(known.filter(F.col("variable").isNull() & (F.col("batch_id") == batch_id)))
         for name, rows in rebuild(cut_lineage(affected.drop("batch_id")), formulas).items():
             rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch_id={batch_id}")
         known.groupBy("dataset_id").agg(F.max(F.col("error").isNotNull()).alias("bad")).agg(
@@ -110,7 +114,11 @@ def latest(spark: SparkSession, sink: str, table: str) -> DataFrame:
     batches = spark.read.schema(f"{ARRIVALS}, batch_id INT").parquet(f"{sink}/arrivals")
     last = batches.groupBy("variable").agg(F.max("batch_id").alias("batch_id"))
     if table == "diagnostics":
-        return lookup_join(rows, last, ["variable", "batch_id"], "left_semi").drop("batch_id")
+        named = lookup_join(rows, last, ["variable", "batch_id"], "left_semi")
+        # a failure to load holds until its dataset arrives again
+        tried = batches.groupBy("dataset_id").agg(F.max("batch_id").alias("batch_id"))
+        failed = lookup_join(rows.filter("variable IS NULL"), tried, ["dataset_id", "batch_id"], "left_semi")
+        return named.unionByName(failed.select(*named.columns)).drop("batch_id")
     newest = rows.groupBy("variable").agg(F.max("batch_id").alias("batch_id"))
     return lookup_join(rows, newest, ["variable", "batch_id"], "left_semi").drop("batch_id")
 

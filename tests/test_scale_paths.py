@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.functions import scalars as S
+from gridspark.operators import binning as B
 from gridspark.operators import distribution as H
 from gridspark.operators import ordered as O
 from gridspark.operators import polygons as Y
@@ -240,3 +242,41 @@ def test_topology(spark):
     assert [r["ring_id"] for r in rows] == ["0/0/0", "0/1/0", "1/0/0"]
     assert pts[0] == [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)] and pts[1] == pts[0][::-1]
     assert pts[2] == [(9, 9), (10, 9), (10, 10), (9, 9)]  # closed
+
+
+@pytest.mark.parametrize("block", [100_000, 2])
+def test_null_groups_survive_every_size(spark, monkeypatch, block):
+    monkeypatch.setattr(O, "BLOCK", block)
+    rows = [(None, 1.0), (None, 2.0), ("a", 5.0), ("a", 5.0), ("b", 7.0), (None, 2.0)]
+    df = spark.createDataFrame([(k, v, "Finite") for k, v in rows], "k STRING, value DOUBLE, validity STRING")
+    got = O.running_sum(df.select("k", "value").distinct(), ["k"], [F.col("value")], "value", "s")
+    assert sorted((r["k"] or "", r["value"], r["s"]) for r in got.collect()) == [("", 1.0, 1.0), ("", 2.0, 3.0), ("a", 5.0, 5.0), ("b", 7.0, 7.0)]
+    steps = H.cdf(df, ["k"])
+    assert sorted((r["k"] or "", r["value"], r["rank"]) for r in steps.collect()) == [
+        ("", 1.0, 1), ("", 2.0, 2), ("", 2.0, 3), ("a", 5.0, 1), ("a", 5.0, 2), ("b", 7.0, 1)
+    ]
+
+
+@pytest.mark.parametrize("limit", [Y.BROADCAST_VERTICES, 0])
+def test_points_without_a_key_are_found(spark, monkeypatch, limit):
+    monkeypatch.setattr(Y, "BROADCAST_VERTICES", limit)
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    rings = spark.createDataFrame([(1, 1, square)], "ring_id INT, polygon_id INT, points ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>")
+    points = spark.createDataFrame([(None, 1.0, 1.0), (None, 9.0, 9.0), (7, 2.0, 2.0), (7, 2.0, 9.0), (8, None, 1.0)], "id INT, lat DOUBLE, lon DOUBLE")
+    got = Y.in_polygons(points, rings, ["id"]).collect()
+    assert sorted((r["id"] or 0, r["lat"] or 0.0, r["lon"], r["inside"]) for r in got) == [
+        (0, 1.0, 1.0, True), (0, 9.0, 9.0, False), (7, 2.0, 2.0, True), (7, 2.0, 9.0, False), (8, 0.0, 1.0, False)
+    ]
+
+
+def test_constant_field_on_a_log_scale(spark):
+    df = spark.createDataFrame([(1, 0.3, "Finite"), (1, 0.3, "Finite")], "k INT, value DOUBLE, validity STRING")
+    assert tuple(B.limits(df, ["k"], "log").first()) == (1, 0.3, 0.3)
+    assert tuple(B.limits(df, ["k"]).first()) == (1, -0.2, 0.8)
+
+
+def test_origin_with_a_zone(spark):
+    units = "hours since 2000-01-01 06:00:00"
+    rows = spark.createDataFrame([(1.0, units), (1.0, units + " +02:00"), (1.0, units + " -1"), (1.0, units + "Z")], "v DOUBLE, u STRING")
+    got = [r[0] for r in rows.select(S.decode_time(F.col("v"), F.col("u"))).collect()]
+    assert [x[11:16] for x in got] == ["07:00", "05:00", "08:00", "07:00"]
