@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, text_of
+from .common import batch_of, chunks, give_back, short_batches, text_of
 
 #: Pieces that a worker keeps encoded before it starts anew.
 CACHE = 400_000
@@ -277,6 +277,9 @@ def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: st
                     "ids": pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids)),
                     "offsets": pa.ListArray.from_arrays(pa.array(last.astype(np.int32)), pa.array(offsets.astype(np.int32))),
                 })
+        give_back()
+
+    short_batches(docs.sparkSession)
 
     out = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
     return out.mapInArrow(run, "id long, ids array<int>, offsets array<int>").withColumnRenamed("id", id_col)

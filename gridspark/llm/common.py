@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,10 @@ from ..operators.joins import scratch_path
 CHUNK_CHARS = 1_000_000
 
 
+#: Rows of a batch of texts on its way to Python; whole texts are long, so batches are short.
+BATCH_ROWS = 1000
+
+
 def read(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,6 +51,36 @@ def fold(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def short_batches(spark) -> None:
+    """Let Arrow batches of the session hold ``BATCH_ROWS`` rows at most: this bounds a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system; workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[list[bytes]]:
+    """Values of a binary column over several batches, in lists of about ``limit`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        for value in b.column(column):
+            held.append(value.as_py())
+            size += len(held[-1])
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of rows whose sizes sum to ``limit`` at most (one row at least)."""
     start = total = 0

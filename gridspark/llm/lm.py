@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, fold, settle, text_of
+from .common import batch_of, chunks, fold, gathered, give_back, settle, short_batches, text_of
 
 ORDER = 2
 #: n-grams that occur less often are not stored (a parameter of the model, the same at every size).
@@ -32,7 +32,7 @@ MIN_COUNT = 2
 PRIOR = 30.0
 BITS, HASHES = 12, 4
 #: Bytes of text whose n-grams are counted together before they are shuffled.
-COUNTED = 8_000_000
+COUNTED, WORDS_COUNTED = 8_000_000, 16_000_000
 #: More bytes than this are not broadcast: a larger ``min_count`` is asked for instead.
 MAX_FILTER_BYTES = 1 << 30
 #: Words that occur in more than 1 / HEAD of all tokens are fewer than HEAD: they are broadcast.
@@ -100,12 +100,14 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, c) of all texts, the end of each text included; each task sums before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for texts in gathered(batches, 0, WORDS_COUNTED):
             counts: Counter = Counter()
-            for t in b.column(0):
-                counts.update(words_of(t.as_py()))
+            for t in texts:
+                counts.update(words_of(t))
             yield batch_of({"word": pa.array(list(counts), pa.binary()), "c": pa.array(list(counts.values()), pa.int64())})
+        give_back()
 
+    short_batches(docs.sparkSession)
     words = docs.select(text_of(text_col).cast("binary").alias("t")).mapInArrow(run, "word binary, c long")
     return words.groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -146,15 +148,14 @@ def gram_counts(docs: DataFrame, bits: int, order: int = ORDER, text_col: str =
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in chunks([len(t) for t in texts], COUNTED):
-                h, n = _counted(Batch(texts[lo:hi]), order)
-                cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
-                rows = [(p, _pack(h[a:z], n[a:z])) for p, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
-                for at in range(0, len(rows), 256):
-                    some = rows[at : at + 256]
-                    yield batch_of({"part": pa.array([r[0] for r in some], pa.int32()), "blob": pa.array([r[1] for r in some], pa.binary())})
+        for texts in gathered(batches, 0, COUNTED):
+            h, n = _counted(Batch(texts), order)
+            cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+            rows = [(p, _pack(h[a:z], n[a:z])) for p, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
+            for at in range(0, len(rows), 256):
+                some = rows[at : at + 256]
+                yield batch_of({"part": pa.array([r[0] for r in some], pa.int32()), "blob": pa.array([r[1] for r in some], pa.binary())})
+        give_back()
 
     return docs.select(text_of(text_col).cast("binary").alias("t")).mapInArrow(run, "part int, blob binary")
 
@@ -187,6 +188,7 @@ def build_filter(counted: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
                 for place in _places(h[level >= q], q, np.uint64(size)):
                     on[place.astype(np.int64)] = True
             yield batch_of({"part": pa.array([p], pa.int32()), "filter": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+        give_back()
 
     return counted.repartition("part").mapInArrow(run, "part int, filter binary")
 
@@ -262,6 +264,7 @@ def _score(model, head, tokens: int, kinds: int, order: int):
                     "known": pa.array(np.add.reduceat((each > 0).astype(np.int64), batch.starts)),
                     "tail": pa.ListArray.from_arrays(pa.array(cut), pa.array(tail, pa.binary())),
                 })
+        give_back()
 
     return run
 

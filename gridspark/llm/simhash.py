@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import sized_broadcast
-from .common import batch_of, fresh, settle, text_of
+from .common import batch_of, fresh, give_back, settle, short_batches, text_of
 from .components import components
 
 SHINGLE = 3
@@ -57,6 +57,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield batch_of({"id": b.column(0), "fp": pa.array(fps.view(np.int64))})
+        give_back()
+
+    short_batches(docs.sparkSession)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("t")).mapInArrow(
         run, "id long, fp long"
@@ -146,6 +149,7 @@ def _link_groups(budget: int):
         root = local_roots(len(distinct), ((node[i], node[j]) for i, j in found))
         at = np.flatnonzero(root != np.arange(len(root)))
         yield batch_of({"u": pa.array(distinct[at].view(np.int64)), "v": pa.array(distinct[root[at]].view(np.int64))})
+        give_back()
 
     return run
 

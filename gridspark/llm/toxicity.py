@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fold, settle, text_of
+from .common import chunks, fold, give_back, settle, short_batches, text_of
 
 ORDERS = (3, 4, 5)
 #: 2 ** BITS cells of the feature table: the model and all statistics sent to the driver are that small.
@@ -86,6 +86,7 @@ def count_ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 owner, cell = _present(texts[lo:hi])
                 for c in (0, 1):
                     total[c] += np.bincount(cell[toxic[lo:hi][owner] == c], minlength=1 << BITS).astype(np.int32)
+        give_back()
         at = np.flatnonzero(total.any(axis=0))
         yield pd.DataFrame({"cell": at, "n0": total[0, at], "n1": total[1, at]})
 
@@ -135,6 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = P
     The regression sees at most ``2 * per_class`` rows, as lists of the features they hold; it
     runs in one task.
     """
+    short_batches(docs.sparkSession)
     rows = settle(training_rows(docs, labels, folds, per_class), "toxicity-sample")
     share = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     known = labels.filter(F.col("toxic").isin(0, 1) & (fold("doc_id", folds) != 0))
@@ -158,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = P
                 cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
                 cells = kept.value[2][cell].astype(np.int32)
                 yield pd.DataFrame({"toxic": pdf["toxic"].to_numpy()[lo:hi], "cells": [cells[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]})
+        give_back()
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [(p["toxic"].to_numpy(float), p["cells"]) for p in batches]
@@ -166,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = P
         owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
         w, b = _fit(owner, np.concatenate(cells).astype(np.int64) if len(owner) else owner, y, kept.value[1])
         yield pd.DataFrame({"w": [w], "b": [b]})
+        give_back()
 
     held = rows.mapInPandas(find, "toxic int, cells array<int>").repartition(1)
     fitted = held.mapInPandas(fit, "w array<double>, b double").first()
@@ -180,7 +184,9 @@ def scorer(docs: DataFrame, model: Model):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(1 / (1 + np.exp(-np.clip(shared.value.margins(texts.tolist()), -40, 40))))
+        out = pd.Series(1 / (1 + np.exp(-np.clip(shared.value.margins(texts.tolist()), -40, 40))))
+        give_back()
+        return out
 
     return score
 
