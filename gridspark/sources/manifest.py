@@ -418,7 +418,7 @@ def build_manifest(idx: DataFrame, headers: DataFrame, uri: Column | None = None
     return entries, diagnostics
 
 
-def manifest_documents(entries: DataFrame, diagnostics: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def manifest_documents(entries: DataFrame, diagnostics: DataFrame, shard_entries: int | None = None) -> DataFrame:
     """Manifest documents of about ``shard_entries`` entries: object, shard, text.
 
     Arrays are numbered and dealt whole, so a header, its attributes and its chunk share a
@@ -426,6 +426,7 @@ def manifest_documents(entries: DataFrame, diagnostics: DataFrame, shard_entries
     of their own numbering, in pieces of the same size, so an object with millions of
     messages is written by many tasks.  All shards of an object read as one manifest.
     """
+    shard_entries = shard_entries or SHARD_ENTRIES
     named = entries.withColumn("_array", F.regexp_replace("key", "/[^/]*$", ""))
     arrays = number_rows(named.select("object", "_array").distinct(), ["object"], [F.col("_array")], "_n").withColumn(
         "shard", F.floor((F.col("_n") - 1) / max(1, shard_entries // 3)).cast("int")

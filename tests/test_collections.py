@@ -292,7 +292,11 @@ def test_written_manifest_documents(spark, monkeypatch, scratch):
     assert entries.count() == 12 and [r["line"] for r in notes.orderBy("line").collect()] == [3, 4]
     M.write_manifests(M.manifest_documents(entries, notes), scratch + "/out")
     docs = [json.loads(r["value"]) for r in spark.read.text(scratch + "/out/*/*", wholetext=True).collect()]
-    assert len(docs) == 3 and all(d["version"] == 1 for d in docs)
+    # four entries hold one whole message
+    assert len(docs) == 4 and all(d["version"] == 1 for d in docs)
+    for d in docs:
+        names = {k.split("/")[0] for k in d["refs"] if "/" in k}
+        assert all({f"{n}/.zarray", f"{n}/.zattrs", f"{n}/0"} <= set(d["refs"]) for n in names)
     assert sum(len(d["refs"][".zattrs"]["diagnostics"]) for d in docs) == 2
     refs = {k: v for d in docs for k, v in d["refs"].items()}
     assert refs["grib2_message_0002_submessage_0001/0"] == ["o", 10, 10]
