@@ -29,12 +29,12 @@ def _(spark, sf):
 @query(
     "c2_valid_range",
     f"""SELECT {KEY}, raw, raw AS value, CASE WHEN raw < 5 OR raw > 45 THEN 'InvalidRange' ELSE 'Finite' END AS validity
-        FROM cells WHERE variable = 'qty'""",
+        FROM cells""",
     ("cells",),
 )
 def _(spark, sf):
     attrs = V.attrs(spark, sf).select("dataset_id", "variable").withColumn("valid_range", F.array(F.lit(5.0), F.lit(45.0)))
-    return D.decode(V.cells(spark, sf).filter("variable = 'qty'"), attrs)
+    return D.decode(V.cells(spark, sf), attrs)
 
 
 @query(
@@ -49,16 +49,16 @@ def _(spark, sf):
 
 @query(
     "c4_decode_grib",
-    f"""SELECT {KEY}, CASE WHEN raw = 50 THEN CAST('nan' AS DOUBLE) WHEN raw = 1 THEN CAST('inf' AS DOUBLE) ELSE raw END AS raw,
-        CASE WHEN raw = 50 THEN 'Missing' WHEN raw = 1 THEN 'PosInf' ELSE 'Finite' END AS validity FROM cells WHERE variable = 'qty'""",
+    f"""SELECT {KEY}, raw, raw AS value, CASE WHEN isnan(raw) THEN 'Missing' WHEN isinf(raw) THEN 'PosInf' ELSE 'Finite' END AS validity
+        FROM (SELECT {KEY}, CASE WHEN raw = 50 THEN CAST('nan' AS DOUBLE) WHEN raw = 1 THEN CAST('inf' AS DOUBLE) ELSE raw END AS raw FROM cells)""",
     ("cells",),
 )
 def _(spark, sf):
     raw = F.col("raw")
-    cells = V.cells(spark, sf).filter("variable = 'qty'").withColumn(
+    cells = V.cells(spark, sf).withColumn(
         "raw", F.when(raw == 50, float("nan")).when(raw == 1, float("inf")).otherwise(raw)
     )
-    return D.decode(cells, V.attrs(spark, sf).select("dataset_id", "variable"), "grib").drop("value")
+    return D.decode(cells, V.attrs(spark, sf).select("dataset_id", "variable"), "grib")
 
 
 @query("c5_finite_value", f"SELECT {KEY}, CASE WHEN validity='Finite' THEN value END AS v FROM decoded", ("decoded",))
@@ -70,11 +70,11 @@ def _(spark, sf):
 @query(
     "c6_mask_range",
     f"""SELECT {KEY}, value, validity, validity='Finite' AND (value < 15 OR value > 30) AS filtered
-        FROM decoded WHERE variable='qty'""",
+        FROM decoded""",
     ("decoded",),
 )
 def _(spark, sf):
-    return D.mask_range(V.decoded(spark, sf).filter("variable='qty'"), 15.0, 30.0).drop("raw")
+    return D.mask_range(V.decoded(spark, sf), 15.0, 30.0).drop("raw")
 
 
 @query(
@@ -216,13 +216,15 @@ def _(spark, sf):
           CASE WHEN v-20e0 < 0 THEN CAST('nan' AS DOUBLE) WHEN v-20e0 = 0 THEN CAST('-inf' AS DOUBLE) ELSE round(ln(v-20e0), 9) END AS log_v,
           CASE WHEN v-20e0 < 0 THEN CAST('nan' AS DOUBLE) WHEN v-20e0 = 0 THEN CAST('-inf' AS DOUBLE) ELSE round(log10(v-20e0), 9) END AS log10_v,
           CASE WHEN v-20e0 < 0 THEN CAST('nan' AS DOUBLE) ELSE round(sqrt(v-20e0), 9) END AS sqrt_v,
-          round(sin(v), 9) AS sin_v, round(cos(v), 9) AS cos_v, round(tan(v), 6) AS tan_v, round(exp(v/10e0), 9) AS exp_v, abs(v-20e0) AS abs_v
-        FROM fin WHERE variable = 'qty'""",
+          round(sin(v), 9) AS sin_v, round(cos(v), 9) AS cos_v, round(tan(v), 6) AS tan_v, round(exp(v/100e0), 9) AS exp_v, abs(v-20e0) AS abs_v
+        FROM (SELECT {KEY}, v / CASE WHEN variable = 'price' THEN 1000e0 ELSE 1e0 END AS v FROM fin)""",
     ("fin",),
 )
 def _(spark, sf):
     v = F.col("v")
-    df = V.decoded(spark, sf).filter("variable = 'qty' AND validity = 'Finite'").withColumn("v", F.col("value"))
+    # prices are scaled down, so that exp stays in range
+    scale = F.when(F.col("variable") == "price", 1000.0).otherwise(1.0)
+    df = V.decoded(spark, sf).filter("validity = 'Finite'").withColumn("v", F.col("value") / scale)
 
     def r9(x):
         return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.round(x, 9))
@@ -231,7 +233,7 @@ def _(spark, sf):
         *[F.col(k.strip()) for k in KEY.split(",")],
         r9(ieee_log(v - 20.0)).alias("log_v"), r9(ieee_log10(v - 20.0)).alias("log10_v"), r9(F.sqrt(v - 20.0)).alias("sqrt_v"),
         F.round(F.sin(v), 9).alias("sin_v"), F.round(F.cos(v), 9).alias("cos_v"), F.round(F.tan(v), 6).alias("tan_v"),
-        F.round(F.exp(v / 10.0), 9).alias("exp_v"), F.abs(v - 20.0).alias("abs_v"),
+        F.round(F.exp(v / 100.0), 9).alias("exp_v"), F.abs(v - 20.0).alias("abs_v"),
     )
 
 
@@ -239,12 +241,12 @@ def _(spark, sf):
     "c19_reclassify",
     f"""SELECT {KEY}, CASE WHEN validity <> 'Finite' OR value < 15 THEN CAST('nan' AS DOUBLE) WHEN value > 30 THEN CAST('inf' AS DOUBLE) ELSE value END AS value,
         CASE WHEN validity <> 'Finite' THEN 'Missing' WHEN value < 15 THEN 'NaN' WHEN value > 30 THEN 'PosInf' ELSE 'Finite' END AS validity
-        FROM decoded WHERE variable='qty'""",
+        FROM decoded""",
     ("decoded",),
 )
 def _(spark, sf):
     v = D.visible_value()
-    df = V.decoded(spark, sf).filter("variable='qty'").withColumn(
+    df = V.decoded(spark, sf).withColumn(
         "result", F.when(v < 15, float("nan")).when(v > 30, float("inf")).otherwise(v)
     )
     return D.reclassify(df).drop("raw")
@@ -546,13 +548,13 @@ def _(spark, sf):
 
 @query(
     "e11_anomaly",
-    f"""WITH l AS (SELECT {KEY}, CASE WHEN validity='Finite' THEN value END v FROM decoded WHERE variable='qty'),
-        a AS (SELECT {KEY}, v - (sum(v) OVER w)/(count(v) OVER w) x FROM l WINDOW w AS (PARTITION BY dataset_id, z, r, c))
+    f"""WITH l AS (SELECT {KEY}, CASE WHEN validity='Finite' THEN value END v FROM decoded),
+        a AS (SELECT {KEY}, v - (sum(v) OVER w)/(count(v) OVER w) x FROM l WINDOW w AS (PARTITION BY dataset_id, variable, z, r, c))
         SELECT {KEY}, {classified('x')} FROM a""",
     ("decoded",),
 )
 def _(spark, sf):
-    return E.anomaly(V.decoded(spark, sf).filter("variable='qty'"))
+    return E.anomaly(V.decoded(spark, sf))
 
 
 # --- G: statistics and reductions ---------------------------------------------------

@@ -86,15 +86,13 @@ POINTS = [(4, 1), (0, 0), (9, 1)]
 
 
 def _series(spark, sf):
-    cells = V.decoded(spark, sf).filter("variable = 'qty'")
-    return T.time_series(cells, timeline(spark, sf).filter("variable = 'qty'"), POINTS, z=2)
+    return T.time_series(V.decoded(spark, sf), timeline(spark, sf), POINTS, z=2)
 
 
 SERIES_SQL = f"""WITH {TIMELINE_SQL}, pts(point, r, c) AS (VALUES (1,4,1),(2,0,0),(3,9,1)),
     series AS (SELECT l.variable, CAST(p.point AS INT) AS point, CAST(p.r AS INT) AS r, CAST(p.c AS INT) AS c, l.t_global AS x, coalesce({FINV}, {NANQ}) AS y, l.label
        FROM timeline l CROSS JOIN pts p
-       LEFT JOIN decoded d ON d.dataset_id=l.dataset_id AND d.variable=l.variable AND d.t=l.t AND d.z=2 AND d.r=p.r AND d.c=p.c
-       WHERE l.variable='qty')"""
+       LEFT JOIN decoded d ON d.dataset_id=l.dataset_id AND d.variable=l.variable AND d.t=l.t AND d.z=2 AND d.r=p.r AND d.c=p.c)"""
 
 
 @query("g4_time_series", SERIES_SQL + " SELECT * FROM series", ("decoded", "vars", "dims"))
@@ -184,14 +182,12 @@ def _(spark, sf):
          count(CASE WHEN v BETWEEN 15 AND 30 THEN 1 END) AS cells,
          coalesce(bool_or(v NOT BETWEEN 15 AND 30), false) AND count(CASE WHEN v BETWEEN 15 AND 30 THEN 1 END) = 0 AS filtered
        FROM (SELECT d.*, CASE WHEN validity='Finite' THEN value END v, n,
-                    CAST(floor(n * least(least(4e0/10, 1000e0/n), 1e0) + 0.5e0) AS INT) nb FROM decoded d, ncols WHERE variable='qty') GROUP BY ALL""",
+                    CAST(floor(n * least(least(4e0/10, 1000e0/n), 1e0) + 0.5e0) AS INT) nb FROM decoded d, ncols) GROUP BY ALL""",
     ("decoded", "ncols"),
 )
 def _(spark, sf):
     n = V.n_cols(spark, sf).first()[0]
-    return B.bin_grid(
-        V.decoded(spark, sf).filter("variable='qty'"), 10, n, 4, 1000, (15.0, 30.0), lat_ascending=True
-    )
+    return B.bin_grid(V.decoded(spark, sf), 10, n, 4, 1000, (15.0, 30.0), lat_ascending=True)
 
 
 LIMITS = """SELECT dataset_id, variable, z, CASE WHEN hi > lo THEN lo ELSE lo - greatest(abs(lo), 1e0)*0.5e0 END AS lo,
@@ -235,15 +231,15 @@ def _(spark, sf):
 @query(
     "g14_normalise",
     """WITH l AS (SELECT dataset_id, variable, t, z, min(v) lo, max(v) hi FROM fin GROUP BY ALL)
-       SELECT d.dataset_id, d.variable, d.t, d.z, d.r, d.c, lo, hi,
+       SELECT d.dataset_id, d.variable, d.t, d.z, d.r, d.c, value, validity, lo, hi,
          CASE WHEN validity='Finite' THEN CASE WHEN hi > lo THEN least(greatest((value-lo)/(hi-lo), 0e0), 1e0) ELSE 0.5e0 END END AS norm
-       FROM decoded d LEFT JOIN l USING (dataset_id, variable, t, z) WHERE variable='price'""",
+       FROM decoded d LEFT JOIN l USING (dataset_id, variable, t, z)""",
     ("decoded", "fin"),
 )
 def _(spark, sf):
-    df = V.decoded(spark, sf).filter("variable='price'").drop("raw")
+    df = V.decoded(spark, sf).drop("raw")
     by = ["dataset_id", "variable", "t", "z"]
-    return B.normalise(df, B.limits(df, by, pad=False), by).drop("value", "validity")
+    return B.normalise(df, B.limits(df, by, pad=False), by)
 
 
 def palettes(spark, sf):
@@ -266,21 +262,21 @@ LUT = """pal AS (SELECT n_nationkey idx, n_nationkey*41 % 256 red, n_regionkey*5
 @query(
     "g15_colourise",
     f"""WITH {LUT}, l AS (SELECT dataset_id, variable, z, min(v) lo, max(v) hi FROM fin GROUP BY ALL),
-        n AS (SELECT d.dataset_id, d.variable, d.t, d.z, d.r, d.c, {FINV} v,
+        n AS (SELECT d.dataset_id, d.variable, d.t, d.z, d.r, d.c, value, validity, {FINV} v,
            CASE WHEN validity='Finite' THEN CASE WHEN hi > lo THEN least(greatest((value-lo)/(hi-lo), 0e0), 1e0) ELSE 0.5e0 END END AS norm
-           FROM decoded d LEFT JOIN l USING (dataset_id, variable, z) WHERE variable='qty')
-        SELECT dataset_id, variable, t, z, r, c, norm, CAST(round(norm*255e0) AS INT) AS colour,
+           FROM decoded d LEFT JOIN l USING (dataset_id, variable, z))
+        SELECT dataset_id, variable, t, z, r, c, value, validity, norm, CAST(round(norm*255e0) AS INT) AS colour,
           CASE WHEN v > 32 THEN 30 ELSE coalesce(red, 80) END AS red, CASE WHEN v > 32 THEN 30 ELSE coalesce(green, 80) END AS green,
           CASE WHEN v > 32 THEN 46 ELSE coalesce(blue, 80) END AS blue
         FROM n LEFT JOIN lut ON lut.idx = CAST(round(norm*255e0) AS INT)""",
     ("decoded", "fin"),
 )
 def _(spark, sf):
-    df = V.decoded(spark, sf).filter("variable='qty'").drop("raw")
+    df = V.decoded(spark, sf).drop("raw")
     by = ["dataset_id", "variable", "z"]
     return B.colourise(
         df, B.limits(df, by, pad=False), by, palettes(spark, sf), "nations", value_filter=(0.0, 32.0)
-    ).drop("value", "validity")
+    )
 
 
 # --- I: collections -----------------------------------------------------------------

@@ -271,12 +271,12 @@ def _(spark, sf):
 
 @query(
     "a11_write_planes",
-    f"SELECT {KEY}, value, validity FROM decoded WHERE variable = 'qty'",
+    f"SELECT {KEY}, value, validity FROM decoded",
     ("decoded",),
 )
 def _(spark, sf):
     path = scratch_path(spark, "planes")
-    G.write_planes(V.decoded(spark, sf).filter("variable = 'qty'").drop("raw"), path)
+    G.write_planes(V.decoded(spark, sf).drop("raw"), path)
     return spark.read.parquet(path).select("dataset_id", "variable", "t", "z", "r", "c", "value", "validity")
 
 

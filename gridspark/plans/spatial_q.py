@@ -160,16 +160,15 @@ def _(spark, sf):
 
 @query(
     "f9_border_cells",
-    """WITH m AS (SELECT dataset_id, t, r, c, max(raw) > 25 AS land FROM cells WHERE variable='qty' AND z=0 GROUP BY ALL)
-       SELECT * FROM m a WHERE NOT land AND EXISTS (SELECT 1 FROM m b WHERE b.land AND b.dataset_id=a.dataset_id AND b.t=a.t
+    """WITH m AS (SELECT dataset_id, variable, t, z, r, c, raw > CASE WHEN variable = 'qty' THEN 25 ELSE 40000 END AS land FROM cells)
+       SELECT * FROM m a WHERE NOT land AND EXISTS (SELECT 1 FROM m b WHERE b.land AND b.dataset_id=a.dataset_id AND b.variable=a.variable AND b.t=a.t AND b.z=a.z
          AND abs(b.r-a.r) <= 1 AND abs(b.c-a.c) <= 1)""",
     ("cells",),
 )
 def _(spark, sf):
-    mask = V.cells(spark, sf).filter("variable='qty' AND z=0").groupBy("dataset_id", "t", "r", "c").agg(
-        (F.max("raw") > 25).alias("land")
-    )
-    return Y.border_cells(mask, ["dataset_id", "t"])
+    high = F.col("raw") > F.when(F.col("variable") == "qty", 25).otherwise(40000)
+    mask = V.cells(spark, sf).withColumn("land", high).drop("raw")
+    return Y.border_cells(mask, ["dataset_id", "variable", "t", "z"])
 
 
 @query(
