@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import sized_broadcast
-from .common import batch_of, fresh, give_back, settle, short_batches, text_of
+from .common import batch_of, give_back, settle, short_batches, text_of
 from .components import components
+from .jaccard import near_components
 
 SHINGLE = 3
 BUDGET = 3
@@ -234,19 +235,14 @@ def hex_fingerprint(fp: str = "fp"):
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document per component: the one with the smallest id.
 
-    Repeated rows of that id count as one document (any of them stays); a component whose
-    ids are all null keeps its rows.
+    Links are pairs of a Jaccard similarity of at least 0.8 over five-word shingles (see
+    :mod:`.jaccard`), not fingerprints: pairs of that similarity differ in up to a quarter of
+    64 bits, and with such a budget no run of bits would divide the rows.  Repeated rows of
+    the smallest id count as one document (any of them stays); rows without an id stay.
     """
-    groups = near_groups(docs, id_col, text_col)
-    key = fresh(docs, "_key")
-    # an id that heads a component in one row may be dropped by another row of the same id
-    lost = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
-    heads = groups.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(key)).count()
-    lost = settle(lost.join(heads.select(key), key, "left_anti"), "near-copies")
-    lost = sized_broadcast(lost)
-    out = docs.join(lost, docs[id_col] == lost[key], "left_anti")
-    twice = heads.filter("count > 1").select(key)
-    if twice.isEmpty():
-        return out
-    single = out.join(twice, out[id_col] == twice[key], "left_anti")
-    return single.unionByName(out.join(twice, out[id_col] == twice[key], "left_semi").dropDuplicates([id_col]))
+    rows, roots, row, root = near_components(docs, text_col)
+    ids = settle(rows.select(row, F.col(id_col).alias("_id")).join(roots, row), "near-rows")
+    heads = ids.filter("_id is not null").groupBy(root).agg(F.min(F.struct("_id", row)).alias("head"))
+    lost = ids.filter("_id is not null").join(heads, root).filter(F.col(row) != F.col("head")[row]).select(row)
+    lost = sized_broadcast(settle(lost, "near-copies"))
+    return rows.join(lost, row, "left_anti").drop(row)

@@ -125,3 +125,36 @@ def test_near_drop_keeps_the_smallest_id(make):
     out = simhash.drop_near_copies(make(rows, "doc_id long, text string, u long"))
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3]
     assert out.columns == ["doc_id", "text", "u"]
+
+
+def test_near_drop_finds_all_pairs_of_similarity(make):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(i % 4):  # up to three words changed: from 0.77 to 1
+            words[rng.randrange(len(words))] = f"v{rng.randrange(5000)}"
+        rows.append((2 * i + 1, " ".join(words)))
+
+    def grams(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    want = {d for d, _ in rows}
+    for (_, a), (d, b) in zip(rows[::2], rows[1::2], strict=True):
+        if len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)):
+            want.discard(d)
+    out = simhash.drop_near_copies(make(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.collect()} == want
+
+
+def test_near_drop_of_a_large_group_with_a_chain(make):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 9):  # each step changes four words: neighbours are alike (0.82), the ends are not
+        base = base[:]
+        base[20 * i : 20 * i + 4] = [f"x{i}{j}" for j in range(4)]
+        rows.append((i, " ".join(base)))
+    out = simhash.drop_near_copies(make(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in out.collect()] == [0]
