@@ -64,7 +64,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.digests(chat.format_chats(turns))
+    return chat.digests(chat.format_whole(turns))
 
 
 def _escaped_chars(column: str) -> str:

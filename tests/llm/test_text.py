@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from gridspark.llm import bpe, chat, lm, urls
 
@@ -169,6 +170,24 @@ def test_chats_come_back(make):
     assert chat.digests(chat.format_chats(turns.limit(0))).count() == 0
 
 
+def test_examples_hold_all_of_their_context(make):
+    long = [(9, i, "assistant" if i % 3 == 0 else "user", f"turn {i} <s>") for i in range(150)] + [(9, None, "user", "first"), (9, 150, "user", "end")]
+    long += [(None, i, "assistant", f"n{i}") for i in (3, 70, 200)]
+    examples = chat.format_whole(make(long, "conv_id long, turn long, role string, text string"))
+    rows = examples.withColumn("back", chat.read_turns(F.col("formatted"))).withColumn("said", chat.reply()).collect()
+    for conv in (9, None):
+        mine = sorted((c for c in long if c[0] == conv), key=lambda c: (c[1] is not None, c[1] or 0))
+        got = {r["example"]: r for r in rows if r["conv_id"] == conv}
+        assert set(got) == {i + 1 for i, c in enumerate(mine) if c[2] == "assistant" or i == len(mine) - 1}
+        for n, r in got.items():
+            assert [tuple(t) for t in r["back"]] == [c[2:] for c in mine[:n]]
+            assert r["said"] == (mine[n - 1][3] if mine[n - 1][2] == "assistant" else "")
+            assert r["closes"] == (n == len(mine))
+    chars = {r["conv_id"]: r["formatted_chars"] for r in chat.digests(examples).collect()}
+    assert chars == {c: sum(len(r["formatted"]) for r in rows if r["conv_id"] == c) for c in (9, None)}
+
+
+
 # -- URLs -------------------------------------------------------------------------------------
 
 
