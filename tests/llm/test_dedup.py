@@ -158,3 +158,10 @@ def test_near_drop_of_a_large_group_with_a_chain(make):
         rows.append((i, " ".join(base)))
     out = simhash.drop_near_copies(make(rows, "doc_id long, text string"))
     assert [r["doc_id"] for r in out.collect()] == [0]
+
+
+def test_near_drop_keeps_clean_texts_of_a_repeated_id(make):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more")]
+    out = simhash.drop_near_copies(make(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, one), (1, two)]
