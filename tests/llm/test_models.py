@@ -212,6 +212,17 @@ def test_spans_hold_whole_values():
     assert secrets.spans("Read the docs. The end." * 20) == []
 
 
+def test_values_without_a_digit_are_judged(make):
+    secret = ["password=CorrectHorseBattery", "secret: hGfTkQzWpLmXcVbN", "token = 'qWxZvKjRtYpLmNbVcXsD'", "ghp_aBkZxLqPwErTyUiOpQxVbNmCdFgHjKlQ"]
+    public = ["thequickbrownfoxjumpsoverthelazydog", "/quick/brown/fox/jumps/over/forest", "password required", "the-quick-brown-fox-jumps-over"]
+    for s in secret + public[:2]:
+        assert len(secrets.spans(PROSE + s + " " + PROSE)) == 1, s
+    docs = make([(i, PROSE + s + " " + PROSE) for i, s in enumerate(secret + public)], "doc_id long, text string")
+    caught = {r["doc_id"] for r in secrets.scan(docs).collect() if r["is_secret"]}
+    assert set(range(len(secret))) <= caught
+    assert len(caught) <= len(secret) + 1
+
+
 # -- the pipeline -----------------------------------------------------------------------------
 
 
