@@ -27,13 +27,13 @@ from .common import batch_of, chunks, fold, gathered, give_back, settle, short_b
 
 ORDER = 2
 #: n-grams that occur less often are not stored (a parameter of the model, the same at every size).
-MIN_COUNT = 2
+MIN_COUNT = 1
 #: Weight of the shorter n-gram's probability, in counts.
 PRIOR = 30.0
 BITS, HASHES = 12, 4
 #: Bytes of text whose n-grams are counted together before they are shuffled.
 COUNTED, WORDS_COUNTED = 8_000_000, 16_000_000
-#: More bytes than this are not broadcast: a larger ``min_count`` is asked for instead.
+#: No more bytes than this are broadcast at once: a larger filter is probed in several passes over the texts.
 MAX_FILTER_BYTES = 1 << 30
 #: Words that occur in more than 1 / HEAD of all tokens are fewer than HEAD: they are broadcast.
 HEAD = 1 << 21
@@ -203,8 +203,8 @@ class Filter:
         self.at = np.concatenate(([0], np.cumsum(self.size)))[:n].astype(np.uint64)
         self.data = np.frombuffer(b"".join(parts.get(p, b"") for p in range(n)) + b"\0", np.uint8)
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        """Estimated count of each hash: probes of level 1, 2, ... up to the first miss."""
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Level of each hash: probes of level 1, 2, ... up to the first miss."""
         level = np.zeros(len(h), np.int64)
         part = (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
         live = np.flatnonzero(self.size[part] > 0)
@@ -219,21 +219,35 @@ class Filter:
             q += 1
             if q > 62:
                 break
-        return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
+        return level
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Estimated count of each hash."""
+        return count_of(self.levels(h))
+
+
+def count_of(level: np.ndarray) -> np.ndarray:
+    level = level.astype(np.int64)
+    return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
+
 
+def token_levels(batch: Batch, model: Filter, order: int = ORDER) -> np.ndarray:
+    """Levels of the 1- to ``order``-grams that end at each token, and below them that of the start mark."""
+    rows = [model.levels(batch.hashes)[batch.ids], *map(model.levels, batch.grams(order)[1:])]
+    rows.append(np.full(len(batch.ids), model.levels(np.array([_START]))[0]))
+    return np.array(rows, np.uint8)
 
-def log10_probabilities(batch: Batch, model: Filter, tokens: int, kinds: int, order: int = ORDER, prior: float = PRIOR) -> np.ndarray:
-    """log10 p of each token, from membership probes alone."""
+
+def log10_probabilities(batch: Batch, levels: np.ndarray, tokens: int, kinds: int, prior: float = PRIOR) -> np.ndarray:
+    """log10 p of each token, from its ``token_levels`` alone."""
     if not len(batch.ids):
         return np.zeros(0)
-    single = model.counts(batch.hashes)
-    p = ((single + 0.1) / (tokens + 0.1 * (kinds + 1)))[batch.ids]
-    grams = batch.grams(order)
-    seen = single[batch.ids]
-    for g in grams[1:]:
+    seen, *longer, start = map(count_of, levels)
+    p = (seen + 0.1) / (tokens + 0.1 * (kinds + 1))
+    for found in longer:
         context = batch.context(seen)
-        context[batch.starts] = model.counts(np.array([_START]))[0]
-        now = np.minimum(model.counts(g), context)
+        context[batch.starts] = start[0]
+        now = np.minimum(found, context)
         p = (now + prior * p) / (context + prior)
         seen = now
     return np.log10(p)
@@ -241,16 +255,46 @@ def log10_probabilities(batch: Batch, model: Filter, tokens: int, kinds: int, or
 
 # -- scoring ----------------------------------------------------------------------------------
 
+def _edges(batch: Batch) -> Iterator[tuple[int, int]]:
+    return zip(batch.starts.tolist(), (batch.starts + batch.sizes).tolist(), strict=True)
+
+
+def _probe(model, order: int):
+    """One pass: the levels that the parts of ``model`` give, joined to those of the passes before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = Filter(*model.value)
+        for b in batches:
+            texts, before = b.column(2).to_pylist(), b.column(3).to_pylist()
+            for lo, hi in chunks([len(t) for t in texts]):
+                batch = Batch(texts[lo:hi])
+                levels = token_levels(batch, probes, order)
+                out = []
+                for (a, z), old in zip(_edges(batch), before[lo:hi], strict=True):
+                    own = np.ascontiguousarray(levels[:, a:z])
+                    out.append((own if old is None else np.maximum(own, np.frombuffer(old, np.uint8).reshape(own.shape))).tobytes())
+                yield batch_of({**{n: b.column(i).slice(lo, hi - lo) for i, n in enumerate(("id", "held_out", "t"))}, "levels": pa.array(out, pa.binary())})
+        give_back()
+
+    return run
+
+
 def _score(model, head, tokens: int, kinds: int, order: int):
+    """Scores; without a ``model`` the levels of the passes are in the fourth column."""
     base_total = tokens + 0.1 * (kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes, known = Filter(*model.value), head.value
+        probes, known = model and Filter(*model.value), head.value
         for b in batches:
             texts = b.column(2).to_pylist()
+            levels = None if probes else b.column(3).to_pylist()
             for lo, hi in chunks([len(t) for t in texts]):
                 batch = Batch(texts[lo:hi])
-                logs = log10_probabilities(batch, probes, tokens, kinds, order)
+                if probes:
+                    found = token_levels(batch, probes, order)
+                else:
+                    found = np.concatenate([np.frombuffer(x, np.uint8).reshape(order + 1, -1) for x in levels[lo:hi]], axis=1)
+                logs = log10_probabilities(batch, found, tokens, kinds)
                 exact = np.array([known.get(w, -1) for w in batch.words], np.int64)
                 each = exact[batch.ids]
                 rare = each < 0
@@ -269,6 +313,12 @@ def _score(model, head, tokens: int, kinds: int, order: int):
     return run
 
 
+def _runs(parts: DataFrame, most: int) -> list[tuple[int, int]]:
+    """(first, last) parts of each pass: runs of ``most`` bytes at most (one part at least)."""
+    sizes = sorted(tuple(r) for r in parts.select("part", F.octet_length("filter")).collect())
+    return [(sizes[a][0], sizes[z - 1][0]) for a, z in chunks([n for _, n in sizes], most)] or [(0, 0)]
+
+
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT,
     head: int = HEAD, folds: int = 10, max_filter_bytes: int = MAX_FILTER_BYTES,
@@ -287,14 +337,23 @@ def score_texts(
     known = spark.sparkContext.broadcast(frequent(counts, tokens, head))
     bits = max(4, (tokens >> 18).bit_length())
     parts = settle(build_filter(gram_counts(train, bits, order, text_col), min_count), "bloom-filter")
-    size = parts.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0]
-    if size > max_filter_bytes:
-        raise ValueError(f"the filter has {size} bytes, {max_filter_bytes} may be broadcast: raise min_count")
-    rows = parts.toArrow()
-    model = spark.sparkContext.broadcast((bits, dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))))
-    scored = docs.select(
+    texts = docs.select(
         F.col(id_col).cast("long").alias("id"), (fold(id_col, folds) == 0).alias("held_out"), text_of(text_col).cast("binary").alias("t")
-    ).mapInArrow(
+    )
+    runs = _runs(parts, max_filter_bytes)
+
+    def sent(first: int, last: int):
+        rows = parts.filter(F.col("part").between(first, last)).toArrow()
+        return spark.sparkContext.broadcast((bits, dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))))
+
+    model = sent(*runs[0]) if len(runs) == 1 else None
+    if model is None:
+        texts = texts.withColumn("levels", F.lit(None).cast("binary"))
+        for first, last in runs:
+            some = sent(first, last)
+            texts = settle(texts.mapInArrow(_probe(some, order), "id long, held_out boolean, t binary, levels binary"), "lm-levels")
+            some.unpersist()
+    scored = texts.mapInArrow(
         _score(model, known, tokens, kinds, order),
         "id long, held_out boolean, n_tokens long, score double, base double, known long, tail array<binary>",
     )

@@ -138,6 +138,20 @@ def test_no_rows_to_learn_from(make):
     assert lm.score_texts(make([], "doc_id long, text string")).count() == 0
 
 
+def test_words_seen_once_are_known_and_a_large_filter_takes_passes(make):
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    new = next(d for d in range(1000, 1100) if held(d)), next(d for d in range(1100, 1200) if held(d))
+    rng = random.Random(6)
+    rows = [(d, " ".join(f"w{rng.randrange(3000)}" for _ in range(60)) + f" once{d}") for d in range(300)]
+    seen = next(d for d in range(300) if not held(d))
+    rows += [(new[0], f"once{seen}"), (new[1], "neverseen")]
+    docs = make(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["score"] for r in lm.score_texts(docs).collect()}
+    assert want[new[0]] > want[new[1]] + 0.8  # 1.1 against 0.1, but for the other terms
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, max_filter_bytes=6000).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
 # -- chats ------------------------------------------------------------------------------------
 
 CHATS = [
