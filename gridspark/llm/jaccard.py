@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, fresh, give_back, settle, short_batches, text_of
@@ -78,11 +78,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     ).select("u", "v")
 
 
-def near_rows(docs: DataFrame, row_col: str, text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+def near_rows(
+    docs: DataFrame, row_col: str, text_col: str = "text", similar: float = SIMILAR, known: DataFrame | None = None
+) -> DataFrame:
     """(node, root): each row number that is linked to a smaller one, and the smallest of its component.
 
     ``row_col`` numbers the rows of ``docs``, which must be written (its numbers fixed).  Null
-    text is empty.  Rows without a link are not returned.
+    text is empty.  Rows without a link are not returned.  ``known(u, v)`` are further links.
     """
     short_batches(docs.sparkSession)
     texts = docs.select(F.col(row_col).alias("row"), text_of(text_col).cast("binary").alias("t"))
@@ -92,7 +94,8 @@ def near_rows(docs: DataFrame, row_col: str, text_col: str = "text", similar: fl
     sets = texts.join(bands.select("row").distinct(), "row", "left_semi").mapInArrow(_sets, "row long, s array<long>")
     sets = settle(sets, "shingle-sets")
     firsts = settle(bands.filter("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v")).distinct(), "first-pairs")
-    links = settle(_confirmed(firsts, sets, similar), "near-links")
+    links = _confirmed(firsts, sets, similar)
+    links = settle(links if known is None else links.unionByName(known), "near-links")
     roots = components(links)
     parted = bands.join(roots, bands["row"] == roots["node"], "left").select("key", "row", F.coalesce("root", "row").alias("root"))
     open_ = parted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a < z").select("key")
@@ -104,10 +107,20 @@ def near_rows(docs: DataFrame, row_col: str, text_col: str = "text", similar: fl
     return roots if more.isEmpty() else components(links.unionByName(more))
 
 
-def near_components(docs: DataFrame, text_col: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame, str, str]:
-    """(rows, roots, row column, root column): ``docs`` written with its rows numbered, and (row, root) of all linked rows, the root's own included."""
+def near_components(
+    docs: DataFrame, text_col: str = "text", similar: float = SIMILAR, key: Column | None = None
+) -> tuple[DataFrame, DataFrame, str, str]:
+    """(rows, roots, row column, root column): ``docs`` written with its rows numbered, and (row, root) of all linked rows, the root's own included.
+
+    Rows of an equal ``key`` that is not null are linked, too.
+    """
     row, root = fresh(docs, "_row"), fresh(docs, "_root")
     rows = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-rows")
-    roots = near_rows(rows, row, text_col, similar)
+    known = None
+    if key is not None:
+        keys = settle(rows.select(F.col(row).alias("v"), key.alias("key")).filter("key is not null"), "row-keys")
+        same = keys.groupBy("key").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        known = keys.join(same, "key").filter("u <> v").select("u", "v")
+    roots = near_rows(rows, row, text_col, similar, known)
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     return rows, settle(roots.select(F.col("node").alias(row), F.col("root").alias(root)), "near-roots"), row, root

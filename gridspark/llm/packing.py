@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, text_of
+from .jaccard import near_components
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -94,7 +95,11 @@ def pack_block(sizes, sources, clusters, capacity: int) -> list[tuple[int, int]]
 
 def cluster_key(text_col: str = "text"):
     """Names texts that are the same but for case, digits, punctuation and white space."""
-    return F.xxhash64(F.regexp_replace(F.lower(text_of(text_col)), r"[^\p{L}]+", " "))
+    return F.xxhash64(_letters(text_col))
+
+
+def _letters(text_col: str):
+    return F.regexp_replace(F.lower(text_of(text_col)), r"[^\p{L}]+", " ")
 
 
 def tokens(text_col: str = "text"):
@@ -104,20 +109,31 @@ def tokens(text_col: str = "text"):
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    capacity: int = CAPACITY, block: int = BLOCK,
+    capacity: int = CAPACITY, block: int = BLOCK, near: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, bin_id, offset): where each piece of each row lies.
 
     A document of more than ``capacity`` tokens is cut into full pieces, which fill bins of
     their own, and a rest; ``start`` is the piece's first token in its document.  An empty or
-    null text has one token.  Rows that repeat an id are packed each for itself; being of one
+    null text has one token.  A cluster holds the texts of one ``cluster_key``; with ``near`` it is a
+    component of near-duplicates (a Jaccard similarity of at least 0.8 over five-word shingles)
+    and of texts with the same letters, if any.  Rows that repeat an id are packed each for itself; being of one
     cluster they never share a bin.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), cluster_key(text_col).alias("cluster"), tokens(text_col).alias("n")
-    )
     # written once, so that the numbers of its rows are fixed
-    rows = settle(rows, "packing-items").withColumn("row", F.monotonically_increasing_id())
+    if near:
+        alike = F.when(F.trim(_letters("text")) != "", cluster_key())
+        rows, roots, row, root = near_components(
+            docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), key=alike
+        )
+        rows = rows.select(F.col(row).alias("row"), "id", "source", tokens().alias("n"))
+        roots = roots.select(F.col(row).alias("row"), F.col(root).alias("root"))
+        rows = settle(rows.join(roots, "row", "left").withColumn("cluster", F.coalesce("root", "row")).drop("root"), "packing-items")
+    else:
+        rows = docs.select(
+            F.col(id_col).alias("id"), F.col(source_col).alias("source"), cluster_key(text_col).alias("cluster"), tokens(text_col).alias("n")
+        )
+        rows = settle(rows, "packing-items").withColumn("row", F.monotonically_increasing_id())
     count = rows.count()
     blocks = -(-count // block) or 1
     full = F.floor(F.col("n") / capacity).cast("int")

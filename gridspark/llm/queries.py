@@ -56,7 +56,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    return packing.pack(read(spark, sf_dir, "documents"), near=True)
 
 
 @query

@@ -116,6 +116,16 @@ def test_pack_rows(make):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_near_copies_share_no_bin(make):
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(90)]
+    texts = [" ".join([*words[:40], f"changed{c}", *words[41:]]) for c in "abcdef"]
+    texts += [f"{i} {i + 1}" for i in range(100, 106)]  # no letters, and nothing in common
+    out = packing.pack(make([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string"), capacity=2000, near=True)
+    bins = {r["doc_id"]: r["bin_id"] for r in out.collect()}
+    assert len({bins[i] for i in range(6)}) == 6
+    assert len({bins[i] for i in range(6, 12)}) == 1
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 
 
