@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +96,35 @@ def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
 
 def batch_of(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+_SCAN_NODES = {"Project", "SubqueryAlias", "LogicalRelation", "Filter"}
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Is ``docs`` a file scan (columns chosen and rows filtered at most), whose files name each row?"""
+    plan = getattr(docs, "_jdf", None)
+    if plan is None or "_metadata" in docs.columns:
+        return False
+    todo = [plan.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in _SCAN_NODES or not node.deterministic():
+            return False
+        kids = node.children()
+        todo.extend(kids.apply(i) for i in range(kids.size()))
+    return True
+
+
+def with_row_key(docs: DataFrame, file_col: str, at_col: str) -> DataFrame:
+    """``docs`` with two longs that name each row, the same however often the rows are read.
+
+    A row of a file scan is named by its file and its place in it; other inputs are written first.
+    """
+    if _plain_scan(docs):
+        try:
+            named = docs.withColumns({file_col: F.xxhash64("_metadata.file_path"), at_col: F.col("_metadata.row_index")})
+            return named if named.schema else docs
+        except AnalysisException:
+            pass  # a format without row numbers
+    return settle(docs.withColumns({file_col: F.lit(0).cast("long"), at_col: F.monotonically_increasing_id()}), "numbered-rows")

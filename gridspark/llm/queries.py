@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, lm, packing, secrets, simhash, topk, toxicity, urls
+from . import bpe, chat, exact, lm, merkle, packing, runs, secrets, simhash, substrings, topk, toxicity, urls
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,87 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY t)
 """
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(read(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+ORACLES["op11_substring_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, unnest(range(1, len(w) - 18)) AS s,
+           unnest(list_transform(range(1, len(w) - 18), lambda s: array_to_string(w[s:s + 19], ' '))) AS words FROM t),
+again AS (SELECT * FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM again),
+kept AS (
+    SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.i) AS text, count(*) AS n
+    FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t) a ANTI JOIN gone g ON g.doc_id = a.doc_id AND g.i = a.i
+    GROUP BY a.doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), tampered=merkle.tamper()).drop("proof")
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text: bit by bit, from the reflected polynomial."""
+    bits = f"flatten(list_transform(range(1, strlen({text}) + 1), lambda i: list_transform(range(0, 8), lambda b: (ascii({text}[i]) >> b) & 1)))"
+    step = "lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || CAST({bits} AS BIGINT[]), {step}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    parts = [*(f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")), text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
+def _climbed(tree: str, leaves: str) -> str:
+    """SQL of all nodes (g, level, i, d, n) of the trees over ``leaves(g, i, d, n)``."""
+    return f"""{tree} AS (
+    SELECT g, 0 AS level, i, d, n FROM {leaves}
+    UNION ALL SELECT g, level + 1, i // 8, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 7) // 8 FROM {tree} WHERE n > 1 GROUP BY g, level, i // 8)"""
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, coalesce(':' || lang, '-') AS g, {_leaf("text")} AS leaf,
+           CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+                ELSE {_leaf("text")} END AS found
+    FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM docs),
+leaves AS (SELECT g, i, leaf AS d, n FROM placed),
+{_climbed("tree", "leaves")},
+subroots AS (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+tops AS (SELECT '' AS g, i, d, n FROM subroots),
+{_climbed("forest", "tops")},
+root AS (SELECT d FROM forest WHERE n = 1),
+stretch AS (
+    SELECT g, level, i // 8 AS parent, list(d ORDER BY i) AS run FROM tree WHERE n > 1 GROUP BY ALL),
+high AS (SELECT level, i // 8 AS parent, list(d ORDER BY i) AS run FROM forest WHERE n > 1 GROUP BY ALL),
+steps AS (
+    SELECT doc_id, level AS k, CAST(i // CAST(8 ** level AS BIGINT) % 8 AS INT) AS place, run
+    FROM placed p JOIN stretch s ON s.g = p.g AND s.parent = p.i // CAST(8 ** (level + 1) AS BIGINT)
+    UNION ALL
+    SELECT doc_id, 100 + h.level, CAST(r.i // CAST(8 ** h.level AS BIGINT) % 8 AS INT), h.run
+    FROM placed p JOIN subroots r ON r.g = p.g JOIN high h ON h.parent = r.i // CAST(8 ** (h.level + 1) AS BIGINT)),
+path AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS step FROM steps),
+proof AS (SELECT doc_id, string_agg(array_to_string(run[1:place] || run[place + 2:], ''), '' ORDER BY step) AS text FROM path GROUP BY doc_id),
+fold AS (
+    SELECT doc_id, 1 AS step, found AS d FROM placed
+    UNION ALL SELECT f.doc_id, f.step + 1, sha256(array_to_string(run[1:place] || [f.d] || run[place + 2:], ''))
+    FROM fold f JOIN path p ON p.doc_id = f.doc_id AND p.step = f.step),
+folded AS (SELECT doc_id, arg_max(d, step) AS d FROM fold GROUP BY doc_id)
+SELECT p.doc_id, p.leaf, r.d AS subroot, root.d AS root, sha256(coalesce(proof.text, '')) AS proof_sha256, f.d AS folded_root, f.d = root.d AS verified
+FROM placed p JOIN subroots r ON r.g = p.g CROSS JOIN root JOIN folded f ON f.doc_id = p.doc_id LEFT JOIN proof ON proof.doc_id = p.doc_id
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(read(spark, sf_dir, "documents"), plant=True, with_text=False))
