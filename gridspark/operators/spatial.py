@@ -1,20 +1,21 @@
 """Nearest-point joins and regridding.
 
-A nearest join here never compares all pairs.  Space is cut into cells, first coarse
-then finer.  For every query cell only those point cells are kept that can hold one of
-the k nearest points of *some* place in the query cell (lower bound of the distance
-against the best upper bound).  A query cell whose kept cells hold few points is done;
-the others are split again.  The search works on cell counts, and the final join reads a
-short candidate list per query: no explosion of pairs and no aggregation per query.
-Queries that see a dense cluster from afar are searched one by one against ever smaller
-point cells.
+A nearest join here never compares all pairs, and its work follows the queries.  Points are
+counted once in a pyramid of cells, each level twice as wide as the one below.  For the cells that hold queries, and
+for no others, the pyramid tells the finest level at which the cell and its neighbours hold ``k``
+points; two levels up the same place's block surely holds the ``k`` nearest, because its border is farther
+away than any of those points.  The points of that block are the query's short candidate list.
+
+Blocks that hold too many places, e.g. of a query that sees a dense cluster from afar, get no
+list; their queries are searched one by one against ever smaller point cells.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from math import floor, isqrt
+from itertools import product
+from math import ceil, floor, isqrt, log2, pi, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,31 +25,32 @@ from ..functions.ieee import INF, NAN, is_finite
 from ..functions.scalars import norm_lon, to_degrees
 from ..model import FINITE, GridError
 from ..model import NAN as NAN_CLASS
-from .joins import cut_lineage, lookup_join, sized_broadcast
+from .joins import cut_lineage, lookup_join
 
-#: Places a query cell may have as candidates before it is split again (copies of a point are one place).
+#: Places a block may have as candidates; queries of fuller blocks are searched one by one (copies of a point are one place).
+BLOCK_PLACES = 4096
+#: Places that may be left of a query that is searched by itself.
 CANDIDATES = 256
-#: Undecided pairs of cells beyond which the search goes on query by query.
-LIVE_PAIRS = 20_000
 _MAX_ROUNDS = 24
 
 
 @dataclass(frozen=True)
 class Space:
-    """A cubic root cell, the domain of the queries and how cells are split."""
+    """A cubic root cell, the domain of the queries, the area that points lie on and how cells are split in a search."""
 
     dims: int
     origin: float
     size: float
     low: tuple[float, ...]
     high: tuple[float, ...]
+    area: float
     first_split: int
     split: int
 
 
 # Root cells: degrees with room for the copies at +-360, and the unit cube.
-DEGREES = Space(2, -1024.0, 2048.0, (-90.0, -180.0), (90.0, 180.0), 32, 4)
-SPHERE = Space(3, -2.0, 4.0, (-1.0, -1.0, -1.0), (1.0, 1.0, 1.0), 8, 2)
+DEGREES = Space(2, -1024.0, 2048.0, (-90.0, -180.0), (90.0, 180.0), 180.0 * 1080.0, 32, 4)
+SPHERE = Space(3, -2.0, 4.0, (-1.0, -1.0, -1.0), (1.0, 1.0, 1.0), 4 * pi, 8, 2)
 
 
 def _index(x: Column, space: Space, h: float) -> Column:
@@ -59,12 +61,6 @@ def _axes(space: Space, prefix: str) -> list[str]:
     return [f"{prefix}{a}" for a in range(space.dims)]
 
 
-def _gap(q: Column, p: Column, h: float) -> tuple[Column, Column]:
-    """Smallest and largest distance along one axis between two cells of width h."""
-    steps = F.abs(q - p)
-    return F.greatest(steps - 1, F.lit(0)) * h, (steps + 1) * h
-
-
 def _counted(points: DataFrame, space: Space, h: float) -> DataFrame:
     """Non-empty point cells of width h, the points (with copies) and the places they hold."""
     ps = _axes(space, "p")
@@ -96,68 +92,77 @@ def _prune(pairs: DataFrame, by: list[str], near: Column, far: Column, k: int) -
     return kept.withColumn("_done", F.sum("places").over(group) <= CANDIDATES)
 
 
-def candidate_cells(points: DataFrame, space: Space, k: int) -> tuple[list[tuple[float, DataFrame]], DataFrame | None]:
-    """Pairs of query cell and point cell that decide the k nearest points.
+def _depth(places: int, space: Space) -> int:
+    """Levels of a pyramid whose finest cells are a quarter as wide as evenly spread points lie apart."""
+    return max(1, min(40, ceil(log2(space.size / sqrt(space.area / max(places, 1)) * 4))))
 
-    ``points``: x0.., n (multiplicity).  Returns (cell width, pairs) per level, and the
-    undecided pairs of the last level if there are too many to go on cell by cell.
-    """
-    spark = points.sparkSession
-    qs, ps = _axes(space, "q"), _axes(space, "p")
-    h = space.size
-    live = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in (*qs, *ps)])
-    levels = []
-    for turn in range(_MAX_ROUNDS):
-        f = space.first_split if turn == 0 else space.split
-        h = h / f
-        pairs = _children(live, _counted(points, space, h), space, f)
-        for a, q in enumerate(qs):
-            # children of the query cell, limited to the domain of the queries
-            lo, hi = (floor((v - space.origin) / h) for v in (space.low[a] - 1e-9, space.high[a] + 1e-9))
-            first, last = F.greatest(F.col(q) * f, F.lit(lo)), F.least(F.col(q) * f + (f - 1), F.lit(hi))
-            pairs = pairs.filter(first <= last).withColumn(q, F.explode(F.sequence(first, last)))
-        near, far = F.lit(0.0), F.lit(0.0)
-        for q, p in zip(qs, ps):
-            a, b = _gap(F.col(q), F.col(p), h)
-            near, far = near + a * a, far + b * b
-        kept = cut_lineage(_prune(pairs, qs, near, far, k).select(*qs, *ps, "_done"))
-        levels.append((h, kept.filter("_done").drop("_done")))
-        live = kept.filter(~F.col("_done")).drop("_done")
-        undecided = live.limit(LIVE_PAIRS + 1).count()
-        if undecided == 0:
-            return levels, None
-        if undecided > LIVE_PAIRS:
-            break
-    return levels, live
 
+def _levels(cells: DataFrame, names: list[str], depth: int, keep: list[str] | None = None) -> DataFrame:
+    """(level, names, kept columns): each finest cell and all cells above it."""
+    up = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), *[F.shiftright(c, i).alias(c) for c in names]) for i in range(depth + 1)]))
+    return cells.select(up.alias("_up"), *(keep or [])).select("_up.*", *(keep or []))
 
-def _lists(points: DataFrame, pairs: DataFrame, space: Space, h: float, by: list[str], payload: list[str]) -> DataFrame:
-    """Candidate points of each group of cells."""
-    ps = _axes(space, "p")
+
+def _around(cells: DataFrame, names: list[str], to: list[str]) -> DataFrame:
+    """Each cell with itself and its neighbours, as columns ``to``."""
+    steps = F.array(*[F.struct(*[(F.col(c) + d).alias(t) for c, t, d in zip(names, to, shift)]) for shift in product((-1, 0, 1), repeat=len(names))])
+    return cells.withColumn("_near", F.explode(steps)).select(*cells.columns, "_near.*")
+
+
+def homes(asked: DataFrame, points: DataFrame, space: Space, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """(homes, blocks, depth): the block of each finest cell that holds queries.
+
+    ``asked`` has the finest cells q0.. of the queries.  ``homes`` gives their ``level`` and, as
+    h0.., the cell at its centre; ``blocks`` lists the non-empty cells p0.. of each block with the ``places`` of the whole block.
+    """
+    qs, ps, hs = _axes(space, "q"), _axes(space, "p"), _axes(space, "h")
+    depth = _depth(points.count(), space)
+    finest = _counted(points, space, space.size / 2**depth)
+    pyramid = _levels(finest, ps, depth, ["n", "places"]).groupBy("level", *ps).agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
+    pyramid = cut_lineage(pyramid)
+    above = _levels(asked, qs, depth)
+    full = _around(above.distinct(), qs, ps).join(pyramid, ["level", *ps]).groupBy("level", *qs).agg(F.sum("n").alias("n"))
+    full = full.filter(F.col("n") >= k).select("level", *qs)
+    own = [F.col(q).alias(f"own_{q}") for q in qs]
+    own_above = _levels(asked.select(*qs, *own), qs, depth, [f"own_{q}" for q in qs])
+    # where fewer than k points exist, all of them are candidates
+    level = F.least(F.coalesce(F.min("fit"), F.lit(depth)) + 2, F.lit(depth))
+    found = own_above.join(full.withColumn("fit", F.col("level")), ["level", *qs], "left").groupBy(*[f"own_{q}" for q in qs]).agg(level.alias("level"))
+    found = found.withColumnsRenamed({f"own_{q}": q for q in qs})
+    found = cut_lineage(found.withColumns({h: F.expr(f"shiftright({q}, level)") for h, q in zip(hs, qs)}))
+    inside = _around(found.select("level", *hs).distinct(), hs, ps).join(pyramid, ["level", *ps])
+    total = inside.groupBy("level", *hs).agg(F.sum("places").alias("total"))
+    blocks = cut_lineage(inside.select("level", *hs, *ps).join(total, ["level", *hs]))
+    return found, blocks, depth
+
+
+def _block_lists(points: DataFrame, blocks: DataFrame, space: Space, depth: int, payload: list[str]) -> DataFrame:
+    """The points of each block (level, h0..)."""
+    ps, hs = _axes(space, "p"), _axes(space, "h")
     xs = [f"x{a}" for a in range(space.dims)]
-    placed = points.select(*xs, "n", *payload, *[_index(F.col(x), space, h).alias(p) for x, p in zip(xs, ps)])
-    return pairs.join(placed, ps).groupBy(*by).agg(F.collect_list(F.struct(*xs, "n", *payload)).alias("_cands"))
+    levels = [r["level"] for r in blocks.select("level").distinct().collect()]  # at most one per level of the pyramid
+    h = space.size / 2**depth
+    fine = points.select(*xs, "n", *payload, *[_index(F.col(x), space, h).alias(p) for x, p in zip(xs, ps)])
+    cells = F.array(*[F.struct(F.lit(i).alias("level"), *[F.shiftright(p, i).alias(p) for p in ps]) for i in levels])
+    placed = fine.withColumn("_cell", F.explode(cells)).select("_cell.*", *xs, "n", *payload)
+    return blocks.join(placed, ["level", *ps]).groupBy("level", *hs).agg(F.collect_list(F.struct(*xs, "n", *payload)).alias("_cands"))
 
 
-def _search_each(queries: DataFrame, points: DataFrame, live: DataFrame, space: Space, h: float, payload: list[str], k: int) -> DataFrame:
-    """Candidates of the queries whose cells stay undecided, query by query.
+def _search_each(queries: DataFrame, points: DataFrame, space: Space, payload: list[str], k: int) -> DataFrame:
+    """Candidates of queries one by one, against point cells that are split from the root on.
 
     Such queries see many points at nearly the same distance, e.g. a dense cluster from
-    afar; splitting their cells would not help.  Only point cells are split, against the
-    exact place of each query, so few cells per query survive a round.
+    afar.  Cells are measured from the exact place of each query, so few cells per query survive a round.
     """
-    qs, ps = _axes(space, "q"), _axes(space, "p")
+    ps = _axes(space, "p")
     xs = [f"x{a}" for a in range(space.dims)]
-    homes = live.select(*qs).distinct()
-    asked = queries
-    for x, q in zip(xs, qs):
-        asked = asked.withColumn(q, _index(F.col(x), space, h))
-    asked = cut_lineage(asked.join(homes, qs, "left_semi").withColumn("_qid", F.monotonically_increasing_id()))
-    front = asked.select("_qid", *xs, *qs).join(live, qs).select("_qid", *xs, *ps)
-    found = []
+    asked = cut_lineage(queries.withColumn("_qid", F.monotonically_increasing_id()))
+    front = asked.select("_qid", *xs, *[F.lit(0).cast("long").alias(p) for p in ps])
+    found, h = [], space.size
     for turn in range(_MAX_ROUNDS):
-        h = h / space.split
-        pairs = _children(front, _counted(points, space, h), space, space.split)
+        f = space.first_split if turn == 0 else space.split
+        h = h / f
+        pairs = _children(front, _counted(points, space, h), space, f)
         near, far = F.lit(0.0), F.lit(0.0)
         for x, p in zip(xs, ps):
             lo = space.origin + F.col(p) * h
@@ -168,46 +173,42 @@ def _search_each(queries: DataFrame, points: DataFrame, live: DataFrame, space:
         kept = cut_lineage(_prune(pairs, ["_qid"], near, far, k).select("_qid", *xs, *ps, "_done"))
         last = turn == _MAX_ROUNDS - 1
         done = kept.select("_qid", *ps) if last else kept.filter("_done").select("_qid", *ps)
-        found.append(_lists(points, done, space, h, ["_qid"], payload))
+        placed = points.select(*xs, "n", *payload, *[_index(F.col(x), space, h).alias(p) for x, p in zip(xs, ps)])
+        found.append(done.join(placed, ps).groupBy("_qid").agg(F.collect_list(F.struct(*xs, "n", *payload)).alias("_cands")))
         front = kept.filter(~F.col("_done")).drop("_done")
         if last or front.isEmpty():
             break
-    lists = reduce(DataFrame.unionByName, found)
-    return asked.drop(*qs).join(lists, "_qid").drop("_qid")
+    return asked.join(reduce(DataFrame.unionByName, found), "_qid").drop("_qid")
 
 
 def with_candidates(queries: DataFrame, points: DataFrame, space: Space, payload: list[str], k: int = 1) -> DataFrame:
-    """Add ``_cands``: the points that can be among the k nearest of each query.
+    """Add ``_cands``: the points that can be among the k nearest of each query (NULL if there are none).
 
     ``queries`` has x0.. (NULL when unusable); ``points`` has x0.., n and ``payload``.
     """
-    qs = _axes(space, "q")
+    qs, hs = _axes(space, "q"), _axes(space, "h")
     xs = [f"x{a}" for a in range(space.dims)]
+    kind = "array<struct<" + ",".join(f"{f.name}: {f.dataType.simpleString()}" for f in points.select(*xs, "n", *payload).schema) + ">>"
+    if points.isEmpty():
+        return queries.withColumn("_cands", F.lit(None).cast(kind))
     usable = F.lit(True)
     for x, low, high in zip(xs, space.low, space.high):
         # the margin admits rounding of unit vectors
         usable = usable & F.coalesce(F.col(x).between(low - 1e-9, high + 1e-9), F.lit(False))
-    if points.isEmpty():
-        shape = _lists(points, points.select(*[F.lit(0).cast("long").alias(p) for p in _axes(space, "p")]), space, 1.0, _axes(space, "p"), payload)
-        return queries.join(shape.select("_cands"), F.lit(False), "left")
-    levels, live = candidate_cells(points, space, k)
-    table = reduce(DataFrame.unionByName, [
-        _lists(points, pairs, space, h, qs, payload).select(F.struct(F.lit(i).alias("level"), *qs).alias("_home"), "_cands")
-        for i, (h, pairs) in enumerate(levels)
-    ])
-    keys = F.array(*[
-        F.struct(F.lit(i).alias("level"), *[_index(F.col(x), space, h).alias(q) for x, q in zip(xs, qs)])
-        for i, (h, _) in enumerate(levels)
-    ])
-    # decided query cells do not overlap, so at most one key of a query finds a list
-    homes = F.when(usable, keys).otherwise(F.array(F.lit(None)))
-    hit = queries.withColumn("_home", F.explode(homes)).join(
-        sized_broadcast(table, 5_000), "_home", "left"
-    ).filter(F.col("_cands").isNotNull() | F.col("_home").isNull()).drop("_home")
-    if live is None:
-        return hit
-    rest = _search_each(queries.filter(usable), points, live, space, levels[-1][0], payload, k)
-    return hit.unionByName(rest)
+    depth = _depth(points.count(), space)
+    h = space.size / 2**depth
+    placed = queries.withColumns({q: F.when(usable, _index(F.col(x), space, h)) for q, x in zip(qs, xs)})
+    found, blocks, _ = homes(placed.filter(usable).select(*qs).distinct(), points, space, k)
+    lists = _block_lists(points, blocks.filter(F.col("total") <= BLOCK_PLACES), space, depth, payload)
+    # lists hang on cells that hold queries; a cell's queries read it together
+    table = found.join(lists, ["level", *hs]).select(*qs, "_cands")
+    crowded = blocks.filter(F.col("total") > BLOCK_PLACES).select("level", *hs).distinct()
+    if crowded.isEmpty():
+        return lookup_join(placed, table, qs, max_rows=5_000).drop(*qs)
+    apart = cut_lineage(found.join(crowded, ["level", *hs], "left_semi").select(*qs))
+    easy = lookup_join(placed.join(apart, qs, "left_anti"), table, qs, max_rows=5_000).drop(*qs)
+    hard = placed.join(apart, qs, "left_semi").drop(*qs)
+    return easy.unionByName(_search_each(hard, points, space, payload, k))
 
 
 def _dist2(c: Column, space: Space) -> Column:

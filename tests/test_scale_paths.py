@@ -122,11 +122,13 @@ def xyz(p):
     return np.column_stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)])
 
 
-@pytest.mark.parametrize("limit,live,rows", [(256, 20_000, 500_000), (64, 20_000, 10), (24, 300, 10)])
-def test_nearest_cell_equals_brute_force(spark, monkeypatch, limit, live, rows):
+@pytest.mark.parametrize("places,limit,rows", [(4096, 256, 5_000), (60, 64, 0), (6, 24, 0)])
+def test_nearest_cell_equals_brute_force(spark, monkeypatch, places, limit, rows):
+    """Lists for all queries, for some, and nearly all queries searched one by one; with and without a broadcast."""
+    monkeypatch.setattr(N, "BLOCK_PLACES", places)
     monkeypatch.setattr(N, "CANDIDATES", limit)
-    monkeypatch.setattr(N, "LIVE_PAIRS", live)
-    monkeypatch.setattr(N, "sized_broadcast", lambda df, n=0: df if rows == 10 else F.broadcast(df))
+    join = N.lookup_join
+    monkeypatch.setattr(N, "lookup_join", lambda a, b, on, how="left", max_rows=0: join(a, b, on, how, rows))
     rng = np.random.default_rng(5)
     src = clustered(rng, 160)
     ask = np.vstack([clustered(rng, 60), [[90.0, 180.0], [-90.0, -180.0], [0.0, 179.99], [5.0, 360.0]]])
@@ -146,6 +148,20 @@ def test_nearest_cell_equals_brute_force(spark, monkeypatch, limit, live, rows):
             assert (r, c) == (best // 16, best % 16)
 
 
+def test_blocks_follow_the_queries(spark):
+    """Of 10,000 points all over the globe, five queries in one corner touch a few cells only."""
+    rng = np.random.default_rng(3)
+    wide = np.column_stack([rng.uniform(-90, 90, 10_000), rng.uniform(-180, 180, 10_000)])
+    points = spark.createDataFrame([(float(a), float(b), 1) for a, b in wide], "x0 DOUBLE, x1 DOUBLE, n BIGINT")
+    depth = N._depth(10_000, N.DEGREES)
+    h = N.DEGREES.size / 2**depth
+    asked = spark.createDataFrame([(int((50.0 + i / 10 + 1024) // h), int((7.0 + 1024) // h)) for i in range(5)], "q0 BIGINT, q1 BIGINT")
+    found, blocks, _ = N.homes(asked.distinct(), points, N.DEGREES, 1)
+    assert found.count() == asked.distinct().count()
+    per_block = blocks.groupBy("level", "h0", "h1").agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("total")).collect()
+    assert len(per_block) <= 5 and all(r["n"] <= 9 and 1 <= r["total"] <= 300 for r in per_block)
+
+
 def test_nearest_tie_takes_the_lowest_cell(spark):
     grid = spark.createDataFrame([(0, 0, 0.0, -1.0), (0, 1, 0.0, 1.0)], "r INT, c INT, lat DOUBLE, lon DOUBLE")
     q = spark.createDataFrame([(0.0, 0.0), (0.0, 180.0)], "lat DOUBLE, lon DOUBLE")
@@ -153,10 +169,10 @@ def test_nearest_tie_takes_the_lowest_cell(spark):
     assert N.nearest_cell(q, grid.filter("r > 5")).filter("src_r IS NULL").count() == 2
 
 
-@pytest.mark.parametrize("limit,live", [(256, 20_000), (48, 4_000)])
-def test_nearest_mesh_and_reach_equal_brute_force(spark, monkeypatch, limit, live):
+@pytest.mark.parametrize("places,limit", [(4096, 256), (40, 48)])
+def test_nearest_mesh_and_reach_equal_brute_force(spark, monkeypatch, places, limit):
+    monkeypatch.setattr(N, "BLOCK_PLACES", places)
     monkeypatch.setattr(N, "CANDIDATES", limit)
-    monkeypatch.setattr(N, "LIVE_PAIRS", live)
     rng = np.random.default_rng(8)
     pts, ask = clustered(rng, 120), clustered(rng, 50)
     mesh = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "dataset_id INT, m INT, lat DOUBLE, lon DOUBLE")
