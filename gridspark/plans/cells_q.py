@@ -589,16 +589,17 @@ for _how in ("mean", "sum", "min", "max"):
 
 @query(
     "g2_time_min_nan_poison",
-    f"""WITH l AS (SELECT {KEY}, CASE WHEN validity='Finite' THEN CASE WHEN value = 20 THEN CAST('nan' AS DOUBLE) ELSE value END END v FROM decoded WHERE variable='qty'),
-        a AS (SELECT dataset_id, z, r, c, CASE WHEN bool_or(isnan(v)) THEN CAST('nan' AS DOUBLE) ELSE min(v) END lo,
+    f"""WITH l AS (SELECT {KEY}, CASE WHEN validity='Finite' THEN CASE WHEN value = 20 OR value % 7 = 3 AND variable = 'price' THEN CAST('nan' AS DOUBLE) ELSE value END END v FROM decoded),
+        a AS (SELECT dataset_id, variable, z, r, c, CASE WHEN bool_or(isnan(v)) THEN CAST('nan' AS DOUBLE) ELSE min(v) END lo,
                      CASE WHEN bool_or(isnan(v)) THEN CAST('nan' AS DOUBLE) ELSE max(v) END hi FROM l GROUP BY ALL)
         SELECT * FROM a""",
     ("decoded",),
 )
 def _(spark, sf):
     v = D.visible_value()
-    df = V.decoded(spark, sf).filter("variable='qty'").withColumn("x", F.when(v == 20, float("nan")).otherwise(v))
-    return df.groupBy("dataset_id", "z", "r", "c").agg(
+    poison = (v == 20) | ((v % 7 == 3) & (F.col("variable") == "price"))
+    df = V.decoded(spark, sf).withColumn("x", F.when(poison, float("nan")).otherwise(v))
+    return df.groupBy("dataset_id", "variable", "z", "r", "c").agg(
         R.reducer("min", F.col("x")).alias("lo"), R.reducer("max", F.col("x")).alias("hi")
     )
 

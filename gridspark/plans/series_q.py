@@ -153,17 +153,16 @@ def _(spark, sf):
 
 @query(
     "g8_vertical_profile",
-    f"""SELECT d.dataset_id, d.variable, 1 AS point, d.t, d.r, d.c, d.z AS idx, 1000e0-100e0*d.z AS level, coalesce({FINV}, {NANQ}) AS value
-        FROM decoded d WHERE variable='price' AND t=3 AND r=5 AND c=1""",
-    ("decoded",),
+    f"""SELECT a.dataset_id, 'price' AS variable, 1 AS point, 3 AS t, 5 AS r, 1 AS c, a.idx, a.coord AS level, coalesce({FINV}, {NANQ}) AS value
+        FROM axes a LEFT JOIN decoded d ON d.dataset_id = a.dataset_id AND variable='price' AND t=3 AND r=5 AND c=1 AND d.z = a.idx WHERE a.dim = 'lev'""",
+    ("decoded", "axes"),
 )
 def _(spark, sf):
     pts = spark.createDataFrame(
         [(d, "price", 1, 3, 5, 1) for d in (1, 2, 3)], "dataset_id INT, variable STRING, point INT, t INT, r INT, c INT"
     )
     axis = V.gridset(spark, sf).axes.filter("dim='lev'")
-    rows = T.profile(V.decoded(spark, sf), pts, axis)
-    return rows.filter(~F.isnan("value"))
+    return T.profile(V.decoded(spark, sf), pts, axis)  # absent levels are gaps, NaN
 
 
 @query(

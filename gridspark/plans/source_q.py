@@ -53,30 +53,32 @@ def _(spark, sf):
 
 # --- manifests: one per dataset, year and block of 24 columns -----------------------
 
-DOCS = """mc AS (SELECT concat('d', dataset_id, '_t', t, '_b', c // 24) AS manifest, z, r, c % 24 AS c, c % 24 // 8 AS cb, CAST(raw AS INT) AS raw FROM cells WHERE variable = 'qty'),
-    ck AS (SELECT manifest, z, cb FROM mc GROUP BY ALL)"""
+DOCS = """mc AS (SELECT concat('d', dataset_id, '_t', t, '_b', c // 24) AS manifest, variable, z, r, c % 24 AS c, c % 24 // 8 AS cb, CAST(raw AS INT) AS raw FROM cells),
+    ck AS (SELECT manifest, variable, z, cb FROM mc GROUP BY ALL)"""
 
 
 def _chunks(spark, sf):
-    """Big-endian 10 x 8 chunks of the ``qty`` cells: manifest, z, cb, body (base64)."""
-    cells = V.cells(spark, sf).filter("variable = 'qty'")
+    """Big-endian 10 x 8 chunks of the cells: manifest, variable, z, cb, body (base64)."""
     name = F.format_string("d%d_t%d_b%d", F.col("dataset_id"), F.col("t"), F.floor(F.col("c") / 24))
-    rows = cells.select(
-        name.alias("manifest"), "z", F.floor(F.col("c") % 24 / 8).cast("int").alias("cb"),
+    rows = V.cells(spark, sf).select(
+        name.alias("manifest"), "variable", "z", F.floor(F.col("c") % 24 / 8).cast("int").alias("cb"),
         (F.col("r") * 8 + F.col("c") % 8).alias("slot"), F.format_string("%08x", F.col("raw").cast("int")).alias("hex"),
     )
     # a chunk has 80 slots; an absent cell is -1
-    slots = rows.groupBy("manifest", "z", "cb").agg(F.map_from_entries(F.collect_list(F.struct("slot", "hex"))).alias("m"))
+    slots = rows.groupBy("manifest", "variable", "z", "cb").agg(F.map_from_entries(F.collect_list(F.struct("slot", "hex"))).alias("m"))
     body = F.array_join(
         F.transform(F.sequence(F.lit(0), F.lit(79)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("ffffffff"))), ""
     )
-    return slots.select("manifest", "z", "cb", F.regexp_replace(F.base64(F.unhex(body)), "\\s", "").alias("body"))
+    return slots.select("manifest", "variable", "z", "cb", F.regexp_replace(F.base64(F.unhex(body)), "\\s", "").alias("body"))
 
 
 HEADER = (
     '{"zarr_format":2,"shape":[7,10,24],"chunks":[1,10,8],"dtype":">i4","fill_value":-999,"compressor":null,"order":"C","filters":null}'
 )
-NOTES = '{"_ARRAY_DIMENSIONS":["lev","lat","lon"],"units":"1","description":"Quantity"}'
+NOTES = {
+    "qty": '{"_ARRAY_DIMENSIONS":["lev","lat","lon"],"units":"1","description":"Quantity"}',
+    "price": '{"_ARRAY_DIMENSIONS":["lev","lat","lon"],"units":"USD","long_name":"Extended price","description":"not read"}',
+}
 
 
 def documents(spark, sf):
@@ -87,18 +89,22 @@ def documents(spark, sf):
     """
     rows = _chunks(spark, sf).filter("(z + cb) % 5 <> 4")
     z, cb = F.col("z").cast("string"), F.col("cb").cast("string")
-    dotted = F.concat(F.lit("qty/"), z, F.lit(".0."), cb)
-    slashed = F.concat(F.lit("qty/"), z, F.lit("/0/"), cb)
-    v3 = F.concat(F.lit("qty/c/"), z, F.lit("/0/"), cb)
+    dotted = F.concat("variable", F.lit("/"), z, F.lit(".0."), cb)
+    slashed = F.concat("variable", F.lit("/"), z, F.lit("/0/"), cb)
+    v3 = F.concat("variable", F.lit("/c/"), z, F.lit("/0/"), cb)
     key = F.when(F.col("z") % 3 == 0, dotted).when(F.col("z") % 3 == 1, slashed).otherwise(v3)
     entry = lambda k, v: F.concat(F.lit('"'), k, F.lit('":"base64:'), v, F.lit('"'))
     rows = rows.withColumn("e", entry(key, F.col("body")))
     rows = rows.withColumn("e", F.when(F.col("z") == 0, F.concat("e", F.lit(","), entry(slashed, F.lit("AAAA")))).otherwise(F.col("e")))
-    # 21 chunks per document at most
-    docs = rows.groupBy("manifest").agg(F.array_join(F.sort_array(F.collect_list("e")), ",").alias("es"))
-    refs = F.concat(
-        F.lit('{".zgroup":{"zarr_format":2},"qty/.zarray":' + HEADER + ',"qty/.zattrs":' + NOTES + ","), F.col("es"), F.lit("}")
+    # 21 chunks per document and variable at most
+    docs = rows.groupBy("manifest").agg(
+        F.array_join(F.sort_array(F.collect_list("e")), ",").alias("es"), F.sort_array(F.collect_set("variable")).alias("names")
     )
+    notes = F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair])
+    heads = F.transform("names", lambda v: F.concat(
+        F.lit('"'), v, F.lit('/.zarray":' + HEADER + ',"'), v, F.lit('/.zattrs":'), F.element_at(notes, v)
+    ))
+    refs = F.concat(F.lit('{".zgroup":{"zarr_format":2},'), F.array_join(heads, ","), F.lit(","), F.col("es"), F.lit("}"))
     nested = F.col("manifest").startswith("d2")
     text = F.when(nested, F.concat(F.lit('{"manifest":{"virtual_chunks":'), refs, F.lit("}}"))).otherwise(
         F.concat(F.lit('{"version":1,"refs":'), refs, F.lit("}"))
@@ -108,9 +114,10 @@ def documents(spark, sf):
 
 @query(
     "a3_manifest_entries",
-    f"""WITH {DOCS}, e AS (SELECT manifest, CASE z % 3 WHEN 0 THEN concat('qty/', z, '.0.', cb) WHEN 1 THEN concat('qty/', z, '/0/', cb) ELSE concat('qty/c/', z, '/0/', cb) END AS key FROM ck WHERE (z + cb) % 5 <> 4
-          UNION ALL SELECT manifest, concat('qty/0/0/', cb) FROM ck WHERE z = 0 AND cb % 5 <> 4)
-        SELECT * FROM e UNION ALL SELECT manifest, unnest(['.zgroup','qty/.zarray','qty/.zattrs']) FROM (SELECT DISTINCT manifest FROM ck WHERE (z + cb) % 5 <> 4)""",
+    f"""WITH {DOCS}, e AS (SELECT manifest, concat(variable, CASE z % 3 WHEN 0 THEN concat('/', z, '.0.', cb) WHEN 1 THEN concat('/', z, '/0/', cb) ELSE concat('/c/', z, '/0/', cb) END) AS key FROM ck WHERE (z + cb) % 5 <> 4
+          UNION ALL SELECT manifest, concat(variable, '/0/0/', cb) FROM ck WHERE z = 0 AND cb % 5 <> 4),
+        a AS (SELECT DISTINCT manifest, variable FROM ck WHERE (z + cb) % 5 <> 4)
+        SELECT * FROM e UNION ALL SELECT manifest, concat(variable, unnest(['/.zarray', '/.zattrs'])) FROM a UNION ALL SELECT DISTINCT manifest, '.zgroup' FROM a""",
     ("cells",),
 )
 def _(spark, sf):
@@ -125,7 +132,8 @@ def _(spark, sf):
 
 @query(
     "a4_array_headers",
-    f"""WITH {DOCS} SELECT DISTINCT manifest, 'qty' AS variable, ['lev','lat','lon'] AS dims, [7,10,24] AS shape, [1,10,8] AS chunks, '>i4' AS dtype, -999e0 AS fill, '1' AS units, 'Quantity' AS long_name, false AS is_message
+    f"""WITH {DOCS} SELECT DISTINCT manifest, variable, ['lev','lat','lon'] AS dims, [7,10,24] AS shape, [1,10,8] AS chunks, '>i4' AS dtype, -999e0 AS fill,
+        CASE variable WHEN 'qty' THEN '1' ELSE 'USD' END AS units, CASE variable WHEN 'qty' THEN 'Quantity' ELSE 'Extended price' END AS long_name, false AS is_message
         FROM ck WHERE (z + cb) % 5 <> 4""",
     ("cells",),
 )
@@ -165,7 +173,7 @@ def _indexed(spark, sf):
 
 @query(
     "a6_chunk_keys",
-    f"""WITH {DOCS} SELECT manifest, 'qty' AS variable, [z, 0, CAST(cb AS INT)] AS idx, 320 AS bytes FROM ck WHERE (z + cb) % 5 <> 4""",
+    f"""WITH {DOCS} SELECT manifest, variable, [z, 0, CAST(cb AS INT)] AS idx, 320 AS bytes FROM ck WHERE (z + cb) % 5 <> 4""",
     ("cells",),
 )
 def _(spark, sf):
@@ -173,9 +181,9 @@ def _(spark, sf):
     return chunks.select("manifest", "variable", "idx", F.length("inline").alias("bytes"))
 
 
-FULL = """g AS (SELECT manifest, z, cb, unnest(range(0, 80)) s FROM ck WHERE (z + cb) % 5 <> 4),
-    dc AS (SELECT g.manifest, 'qty' AS variable, CAST(g.z AS INT) AS t, CAST(s // 8 AS INT) AS r, CAST(g.cb*8 + s % 8 AS INT) AS c, CAST(coalesce(raw, -1) AS DOUBLE) AS raw
-           FROM g LEFT JOIN mc ON mc.manifest=g.manifest AND mc.z=g.z AND mc.cb=g.cb AND mc.r = s // 8 AND mc.c % 8 = s % 8)"""
+FULL = """g AS (SELECT manifest, variable, z, cb, unnest(range(0, 80)) s FROM ck WHERE (z + cb) % 5 <> 4),
+    dc AS (SELECT g.manifest, g.variable, CAST(g.z AS INT) AS t, CAST(s // 8 AS INT) AS r, CAST(g.cb*8 + s % 8 AS INT) AS c, CAST(coalesce(raw, -1) AS DOUBLE) AS raw
+           FROM g LEFT JOIN mc ON mc.manifest=g.manifest AND mc.variable=g.variable AND mc.z=g.z AND mc.cb=g.cb AND mc.r = s // 8 AND mc.c % 8 = s % 8)"""
 
 
 @query("a7_decode_chunks", f"WITH {DOCS}, {FULL} SELECT manifest, variable, t, 0 AS z, r, c, raw FROM dc", ("cells",))
@@ -196,9 +204,9 @@ def _(spark, sf):
 
 @query(
     "a8_complete_grid",
-    f"""WITH {DOCS}, {FULL}, sp AS (SELECT DISTINCT manifest FROM dc), i AS (SELECT manifest, unnest(range(0, 1680)) k FROM sp)
-        SELECT i.manifest, 'qty' AS variable, CAST(k // 240 AS INT) AS t, 0 AS z, CAST(k % 240 // 24 AS INT) AS r, CAST(k % 24 AS INT) AS c, coalesce(dc.raw, -999e0) AS raw
-        FROM i LEFT JOIN dc ON dc.manifest=i.manifest AND dc.t = k // 240 AND dc.r = k % 240 // 24 AND dc.c = k % 24""",
+    f"""WITH {DOCS}, {FULL}, sp AS (SELECT DISTINCT manifest, variable FROM dc), i AS (SELECT manifest, variable, unnest(range(0, 1680)) k FROM sp)
+        SELECT i.manifest, i.variable, CAST(k // 240 AS INT) AS t, 0 AS z, CAST(k % 240 // 24 AS INT) AS r, CAST(k % 24 AS INT) AS c, coalesce(dc.raw, -999e0) AS raw
+        FROM i LEFT JOIN dc ON dc.manifest=i.manifest AND dc.variable=i.variable AND dc.t = k // 240 AND dc.r = k % 240 // 24 AND dc.c = k % 24""",
     ("cells",),
 )
 def _(spark, sf):
@@ -250,23 +258,26 @@ def _(spark, sf):
 
 @query(
     "a10_palettes",
-    """SELECT concat('p', o_custkey // 10) AS name, CAST(i AS INT) AS idx, CAST((o_custkey*7 + i*31) % 256 AS INT) AS red, CAST(i*11 % 256 AS INT) AS green, CAST(o_custkey % 256 AS INT) AS blue
-       FROM (SELECT o_custkey, o_custkey % 10 AS i FROM orders GROUP BY 1)
-       WHERE o_custkey // 10 IN (SELECT o_custkey // 10 FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) = 10) AND (o_custkey // 10) % 4 <> 3""",
+    """WITH k AS (SELECT DISTINCT o_custkey, o_custkey // 10 AS f, o_custkey % 10 AS i FROM orders),
+       sound AS (SELECT f FROM k GROUP BY f HAVING count(*) >= 2 AND NOT bool_or(f % 4 = 3 AND i = 4))
+       SELECT concat('p', f) AS name, CAST(row_number() OVER (PARTITION BY f ORDER BY i) - 1 AS INT) AS idx, CAST((o_custkey*7 + i*31) % 256 AS INT) AS red, CAST(i*11 % 256 AS INT) AS green, CAST(o_custkey % 256 AS INT) AS blue
+       FROM k JOIN sound USING (f)""",
 )
 def _(spark, sf):
-    # ten colours per file, a header line in each; every fourth file has a number out of range
+    # written as files of up to ten colours with a header line and read back; in every fourth a number is out of range
     k = F.col("o_custkey")
-    keys = V.table(spark, sf, "orders").select("o_custkey").distinct()
-    whole = keys.groupBy(F.floor(k / 10).alias("f")).agg(F.count(F.lit(1)).alias("n")).filter("n = 10")
-    rows = keys.withColumn("f", F.floor(k / 10)).join(whole, "f", "left_semi")
+    rows = V.table(spark, sf, "orders").select("o_custkey").distinct().withColumn("f", F.floor(k / 10))
     i = k % 10
     wrong = F.when((F.col("f") % 4 == 3) & (i == 4), 300).otherwise((k * 7 + i * 31) % 256)
     text = F.concat_ws(" ", wrong.cast("string"), (i * 11 % 256).cast("string"), (k % 256).cast("string"), F.lit("# shade"))
-    path = F.concat(F.lit("/maps/p"), F.col("f").cast("string"), F.lit(".ncmap"))
-    lines_ = rows.select(path.alias("path"), (i + 2).alias("line"), text.alias("text"))
-    head = lines_.select("path").distinct().select("path", F.lit(1).cast("bigint").alias("line"), F.lit("# red green blue").alias("text"))
-    return T.parse_palettes(lines_.unionByName(head))
+    shades = rows.select("f", i.alias("i"), text.alias("value"))
+    heads = rows.select("f").distinct().select("f", F.lit(-1).cast("bigint").alias("i"), F.lit("# red green blue").alias("value"))
+    path = scratch_path(spark, "palettes")
+    lines_ = shades.unionByName(heads).repartition("f").sortWithinPartitions("f", "i")
+    lines_.select("f", "value").write.partitionBy("f").text(path)
+    found = T.numbered_lines(spark, f"{path}/f=*")
+    name = F.concat(F.lit("/maps/p"), F.regexp_extract("path", "/f=([0-9]+)/", 1), F.lit(".ncmap"))
+    return T.parse_palettes(found.withColumn("path", name))
 
 
 @query(
@@ -307,14 +318,18 @@ def _(spark, sf):
 @query(
     "a14_manifest_entries",
     f"""WITH {HEAD}, ok AS (SELECT r.object, r.line, r."offset", r.length, k FROM rec r JOIN hd USING (object, "offset") WHERE declared = length),
-        p AS (SELECT *, concat('grib2_message_', printf('%04d', line)) AS nm FROM ok UNION ALL SELECT *, concat('grib2_message_', printf('%04d', line), '_submessage_0001') FROM ok WHERE k % 7 = 0)
+        p AS (SELECT *, 0 AS sub, concat('grib2_message_', printf('%04d', line)) AS nm FROM ok UNION ALL SELECT *, 1, concat('grib2_message_', printf('%04d', line), '_submessage_0001') FROM ok WHERE k % 7 = 0)
         SELECT object, concat(nm, '/0') AS key, concat('["', object, '",', "offset", ',', length, ']') AS value FROM p
-        UNION ALL SELECT object, concat(nm, '/.zarray'), concat('{{"zarr_format":2,"shape":[1],"chunks":[1],"dtype":"<f4","compressor":null,"filters":[{{"id":"grib","var":"', nm, '"}}],"order":"C","fill_value":null}}') FROM p""",
+        UNION ALL SELECT object, concat(nm, '/.zarray'), concat('{{"zarr_format":2,"shape":[1],"chunks":[1],"dtype":"<f4","compressor":null,"filters":[{{"id":"grib","var":"', nm, '"}}],"order":"C","fill_value":null}}') FROM p
+        UNION ALL SELECT object, concat(nm, '/.zattrs'), concat('{{"_ARRAY_DIMENSIONS":["grib2_message"],"source_index_line":', line, ',"source_offset":', "offset", ',"source_length":', length,
+          ',"grib2_submessage":', sub, ',"grib2_description":"message ', k, '","grib2_discipline":0,"grib2_grid_template":0,"grib2_product_template":', k % 3,
+          ',"grib2_parameter_category":', k % 20, ',"grib2_parameter_number":', CASE WHEN k % 11 <> 0 THEN CAST(k % 200 AS VARCHAR) ELSE 'null' END,
+          ',"grib2_product_definition_hex":"', printf('00000%03x', CAST(k % 4096 AS INT)), '"}}') FROM p""",
     ("idx_lines",),
 )
 def _(spark, sf):
     entries, _ = M.build_manifest(parse_idx(lines(spark, sf), sizes(spark, sf)), headers(spark, sf))
-    return entries.filter("NOT key LIKE '%.zattrs'")
+    return entries
 
 
 @query(

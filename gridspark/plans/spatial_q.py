@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import norm_lon
 from ..operators import polygons as Y
 from ..operators import spatial as N
 from . import views as V
@@ -205,23 +206,26 @@ def _(spark, sf):
 
 @query(
     "f13_reorder_longitude",
-    """WITH x AS (SELECT dataset_id, variable, t, z, r, c, raw, 360e0*c/n + 0.25e0*r AS raw_lon, r*18e0-81e0 AS lat FROM cells, ncols WHERE dataset_id=1),
-       g AS (SELECT DISTINCT r, c, (raw_lon+180e0) - 360e0*floor((raw_lon+180e0)/360e0) - 180e0 lon FROM (
-               SELECT r, c, 360e0*c/n + 0.25e0*r raw_lon FROM (SELECT DISTINCT CAST(p_partkey % 10 AS INT) r, CAST(p_partkey // 100 AS INT) c FROM part), ncols)),
-       k AS (SELECT r, c, lon, CAST(row_number() OVER (PARTITION BY r ORDER BY lon, c) - 1 AS INT) new_c FROM g)
-       SELECT x.dataset_id, variable, t, z, x.r, k.new_c AS c, raw, lat, k.lon AS lon FROM x JOIN k USING (r, c)""",
+    """WITH rc AS (SELECT DISTINCT CAST(p_partkey % 10 AS INT) r, CAST(p_partkey // 100 AS INT) c FROM part),
+       g AS (SELECT d AS dataset_id, r, c, r*18e0-81e0 AS lat, 360e0*c/n + 0.25e0*r AS turn FROM rc, ncols, (SELECT unnest([1, 2, 3]) d)),
+       k AS (SELECT dataset_id, r, c, lat, CASE dataset_id WHEN 1 THEN turn WHEN 2 THEN turn*0.5e0 - 170e0 ELSE (turn+90e0+180e0) - 360e0*floor((turn+90e0+180e0)/360e0) - 180e0 END AS lon FROM g),
+       w AS (SELECT *, (lon+180e0) - 360e0*floor((lon+180e0)/360e0) - 180e0 AS own, lon - lead(lon) OVER (PARTITION BY dataset_id, r ORDER BY c) > 180 AS jump FROM k),
+       f AS (SELECT dataset_id, coalesce(bool_or(jump), false) OR (min(lon) >= -1e-6 AND max(lon) > 180 + 1e-6) AS turned FROM w GROUP BY dataset_id),
+       o AS (SELECT w.*, turned, row_number() OVER (PARTITION BY w.dataset_id, r ORDER BY own, c) - 1 AS place FROM w JOIN f USING (dataset_id))
+       SELECT x.dataset_id, variable, t, z, x.r, CAST(CASE WHEN turned THEN place ELSE x.c END AS INT) AS c, raw, lat, CASE WHEN turned THEN own ELSE lon END AS lon
+       FROM cells x JOIN o ON o.dataset_id = x.dataset_id AND o.r = x.r AND o.c = x.c""",
     ("cells", "ncols"),
 )
 def _(spark, sf):
+    # dataset 1 counts from 0 to 360, dataset 2 lies in -180..180, dataset 3 jumps back at the date line
     n = V.n_cols(spark, sf)
     grid = V.table(spark, sf, "part").select(
         (F.col("p_partkey") % 10).cast("int").alias("r"), F.floor(F.col("p_partkey") / 100).cast("int").alias("c")
-    ).distinct()
-    coords = grid.select(
-        F.lit(1).alias("dataset_id"), "r", "c", (F.col("r") * 18.0 - 81.0).alias("lat"),
-        (360.0 * F.col("c") / n.scalar() + 0.25 * F.col("r")).alias("lon"),
-    )
-    return N.reorder_lon(V.cells(spark, sf).filter("dataset_id = 1"), coords)
+    ).distinct().withColumn("dataset_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    turn = 360.0 * F.col("c") / n.scalar() + 0.25 * F.col("r")
+    lon = F.when(F.col("dataset_id") == 1, turn).when(F.col("dataset_id") == 2, turn * 0.5 - 170.0).otherwise(norm_lon(turn + 90.0))
+    coords = grid.select("dataset_id", "r", "c", (F.col("r") * 18.0 - 81.0).alias("lat"), lon.alias("lon"))
+    return N.reorder_lon(V.cells(spark, sf), coords)
 
 
 @query(
