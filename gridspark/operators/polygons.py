@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import cut_lineage, lookup_join
 
 # The candidate bins are five degrees wide.
 LON_BINS, LAT_BINS = 72, 36
-#: Most ring vertices (over all bins) that are broadcast.
-BROADCAST_VERTICES = 2_000_000
+#: Edges of a candidate bin beyond which the bin is cut into bands of latitude, and the most bands of a bin.
+BAND_EDGES, MOST_BANDS = 256, 1024
+#: Edges (over all bins) that are broadcast.
+BROADCAST_EDGES = 100_000
 
 
 def _signed(x: Column) -> Column:
@@ -79,52 +82,67 @@ def ring_bins(prepared: DataFrame) -> DataFrame:
     return prepared.withColumn("bin_lat", F.explode(lats)).withColumn("bin_lon", F.explode(lons))
 
 
-def _inside(ring: Column, lat: Column, lon: Column) -> Column:
-    """Even-odd test of a prepared ring, after its bounding box."""
-    x = _near(lon, ring["anchor"])
-    boxed = (lat >= ring["s"]) & (lat <= ring["n"]) & (
-        (ring["e"] - ring["w"] >= 180.0) | ((lon >= ring["w"]) & (lon <= ring["e"]))
+def edge_bins(prepared: DataFrame) -> DataFrame:
+    """The edges of rings ``_ring`` in the candidate bins of the points they can count for.
+
+    An edge counts for points at its latitudes and to the west of it; horizontal edges never do.
+    """
+    edges = prepared.select("*", F.explode("edges").alias("_edge")).select(*[c for c in prepared.columns if c != "edges"], "_edge.*")
+    edges = edges.filter("y0 <> y1")
+    lats = F.sequence(lat_bin(F.least("y0", "y1")), lat_bin(F.greatest("y0", "y1")))
+    first, last, end = lon_bin(F.col("w")), lon_bin(F.col("e")), F.lit(LON_BINS - 1)
+    plain = (F.col("w") >= -180.0) & (F.col("e") <= 180.0)
+    lons = (
+        F.when(F.col("e") - F.col("w") >= 180.0, F.sequence(F.lit(0), end))
+        .when(plain, F.sequence(first, lon_bin(F.greatest("x0", "x1"))))
+        .when(first <= last, F.sequence(first, last))
+        .otherwise(F.concat(F.sequence(first, end), F.sequence(F.lit(0), last)))
     )
+    return edges.withColumn("bin_lat", F.explode(lats)).withColumn("bin_lon", F.explode(lons))
+
 
-    def crossing(edge: Column) -> Column:
-        spans = (edge["y1"] > lat) != (edge["y0"] > lat)
-        at = F.try_divide((edge["x0"] - edge["x1"]) * (lat - edge["y1"]), edge["y0"] - edge["y1"]) + edge["x1"]
-        return F.when(spans & (x < at), 1).otherwise(0)
+def _band(lat: Column) -> Column:
+    """Band of a latitude inside its bin, which has ``bands`` of them."""
+    south = F.col("bin_lat") * (180.0 / LAT_BINS) - 90.0
+    at = F.floor((lat - south) / (180.0 / LAT_BINS) * F.col("bands")).cast("int")
+    return F.greatest(F.least(at, F.col("bands") - 1), F.lit(0))
 
-    count = F.aggregate(ring["edges"], F.lit(0), lambda acc, edge: acc + crossing(edge))
-    return boxed & (F.when(boxed, count).otherwise(0) % 2 == 1)
+
+def _crosses(lat: Column, lon: Column) -> Column:
+    """Does the edge cross the ray from a point of the ring's bounding box to the east?"""
+    boxed = (lat >= F.col("s")) & (lat <= F.col("n")) & (
+        (F.col("e") - F.col("w") >= 180.0) | ((lon >= F.col("w")) & (lon <= F.col("e")))
+    )
+    spans = (F.col("y1") > lat) != (F.col("y0") > lat)
+    at = F.try_divide((F.col("x0") - F.col("x1")) * (lat - F.col("y1")), F.col("y0") - F.col("y1")) + F.col("x1")
+    return boxed & spans & (_near(lon, F.col("anchor")) < at)
 
 
 def in_polygons(points: DataFrame, rings: DataFrame, key: list[str], holes: bool = False) -> DataFrame:
     """Add ``inside`` to points (``lat``, ``lon``): does any ring contain the point?
 
-    Points meet only the rings of their five-degree bin.  While the rings' vertices
-    are few the bins are broadcast and the points are not shuffled; otherwise points and
-    rings join on the bin and the answers combine per place, so ``key`` may repeat or be
-    NULL.  With ``holes`` the rings of one polygon cancel out pairwise; without, every
-    ring counts alone.
+    Points meet single edges, not rings: those of their five-degree bin and, where a bin holds
+    many edges, of their band of latitude.  Crossings are counted per place and ring by partial
+    aggregation, so ``key`` may repeat or be NULL.  With ``holes`` the rings of one polygon
+    cancel out pairwise; without, every ring counts alone.
     """
-    ring_cols = ["ring_id", "polygon_id", "anchor", "edges", "w", "e", "s", "n"]
-    binned = ring_bins(prepare_rings(rings))
-    placed = points.withColumn("bin_lat", lat_bin(F.col("lat"))).withColumn("bin_lon", lon_bin(F.col("lon")))
+    prepared = cut_lineage(prepare_rings(rings).drop("ring_id").withColumn("_ring", F.monotonically_increasing_id()))
+    binned = edge_bins(prepared)
+    bins = ["bin_lat", "bin_lon"]
+    wanted = F.ceil(F.count(F.lit(1)) / BAND_EDGES)
+    # at most LAT_BINS * LON_BINS rows
+    sizes = F.broadcast(binned.groupBy(*bins).agg(F.least(wanted, F.lit(MOST_BANDS)).cast("int").alias("bands")))
+    low, high = _band(F.least("y0", "y1")), _band(F.greatest("y0", "y1"))
+    edges = binned.join(sizes, bins).withColumn("band", F.explode(F.sequence(low, high))).drop("bands")
     lat, lon = F.col("lat"), F.col("lon")
-    vertices = binned.agg(F.sum(F.size("edges"))).first()[0] or 0
-    if vertices <= BROADCAST_VERTICES:
-        table = binned.groupBy("bin_lat", "bin_lon").agg(F.collect_list(F.struct(*ring_cols)).alias("_rings"))
-        hit = placed.join(F.broadcast(table), ["bin_lat", "bin_lon"], "left")
-        if holes:
-            odd = lambda pid: F.size(F.filter("_rings", lambda r: (r["polygon_id"] == pid) & _inside(r, lat, lon))) % 2 == 1
-            test = F.exists(F.array_distinct(F.transform("_rings", lambda r: r["polygon_id"])), odd)
-        else:
-            test = F.exists("_rings", lambda r: _inside(r, lat, lon))
-        return hit.withColumn("inside", F.coalesce(test, F.lit(False))).drop("_rings", "bin_lat", "bin_lon")
-    places = placed.select("lat", "lon", "bin_lat", "bin_lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
-    tested = places.join(
-        binned.select("bin_lat", "bin_lon", F.struct(*ring_cols).alias("_ring")), ["bin_lat", "bin_lon"]
-    ).select("lat", "lon", F.col("_ring.polygon_id").alias("_pid"), _inside(F.col("_ring"), lat, lon).alias("_in")).filter("_in")
+    places = points.select("lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    placed = places.withColumn("bin_lat", lat_bin(lat)).withColumn("bin_lon", lon_bin(lon)).join(sizes, bins)
+    placed = placed.withColumn("band", _band(lat)).drop("bands")
+    met = lookup_join(placed, edges, [*bins, "band"], "inner", BROADCAST_EDGES)
+    odd = met.filter(_crosses(lat, lon)).groupBy("lat", "lon", "polygon_id", "_ring").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
     if holes:
-        tested = tested.groupBy("lat", "lon", "_pid").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") % 2 == 1)
-    inside = tested.select("lat", "lon").distinct().withColumn("inside", F.lit(True))
+        odd = odd.groupBy("lat", "lon", "polygon_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
+    inside = odd.select("lat", "lon").distinct().withColumn("inside", F.lit(True))
     return points.join(inside, ["lat", "lon"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 

@@ -149,14 +149,14 @@ def _(spark, sf):
 
 @query(
     "f8_candidate_bins",
-    f"""WITH {BOXES}, w AS (SELECT k, CASE WHEN x-6 < -180 OR x+6 > 180 THEN 1 ELSE 0 END seam, x-6 AS lo, x+6 AS hi, y-4 AS s, y+4 AS n FROM boxes),
+    f"""WITH {BOXES}, h AS (SELECT concat('o', k) AS ring_id, x, y, 6 AS dx, 4 AS dy FROM boxes UNION ALL SELECT concat('h', k), x, y, 3, 2 FROM boxes WHERE k % 2 = 0),
+        w AS (SELECT ring_id, CASE WHEN x-dx < -180 OR x+dx > 180 THEN 1 ELSE 0 END seam, x-dx AS lo, x+dx AS hi, y-dy AS s, y+dy AS n FROM h),
         la AS (SELECT *, unnest(range(CAST(floor((s+90)/5) AS BIGINT), CAST(least(floor((n+90)/5), 35) AS BIGINT) + 1)) bin_lat FROM w)
-        SELECT concat('o', k) AS ring_id, CAST(bin_lat AS INT) AS bin_lat,
+        SELECT ring_id, CAST(bin_lat AS INT) AS bin_lat,
                CAST(unnest(CASE WHEN seam = 1 THEN range(0, 72) ELSE range(CAST(floor((lo+180)/5) AS BIGINT), CAST(least(floor((hi+180)/5), 71) AS BIGINT) + 1) END) AS INT) AS bin_lon FROM la""",
 )
 def _(spark, sf):
-    outer = rings(spark, sf).filter("ring_id LIKE 'o%'")
-    return Y.ring_bins(Y.prepare_rings(outer)).select("ring_id", "bin_lat", "bin_lon")
+    return Y.ring_bins(Y.prepare_rings(rings(spark, sf))).select("ring_id", "bin_lat", "bin_lon")
 
 
 @query(

@@ -230,9 +230,9 @@ SCHEMA = "ring_id STRING, polygon_id STRING, points ARRAY<STRUCT<lon: DOUBLE, la
 SPOTS = [(0.0, 179.8, True, True), (0.0, -179.8, True, True), (0.0, 170.0, False, False), (1.0, 1.0, True, True), (4.0, 4.0, True, False), (11.0, 1.0, False, False)]
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 0])
+@pytest.mark.parametrize("limit", [Y.BROADCAST_EDGES, 0])
 def test_points_in_rings(spark, monkeypatch, limit):
-    monkeypatch.setattr(Y, "BROADCAST_VERTICES", limit)
+    monkeypatch.setattr(Y, "BROADCAST_EDGES", limit)
     rings = spark.createDataFrame(RINGS, SCHEMA)
     pts = spark.createDataFrame([(i, la, lo) for i, (la, lo, _, _) in enumerate(SPOTS)], "id INT, lat DOUBLE, lon DOUBLE")
     for holes in (False, True):
@@ -240,6 +240,40 @@ def test_points_in_rings(spark, monkeypatch, limit):
         assert got == {i: s[3 if holes else 2] for i, s in enumerate(SPOTS)}
 
 
+@pytest.mark.parametrize("most,limit", [(256, 100_000), (2, 0)])
+def test_star_polygons_equal_brute_force(spark, monkeypatch, most, limit):
+    """Jagged rings, one across the date line, one half the globe wide; bins of few and of many bands."""
+    monkeypatch.setattr(Y, "BAND_EDGES", most)
+    monkeypatch.setattr(Y, "BROADCAST_EDGES", limit)
+    rng = np.random.default_rng(4)
+    stars = []
+    for i, (x, y, size) in enumerate([(0, 0, 20), (5, 5, 8), (-100, 40, 30), (60, -70, 12), (2, 1, 3)]):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 60))
+        far = rng.uniform(0.3, 1, 60) * size
+        stars.append((f"s{i}", f"p{i % 3}", [(float(x + a), float(y + b)) for a, b in zip(far * np.cos(turn), far * np.sin(turn))]))
+    wide = ("wide", "p9", [(-120.0, -85.0), (0.0, -88.0), (120.0, -85.0), (120.0, -80.0), (0.0, -75.0), (-120.0, -80.0)])
+    seam = ("seam", "p8", [(175.0, 60.0), (-170.0, 60.0), (-172.0, 66.0), (178.0, 70.0)])
+    spots = np.vstack([rng.uniform([-90, -180], [90, 180], (400, 2)), rng.uniform([-20, -20], [20, 20], (400, 2)), rng.uniform([58, 170], [72, 180], (60, 2)), rng.uniform([58, -180], [72, -165], (60, 2))])
+
+    def odd(pts, lat, lon):
+        x0 = pts[0][0]
+        near = lambda x: x - 360 * round((x - x0) / 360) if abs(x - x0) > 180 else x
+        px, n = near(lon), 0
+        for (ax, ay), (bx, by) in zip(pts, [pts[-1], *pts[:-1]]):
+            if (ay > lat) != (by > lat) and px < (near(bx) - near(ax)) * (lat - ay) / (by - ay) + near(ax):
+                n += 1
+        return n % 2 == 1
+
+    every = [*stars, wide, seam]
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(spots)], "id INT, lat DOUBLE, lon DOUBLE")
+    for holes in (False, True):
+        got = {r["id"]: r["inside"] for r in Y.in_polygons(pts, spark.createDataFrame(every, SCHEMA), ["id"], holes).collect()}
+        for i, (lat, lon) in enumerate(spots):
+            hits = [pid for _, pid, ring_pts in every if odd(ring_pts, lat, lon)]
+            want = any(hits.count(p) % 2 for p in hits) if holes else bool(hits)
+            assert got[i] == want, (lat, lon, hits)
+
+
 def test_border_cells(spark):
     land = {(0, 0), (2, 3)}
     mask = spark.createDataFrame([(r, c, (r, c) in land) for r in range(4) for c in range(5)], "r INT, c INT, land BOOLEAN")
@@ -273,9 +307,9 @@ def test_null_groups_survive_every_size(spark, monkeypatch, block):
     ]
 
 
-@pytest.mark.parametrize("limit", [Y.BROADCAST_VERTICES, 0])
+@pytest.mark.parametrize("limit", [Y.BROADCAST_EDGES, 0])
 def test_points_without_a_key_are_found(spark, monkeypatch, limit):
-    monkeypatch.setattr(Y, "BROADCAST_VERTICES", limit)
+    monkeypatch.setattr(Y, "BROADCAST_EDGES", limit)
     square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
     rings = spark.createDataFrame([(1, 1, square)], "ring_id INT, polygon_id INT, points ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>")
     points = spark.createDataFrame([(None, 1.0, 1.0), (None, 9.0, 9.0), (7, 2.0, 2.0), (7, 2.0, 9.0), (8, None, 1.0)], "id INT, lat DOUBLE, lon DOUBLE")
