@@ -176,6 +176,20 @@ def combine(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _accept(gs: GridSet, d: Derived) -> tuple[DataFrame, list[tuple[str, ...]]]:
+    """Datasets and whether they can evaluate the formula, and the keys of its references; raises if none can."""
+    check_name(d.name)
+    if not d.refs:
+        raise GridError("formula must reference at least one variable")
+    # a few columns per dataset and reference, used three times below
+    shapes = cut_lineage(_shapes(gs, d).select("_ref", "dataset_id", "n_time", "n_depth", "n_rows", "n_cols"))
+    accepted = cut_lineage(bind(gs, d, shapes))
+    if not accepted.filter("accepted").take(1):
+        why = accepted.select(F.min("reason")).first()[0]
+        raise GridError(f"{d.name}: {why or 'dataset is not open'}")
+    return accepted, _varying(shapes, d)
+
+
 def derive(
     gs: GridSet, name: str, refs: list[Ref], expr: Callable[..., Column],
     over: tuple[str, str] | None = None, validate: bool = True,
@@ -187,21 +201,11 @@ def derive(
     they have.
     """
     d = Derived(name, tuple(refs), expr, over)
-    accepted = None
     if validate and gs.vars is not None and gs.dims is not None:
-        check_name(name)
-        if not refs:
-            raise GridError("formula must reference at least one variable")
-        # a few columns per dataset and reference, used three times below
-        shapes = cut_lineage(_shapes(gs, d).select("_ref", "dataset_id", "n_time", "n_depth", "n_rows", "n_cols"))
-        accepted = cut_lineage(bind(gs, d, shapes))
-        if not accepted.filter("accepted").take(1):
-            why = accepted.select(F.min("reason")).first()[0]
-            raise GridError(f"{name}: {why or 'dataset is not open'}")
-        keys = _varying(shapes, d)
+        accepted, keys = _accept(gs, d)
     else:
         check_name(name)
-        keys = [tuple(CELL_KEY)] * len(refs)
+        accepted, keys = None, [tuple(CELL_KEY)] * len(refs)
     groups: dict[tuple, list[tuple[int, Ref]]] = {}
     for i, r in enumerate(refs):
         groups.setdefault((keys[i], r.dataset is None), []).append((i, r))
@@ -251,18 +255,65 @@ def apply_formulas(gs: GridSet, definitions: list[Derived]) -> tuple[DataFrame |
     References resolve against the base variables only: formulas do not see each other.
     """
     results, errors, seen = [], [], set()
+    together: list[tuple[Derived, tuple[str, ...], DataFrame]] = []
     for d in definitions:
         try:
             if d.name in seen:
                 raise GridError(f"{d.name} is already a variable name")
-            results.append(derive(gs, d.name, list(d.refs), d.expr, d.over))
+            accepted, keys = _accept(gs, d)
+            if len(set(keys)) == 1 and len({r.dataset is None for r in d.refs}) == 1 and d.over is None:
+                together.append((d, keys[0], accepted))
+            else:
+                results.append(derive(gs, d.name, list(d.refs), d.expr, d.over))
             seen.add(d.name)
         except GridError as exc:
             text = str(exc)
             errors.append(text if text.startswith(f"{d.name}:") else f"{d.name}: {text}")
+    if together:
+        results.insert(0, _side_by_side(gs.cells, together))
     return (reduce(DataFrame.unionByName, results) if results else None), errors
 
 
+def _side_by_side(cells: DataFrame, formulas: list[tuple[Derived, tuple[str, ...], DataFrame]]) -> DataFrame:
+    """Cells of several formulas, each over references of the same keys: one scan and one aggregation.
+
+    A cell goes once to each group of formulas (same keys, all pinned or none) that reads it.  The
+    references of a group become columns of one row per key, from which its formulas are stacked.
+    """
+    groups: dict[tuple, list[Derived]] = {}
+    for d, keys, _ in formulas:
+        groups.setdefault((keys, d.anchor is not None), []).append(d)
+    homes, picks, stacks = [], [], []
+    for g, ((keys, pinned), members) in enumerate(groups.items()):
+        refs = sorted({r for d in members for r in d.refs}, key=lambda r: (r.name, r.dataset or 0))
+        tests = {}
+        for r in refs:
+            test = F.col("variable") == r.name
+            tests[r] = test & (F.col("dataset_id") == r.dataset) if pinned else test
+        key = [(F.col(k) if k in keys else F.lit(0)).cast("int").alias(k) for k in CELL_KEY]
+        owner = F.lit(None).cast("int") if pinned else F.col("dataset_id").cast("int")
+        homes.append(F.when(reduce(Column.__or__, tests.values()), F.struct(F.lit(g).alias("_g"), owner.alias("_owner"), *key)))
+        for n, (r, test) in enumerate(tests.items()):
+            own = (F.col("_g") == g) & test
+            picks += [F.max(F.when(own, F.col("_leaf"))).alias(f"_x{g}_{n}"), F.max(F.when(own, F.lit(1))).alias(f"_p{g}_{n}")]
+        rows = []
+        for d in members:
+            at = [refs.index(r) for r in d.refs]
+            present = F.coalesce(*[F.col(f"_p{g}_{n}") for n in at]).isNotNull()
+            result = d.expr(*[F.col(f"_x{g}_{n}") for n in at]).cast("double")
+            home = F.lit(d.anchor) if pinned else F.col("_owner")
+            rows.append(F.when(present, F.struct(home.cast("int").alias("dataset_id"), F.lit(d.name).alias("variable"), result.alias("result"))))
+        stacks.append(F.when(F.col("_g") == g, F.array(*rows)))
+    names = sorted({r.name for d, _, _ in formulas for r in d.refs})
+    dealt = cells.filter(F.col("variable").isin(names)).select("variable", "dataset_id", visible_value().alias("_leaf"), *CELL_KEY)
+    dealt = dealt.withColumn("_home", F.explode(F.array_compact(F.array(*homes)))).select("variable", "dataset_id", "_leaf", "_home.*")
+    wide = dealt.groupBy("_g", "_owner", *CELL_KEY).agg(*picks)
+    long = wide.select(*CELL_KEY, F.explode(F.array_compact(F.coalesce(*stacks))).alias("_f")).select("_f.*", *CELL_KEY)
+    # a few rows per dataset and formula
+    fits = reduce(DataFrame.unionByName, [a.filter("accepted").select("dataset_id", F.lit(d.name).alias("variable")) for d, _, a in formulas])
+    return reclassify(lookup_join(long, fits, ["dataset_id", "variable"], "left_semi").select("dataset_id", "variable", *CELL_KEY, "result"))
+
+
 def anomaly(df: DataFrame) -> DataFrame:
     """``x - time_mean(x)`` per cell, keeping the time axis; one shuffle by cell."""
     cell = Window.partitionBy("dataset_id", "variable", "z", "r", "c")

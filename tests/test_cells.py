@@ -270,6 +270,29 @@ def test_apply_formulas_reports_what_no_dataset_accepts(coards):
     assert got == {("a", 1), ("a", 2), ("c", 2)}
 
 
+def test_formulas_share_one_scan(spark, coards, scratch):
+    from gridspark.sources.grid import read_grid, write_grid
+
+    # cells that one of the references lacks
+    holed = coards.cells.filter("NOT (variable = 'Pixel_area' AND r = 1)")
+    write_grid(GridSet(cells=holed, vars=coards.vars, dims=coards.dims, attrs=coards.attrs), scratch + "/f")
+    gs = read_grid(spark, scratch + "/f")
+    formulas = [
+        E.Derived("a", (E.ref("MACCity"),), lambda x: x * 2),
+        E.Derived("s", (E.ref("MACCity"), E.ref("Pixel_area")), lambda x, y: x + y),
+        E.Derived("c", (E.ref("MACCity", 2), E.ref("MACCity", 1)), lambda x, y: x - y),
+        E.Derived("p", (E.ref("Pixel_area"),), lambda x: F.coalesce(x, F.lit(0.0)) - 1),
+    ]
+    rows, errors = E.apply_formulas(gs, formulas)
+    assert errors == []
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("raw#" in line for line in plan.splitlines() if "Relation [" in line) == 1
+    for d in formulas:
+        one = E.derive(gs, d.name, list(d.refs), d.expr)
+        same = lambda df: sorted(tuple(map(str, r)) for r in df.select("dataset_id", "t", "z", "r", "c", "value", "validity").collect())
+        assert same(rows.filter(F.col("variable") == d.name)) == same(one), d.name
+
+
 def test_anomaly_and_derived_catalogue(coards):
     out = E.anomaly(coards.variable("MACCity", 1))
     assert [cell(out, t, 0, 0)["value"] for t in (0, 1, 2)] == [-20.0, 0.0, 20.0]
