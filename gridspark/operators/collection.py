@@ -46,11 +46,12 @@ def concat(parts: list[GridSet]) -> GridSet:
     return GridSet(**{f: union(f) for f in ("cells", "vars", "dims", "attrs", "axes", "coord2d", "datasets")})
 
 
-def compatibility(gs: GridSet) -> DataFrame:
+def compatibility(gs: GridSet, expand: bool = False) -> DataFrame:
     """Compare every variable with its first dataset: one diagnostic per difference.
 
     Result: variable, dataset_id, reference_id, kind (``differs`` or ``missing``), message.
-    Dimension lengths may differ along time only.
+    Dimension lengths may differ along time only.  A run of datasets without the variable is one
+    diagnostic at the first of them; with ``expand`` each of them has its own.
     """
     fields = ["dims", "numeric", "units", "long_name", "standard_name"]
     rows = with_dim_map(gs.vars.select("dataset_id", "variable", *fields), gs.dims)
@@ -90,14 +91,23 @@ def compatibility(gs: GridSet) -> DataFrame:
             F.col("variable"), F.col("reference_id"), F.array_join("_what", ", "), F.col("dataset_id"),
         ).alias("message"),
     )
-    return differs.unionByName(missing_sources(gs))
+    if expand:
+        return differs.unionByName(missing_sources(gs))
+    alone = F.col("first_id") == F.col("last_id")
+    lacking = missing_runs(gs).select(
+        "variable", F.col("first_id").alias("dataset_id"), "reference_id", F.lit("missing").alias("kind"),
+        F.when(alone, F.format_string("variable %s is missing from source %d", F.col("variable"), F.col("first_id"))).otherwise(
+            F.format_string("variable %s is missing from sources %d to %d", F.col("variable"), F.col("first_id"), F.col("last_id"))
+        ).alias("message"),
+    )
+    return differs.unionByName(lacking)
 
 
-def missing_sources(gs: GridSet) -> DataFrame:
-    """Datasets that lack a variable of the collection.
+def _gaps(gs: GridSet) -> tuple[DataFrame, DataFrame]:
+    """(gaps, numbered): runs of positions (low..high) that a variable lacks, and the position of each dataset.
 
-    Datasets are numbered in order; the gaps between the numbers a variable has are
-    the datasets it lacks, so only missing pairs are ever produced.
+    Datasets are numbered in order; the gaps between the numbers a variable has are the
+    datasets it lacks, so nothing but the variable's own rows is read.
     """
     files = (gs.datasets if gs.datasets is not None else gs.vars).select("dataset_id").distinct()
     numbered = number_rows(files, [], [F.col("dataset_id")], "_pos")
@@ -110,12 +120,26 @@ def missing_sources(gs: GridSet) -> DataFrame:
     have = seen.join(partial.select("variable"), "variable", "left_semi")
     have = have.join(numbered, "dataset_id").select("variable", "_pos")
     ends = have.unionByName(partial.select("variable", "_pos"))
-    gaps = with_neighbours(ends, ["variable"], [F.col("_pos")], {"_pos": "_before"})
+    found = with_neighbours(ends, ["variable"], [F.col("_pos")], {"_pos": "_before"})
     low = F.coalesce(F.col("_before"), F.lit(0)) + 1
-    holes = gaps.filter(F.col("_pos") - low >= 1).select(
-        "variable", F.explode(F.sequence(low, F.col("_pos") - 1)).alias("_pos")
+    found = found.filter(F.col("_pos") - low >= 1).select("variable", low.alias("low"), (F.col("_pos") - 1).alias("high"))
+    return found.join(partial.select("variable", "reference_id"), "variable"), numbered
+
+
+def missing_runs(gs: GridSet) -> DataFrame:
+    """Runs of consecutive datasets that lack a variable: variable, reference_id, first_id, last_id, n."""
+    gaps, numbered = _gaps(gs)
+    first = numbered.select(F.col("_pos").alias("low"), F.col("dataset_id").alias("first_id"))
+    last = numbered.select(F.col("_pos").alias("high"), F.col("dataset_id").alias("last_id"))
+    return gaps.join(first, "low").join(last, "high").select(
+        "variable", "reference_id", "first_id", "last_id", (F.col("high") - F.col("low") + 1).alias("n")
     )
-    named = holes.join(numbered, "_pos").join(partial.select("variable", "reference_id"), "variable")
+
+
+def missing_sources(gs: GridSet) -> DataFrame:
+    """The runs of :func:`missing_runs`, one row per dataset."""
+    gaps, numbered = _gaps(gs)
+    named = gaps.select("variable", "reference_id", F.explode(F.sequence("low", "high")).alias("_pos")).join(numbered, "_pos")
     return named.select(
         "variable", "dataset_id", "reference_id", F.lit("missing").alias("kind"),
         F.format_string(

@@ -359,7 +359,18 @@ COMPAT = f"""WITH {FILES}, ids AS (SELECT DISTINCT dataset_id FROM files), x AS
        FROM fst f CROSS JOIN ids i WHERE NOT EXISTS (SELECT 1 FROM files y WHERE y.variable=f.variable AND y.dataset_id=i.dataset_id)""",
 )
 def _(spark, sf):
-    return C.compatibility(collection(spark, sf))
+    return C.compatibility(collection(spark, sf), expand=True)
+
+
+@query(
+    "i2_missing_runs",
+    COMPAT + """, lack AS (SELECT f.variable, f.ref, i.dataset_id, i.pos, i.pos - row_number() OVER (PARTITION BY f.variable ORDER BY i.pos) AS island
+         FROM fst f CROSS JOIN (SELECT dataset_id, row_number() OVER (ORDER BY dataset_id) AS pos FROM ids) i
+         WHERE NOT EXISTS (SELECT 1 FROM files y WHERE y.variable=f.variable AND y.dataset_id=i.dataset_id))
+       SELECT variable, ref AS reference_id, min(dataset_id) AS first_id, max(dataset_id) AS last_id, count(*) AS n FROM lack GROUP BY variable, ref, island""",
+)
+def _(spark, sf):
+    return C.missing_runs(collection(spark, sf))
 
 
 @query(

@@ -15,7 +15,7 @@ from ..functions.ieee import NAN
 from ..model import GridError
 from ..operators.joins import cut_lineage, lookup_join, null_safe_join
 from ..operators.msgindex import reconcile
-from ..operators.ordered import number_rows
+from ..operators.ordered import number_rows, with_neighbours
 
 #: Entries per manifest document that :func:`manifest_documents` writes.
 SHARD_ENTRIES = 10_000
@@ -317,17 +317,42 @@ def decode_chunks(chunks: DataFrame, arrays: DataFrame, base: str | None = None,
     return names.select("manifest", "variable", "t", "z", "r", "c", extra.alias("extra"), "raw")
 
 
-def absent_chunks(chunks: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Chunks of the arrays' index space that have no reference: manifest, variable, idx.
+#: Absent chunks of one gap that a row stands for before they are expanded.
+GAP_PIECE = 10_000
+
 
-    ``chunks``: the result of :func:`chunk_index`, unpruned.  An array without dimensions has one chunk.
+def absent_runs(chunks: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Runs of consecutive chunks without a reference, in C order: manifest, variable, counts, first, n.
+
+    ``chunks``: the result of :func:`chunk_index`, unpruned.  The chunks an array has are numbered
+    in C order; what lies between neighbouring numbers is a run.  Nothing is made for each chunk, so
+    the work grows with the references, not with the index space.  An array without dimensions has one chunk.
     """
     counts = F.zip_with("shape", "chunks", lambda n, c: F.ceil(n / c))
     total = F.aggregate(counts, F.lit(1).cast("bigint"), lambda acc, n: acc * n)
-    space = arrays.select("manifest", "variable", counts.alias("_counts"), total.alias("_total")).filter("_total > 0")
-    flat = space.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1)))
-    every = flat.select("manifest", "variable", _unravel(F.col("_k"), F.col("_counts")).alias("idx"))
-    return every.join(chunks.select("manifest", "variable", "idx"), ["manifest", "variable", "idx"], "left_anti")
+    space = arrays.select("manifest", "variable", counts.alias("counts"), total.alias("_total")).filter("_total > 0")
+    have = lookup_join(chunks.select("manifest", "variable", "idx"), space, ["manifest", "variable"], "inner")
+    inside = F.forall(F.zip_with("idx", "counts", lambda i, n: (i >= 0) & (i < n)), lambda ok: ok)
+    number = F.aggregate(
+        F.zip_with("idx", "counts", lambda i, n: F.struct(i.cast("bigint").alias("i"), n.cast("bigint").alias("n"))),
+        F.lit(0).cast("bigint"), lambda acc, x: acc * x["n"] + x["i"],
+    )
+    numbers = have.filter(inside).select("manifest", "variable", number.alias("_k")).distinct()
+    ends = numbers.unionByName(space.select("manifest", "variable", F.col("_total").alias("_k")))
+    gaps = with_neighbours(ends, ["manifest", "variable"], [F.col("_k")], {"_k": "_before"})
+    first = F.coalesce(F.col("_before"), F.lit(-1)) + 1
+    runs = gaps.select("manifest", "variable", first.alias("first"), (F.col("_k") - first).alias("n")).filter("n > 0")
+    return lookup_join(runs, space.drop("_total"), ["manifest", "variable"], "inner").select("manifest", "variable", "counts", "first", "n")
+
+
+def absent_chunks(chunks: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The chunks of :func:`absent_runs`, one row each: manifest, variable, idx."""
+    runs = absent_runs(chunks, arrays)
+    # long runs are cut first, so that no row holds more than a piece of one
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(GAP_PIECE).cast("bigint")))
+    pieces = runs.withColumn("_o", start).withColumn("_m", F.least(F.lit(GAP_PIECE), F.col("n") - F.col("_o"))).repartition("manifest", "variable", "first", "_o")
+    every = pieces.withColumn("_k", F.explode(F.sequence(F.col("first") + F.col("_o"), F.col("first") + F.col("_o") + F.col("_m") - 1)))
+    return every.select("manifest", "variable", _unravel(F.col("_k"), F.col("counts")).alias("idx"))
 
 
 def _unravel(k: Column, counts: Column) -> Column:

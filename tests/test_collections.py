@@ -83,7 +83,11 @@ def test_collection(spark):
     line = K.timeline(temp).orderBy("t_global").collect()
     assert [(r["dataset_id"], r["t"]) for r in line] == [(1, 0), (0, 0), (2, 0), (0, 1)]
     notes = {(r["variable"], r["dataset_id"], r["kind"]): r["message"] for r in K.compatibility(gs).collect()}
-    assert set(notes) == {("temperature", 2, "differs"), ("only", 1, "missing"), ("only", 2, "missing")}
+    assert set(notes) == {("temperature", 2, "differs"), ("only", 1, "missing")}
+    assert notes[("only", 1, "missing")] == "variable only is missing from sources 1 to 2"
+    each = {(r["variable"], r["dataset_id"], r["kind"]) for r in K.compatibility(gs, expand=True).collect()}
+    assert each == {("temperature", 2, "differs"), ("only", 1, "missing"), ("only", 2, "missing")}
+    assert [tuple(r) for r in K.missing_runs(gs).collect()] == [("only", 0, 1, 2, 2)]
     assert notes[("temperature", 2, "differs")] == "variable temperature differs from source 0 in units (source 2)"
     dup = K.duplicate_labels(temp).collect()
     assert [(r["dataset_id"], r["previous_dataset"], r["previous_t"]) for r in dup] == [(2, 0, 0)]
