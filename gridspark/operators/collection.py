@@ -47,11 +47,19 @@ def concat(parts: list[GridSet]) -> GridSet:
 
 
 def compatibility(gs: GridSet, expand: bool = False) -> DataFrame:
-    """Compare every variable with its first dataset: one diagnostic per difference.
+    """Differences of every variable from its first dataset, and the datasets that lack it.
 
     Result: variable, dataset_id, reference_id, kind (``differs`` or ``missing``), message.
-    Dimension lengths may differ along time only.  A run of datasets without the variable is one
-    diagnostic at the first of them; with ``expand`` each of them has its own.
+    A run of datasets without the variable is one diagnostic at the first of them; with
+    ``expand`` each of them has its own.
+    """
+    return differences(gs).unionByName(missing_sources(gs) if expand else missing_notes(gs))
+
+
+def differences(gs: GridSet) -> DataFrame:
+    """Compare every variable with its first dataset: one diagnostic per dataset that differs.
+
+    Dimension lengths may differ along time only.
     """
     fields = ["dims", "numeric", "units", "long_name", "standard_name"]
     rows = with_dim_map(gs.vars.select("dataset_id", "variable", *fields), gs.dims)
@@ -84,23 +92,24 @@ def compatibility(gs: GridSet, expand: bool = False) -> DataFrame:
         ("standard name", apart("standard_name")),
     ]
     what = F.array_compact(F.array(*[F.when(test, F.lit(text)) for text, test in checks]))
-    differs = both.withColumn("_what", what).filter(F.size("_what") > 0).select(
+    return both.withColumn("_what", what).filter(F.size("_what") > 0).select(
         "variable", "dataset_id", "reference_id", F.lit("differs").alias("kind"),
         F.format_string(
-            "variable %s differs from source %d in %s (source %d)",
-            F.col("variable"), F.col("reference_id"), F.array_join("_what", ", "), F.col("dataset_id"),
+            "%s: sources %d and %d disagree on %s",
+            F.col("variable"), F.col("reference_id"), F.col("dataset_id"), F.array_join("_what", ", "),
         ).alias("message"),
     )
-    if expand:
-        return differs.unionByName(missing_sources(gs))
+
+
+def missing_notes(gs: GridSet) -> DataFrame:
+    """The diagnostics of :func:`missing_runs`."""
     alone = F.col("first_id") == F.col("last_id")
-    lacking = missing_runs(gs).select(
+    return missing_runs(gs).select(
         "variable", F.col("first_id").alias("dataset_id"), "reference_id", F.lit("missing").alias("kind"),
-        F.when(alone, F.format_string("variable %s is missing from source %d", F.col("variable"), F.col("first_id"))).otherwise(
-            F.format_string("variable %s is missing from sources %d to %d", F.col("variable"), F.col("first_id"), F.col("last_id"))
+        F.when(alone, F.format_string("%s: not in source %d", F.col("variable"), F.col("first_id"))).otherwise(
+            F.format_string("%s: not in sources %d to %d", F.col("variable"), F.col("first_id"), F.col("last_id"))
         ).alias("message"),
     )
-    return differs.unionByName(lacking)
 
 
 def _gaps(gs: GridSet) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +152,7 @@ def missing_sources(gs: GridSet) -> DataFrame:
     return named.select(
         "variable", "dataset_id", "reference_id", F.lit("missing").alias("kind"),
         F.format_string(
-            "variable %s is missing from source %d", F.col("variable"), F.col("dataset_id")
+            "%s: not in source %d", F.col("variable"), F.col("dataset_id")
         ).alias("message"),
     )
 
@@ -180,8 +189,8 @@ def coord_compat(gs: GridSet, variables: DataFrame) -> DataFrame:
     return lookup_join(named, wrong, ["dataset_id", "reference_id", "dim"], "inner").select(
         "variable", "dataset_id", "reference_id", "dim",
         F.format_string(
-            "variable %s coordinate dimension %s differs between source %d and source %d",
-            F.col("variable"), F.col("dim"), F.col("reference_id"), F.col("dataset_id"),
+            "%s: sources %d and %d place %s differently",
+            F.col("variable"), F.col("reference_id"), F.col("dataset_id"), F.col("dim"),
         ).alias("message"),
     )
 
@@ -212,12 +221,12 @@ def corner_compat(gs: GridSet, variables: DataFrame) -> DataFrame:
 
     shape = (F.col("_m.rows") == F.col("_r.rows")) & (F.col("_m.cols") == F.col("_r.cols"))
     corners = same("first.lat") & same("first.lon") & same("last.lat") & same("last.lon")
-    kind = F.when(~shape, "grid shape differs").when(~corners, "coordinate values differ")
+    kind = F.when(~shape, "grids of different shapes").when(~corners, "grids in different places")
     return both.withColumn("_kind", kind).filter("_kind IS NOT NULL").select(
         "variable", "dataset_id", "reference_id",
         F.format_string(
-            "variable %s %s between source %d and source %d",
-            F.col("variable"), F.col("_kind"), F.col("reference_id"), F.col("dataset_id"),
+            "%s: sources %d and %d have %s",
+            F.col("variable"), F.col("reference_id"), F.col("dataset_id"), F.col("_kind"),
         ).alias("message"),
     )
 

@@ -103,12 +103,12 @@ def _linked(lines: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _problem() -> Column:
     return (
-        F.when(F.size("fields") < 2, "expected ordinal and byte offset")
-        .when(F.col("ordinal").isNull(), "invalid message ordinal")
+        F.when(F.size("fields") < 2, "fewer than two fields")
+        .when(F.col("ordinal").isNull(), "the ordinal is not a number")
         .when(F.col("ordinal") == 0, "ordinals count from 1, found 0")
-        .when(F.col("_prev_line").isNull() & (F.col("ordinal") != 1), "the first message ordinal must be one")
-        .when(F.col("offset").isNull(), "invalid byte offset")
-        .when(F.col("size").isNull() | (F.col("offset") >= F.col("size")), "byte offset is outside the source object")
+        .when(F.col("_prev_line").isNull() & (F.col("ordinal") != 1), "counting does not begin at 1")
+        .when(F.col("offset").isNull(), "the offset is not a number")
+        .when(F.col("size").isNull() | (F.col("offset") >= F.col("size")), "the offset lies past the end of the object")
         .when(F.col("offset") <= F.col("_prev_offset"), "offset does not lie after the previous one")
         .when(F.col("ordinal") <= F.col("_prev_ordinal"), "ordinal does not follow the previous one")
     )

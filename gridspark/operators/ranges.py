@@ -11,6 +11,8 @@ from .ordered import dense_order, running_sum, with_neighbours
 
 #: Longest chain of adjacent ranges that is merged inside one row.
 CHAIN_ROWS = 50_000
+#: Ranges of a chain that are folded before what is finished is put away.
+PIECE = 256
 
 
 def validate_ranges(ranges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -56,26 +58,35 @@ def coalesce_ranges(ranges: DataFrame, cap: int) -> DataFrame:
 
 
 def _fold(chained: DataFrame, cap: int) -> DataFrame:
-    """One row per chain, folded by a higher-order function."""
+    """One row per chain, folded by higher-order functions, ``PIECE`` ranges at a time.
+
+    What is finished inside a piece is appended range by range, finished pieces as a whole, so
+    that appending copies short arrays only.
+    """
     rows = chained.groupBy("object", "_chain").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_r"))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    state = F.struct(
-        empty.alias("done"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end")
-    )
+    kind = "array<struct<start:bigint,end:bigint>>"
+    none = F.lit(None).cast("bigint")
+    open_ = lambda acc: F.struct(acc["start"].alias("start"), acc["end"].alias("end"))
+
+    def state(pieces, done, start, end):
+        return F.struct(pieces.alias("pieces"), done.alias("done"), start.alias("start"), end.alias("end"))
 
     def step(acc, r):
         grows = (acc["end"] == r["start"]) & (r["end"] - acc["start"] <= cap)
-        closed = F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end"))))
         return (
-            F.when(acc["start"].isNull(), F.struct(acc["done"].alias("done"), r["start"].alias("start"), r["end"].alias("end")))
-            .when(grows, F.struct(acc["done"].alias("done"), acc["start"].alias("start"), r["end"].alias("end")))
-            .otherwise(F.struct(closed.alias("done"), r["start"].alias("start"), r["end"].alias("end")))
+            F.when(acc["start"].isNull(), state(acc["pieces"], acc["done"], r["start"], r["end"]))
+            .when(grows, state(acc["pieces"], acc["done"], acc["start"], r["end"]))
+            .otherwise(state(acc["pieces"], F.concat(acc["done"], F.array(open_(acc))), r["start"], r["end"]))
         )
 
-    merged = F.aggregate(
-        "_r", state, step,
-        lambda acc: F.concat(acc["done"], F.array(F.struct(acc["start"].alias("start"), acc["end"].alias("end")))),
-    )
+    def piece(acc, ranges):
+        close = lambda s: state(F.concat(s["pieces"], F.array(s["done"])), F.array().cast(kind), s["start"], s["end"])
+        return F.aggregate(ranges, acc, step, close)
+
+    count = F.ceil(F.size("_r") / PIECE).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("_r", i * PIECE + 1, F.lit(PIECE)))
+    first = state(F.array().cast(f"array<{kind}>"), F.array().cast(kind), none, none)
+    merged = F.aggregate(pieces, first, piece, lambda acc: F.concat(F.flatten(acc["pieces"]), F.array(open_(acc))))
     return rows.select("object", F.explode(merged).alias("_m")).select("object", "_m.start", "_m.end")
 
 

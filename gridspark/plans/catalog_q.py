@@ -247,9 +247,9 @@ def _(spark, sf):
     f"""WITH {VARS_SQL}, {DIMS_SQL}, {AX_SQL},
         s AS (SELECT dataset_id, pos, string_agg(concat(dim, '=', coalesce(CAST(length AS VARCHAR), '?')), ', ' ORDER BY a) sh, min_by(dim, a) FILTER (length = 0) em, any_value(rank) rank,
               bool_or(dim='lat') hl, bool_or(dim='lon') hx FROM ax GROUP BY 1, 2),
-        m AS (SELECT dataset_id, va.variable, CASE WHEN em IS NOT NULL THEN concat(va.variable, ': dimension ', em, '=0 is empty; cannot display a 2D plane')
-             WHEN s.rank < 2 THEN concat(va.variable, ' (', sh, '): needs at least two dimensions to display a 2D plane')
-             WHEN NOT (hl AND hx) THEN concat(va.variable, ' (', sh, '): selected axes lat × lon do not form a valid plane; choose two distinct dimensions present in the variable') END message
+        m AS (SELECT dataset_id, va.variable, CASE WHEN em IS NOT NULL THEN concat(va.variable, ': no plane, ', em, ' has length 0')
+             WHEN s.rank < 2 THEN concat(va.variable, ' (', sh, '): a plane takes two dimensions or more')
+             WHEN NOT (hl AND hx) THEN concat(va.variable, ' (', sh, '): no plane over lat and lon, which are not two of its dimensions') END message
            FROM s JOIN va USING (dataset_id, pos))
         SELECT dataset_id, variable, message FROM m WHERE message IS NOT NULL""",
 )

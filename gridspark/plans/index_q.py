@@ -47,9 +47,9 @@ def _faulty(spark, sf):
        p AS (SELECT obj, ord, CASE WHEN obj % 3 = 0 THEN total - 200 ELSE total END AS size, CASE WHEN k = 27 THEN 1 ELSE 5 END AS nf,
              CASE k WHEN 3 THEN NULL WHEN 27 THEN 28 WHEN 33 THEN 1 ELSE ord END AS o, CASE k WHEN 9 THEN NULL WHEN 20 THEN 0 WHEN 27 THEN NULL ELSE off END AS f FROM l),
        q AS (SELECT *, lag(ord) OVER w pl, lag(o) OVER w po, lag(f) OVER w pf FROM p WINDOW w AS (PARTITION BY obj ORDER BY ord)),
-       r AS (SELECT obj AS object, ord AS line, CASE WHEN nf < 2 THEN 'expected ordinal and byte offset' WHEN o IS NULL THEN 'invalid message ordinal'
-           WHEN o = 0 THEN 'ordinals count from 1, found 0' WHEN pl IS NULL AND o <> 1 THEN 'the first message ordinal must be one' WHEN f IS NULL THEN 'invalid byte offset'
-           WHEN f >= size THEN 'byte offset is outside the source object' WHEN f <= pf THEN 'offset does not lie after the previous one'
+       r AS (SELECT obj AS object, ord AS line, CASE WHEN nf < 2 THEN 'fewer than two fields' WHEN o IS NULL THEN 'the ordinal is not a number'
+           WHEN o = 0 THEN 'ordinals count from 1, found 0' WHEN pl IS NULL AND o <> 1 THEN 'counting does not begin at 1' WHEN f IS NULL THEN 'the offset is not a number'
+           WHEN f >= size THEN 'the offset lies past the end of the object' WHEN f <= pf THEN 'offset does not lie after the previous one'
            WHEN o <= po THEN 'ordinal does not follow the previous one' END AS reason FROM q)
        SELECT object, line, reason FROM r WHERE reason IS NOT NULL""",
     ("idx_lines",),

@@ -354,8 +354,8 @@ COMPAT = f"""WITH {FILES}, ids AS (SELECT DISTINCT dataset_id FROM files), x AS
 @query(
     "i2_compatibility",
     COMPAT + """ SELECT variable, dataset_id, ref AS reference_id, 'differs' AS kind,
-         concat('variable ', variable, ' differs from source ', ref, ' in ', what, ' (source ', dataset_id, ')') AS message FROM d WHERE what <> ''
-       UNION ALL SELECT f.variable, i.dataset_id, f.ref, 'missing', concat('variable ', f.variable, ' is missing from source ', i.dataset_id)
+         concat(variable, ': sources ', ref, ' and ', dataset_id, ' disagree on ', what) AS message FROM d WHERE what <> ''
+       UNION ALL SELECT f.variable, i.dataset_id, f.ref, 'missing', concat(f.variable, ': not in source ', i.dataset_id)
        FROM fst f CROSS JOIN ids i WHERE NOT EXISTS (SELECT 1 FROM files y WHERE y.variable=f.variable AND y.dataset_id=i.dataset_id)""",
 )
 def _(spark, sf):
@@ -376,7 +376,7 @@ def _(spark, sf):
 @query(
     "i3_coordinate_compatibility",
     COMPAT + """ SELECT x.variable, x.dataset_id, ref AS reference_id, 'lat' AS dim,
-         concat('variable ', x.variable, ' coordinate dimension lat differs between source ', ref, ' and source ', x.dataset_id) AS message
+         concat(x.variable, ': sources ', ref, ' and ', x.dataset_id, ' place lat differently') AS message
        FROM x JOIN fst USING (variable) WHERE x.dataset_id <> ref AND (nlat <> nl OR (x.dataset_id % 19 = 7) <> (ref % 19 = 7))""",
 )
 def _(spark, sf):

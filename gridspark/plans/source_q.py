@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..model import GridSet
+from ..operators.derive import Derived, ref
 from ..operators.joins import scratch_path
 from ..operators.msgindex import parse_idx
 from ..operators.slicing import plane
+from ..sources import chunks as S
 from ..sources import grid as G
 from ..sources import manifest as M
 from ..sources import text as T
@@ -36,21 +38,38 @@ def _(spark, sf):
     return rows.select("dataset_id", "variable", "t", "z", "r", "c", "raw", "value", "validity")
 
 
+def _runs(spark, sf):
+    """Cells and datasets of four folders of several files each, one of them without rows; the pattern order makes dataset 3 the first."""
+    path = scratch_path(spark, "runs")
+    cells = V.cells(spark, sf)
+    for d, name in ((1, "run_a"), (2, "run_b"), (3, "late"), (4, "run_c")):
+        cells.filter(F.col("dataset_id") == d).drop("dataset_id").repartition(3, "t", "r").write.parquet(f"{path}/{name}")
+    return G.read_grids(spark, [f"{path}/la*", f"{path}/run_?", f"{path}/late"])
+
+
 @query(
     "a2_multi_path_scan",
     """SELECT CAST(CASE dataset_id WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INT) AS dataset_id, variable, t, z, r, c, raw FROM cells""",
     ("cells",),
 )
 def _(spark, sf):
-    # one file per dataset; the pattern order makes dataset 3 the first
-    path = scratch_path(spark, "runs")
-    cells = V.cells(spark, sf)
-    for d, name in ((1, "run_a"), (2, "run_b"), (3, "late")):
-        cells.filter(F.col("dataset_id") == d).drop("dataset_id").coalesce(1).write.parquet(f"{path}/{name}")
-    found, datasets = G.read_grids(spark, [f"{path}/la*", f"{path}/run_?"])
+    found, _ = _runs(spark, sf)
     return found.select("dataset_id", "variable", "t", "z", "r", "c", "raw")
 
 
+@query(
+    "a2_dataset_numbers",
+    """SELECT d.dataset_id, d.name, count(raw) AS cells FROM (SELECT unnest([1, 2, 3, 4]) AS dataset_id, unnest(['late', 'run_a', 'run_b', 'run_c']) AS name, unnest([3, 1, 2, 4]) AS own) d
+       LEFT JOIN cells ON cells.dataset_id = d.own GROUP BY ALL""",
+    ("cells",),
+)
+def _(spark, sf):
+    found, datasets = _runs(spark, sf)
+    counts = found.groupBy("dataset_id").agg(F.count("raw").alias("cells"))
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return datasets.select("dataset_id", name.alias("name")).join(counts, "dataset_id", "left").fillna(0, ["cells"])
+
+
 # --- manifests: one per dataset, year and block of 24 columns -----------------------
 
 DOCS = """mc AS (SELECT concat('d', dataset_id, '_t', t, '_b', c // 24) AS manifest, variable, z, r, c % 24 AS c, c % 24 // 8 AS cb, CAST(raw AS INT) AS raw FROM cells),
@@ -112,6 +131,15 @@ def documents(spark, sf):
     return docs.select("manifest", text.alias("text"))
 
 
+def _documents_on_files(spark, sf):
+    """The documents, written and read back as one JSON text file per manifest."""
+    path = scratch_path(spark, "manifests")
+    documents(spark, sf).write.partitionBy("manifest").text(path)
+    return spark.read.text(f"{path}/*", wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), "manifest=([^/]*)/", 1).alias("manifest"), F.col("value").alias("text")
+    )
+
+
 @query(
     "a3_manifest_entries",
     f"""WITH {DOCS}, e AS (SELECT manifest, concat(variable, CASE z % 3 WHEN 0 THEN concat('/', z, '.0.', cb) WHEN 1 THEN concat('/', z, '/0/', cb) ELSE concat('/c/', z, '/0/', cb) END) AS key FROM ck WHERE (z + cb) % 5 <> 4
@@ -121,12 +149,7 @@ def documents(spark, sf):
     ("cells",),
 )
 def _(spark, sf):
-    # written and read back as one JSON text file per manifest
-    path = scratch_path(spark, "manifests")
-    documents(spark, sf).write.partitionBy("manifest").text(path)
-    docs = spark.read.text(f"{path}/*", wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), "manifest=([^/]*)/", 1).alias("manifest"), F.col("value").alias("text")
-    )
+    docs = _documents_on_files(spark, sf)
     return M.manifest_refs(docs).select("manifest", "key")
 
 
@@ -167,7 +190,7 @@ def _(spark, sf):
 
 
 def _indexed(spark, sf):
-    arrays, refs = M.open_manifests(documents(spark, sf))
+    arrays, refs = M.open_manifests(_documents_on_files(spark, sf))
     return M.chunk_index(refs, arrays), arrays
 
 
@@ -202,6 +225,20 @@ def _(spark, sf):
     return M.decode_chunks(M.prune_chunks(chunks, arrays, {0: (2, 3), 2: (9, 12)}), arrays).drop("extra")
 
 
+@query(
+    "a7_chunk_source",
+    f"WITH {DOCS}, {FULL} SELECT manifest, variable, t, 0 AS z, r, c, raw FROM dc WHERE t BETWEEN 2 AND 3 AND c BETWEEN 8 AND 15",
+    ("cells",),
+)
+def _(spark, sf):
+    # an index of all chunks is written; the filters choose chunks when the source is planned
+    chunks, arrays = _indexed(spark, sf)
+    path = scratch_path(spark, "chunk-index")
+    S.write_chunk_index(chunks, arrays, path)
+    cells = S.read_chunks(spark, path).filter("t BETWEEN 2 AND 3 AND c BETWEEN 8 AND 15")
+    return cells.select("manifest", "variable", "t", "z", "r", "c", "raw")
+
+
 @query(
     "a8_complete_grid",
     f"""WITH {DOCS}, {FULL}, sp AS (SELECT DISTINCT manifest, variable FROM dc), i AS (SELECT manifest, variable, unnest(range(0, 1680)) k FROM sp)
@@ -384,11 +421,11 @@ def arrivals(spark, sf):
     )
 
 
-def _grown(spark, sf, table):
+def _grown(spark, sf, table, formulas=None):
     source, sink = scratch_path(spark, "arrivals"), scratch_path(spark, "collection")
     # three files, taken in one batch each
     arrivals(spark, sf).repartitionByRange(3, "dataset_id").write.parquet(source)
-    q = L.stream_collection(spark, source, sink, files_per_batch=1, available_now=True)
+    q = L.stream_collection(spark, source, sink, formulas, files_per_batch=1, available_now=True)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
@@ -404,6 +441,18 @@ def _(spark, sf):
     return _grown(spark, sf, "timeline").select("variable", "t_global", "dataset_id", "t", "label")
 
 
+@query(
+    "l1_growing_formulas",
+    f"""WITH {FILES}, pairs AS (SELECT dataset_id FROM files WHERE dataset_id % 23 <> 22 AND k <> 3 AND variable IN ('v1', 'v2') GROUP BY 1 HAVING count(*) = 2),
+        f AS (SELECT dataset_id, CAST(unnest(range(0, dataset_id % 3 + 1)) AS INT) AS t FROM pairs)
+        SELECT 'pair' AS variable, CAST(row_number() OVER (ORDER BY dataset_id, t) - 1 AS INT) AS t_global, dataset_id, t, concat('t=', dataset_id*3 + t) AS label FROM f""",
+)
+def _(spark, sf):
+    formulas = [Derived("pair", (ref("v1"), ref("v2")), lambda a, b: a + b)]
+    line = _grown(spark, sf, "timeline", formulas).filter("variable = 'pair'")
+    return line.select("variable", "t_global", "dataset_id", "t", "label")
+
+
 @query(
     "l1_growing_progress",
     f"""WITH {FILES} SELECT count(DISTINCT dataset_id) FILTER (dataset_id % 23 <> 22) AS loaded, count(DISTINCT dataset_id) AS finished FROM files""",
@@ -440,9 +489,9 @@ def _(spark, sf):
 def _(spark, sf):
     source, sink = scratch_path(spark, "cells"), scratch_path(spark, "stats")
     cells = V.cells(spark, sf)
-    cells.repartition(3).write.parquet(source)
+    cells.repartition(5).write.parquet(source)  # five batches, snapshots after two and four
     stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = L.start_stats(L.stream_stats(stream, V.attrs(spark, sf)), sink, available_now=True)
+    q = L.start_stats(L.stream_stats(stream, V.attrs(spark, sf)), sink, available_now=True, snapshot_every=2)
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -12,7 +13,6 @@ from ..functions.scalars import plane_name
 from ..model import CELL_KEY, GridError, GridSet
 from ..operators.binning import limits
 from ..operators.joins import lookup_join
-from ..operators.ordered import number_rows
 
 _TABLES = ("vars", "dims", "attrs", "axes", "coord2d", "datasets")
 
@@ -48,26 +48,43 @@ def write_grid(gs: GridSet, path: str) -> None:
             rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def matched_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a ``*`` / ``?`` pattern matches, sorted; a listing by the file system, no data is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().toString() for status in system.globStatus(path) or [])
+
+
+def _plain(path: Column) -> Column:
+    """A path without the scheme of local files, of which several spellings exist."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def read_grids(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Cells of many files given by paths or ``*`` / ``?`` patterns.
+    """Cells of many files or folders given by paths or ``*`` / ``?`` patterns.
 
-    Datasets are numbered by pattern, then by sorted path; a file matched twice counts
-    once.  Returns the cells with ``dataset_id`` and the table ``datasets``.  A pattern
-    that matches nothing is read as a plain path, so a wrong name is reported.
+    Every matched path is one dataset, however many files it has, also if it holds no rows.  Datasets are
+    numbered by pattern, then by sorted path; a path matched twice counts once.  Returns
+    the cells with ``dataset_id`` and the table ``datasets``.  A pattern that matches nothing
+    is read as a plain path, so a wrong name is reported.
     """
     if not paths:
         raise GridError("no dataset given")
-    parts = [
-        spark.read.parquet(p).select("*", F.col("_metadata.file_path").alias("path"), F.lit(i).alias("_pattern"))
-        for i, p in enumerate(paths)
-    ]
+    parts, found = [], {}
+    for i, pattern in enumerate(paths):
+        rows = spark.read.parquet(pattern).select("*", _plain(F.col("_metadata.file_path")).alias("_path"), F.lit(i).alias("_pattern"))
+        parts.append(rows.drop("dataset_id") if "dataset_id" in rows.columns else rows)
+        for path in matched_paths(spark, pattern):
+            found.setdefault(re.sub("^file:/+", "/", path), (i, path))
+    names = [(n, root, path, i) for n, (root, (i, path)) in enumerate(found.items(), 1)]
+    table = spark.createDataFrame(names, "dataset_id INT, _root STRING, path STRING, _pattern INT")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    files = rows.groupBy("path").agg(F.min("_pattern").alias("_pattern"))
-    numbered = number_rows(files, [], [F.col("_pattern"), F.col("path")], "_n").select(
-        F.col("_n").cast("int").alias("dataset_id"), "path", "_pattern"
-    )
-    cells = lookup_join(rows.drop("dataset_id"), numbered, ["path", "_pattern"], "inner").drop("path", "_pattern")
-    datasets = numbered.select("dataset_id", "path", F.lit("parquet").alias("format"), F.col("path").alias("identity"))
+    # a file lies at or below its dataset's path; patterns match at one depth each
+    depths = sorted({root.count("/") + 1 for root in found})
+    roots = F.array(*[F.substring_index("_path", "/", d) for d in depths])
+    rows = rows.withColumn("_root", F.explode(F.array_distinct(roots)))
+    cells = lookup_join(rows, table.drop("path"), ["_root", "_pattern"], "inner").drop("_root", "_pattern", "_path")
+    datasets = table.select("dataset_id", "path", F.lit("parquet").alias("format"), F.col("path").alias("identity"))
     return cells, datasets
 
 

@@ -21,7 +21,6 @@ from ..operators.ordered import number_rows, with_neighbours
 SHARD_ENTRIES = 10_000
 
 # Keys of array headers and attributes.
-_HEADERS = r"^(?:(.*)/)?(\.zarray|zarr\.json)$"
 _SPECIAL = r"^(?:.*/)?(\.zarray|\.zattrs|\.zgroup|zarr\.json)$"
 
 
@@ -34,9 +33,13 @@ def read_manifest(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFra
 
 
 def open_manifests(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Array headers and chunk references of manifest documents, parsed once."""
-    refs = cut_lineage(manifest_refs(docs))
-    return array_meta(refs), chunk_refs(refs)
+    """Array headers and chunk references of manifest documents.
+
+    Only headers are settled; documents are parsed again for their references, so inline
+    chunks are not copied.  ``docs`` is best a table of files.
+    """
+    refs = manifest_refs(docs)
+    return cut_lineage(array_meta(refs)), chunk_refs(refs)
 
 
 def manifest_refs(docs: DataFrame) -> DataFrame:
@@ -63,15 +66,13 @@ def array_meta(refs: DataFrame) -> DataFrame:
     Result: manifest, variable, dims, shape, chunks, dtype, fill, units, long_name,
     standard_name, scale_factor, add_offset, is_message.
     """
-    head = refs.filter(F.col("key").rlike(_HEADERS)).select(
-        "manifest", F.regexp_extract("key", _HEADERS, 1).alias("variable"), F.col("value").alias("h")
-    )
-    notes = refs.filter(F.col("key").rlike(r"^(?:.*/)?\.zattrs$")).select(
-        "manifest", F.regexp_extract("key", r"^(?:(.*)/)?\.zattrs$", 1).alias("variable"), F.col("value").alias("a")
-    )
-    both = head.join(notes, ["manifest", "variable"], "left").withColumn(
-        "a", F.coalesce("a", F.get_json_object("h", "$.attributes"))
-    )
+    # The keys of an array's header and of its attributes.
+    kind = F.regexp_extract("key", r"^(?:.*/)?(\.zarray|\.zattrs|zarr\.json)$", 1)
+    name = F.regexp_extract("key", r"^(?:(.*)/)?(?:\.zarray|\.zattrs|zarr\.json)$", 1)
+    special = refs.withColumn("_kind", kind).filter("_kind <> ''").withColumn("variable", name)
+    pick = lambda k: F.max(F.when(F.col("_kind") == k, F.col("value")))
+    both = special.groupBy("manifest", "variable").agg(F.coalesce(pick(".zarray"), pick("zarr.json")).alias("h"), pick(".zattrs").alias("_a"))
+    both = both.filter("h IS NOT NULL").withColumn("a", F.coalesce("_a", F.get_json_object("h", "$.attributes")))
 
     def h(path: str) -> Column:
         return F.get_json_object("h", path)
@@ -266,8 +267,8 @@ def decode_chunks(chunks: DataFrame, arrays: DataFrame, base: str | None = None,
     """Cells of the referenced chunks: manifest, variable, t, z, r, c[, extra], raw.
 
     The last two axes are r and c; of the others the first is t, the second z, and any
-    further ones go to the map ``extra``.  References are spread by (uri, offset), so a
-    huge object is read by many tasks and each task reads forward.  A chunk that cannot be
+    further ones go to the map ``extra``.  References to objects are spread by (uri, offset), so a
+    huge object is read by many tasks and each task reads forward; inline chunks are decoded where they are.  A chunk that cannot be
     read fails its task, which Spark repeats.  One whose object does not exist is absent: it
     is left out, or has the fill value with ``fill_missing``.
     Relative URIs need ``base``, a folder that every executor sees.
@@ -275,9 +276,8 @@ def decode_chunks(chunks: DataFrame, arrays: DataFrame, base: str | None = None,
     head = arrays.select("manifest", "variable", "shape", "chunks", "dtype", "fill", "dims")
     rows = lookup_join(chunks, head, ["manifest", "variable"], "inner")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(
-        parts, F.coalesce("uri", "variable"), F.coalesce("offset", F.hash("idx").cast("bigint")), "idx"
-    ).sortWithinPartitions("uri", "offset")
+    read_ = rows.filter("inline IS NULL").repartitionByRange(parts, "uri", "offset", "idx").sortWithinPartitions("uri", "offset")
+    rows = rows.filter("inline IS NOT NULL").unionByName(read_)
     wanted = rows.select("manifest", "variable", "idx", "uri", "offset", "length", "inline", "shape", "chunks", "dtype", "fill")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

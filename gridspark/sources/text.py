@@ -4,21 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..operators.joins import cut_lineage, lookup_join
 from ..operators.ordered import number_rows
 
 
 def numbered_lines(spark: SparkSession, pattern: str) -> DataFrame:
     """Lines of all matching files with their 1-based number: path, line, text.
 
-    Large files are read in several splits; the start of the split and the position
-    in it give the order of lines, and numbering does not gather a file in one task.
+    Large files are read in several splits.  A first pass counts the lines of each split; a line's
+    number is its place in its split plus the lines of the splits before.  The text itself
+    is neither written, sorted nor shuffled.
     """
     lines = spark.read.text(pattern).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_seq"), F.col("value").alias("text"),
     )
-    return number_rows(lines, ["path"], [F.col("_at"), F.col("_seq")], "line").select("path", "line", "text")
+    before = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per split; the lines of a split follow each other in one task
+    splits = lines.groupBy("path", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
+    splits = cut_lineage(splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    numbered = lookup_join(lines, splits, ["path", "_at"], "inner")
+    return numbered.select("path", (F.col("_before") + F.col("_seq") - F.col("_first") + 1).alias("line"), "text")
 
 
 def read_idx(spark: SparkSession, pattern: str) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..model import GridSet
-from ..operators.collection import compatibility, duplicate_labels, frames, timeline
+from ..model import GridError, GridSet
+from ..operators.collection import differences, duplicate_labels, frames, missing_notes, timeline
 from ..operators.decode import decode, finite_value
 from ..operators.derive import Derived, derived_vars
 from ..operators.joins import cut_lineage, lookup_join
@@ -20,6 +21,7 @@ ARRIVALS = (
     "numeric BOOLEAN, units STRING, long_name STRING, standard_name STRING, format STRING, path STRING, "
     "labels ARRAY<STRING>, error STRING"
 )
+#: Tables that :func:`latest` gives.
 TABLES = ("frames", "diagnostics", "timeline", "progress")
 
 
@@ -36,58 +38,95 @@ def catalogue(arrivals: DataFrame) -> tuple[GridSet, DataFrame]:
     return GridSet(cells=None, vars=vars_, dims=dims, datasets=datasets), labels
 
 
-def rebuild(arrivals: DataFrame, formulas: list[Derived] | None = None) -> dict[str, DataFrame]:
-    """Frames, diagnostics and timeline of the given arrivals, formulas included."""
+def derived_arrivals(arrivals: DataFrame, formulas: list[Derived]) -> DataFrame | None:
+    """Arrivals of the formulas' results, for the datasets that can evaluate them; labels are those of the first reference.
+
+    Formulas are bound against what the files hold, so none sees another's result.
+    """
     gs, labels = catalogue(arrivals)
-    # every formula is bound against what the files hold, so none sees another's result
-    vars_ = gs.vars
-    for d in formulas or []:
-        vars_ = vars_.unionByName(derived_vars(gs, d).withColumn("pos", F.lit(10_000)))
-    gs = GridSet(cells=None, vars=vars_, dims=gs.dims, datasets=gs.datasets)
-    steps = cut_lineage(frames(gs, labels))
-    twice = duplicate_labels(steps).select(
-        "variable", "dataset_id",
-        F.format_string(
-            'variable %s has duplicate time label "%s" in source %d index %d and source %d index %d',
-            F.col("variable"), F.col("label"), F.col("previous_dataset"), F.col("previous_t"), F.col("dataset_id"), F.col("t"),
-        ).alias("message"),
-    )
-    failed = arrivals.filter("error IS NOT NULL").select(
-        "variable", "dataset_id", F.concat(F.col("path"), F.lit(": "), F.col("error")).alias("message")
-    )
-    notes = compatibility(gs).select("variable", "dataset_id", "message").unionByName(twice).unionByName(failed)
-    return {"frames": steps, "diagnostics": notes, "timeline": timeline(steps)}
+    names = gs.vars.select("variable").distinct()
+    out = []
+    for d in formulas:
+        if names.filter(F.col("variable").isin([r.name for r in d.refs])).count() < len({r.name for r in d.refs}):
+            continue  # a reference is not there yet
+        rows = derived_vars(gs, d)
+        sizes = gs.dims.groupBy("dataset_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", F.struct("length", "role")))).alias("_m"))
+        source = arrivals.filter((F.col("variable") == d.refs[0].name) & F.col("error").isNull())
+        named = source.select("dataset_id", "format", "path", F.col("labels").alias("_labels")).dropDuplicates(["dataset_id"])
+        rows = rows.join(sizes, "dataset_id").join(named, "dataset_id", "left")
+        dims = F.transform("dims", lambda x: F.struct(
+            x.alias("dim"), F.try_element_at("_m", x)["length"].alias("length"), F.try_element_at("_m", x)["role"].alias("role")
+        ))
+        over_time = d.over is not None and d.over[0] == "time"
+        out.append(rows.select(
+            "dataset_id", F.lit(10_000).alias("pos"), "variable", dims.alias("dims"), "numeric", "units", "long_name", "standard_name", "format", "path",
+            F.lit(None).cast("array<string>").alias("labels") if over_time else F.col("_labels").alias("labels"), F.lit(None).cast("string").alias("error"),
+        ))
+    return reduce(lambda a, b: a.unionByName(b), out) if out else None
 
 
 def update_collection(formulas: list[Derived] | None, sink: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: store the batch, then rebuild the variables it touches.
+    """``foreachBatch`` function: store the batch, its frames and how it differs from what was there.
 
-    Every batch writes its own folders and overwrites them when it is retried, so a lost
-    executor or a restart leaves the same tables.  Variables without new datasets keep
-    the rows of an earlier batch.
+    The state that survives batches is one row per variable, its first dataset (``first``), and the arrivals
+    of the variables that formulas read (``inputs``).  A batch reads itself and that state.  Only
+    where a dataset comes before the first one of its variable are that variable's
+    arrivals read again (``restarts``).  Every batch writes its own folders and overwrites
+    them when it is retried, so a lost executor or a restart leaves the same tables.
     """
+    needed = sorted({r.name for d in formulas or [] for r in d.refs})
+    pinned = sorted({r.dataset for d in formulas or [] for r in d.refs if r.dataset is not None})
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{sink}/arrivals/batch_id={batch_id}")
-        stored = spark.read.schema(ARRIVALS).parquet(f"{sink}/arrivals/batch_id={batch_id}")
-        # after a retry or restart, later folders cannot exist yet
-        known = spark.read.option("basePath", f"{sink}/arrivals").schema(f"{ARRIVALS}, batch_id INT").parquet(f"{sink}/arrivals")
-        known = known.filter(F.col("batch_id") <= batch_id)
-        touched = stored.select("variable").distinct()
-        needed = sorted({r.name for d in formulas or [] for r in d.refs})
-        affected = lookup_join(known, touched, ["variable"], "left_semi")
-        if needed:
-            affected = affected.unionByName(
-                lookup_join(known.filter(F.col("variable").isin(needed)), touched, ["variable"], "left_anti")
+
+        def write(rows: DataFrame, table: str) -> DataFrame:
+            path = f"{sink}/{table}/batch_id={batch_id}"
+            rows.write.mode("overwrite").parquet(path)
+            return spark.read.schema(rows.schema).parquet(path)
+
+        def before(table: str) -> DataFrame:
+            """The rows of a table that earlier batches wrote; after a retry or restart, later ones do not count."""
+            found = [n for n in _folders(spark, f"{sink}/{table}", "batch_id") if n < batch_id]
+            rows = spark.createDataFrame([], f"{ARRIVALS}, batch_id INT")
+            if found:
+                rows = spark.read.schema(f"{ARRIVALS}, batch_id INT").option("basePath", f"{sink}/{table}").parquet(
+                    *[f"{sink}/{table}/batch_id={n}" for n in (found[-1:] if table == "first" else found)]
+                )
+            return rows.drop("batch_id")
+
+        new = write(batch.select(*[f.name for f in batch.schema]), "arrivals")
+        good = new.filter("error IS NULL AND variable IS NOT NULL")
+        if formulas:
+            inputs = write(good.filter(F.col("variable").isin(needed)), "inputs")
+            held = before("inputs").unionByName(inputs)
+            ids = good.select("dataset_id").distinct()
+            # a pinned dataset is needed by all; if it arrives now, formulas bind for every dataset
+            late = bool(pinned) and not inputs.filter(F.col("dataset_id").isin(pinned)).isEmpty()
+            own = held if late else lookup_join(held, ids, ["dataset_id"], "left_semi").unionByName(
+                lookup_join(held.filter(F.col("dataset_id").isin(pinned)), ids, ["dataset_id"], "left_anti")
             )
-        # a file that failed to load has no variable
-        affected = affected.unionByName(known.filter(F.col("variable").isNull() & (F.col("batch_id") == batch_id)))
-        for name, rows in rebuild(cut_lineage(affected.drop("batch_id")), formulas).items():
-            rows.write.mode("overwrite").parquet(f"{sink}/{name}/batch_id={batch_id}")
-        known.groupBy("dataset_id").agg(F.max(F.col("error").isNotNull()).alias("bad")).agg(
-            F.count(F.when(~F.col("bad"), 1)).alias("loaded"), F.count(F.lit(1)).alias("finished")
-        ).write.mode("overwrite").parquet(f"{sink}/progress/batch_id={batch_id}")
+            derived = derived_arrivals(cut_lineage(own), formulas)
+            if derived is not None:
+                seen = before("derived").select("dataset_id", "variable").distinct()
+                derived = write(lookup_join(derived, seen, ["dataset_id", "variable"], "left_anti").select(*new.columns), "derived")
+                good = cut_lineage(good.unionByName(derived))
+        gs, labels = catalogue(good)
+        write(frames(gs, labels), "frames")
+        old = before("first")
+        whole = F.struct(*old.columns)
+        firsts = write(old.unionByName(good).groupBy("variable").agg(F.min_by(whole, "dataset_id").alias("_f")).select("_f.*"), "first")
+        moved = firsts.select("variable", F.col("dataset_id").alias("_now")).join(old.select("variable", F.col("dataset_id").alias("_was")), "variable")
+        moved = write(moved.filter("_now < _was").select("variable"), "restarts")
+        rows = good
+        if not moved.isEmpty():
+            past = before("arrivals").filter("error IS NULL").unionByName(before("derived"))
+            rows = good.unionByName(lookup_join(past, moved, ["variable"], "left_semi"))
+        touched = rows.select("variable").distinct()
+        heads = lookup_join(firsts, touched, ["variable"], "left_semi")
+        own = rows.select("variable", "dataset_id").distinct()
+        known = cut_lineage(rows.unionByName(lookup_join(heads, own, ["variable", "dataset_id"], "left_anti")))
+        write(differences(catalogue(known)[0]).select("variable", "dataset_id", "message"), "differences")
 
     return run
 
@@ -107,20 +146,40 @@ def stream_collection(
 
 
 def latest(spark: SparkSession, sink: str, table: str) -> DataFrame:
-    """Current rows of a table: of each variable, those of the last batch that touched it."""
-    rows = spark.read.parquet(f"{sink}/{table}")
+    """Current rows of a table.
+
+    What depends on the whole collection (the order of frames, repeated labels, datasets that
+    lack a variable) is worked out here, from the frames and the names of the arrivals.
+    """
+    arrivals = spark.read.schema(f"{ARRIVALS}, batch_id INT").parquet(f"{sink}/arrivals")
     if table == "progress":
-        return rows.orderBy(F.col("batch_id").desc()).limit(1).drop("batch_id")
-    batches = spark.read.schema(f"{ARRIVALS}, batch_id INT").parquet(f"{sink}/arrivals")
-    last = batches.groupBy("variable").agg(F.max("batch_id").alias("batch_id"))
-    if table == "diagnostics":
-        named = lookup_join(rows, last, ["variable", "batch_id"], "left_semi")
-        # a failure to load holds until its dataset arrives again
-        tried = batches.groupBy("dataset_id").agg(F.max("batch_id").alias("batch_id"))
-        failed = lookup_join(rows.filter("variable IS NULL"), tried, ["dataset_id", "batch_id"], "left_semi")
-        return named.unionByName(failed.select(*named.columns)).drop("batch_id")
-    newest = rows.groupBy("variable").agg(F.max("batch_id").alias("batch_id"))
-    return lookup_join(rows, newest, ["variable", "batch_id"], "left_semi").drop("batch_id")
+        return arrivals.groupBy("dataset_id").agg(F.max_by(F.col("error").isNotNull(), "batch_id").alias("bad")).agg(
+            F.count(F.when(~F.col("bad"), 1)).alias("loaded"), F.count(F.lit(1)).alias("finished")
+        )
+    steps = spark.read.parquet(f"{sink}/frames").drop("batch_id")
+    if table == "frames":
+        return steps
+    if table == "timeline":
+        return timeline(steps)
+    if table != "diagnostics":
+        raise GridError(f"unknown table {table!r}, use one of {', '.join(TABLES)}")
+    restarts = spark.read.schema("variable STRING, batch_id INT").parquet(f"{sink}/restarts").groupBy("variable").agg(F.max("batch_id").alias("_since"))
+    notes = lookup_join(spark.read.parquet(f"{sink}/differences"), restarts, ["variable"]).filter("_since IS NULL OR batch_id >= _since")
+    twice = duplicate_labels(steps).select(
+        "variable", "dataset_id",
+        F.format_string(
+            '%s: step %d of source %d repeats the label "%s" of step %d of source %d',
+            F.col("variable"), F.col("t"), F.col("dataset_id"), F.col("label"), F.col("previous_t"), F.col("previous_dataset"),
+        ).alias("message"),
+    )
+    # a failure to load holds until its dataset arrives again
+    tried = arrivals.groupBy("dataset_id").agg(F.max("batch_id").alias("batch_id"))
+    failed = lookup_join(arrivals.filter("error IS NOT NULL"), tried, ["dataset_id", "batch_id"], "left_semi").select(
+        "variable", "dataset_id", F.concat(F.col("path"), F.lit(": "), F.col("error")).alias("message")
+    )
+    held = steps.select("variable", "dataset_id").distinct()
+    lacking = missing_notes(GridSet(cells=None, vars=held)).select("variable", "dataset_id", "message")
+    return notes.select("variable", "dataset_id", "message").unionByName(lacking).unionByName(twice).unionByName(failed)
 
 
 def stream_stats(cells: DataFrame, attrs: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -134,20 +193,57 @@ def stream_stats(cells: DataFrame, attrs: DataFrame, by: list[str] | None = None
     )
 
 
-def start_stats(stats: DataFrame, sink: str, available_now: bool = False) -> StreamingQuery:
-    """Write updated planes per batch; :func:`latest_stats` reads the current values."""
+#: Batches after which the updates are merged into a snapshot.
+SNAPSHOT_EVERY = 20
+
+
+def start_stats(
+    stats: DataFrame, sink: str, available_now: bool = False, by: list[str] | None = None, snapshot_every: int = SNAPSHOT_EVERY
+) -> StreamingQuery:
+    """Write updated planes per batch; :func:`latest_stats` reads the current values.
+
+    Every ``snapshot_every`` batches the last snapshot and the updates since are merged into the
+    next one, so what a reader or the next merge reads does not grow with the history.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{sink}/stats/batch_id={batch_id}")
+        if (batch_id + 1) % snapshot_every == 0:
+            merged = _merged_stats(batch.sparkSession, sink, by, batch_id)
+            merged.write.mode("overwrite").parquet(f"{sink}/snapshots/upto={batch_id}")
 
     writer = stats.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", f"{sink}/_stats")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def latest_stats(spark: SparkSession, sink: str, by: list[str] | None = None) -> DataFrame:
-    """Current statistics: the last update of each plane."""
+def _folders(spark: SparkSession, path: str, key: str) -> list[int]:
+    """Numbers in the names of the folders ``key=number`` below a path that are written whole."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    names = [(s.getPath(), s.getPath().getName()) for s in system.listStatus(root)]
+    whole = lambda p: system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(n.split("=")[1]) for p, n in names if n.startswith(f"{key}=") and whole(p))
+
+
+def _merged_stats(spark: SparkSession, sink: str, by: list[str] | None, upto: int | None = None) -> DataFrame:
+    """The last update of each plane: the newest snapshot and the batches after it, up to one of them."""
     keys = by or ["dataset_id", "variable", "t", "z"]
-    rows = spark.read.parquet(f"{sink}/stats")
-    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_v"))
+    bound = float("inf") if upto is None else upto
+    old = [n for n in _folders(spark, f"{sink}/snapshots", "upto") if n < bound]
+    start = old[-1] if old else -1
+    batches = [n for n in _folders(spark, f"{sink}/stats", "batch_id") if start < n <= bound]
+    parts = [spark.read.parquet(f"{sink}/snapshots/upto={start}").withColumn("_batch", F.lit(start))] if old else []
+    if batches:
+        found = spark.read.option("basePath", f"{sink}/stats").parquet(*[f"{sink}/stats/batch_id={n}" for n in batches])
+        parts.append(found.withColumnRenamed("batch_id", "_batch"))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    rest = [c for c in rows.columns if c not in (*keys, "_batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_v"))
     return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
+def latest_stats(spark: SparkSession, sink: str, by: list[str] | None = None) -> DataFrame:
+    """Current statistics: the last update of each plane."""
+    return _merged_stats(spark, sink, by)

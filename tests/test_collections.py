@@ -84,11 +84,11 @@ def test_collection(spark):
     assert [(r["dataset_id"], r["t"]) for r in line] == [(1, 0), (0, 0), (2, 0), (0, 1)]
     notes = {(r["variable"], r["dataset_id"], r["kind"]): r["message"] for r in K.compatibility(gs).collect()}
     assert set(notes) == {("temperature", 2, "differs"), ("only", 1, "missing")}
-    assert notes[("only", 1, "missing")] == "variable only is missing from sources 1 to 2"
+    assert notes[("only", 1, "missing")] == "only: not in sources 1 to 2"
     each = {(r["variable"], r["dataset_id"], r["kind"]) for r in K.compatibility(gs, expand=True).collect()}
     assert each == {("temperature", 2, "differs"), ("only", 1, "missing"), ("only", 2, "missing")}
     assert [tuple(r) for r in K.missing_runs(gs).collect()] == [("only", 0, 1, 2, 2)]
-    assert notes[("temperature", 2, "differs")] == "variable temperature differs from source 0 in units (source 2)"
+    assert notes[("temperature", 2, "differs")] == "temperature: sources 0 and 2 disagree on units"
     dup = K.duplicate_labels(temp).collect()
     assert [(r["dataset_id"], r["previous_dataset"], r["previous_t"]) for r in dup] == [(2, 0, 0)]
     bad = spark.createDataFrame([("temperature",)], "variable STRING")
@@ -186,9 +186,9 @@ def test_index_files(spark, scratch):
         return [r["reason"] for r in X.validate_idx(df, s).collect()], df, s
 
     assert faults("0:0:x")[0] == ["ordinals count from 1, found 0"]
-    assert faults("2:0:x")[0] == ["the first message ordinal must be one"]
+    assert faults("2:0:x")[0] == ["counting does not begin at 1"]
     assert faults("1:40:x", "2:30:y")[0] == ["offset does not lie after the previous one"]
-    assert faults("1:48:x")[0] == ["byte offset is outside the source object"]
+    assert faults("1:48:x")[0] == ["the offset lies past the end of the object"]
     _, df, s = faults("1:40:x", "2:30:y")
     with pytest.raises(GridError, match="line 2"):
         X.parse_idx(df, s)

@@ -86,9 +86,10 @@ def random_ranges(seed, n=80):
     return rows
 
 
-@pytest.mark.parametrize("seed,cap,chain", [(1, 10, 50_000), (1, 10, 3), (2, 6, 2), (3, 1, 1), (4, 1000, 1)])
-def test_range_merging_equals_the_sequential_fold(spark, monkeypatch, seed, cap, chain):
+@pytest.mark.parametrize("seed,cap,chain,piece", [(1, 10, 50_000, 256), (1, 10, 50_000, 4), (1, 10, 3, 1), (2, 6, 2, 3), (3, 1, 1, 256), (4, 1000, 1, 2)])
+def test_range_merging_equals_the_sequential_fold(spark, monkeypatch, seed, cap, chain, piece):
     monkeypatch.setattr(R, "CHAIN_ROWS", chain)
+    monkeypatch.setattr(R, "PIECE", piece)
     a, b = random_ranges(seed), random_ranges(seed + 50, 25)
     df = spark.createDataFrame([("a", *r) for r in a] + [("b", *r) for r in b], "object STRING, start BIGINT, end BIGINT").repartition(3)
     got = R.coalesce_ranges(df, cap).collect()
