@@ -31,7 +31,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -128,3 +137,14 @@ def with_row_key(docs: DataFrame, file_col: str, at_col: str) -> DataFrame:
         except AnalysisException:
             pass  # a format without row numbers
     return settle(docs.withColumns({file_col: F.lit(0).cast("long"), at_col: F.monotonically_increasing_id()}), "numbered-rows")
+
+
+#: Bytes, counted, up to which row keys and short lists are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
+
+
+def light(df: DataFrame, *lists: str) -> DataFrame:
+    """``df``, a settled table of a few longs and of ``lists``, with a broadcast hint if its counted size is within ``BROADCAST_BYTES``."""
+    entries = sum((F.size(c) for c in lists), F.lit(0))
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(entries), F.lit(0))).first()
+    return F.broadcast(df) if 64 * rows + 16 * total <= BROADCAST_BYTES else df

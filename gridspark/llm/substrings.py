@@ -21,6 +21,7 @@ Repeated stretches are then joined to the texts by row.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, chunks, give_back, settle, short_batches, text_of, with_row_key
+from .common import batch_of, chunks, discard, give_back, light, settle, short_batches, text_of, with_row_key
+from .grams import WordCodes, gram_hashes, mixed
 
 WINDOW = 20
 PREFIX = 5
@@ -39,30 +41,12 @@ GROUP = 10_000
 TOGETHER = 20_000
 SEED = 42
 
-_NEXT = np.uint64(0x9E3779B97F4A7C15)
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_CODES = WordCodes()
 
 
-class _Codes(dict):
-    """Hash of each word, kept for words seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return code
-
-
-def _gram_hashes(codes: np.ndarray, prefix: int) -> np.ndarray:
-    """Well-mixed hash of the k-gram at each word."""
-    n = len(codes) - prefix + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(prefix):
-        h = (h + codes[j : j + n]) * _NEXT
-        h ^= h >> np.uint64(29)
-    h = (h ^ h >> np.uint64(30)) * _MIX[0]
-    h = (h ^ h >> np.uint64(27)) * _MIX[1]
-    return h ^ h >> np.uint64(31)
+def _end_task() -> None:
+    _CODES.clear()
+    give_back()
 
 
 def anchors(codes: np.ndarray, window: int = WINDOW, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +58,7 @@ def anchors(codes: np.ndarray, window: int = WINDOW, prefix: int = PREFIX) -> tu
     if len(codes) < window:
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, none
-    h = _gram_hashes(codes, prefix)
+    h = gram_hashes(codes, prefix)
     width = window - prefix + 1
     windows = len(codes) - window + 1
     at = np.empty(windows, np.int64)
@@ -87,36 +71,23 @@ def anchors(codes: np.ndarray, window: int = WINDOW, prefix: int = PREFIX) -> tu
 
 def _each_text(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """(row of the batch, words, word codes) of each text."""
-    codes = _CODES
-    with np.errstate(over="ignore"):
-        for i, t in enumerate(b.column(column)):
-            words = t.as_py().split()  # bytes: \x20 and \x09-\x0D only
-            yield i, words, np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    for i, t in enumerate(b.column(column)):
+        words = t.as_py().split()  # bytes: \x20 and \x09-\x0D only
+        yield i, words, _CODES.of(words)
 
 
-_CODES = _Codes()
-
-
-def _anchor_rows(with_place: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = [len(t.as_buffer()) for t in b.column(2)]
-            for lo, hi in chunks(sizes):
-                part = b.slice(lo, hi - lo)
-                rows, places, hashes = [], [], []
-                for i, _, codes in _each_text(part, 2):
-                    at, h, _, _ = anchors(codes)
-                    rows.append(np.full(len(at), i))
-                    places.append(at)
-                    hashes.append(h)
-                out = {"h": pa.array(np.concatenate(hashes).view(np.int64))}
-                if with_place:
-                    own = pa.array(np.concatenate(rows))
-                    out |= {"f": part.column(0).take(own), "i": part.column(1).take(own), "at": pa.array(np.concatenate(places), pa.int32())}
-                yield batch_of(out)
-        give_back()
-
-    return run
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and place of each anchor of the texts (f, i, text)."""
+    for b in batches:
+        for lo, hi in chunks([len(t.as_buffer()) for t in b.column(2)]):
+            part = b.slice(lo, hi - lo)
+            found = [anchors(codes)[:2] for _, _, codes in _each_text(part, 2)]
+            own = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]))
+            yield batch_of({
+                "h": pa.array(np.concatenate([h for _, h in found]).view(np.int64)), "f": part.column(0).take(own),
+                "i": part.column(1).take(own), "at": pa.array(np.concatenate([at for at, _ in found]), pa.int32()),
+            })
+    _end_task()
 
 
 _SUFFIX = pa.schema([
@@ -125,67 +96,69 @@ _SUFFIX = pa.schema([
 _SUFFIX_SQL = "h long, d long, f long, i long, a int, left int, words binary"
 
 
+def _chosen(codes: np.ndarray, spots: pa.Scalar) -> Iterator[tuple[int, int, int, int]]:
+    """(hash, place, first window, end of windows) of the anchors at the places ``spots`` of a text."""
+    at, h, first, end = anchors(codes)
+    own = np.isin(at, spots.values.to_numpy())
+    return zip(h[own].view(np.int64).tolist(), at[own].tolist(), first[own].tolist(), end[own].tolist(), strict=True)
+
+
+def _joined(words: list[bytes]) -> tuple[bytes, list[int]]:
+    """The words joined by single spaces, and where each begins."""
+    begin = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    return b" ".join(words), [0, *begin.tolist()]
+
+
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The suffixes at the anchors ``spots`` of each text (f, i, d, text, spots), with the words that their windows reach."""
     for b in batches:
         spots = b.column(4)
-        rows = []
+        h, own, first, left, text = [], [], [], [], []
         for i, words, codes in _each_text(b, 3):
-            at, h, first, end = anchors(codes)
-            for j in np.flatnonzero(np.isin(at, np.array(spots[i].as_py(), np.int64))).tolist():
-                a, z = int(first[j]), int(end[j]) + WINDOW - 1
-                rows.append((int(h[j].view(np.int64)), i, a, int(at[j]) - a, b" ".join(words[a:z])))
-        h, own, a, left, text = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            whole, begin = _joined(words)
+            for key, at, a, z in _chosen(codes, spots[i]):
+                h.append(key)
+                own.append(i)
+                first.append(a)
+                left.append(at - a)
+                text.append(whole[begin[a] : begin[z + WINDOW - 1] - 1])
         own = pa.array(own, pa.int64())
         yield batch_of({
             "h": pa.array(h, pa.int64()), "d": b.column(2).take(own), "f": b.column(0).take(own), "i": b.column(1).take(own),
-            "a": pa.array(a, pa.int32()), "left": pa.array(left, pa.int32()), "words": pa.array(text, pa.binary()),
+            "a": pa.array(first, pa.int32()), "left": pa.array(left, pa.int32()), "words": pa.array(text, pa.binary()),
         })
-    give_back()
+    _end_task()
 
 
-def _dense(*keys: np.ndarray) -> np.ndarray:
-    """Class number of each row by its keys."""
-    out = keys[0]
-    for k in keys[1:]:
-        _, out = np.unique(out * np.int64(k.max(initial=0) + 1) + k, return_inverse=True)
-    return out
-
-
-def repeated_windows(group: np.ndarray, left: np.ndarray, texts: list[list[bytes]], window: int = WINDOW) -> np.ndarray:
+def repeated_windows(group: np.ndarray, left: np.ndarray, texts: list[bytes], window: int = WINDOW) -> np.ndarray:
     """Which windows of each suffix occur in an earlier suffix of its group: a matrix by window.
 
     Suffixes come in order.  ``left`` words of a text precede the anchor; window ``j`` of a suffix
-    starts at word ``j`` of its text.
+    starts at word ``j`` of its text.  A node of a group's subtree is known by the hash of its path.
     """
-    m = len(texts)
-    numbers: dict[bytes, int] = {}
-    total = np.array([len(t) for t in texts], np.int64)
-    flat = np.fromiter((numbers.setdefault(w, len(numbers)) for t in texts for w in t), np.int64, int(total.sum()))
-    begin = np.concatenate(([0], np.cumsum(total)[:-1]))
-    flat = np.append(flat, -1)
-
-    def word(place: np.ndarray) -> np.ndarray:
-        """The word at a place of each text; 0 where there is none."""
-        inside = (place >= 0) & (place < total)
-        return np.where(inside, flat[np.where(inside, begin + place, len(flat) - 1)], -1) + 1
-
-    _, group = np.unique(group, return_inverse=True)
-    widest = int((total - window + 1).max(initial=0))
-    right = [group]  # right[t]: node of the subtree at depth t
-    for t in range(window):
-        right.append(_dense(right[-1], word(left + t)))
-    lefts = [np.zeros(m, np.int64)]
-    for t in range(1, int(left.max(initial=0)) + 1):
-        lefts.append(_dense(lefts[-1], word(left - t)))
-    out = np.zeros((m, widest), bool)
+    words = [t.split(b" ") for t in texts]
+    total = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.append(_CODES.of(list(itertools.chain.from_iterable(words))), np.uint64(0))
+    begin = np.cumsum(total) - total
+    nowhere = len(codes) - 1
+
+    def paths(step: int, depth: int, root: np.ndarray) -> list[np.ndarray]:
+        """The node of each suffix at the depths 0, 1, ..., going from the anchor to one side."""
+        out = [root]
+        for t in range(depth):
+            place = left + t if step > 0 else left - t - 1
+            inside = (place >= 0) & (place < total)
+            out.append(mixed(out[-1], codes[np.where(inside, begin + place, nowhere)]))
+        return out
+
+    right = paths(1, window, group.view(np.uint64))
+    lefts = paths(-1, min(int(left.max(initial=0)), window - 1), np.zeros(len(texts), np.uint64))
+    out = np.zeros((len(texts), int((total - window + 1).max(initial=0))), bool)
     for back, before in enumerate(lefts):  # windows that start ``back`` words before the anchor
         j = left - back
         live = np.flatnonzero((j >= 0) & (j <= total - window))
-        if len(live) < 2 or back >= window:
-            continue
-        node = _dense(right[window - back][live], before[live])
-        _, first, which = np.unique(node, return_index=True, return_inverse=True)
+        deep = mixed(right[window - back][live], before[live])
+        _, first, which = np.unique(deep, return_index=True, return_inverse=True)
         out[live, j[live]] = first[which] != np.arange(len(live))
     return out
 
@@ -199,9 +172,9 @@ def _ranges(table: pa.Table) -> pa.RecordBatch:
     f, i, a = (table.column(c).to_numpy() for c in ("f", "i", "a"))
     some = table.column("d").is_valid().to_numpy()
     order = np.lexsort((a, i, f, table.column("d").fill_null(0).to_numpy(), some))
-    words = table.column("words").take(pa.array(order)).to_pylist()
+    words = table.column("words").take(pa.array(order)).to_pylist()  # of equal windows the first in order stays
     h, left = table.column("h").to_numpy()[order], table.column("left").to_numpy()[order].astype(np.int64)
-    again = repeated_windows(h, left, [w.split(b" ") for w in words])
+    again = repeated_windows(h, left, words)
     edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, start = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)
@@ -231,7 +204,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = table.to_batches(), table.num_rows
     if size:
         yield _ranges(pa.Table.from_batches(held))
-    give_back()
+    _end_task()
 
 
 _NODE_SQL = "x binary, d long, f long, i long, a int, z int"
@@ -245,13 +218,13 @@ def _full_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for i, words, codes in _each_text(b, 3):
-            at, _, first, end = anchors(codes)
+            whole, begin = _joined(words)
             seen = set()
-            for j in np.flatnonzero(np.isin(at, np.array(b.column(4)[i].as_py(), np.int64))).tolist():
-                for a in range(int(first[j]), int(end[j])):
-                    x = xxhash.xxh3_128_digest(b" ".join(words[a : a + WINDOW]), SEED)
+            for _, _, first, end in _chosen(codes, b.column(4)[i]):
+                for a in range(first, end):
+                    x = xxhash.xxh3_128_digest(whole[begin[a] : begin[a + WINDOW] - 1], SEED)
                     if x not in seen:
-                        rows.append((x, i, a))
+                        rows.append((x, i, a, a + 1))
                         seen.add(x)
                     elif rows[-1][0] is None and rows[-1][1] == i and rows[-1][3] == a:
                         rows[-1] = (*rows[-1][:3], a + 1)
@@ -260,19 +233,9 @@ def _full_depth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pa.array([r[1] for r in rows], pa.int64())
         yield batch_of({
             "x": pa.array([r[0] for r in rows], pa.binary()), "d": b.column(2).take(own), "f": b.column(0).take(own), "i": b.column(1).take(own),
-            "a": pa.array([r[2] for r in rows], pa.int32()), "z": pa.array([r[3] if len(r) > 3 else r[2] + 1 for r in rows], pa.int32()),
+            "a": pa.array([r[2] for r in rows], pa.int32()), "z": pa.array([r[3] for r in rows], pa.int32()),
         })
-    give_back()
-
-
-#: Bytes of row keys and places that are broadcast; more are joined by a shuffle.
-BROADCAST_BYTES = 16_000_000
-
-
-def _light(df: DataFrame, *lists: str) -> DataFrame:
-    """``df(f, i, lists)`` with a broadcast hint if its counted size is within ``BROADCAST_BYTES``."""
-    rows, entries = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.size(c) for c in lists), F.lit(0))), F.lit(0))).first()
-    return F.broadcast(df) if 64 * rows + 16 * entries <= BROADCAST_BYTES else df
+    _end_task()
 
 
 def repeated_stretches(texts: DataFrame, group: int = GROUP) -> DataFrame:
@@ -280,14 +243,15 @@ def repeated_stretches(texts: DataFrame, group: int = GROUP) -> DataFrame:
 
     A window is repeated if its words also start at a smaller (d, f, i, place); a null d is smallest.
     """
-    plain = texts.select("f", "i", "t")
-    counts = plain.mapInArrow(_anchor_rows(False), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    places = plain.mapInArrow(_anchor_rows(True), "h long, f long, i long, at int")
+    places = settle(texts.select("f", "i", "t").mapInArrow(_anchor_rows, "h long, f long, i long, at int"), "prefixes")
+    # written, so that a hot prefix is split by adaptive execution when it is joined
+    counts = settle(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "prefix-counts")
     shared = places.join(counts, "h").groupBy("f", "i").agg(
         F.collect_list(F.when(F.col("n") <= group, F.col("at"))).alias("small"), F.collect_list(F.when(F.col("n") > group, F.col("at"))).alias("large")
     )
     shared = settle(shared, "shared-prefixes")  # at most one entry per anchor of the row's own text
-    chosen = texts.join(_light(shared, "small", "large"), ["f", "i"])
+    discard(places, counts)
+    chosen = texts.join(light(shared, "small", "large"), ["f", "i"])
     small = chosen.filter(F.size("small") > 0).select("f", "i", "d", "t", "small").mapInArrow(_suffix_rows, _SUFFIX_SQL)
     found = small.repartition("h").sortWithinPartitions("h").mapInArrow(_subtrees, _RANGE_SQL)
     large = chosen.filter(F.size("large") > 0).select("f", "i", "d", "t", "large").mapInArrow(_full_depth, _NODE_SQL)
@@ -295,9 +259,12 @@ def repeated_stretches(texts: DataFrame, group: int = GROUP) -> DataFrame:
     nodes = large.filter("x is not null")
     place = F.struct(F.col("d").isNotNull().alias("some"), *[F.col(c) for c in ("d", "f", "i")])
     firsts = nodes.groupBy("x").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("x", "first")
+    firsts = settle(firsts, "full-depth-firsts")
     hot = nodes.withColumn("own", place).join(firsts, "x").filter("own <> first").select("f", "i", "a", "z")
     every = found.unionByName(hot).unionByName(large.filter("x is null").select("f", "i", "a", "z"))
-    return settle(every.groupBy("f", "i").agg(F.collect_list(F.struct("a", "z")).alias("stretches")), "stretches")
+    out = settle(every.groupBy("f", "i").agg(F.collect_list(F.struct("a", "z")).alias("stretches")), "stretches")
+    discard(shared, large, firsts)
+    return out
 
 
 def cut(words: list[bytes], stretches: list[tuple[int, int]]) -> list[bytes]:
@@ -325,7 +292,7 @@ def _cut_rows(with_text: bool):
                 "id": b.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()),
                 "kept_sha256": pa.array(sha, pa.string()), "kept": pa.array(kept, pa.binary()),
             })
-        give_back()
+        _end_task()
 
     return run
 
@@ -345,7 +312,7 @@ def drop_repeats(
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("t"))
     rows = with_row_key(rows, "f", "i")
     texts = rows.select("f", "i", F.col("id").cast("long").alias("d"), "t")
-    found = _light(repeated_stretches(texts, group), "stretches")
+    found = light(repeated_stretches(texts, group), "stretches")
     out = rows.join(found, ["f", "i"], "left").select("id", "t", "stretches")
     out = out.mapInArrow(_cut_rows(with_text), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.llm import merkle, queries, runs, substrings
+from gridspark.llm import common, merkle, queries, runs, substrings
 
 
 def sha(*parts):
@@ -76,7 +76,7 @@ def test_drop_repeats_by_shuffle_and_on_files(make, monkeypatch, tmp_path):
     docs = make([], "doc_id long, text string").sparkSession.read.parquet(str(tmp_path / "docs"))
     want = by_text(plain_repeats(rows))
     assert by_text(substrings.drop_repeats(docs).collect()) == want
-    monkeypatch.setattr(substrings, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert by_text(substrings.drop_repeats(docs, group=50).collect()) == want
     assert substrings.drop_repeats(docs.limit(0)).count() == 0
 
@@ -90,9 +90,7 @@ def test_subtrees_of_many_groups_at_once(make, monkeypatch):
     found = []
     for f, i, d, t in texts:
         words = t.split()
-        codes = substrings.np.array([substrings._CODES[w] for w in words], substrings.np.uint64)
-        with substrings.np.errstate(over="ignore"):
-            at, h, first, end = substrings.anchors(codes)
+        at, h, first, end = substrings.anchors(substrings._CODES.of(words))
         assert [w for a, z in zip(first, end, strict=True) for w in range(a, z)] == list(range(max(0, len(words) - 19)))
         found += [(int(x.view("int64")), d, f, i, int(a), int(p - a), b" ".join(words[a : z + 19])) for p, x, a, z in zip(at, h, first, end, strict=True)]
     table = substrings.pa.Table.from_pylist([dict(zip(substrings._SUFFIX.names, r, strict=True)) for r in sorted(found, key=lambda r: r[0])], substrings._SUFFIX)
