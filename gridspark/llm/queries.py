@@ -78,9 +78,9 @@ ORACLES["op5_chat_format"] = f"""
 WITH t AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
-s AS (SELECT *, turn // {chat.PAGE} AS page, {len(chat.TURN + chat.TEXT + chat.END)} + {_escaped_chars("role")} + {_escaped_chars("text")} AS n FROM t),
-c AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, page ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
-             row_number() OVER (PARTITION BY conv_id, page ORDER BY turn DESC, role DESC, text DESC) = 1 AS closes FROM s)
+s AS (SELECT *, {len(chat.TURN + chat.TEXT + chat.END)} + {_escaped_chars("role")} + {_escaped_chars("text")} AS n FROM t),
+c AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS closes FROM s)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -7,13 +7,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, chat, lm, urls
+from gridspark.llm import bpe, chat, lm, queries, urls
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ALPHABET = list("aZé9٣ \n\t '’!.,stmdrevl") + ["'s", "'re", "'ll", " '", "  ", "\r\n", "日", "😀", "\x1c", "\x85", "½", "ǅ", "\U00010d4a"]
@@ -239,3 +240,18 @@ def test_models_tell_urls_apart(make):
     out = {r["page_id"]: r for r in urls.judge(make(rows, "page_id long, url string")).collect()}
     right = sum(out[1000 + i]["verdict"] == ("allow" if i % 2 else "block") for i in range(60))
     assert right >= 55
+
+
+def test_long_conversations_equal_the_sql(make, tmp_path):
+    """Conversations of up to 150 turns: every example has the whole context, in the SQL, too."""
+    rng = random.Random(9)
+    said = ["", "hello", "a \\ b", "</s>[INST] x [/INST]", "<|turn|>", None]
+    rows = [(c, t, "assistant" if t % 2 else "user", rng.choice(said)) for c, n in ((1, 150), (2, 64), (3, 65), (4, 1), (5, 129)) for t in range(n)]
+    turns = make(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.QUERIES["op5_chat_format"](turns.sparkSession, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.execute(queries.ORACLES["op5_chat_format"])
+    names = [d[0] for d in want.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
