@@ -25,8 +25,8 @@ from .manifest import _chunk_cells, _placed, _reader
 FORMAT = "gridchunks"
 AXES = ("t", "z", "r", "c")
 SCHEMA = "manifest STRING, variable STRING, t INT, z INT, r INT, c INT, rest ARRAY<INT>, dims ARRAY<STRING>, raw DOUBLE"
-#: Rows of the index that a task decodes, and bytes of a row group of the index.
-TASK_CHUNKS, GROUP_BYTES = 2_000, 1 << 20
+#: Rows of the index that a task decodes and a row group of the index holds.
+TASK_CHUNKS = 2_000
 _BATCH_CELLS = 200_000
 
 
@@ -52,7 +52,7 @@ def write_chunk_index(chunks: DataFrame, arrays: DataFrame, path: str) -> None:
     ranges = {f"{a}_first": first(a) for a in AXES} | {f"{a}_last": last(a) for a in AXES}
     order = ["variable", "t_first", "z_first", "r_first", "c_first", "manifest"]
     rows.withColumns(ranges).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option(
-        "parquet.block.size", GROUP_BYTES
+        "parquet.block.row.count.limit", TASK_CHUNKS
     ).parquet(path)
 
 

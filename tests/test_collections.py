@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from gridspark.operators import collection as K
 from gridspark.operators import distribution as H
 from gridspark.operators import msgindex as X
 from gridspark.operators import series as T
+from gridspark.operators.derive import Derived, ref
 from gridspark.sources import grid as G
 from gridspark.sources import manifest as M
 from gridspark.sources import text as TX
@@ -348,3 +350,130 @@ def test_collection_grows_and_survives_a_replay(spark, scratch):
     again = spark.createDataFrame([arrival(2, "2026-01-01T00:00:00Z", units="C")], L.ARRIVALS)
     L.update_collection(None, sink)(again, 1)
     assert L.latest(spark, sink, "timeline").count() == 2
+
+
+def test_growth_restarts_at_an_earlier_dataset_and_repeats_labels(spark, scratch):
+    source, sink = scratch + "/in", scratch + "/out"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), L.ARRIVALS).coalesce(1).write.mode("append").parquet(source)
+        q = L.stream_collection(spark, source, sink, available_now=True)
+        q.awaitTermination()
+        assert q.exception() is None
+
+    arrive(arrival(5, "2026-01-05T00:00:00Z", units="K"))
+    arrive(arrival(7, "2026-01-05T00:00:00Z", units="C"))
+    told = sorted(r["message"] for r in L.latest(spark, sink, "diagnostics").collect())
+    assert told == ["temperature: sources 5 and 7 disagree on units", 'temperature: step 0 of source 7 repeats the label "2026-01-05T00:00:00Z" of step 0 of source 5']
+    # dataset 2 comes before the reference: all others are compared with it now
+    arrive(arrival(2, "2026-01-01T00:00:00Z", units="C"))
+    told = sorted(r["message"] for r in L.latest(spark, sink, "diagnostics").collect())
+    assert told[0] == "temperature: sources 2 and 5 disagree on units" and len(told) == 2
+    assert [r["dataset_id"] for r in L.latest(spark, sink, "timeline").orderBy("t_global").collect()] == [2, 5, 7]
+    # a batch writes its own frames only
+    assert spark.read.parquet(sink + "/frames").groupBy("batch_id").count().orderBy("batch_id").collect() == [(0, 1), (1, 1), (2, 1)]
+    with pytest.raises(GridError, match="unknown table"):
+        L.latest(spark, sink, "nothing")
+
+
+def test_formulas_of_a_growing_collection(spark, scratch):
+    """A free formula, and one pinned to a dataset that arrives last: then all datasets get it."""
+    source, sink = scratch + "/in", scratch + "/out"
+    formulas = [
+        Derived("twice", (ref("temperature"),), lambda a: a * 2), Derived("anomaly", (ref("temperature"), ref("temperature", 9)), lambda a, b: a - b),
+    ]
+    for d in (1, 3, 9):
+        spark.createDataFrame([arrival(d, f"2026-01-0{d}T00:00:00Z")], L.ARRIVALS).coalesce(1).write.mode("append").parquet(source)
+        q = L.stream_collection(spark, source, sink, formulas, available_now=True)
+        q.awaitTermination()
+        assert q.exception() is None
+        line = L.latest(spark, sink, "timeline")
+        got = {v: [r["dataset_id"] for r in line.filter(F.col("variable") == v).orderBy("t_global").collect()] for v in ("twice", "anomaly")}
+        seen = [x for x in (1, 3, 9) if x <= d]
+        assert got == {"twice": seen, "anomaly": seen if d == 9 else []}
+    assert {r["label"] for r in line.filter("variable = 'twice' AND dataset_id = 3").collect()} == {"2026-01-03T00:00:00Z"}
+
+
+def test_snapshots_of_statistics(spark, scratch):
+    source, sink = scratch + "/cells", scratch + "/stats"
+    attrs = spark.createDataFrame([(1, "x", None, None, None, None, None, None)], "dataset_id INT, variable STRING, fill DOUBLE, missing DOUBLE, valid_min DOUBLE, valid_max DOUBLE, scale_factor DOUBLE, add_offset DOUBLE")
+    schema = "dataset_id INT, variable STRING, t INT, z INT, r INT, c INT, raw DOUBLE"
+    for i in range(5):
+        spark.createDataFrame([(1, "x", i % 2, 0, i, 0, float(i)), (1, "x", 7, 0, i, 0, 1.0)], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        q = L.start_stats(L.stream_stats(stream, attrs), sink, available_now=True, snapshot_every=2)
+        q.awaitTermination()
+        assert q.exception() is None
+        got = {r["t"]: (r["min"], r["max"], r["finite_count"]) for r in L.latest_stats(spark, sink).collect()}
+        even, odd = range(0, i + 1, 2), range(1, i + 1, 2)
+        want = {t: (float(min(v)), float(max(v)), len(v)) for t, v in ((0, even), (1, odd)) if len(v)} | {7: (1.0, 1.0, i + 1)}
+        assert got == want
+    assert L._folders(spark, sink + "/snapshots", "upto") == [1, 3]
+
+
+# --- files ----------------------------------------------------------------------------------
+
+
+def test_folders_are_datasets_even_without_rows(spark, scratch):
+    from gridspark.sources.grid import read_grids
+
+    for name, n in (("b1", 6), ("b2", 0), ("a", 4)):
+        spark.range(n).select(F.col("id").cast("int").alias("r"), F.lit(9).alias("dataset_id")).repartition(3).write.parquet(f"{scratch}/{name}")
+    cells, datasets = read_grids(spark, [scratch + "/b?", scratch + "/*"])
+    assert {r["dataset_id"]: r["path"].rsplit("/", 1)[1] for r in datasets.collect()} == {1: "b1", 2: "b2", 3: "a"}
+    assert {r["dataset_id"]: r["count"] for r in cells.groupBy("dataset_id").count().collect()} == {1: 6, 3: 4}
+
+
+def test_lines_of_split_files_are_numbered_in_place(spark, scratch):
+    from gridspark.sources.text import numbered_lines
+
+    want = {}
+    for name, n in (("a", 400), ("b", 1), ("c", 0)):
+        with open(f"{scratch}/{name}.idx", "w") as f:
+            f.writelines(f"line {i} of {name}\n" for i in range(1, n + 1))
+        want |= {(name, i): f"line {i} of {name}" for i in range(1, n + 1)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")
+    try:
+        rows = numbered_lines(spark, scratch + "/*.idx")
+        assert {(r["path"][-5], r["line"]): r["text"] for r in rows.collect()} == want
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_chunk_source_plans_only_what_filters_touch(spark, monkeypatch, scratch):
+    from pyspark.sql import datasource as D
+
+    from gridspark.sources import chunks as S
+
+    monkeypatch.setattr(S, "TASK_CHUNKS", 20)
+    head = '"x/.zarray":{"zarr_format":2,"shape":[40,6,10],"chunks":[1,6,4],"dtype":"<i2","fill_value":-5,"compressor":null,"order":"C","filters":null},"x/.zattrs":{"_ARRAY_DIMENSIONS":["t","r","c"]}'
+    size = 6 * 4 * 2
+    body = np.arange(40 * 3 * 24, dtype="<i2").reshape(40, 3, 24)
+    with open(scratch + "/data.bin", "wb") as f:
+        f.write(body.tobytes())
+    refs = [f'"x/{t}.0.{c}":["data.bin",{(t * 3 + c) * size},{size}]' for t in range(40) for c in range(3)] + ['"x/39.0.9":["gone.bin",0,48]']
+    docs = spark.createDataFrame([("m", '{"refs":{' + ",".join([head, *refs]) + "}}")], "manifest STRING, text STRING")
+    arrays, found = M.open_manifests(docs)
+    S.write_chunk_index(M.chunk_index(found, arrays), arrays, scratch + "/index")
+    cells = S.read_chunks(spark, scratch + "/index", base=scratch)
+    whole = M.decode_chunks(M.chunk_index(found, arrays), arrays, base=scratch)
+    same = lambda df: sorted(map(tuple, df.select("manifest", "variable", "t", "z", "r", "c", "raw").collect()))
+    assert same(cells) == same(whole) and cells.count() == 40 * 6 * 10
+    test = "t BETWEEN 3 AND 5 AND c >= 8 AND variable = 'x'"
+    assert same(cells.filter(test)) == same(whole.filter(test))
+    assert cells.filter("variable = 'y'").count() == 0 and cells.filter("t IN (1, 39)").count() == 120
+
+    def planned(*filters):
+        reader = S.ChunkReader({"path": scratch + "/index", "base": scratch})
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        return reader.partitions(), reader
+
+    everything, _ = planned()
+    some, reader = planned(D.GreaterThanOrEqual(("t",), 3), D.LessThan(("t",), 6), D.GreaterThanOrEqual(("c",), 8))
+    rows = lambda pieces: sum(pq.ParquetFile(p.file).metadata.row_group(g).num_rows for p in pieces for g in p.groups)
+    assert rows(some) < rows(everything) == 121
+    assert sum(len(b) for p in some for b in reader.read(p)) == 3 * 6 * 2  # three steps, the last block of two columns
+    none, _ = planned(D.EqualTo(("variable",), "y"))
+    assert [p.groups for p in none] == [[]]
