@@ -546,6 +546,17 @@ def _(spark, sf):
     return P.with_coords(V.cells(spark, sf), GridSet(cells=None, axes=V.axes(spark, sf)))
 
 
+@query(
+    "e10_coordinates_2d",
+    """SELECT d.dataset_id, d.variable, d.t, d.z, d.r, d.c, d.raw, k.lat, (k.lon + 180e0) - 360e0*floor((k.lon+180e0)/360e0) - 180e0 AS lon
+       FROM cells d LEFT JOIN coord2d k ON k.dataset_id=d.dataset_id AND k.r=d.r AND k.c=d.c""",
+    ("cells", "coord2d"),
+)
+def _(spark, sf):
+    # dataset 1 has curvilinear coordinates, the others have none
+    return P.with_coords(V.cells(spark, sf), GridSet(cells=None, coord2d=V.coord2d(spark, sf)))
+
+
 @query(
     "e11_anomaly",
     f"""WITH l AS (SELECT {KEY}, CASE WHEN validity='Finite' THEN value END v FROM decoded),

@@ -205,6 +205,16 @@ def _(spark, sf):
     return B.limits(df, ["dataset_id", "variable", "z"], "log", is_diff=True)
 
 
+@query(
+    "g12_limits_log",
+    """SELECT dataset_id, variable, z, min(v) AS lo, max(v) AS hi FROM (SELECT *, CASE WHEN validity='Finite' AND value - 20e0 > 0 THEN value - 20e0 END v FROM decoded) GROUP BY ALL""",
+    ("decoded",),
+)
+def _(spark, sf):
+    df = V.decoded(spark, sf).withColumn("value", F.col("value") - 20.0)
+    return B.limits(df, ["dataset_id", "variable", "z"], "log")
+
+
 @query(
     "g13_scoped_limits",
     """SELECT dataset_id, variable, coalesce(min(v), min(CASE WHEN r < 3 THEN v END)) AS lo, coalesce(max(v), max(CASE WHEN r < 3 THEN v END)) AS hi
@@ -384,6 +394,21 @@ def _(spark, sf):
     return C.coord_compat(gs, gs.vars.select("variable", "dataset_id", "dims"))
 
 
+@query(
+    "i3_corner_compatibility",
+    COMPAT + """ SELECT x.variable, x.dataset_id, ref AS reference_id,
+         concat(x.variable, ': sources ', ref, ' and ', x.dataset_id, ' have ', CASE WHEN nlat <> nl THEN 'grids of different shapes' ELSE 'grids in different places' END) AS message
+       FROM x JOIN fst USING (variable) WHERE x.dataset_id <> ref AND (nlat <> nl OR (x.dataset_id % 19 = 7) <> (ref % 19 = 7))""",
+)
+def _(spark, sf):
+    # every dataset has 2-D coordinates: its latitudes, eight longitudes
+    gs = collection(spark, sf)
+    lons = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    grid = gs.axes.select("dataset_id", F.col("idx").alias("r"), lons.alias("c"), F.col("coord").alias("lat"))
+    grid = grid.withColumn("lon", F.col("c") * 45.0)
+    return C.corner_compat(GridSet(cells=None, coord2d=grid), gs.vars.select("variable", "dataset_id"))
+
+
 @query(
     "i4_duplicate_labels",
     """WITH f AS (SELECT concat('v', c_nationkey % 10) variable, CAST(c_custkey AS INT) dataset_id, 0 AS t, concat('t=', c_custkey % 100) AS label FROM customer)

@@ -341,6 +341,23 @@ def _(spark, sf):
     return G.plane_metadata(gs.cells, gs.vars)
 
 
+@query(
+    "a12_metadata_files",
+    """WITH l AS (SELECT dataset_id, variable, t, z, min(CASE WHEN validity='Finite' THEN value END) lo, max(CASE WHEN validity='Finite' THEN value END) hi FROM decoded GROUP BY ALL)
+       SELECT l.dataset_id, l.variable, l.t, units, long_name, standard_name, CAST(NULL AS VARCHAR) AS time, l.z AS depth_index, 'linear' AS scale,
+         CASE WHEN lo IS NOT NULL THEN [CASE WHEN hi > lo THEN lo ELSE lo - greatest(abs(lo),1e0)*0.5e0 END, CASE WHEN hi > lo THEN hi ELSE hi + greatest(abs(lo),1e0)*0.5e0 END] END AS limits
+       FROM l JOIN vars USING (dataset_id, variable)""",
+    ("decoded", "vars"),
+)
+def _(spark, sf):
+    # written as JSON and read back
+    gs = V.gridset(spark, sf)
+    rows = G.plane_metadata(gs.cells, gs.vars)
+    path = scratch_path(spark, "metadata")
+    G.write_metadata(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query(
     "a13_plane_names",
     "SELECT DISTINCT dataset_id, variable, t, z, concat('run_', dataset_id, '_v2.1_', variable, '_t', printf('%04d', t), '_z', printf('%04d', z)) AS plane_name FROM cells",

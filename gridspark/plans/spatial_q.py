@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import norm_lon
 from ..operators import polygons as Y
 from ..operators import spatial as N
+from ..operators.joins import scratch_path
 from . import views as V
 from .registry import query
 
@@ -172,13 +173,12 @@ def _(spark, sf):
     return Y.border_cells(mask, ["dataset_id", "variable", "t", "z"])
 
 
-@query(
-    "f10_topology",
-    """WITH s AS (SELECT s_suppkey k, s_suppkey % 90 x, s_suppkey % 45 y FROM supplier),
+TOPOLOGY = """WITH s AS (SELECT s_suppkey k, s_suppkey % 90 x, s_suppkey % 45 y FROM supplier),
        v AS (SELECT k, x, y, unnest([{'i':0,'dx':0,'dy':0},{'i':1,'dx':4,'dy':0},{'i':2,'dx':4,'dy':3},{'i':3,'dx':0,'dy':3},{'i':4,'dx':0,'dy':0}]) p FROM s)
-       SELECT concat('doc', k) AS doc, '0/0' AS polygon_id, '0/0/0' AS ring_id, CAST(p.i AS INT) AS i, (x+p.dx)*0.5e0-10e0 AS lon, (y+p.dy)*0.25e0+5e0 AS lat FROM v""",
-)
-def _(spark, sf):
+       SELECT concat('doc', k) AS doc, '0/0' AS polygon_id, '0/0/0' AS ring_id, CAST(p.i AS INT) AS i, (x+p.dx)*0.5e0-10e0 AS lon, (y+p.dy)*0.25e0+5e0 AS lat FROM v"""
+
+
+def topologies(spark, sf):
     k = F.col("s_suppkey")
     x, y = (k % 90).cast("string"), (k % 45).cast("string")
     # arc 0 goes along the bottom and right; arc 1 runs from the origin up the left side and is used backwards
@@ -186,13 +186,29 @@ def _(spark, sf):
         F.lit('{"type":"Topology","transform":{"scale":[0.5,0.25],"translate":[-10,5]},"arcs":[[['), x, F.lit(","), y,
         F.lit("],[4,0],[0,3]],[["), x, F.lit(","), y, F.lit('],[0,3],[4,0]]],"objects":{"land":{"geometries":[{"type":"Polygon","arcs":[[0,-2]]}]}}}'),
     )
-    docs = V.table(spark, sf, "supplier").select(F.concat(F.lit("doc"), k.cast("string")).alias("doc"), text.alias("text"))
-    out = Y.decode_topology(docs)
-    return out.select("doc", "polygon_id", "ring_id", F.posexplode("points").alias("i", "p")).select(
+    return V.table(spark, sf, "supplier").select(F.concat(F.lit("doc"), k.cast("string")).alias("doc"), text.alias("text"))
+
+
+def _vertices(rings):
+    return rings.select("doc", "polygon_id", "ring_id", F.posexplode("points").alias("i", "p")).select(
         "doc", "polygon_id", "ring_id", "i", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat")
     )
 
 
+@query("f10_topology", TOPOLOGY)
+def _(spark, sf):
+    return _vertices(Y.decode_topology(topologies(spark, sf)))
+
+
+@query("f10_topology_files", TOPOLOGY)
+def _(spark, sf):
+    # one file per topology, read back
+    path = scratch_path(spark, "topologies")
+    topologies(spark, sf).write.partitionBy("doc").text(path)
+    found = Y.read_topology(spark, f"{path}/doc=*")
+    return _vertices(found.withColumn("doc", F.regexp_extract("doc", "/doc=([^/]*)/", 1)))
+
+
 @query(
     "f11_extent",
     """WITH e AS (SELECT min(lon) a, max(lon) b, min(lat) c, max(lat) d FROM coord2d)
