@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _state(links: DataFrame) -> tuple:
@@ -14,7 +14,7 @@ def _state(links: DataFrame) -> tuple:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links(u, v)``; the root is the smallest node reachable.
+    """(node, root) of every node of ``links(u, v)`` but the roots; the root is the smallest node reachable.
 
     Each step keeps at most one link per node and known neighbour, so nothing grows with the
     square of a component; the number of steps grows with the logarithm of its length.
@@ -31,14 +31,17 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi")
-        links = settle(
+        before, links = links, settle(
             small.select("hi", F.col("m").alias("lo"))
             .unionByName(small.filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
             .distinct(),
             "links",
         )
+        discard(before)
         now = _state(links)
         if now == state:
             break
         state = now
-    return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    roots = links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    roots.settled_at = links.settled_at
+    return roots

@@ -141,4 +141,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return out
     again = out[id_col].eqNullSafe(twice[key]) & (F.sha2(text_of(text_col), 256) == twice[sha])
     single = out.join(twice, again, "left_anti")
-    return single.unionByName(out.join(twice, again, "left_semi").dropDuplicates([id_col, text_col]))
+    copies = out.join(twice, again, "left_semi").withColumn(sha, F.sha2(text_of(text_col), 256))  # null and empty are one text
+    return single.unionByName(copies.dropDuplicates([id_col, sha]).drop(sha))

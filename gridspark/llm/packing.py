@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_of
-from .jaccard import near_components
+from .common import settle, text_of, with_row_key
+from .jaccard import near_rows
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -95,11 +95,7 @@ def pack_block(sizes, sources, clusters, capacity: int) -> list[tuple[int, int]]
 
 def cluster_key(text_col: str = "text"):
     """Names texts that are the same but for case, digits, punctuation and white space."""
-    return F.xxhash64(_letters(text_col))
-
-
-def _letters(text_col: str):
-    return F.regexp_replace(F.lower(text_of(text_col)), r"[^\p{L}]+", " ")
+    return F.xxhash64(F.regexp_replace(F.lower(text_of(text_col)), r"[^\p{L}]+", " "))
 
 
 def tokens(text_col: str = "text"):
@@ -122,13 +118,10 @@ def pack(
     """
     # written once, so that the numbers of its rows are fixed
     if near:
-        alike = F.when(F.trim(_letters("text")) != "", cluster_key())
-        rows, roots, row, root = near_components(
-            docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), key=alike
-        )
-        rows = rows.select(F.col(row).alias("row"), "id", "source", tokens().alias("n"))
-        roots = roots.select(F.col(row).alias("row"), F.col(root).alias("root"))
-        rows = settle(rows.join(roots, "row", "left").withColumn("cluster", F.coalesce("root", "row")).drop("root"), "packing-items")
+        named = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+        rows = near_rows(with_row_key(named, "f", "i"), "id", letters=True, more=["source"])
+        rows = rows.select("id", "source", F.col("root").alias("cluster"), (F.col("words") + 1).cast("int").alias("n"))
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
     else:
         rows = docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), cluster_key(text_col).alias("cluster"), tokens(text_col).alias("n")

@@ -18,10 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import sized_broadcast
-from .common import batch_of, give_back, settle, short_batches, text_of
+from .common import batch_of, fresh, give_back, light, settle, short_batches, text_of, with_row_key
 from .components import components
-from .jaccard import near_components
+from .jaccard import near_rows
 
 SHINGLE = 3
 BUDGET = 3
@@ -240,9 +239,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     64 bits, and with such a budget no run of bits would divide the rows.  Repeated rows of
     the smallest id count as one document (any of them stays); rows without an id stay.
     """
-    rows, roots, row, root = near_components(docs, text_col)
-    ids = settle(rows.select(row, F.col(id_col).alias("_id")).join(roots, row), "near-rows")
-    heads = ids.filter("_id is not null").groupBy(root).agg(F.min(F.struct("_id", row)).alias("head"))
-    lost = ids.filter("_id is not null").join(heads, root).filter(F.col(row) != F.col("head")[row]).select(row)
-    lost = sized_broadcast(settle(lost, "near-copies"))
-    return rows.join(lost, row, "left_anti").drop(row)
+    file, at = fresh(docs, "_file"), fresh(docs, "_at")
+    keyed = with_row_key(docs, file, at)
+    own = keyed.select(F.col(file).alias("f"), F.col(at).alias("i"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = near_rows(own, "id").filter("id is not null").select("root", F.struct("id", "f", "i").alias("own"))
+    heads = rows.groupBy("root").agg(F.min("own").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "head")
+    heads = settle(heads, "near-heads")  # written, so that a hot component is split when it is joined
+    lost = rows.join(heads, "root").filter("own <> head").select(F.col("own.f").alias(file), F.col("own.i").alias(at))
+    return keyed.join(light(settle(lost, "near-copies")), [file, at], "left_anti").select(*docs.columns)

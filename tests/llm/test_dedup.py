@@ -7,8 +7,12 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from gridspark.llm import components, exact, simhash
+from gridspark.llm import components, exact, jaccard, simhash
+from gridspark.llm.common import with_row_key
+from gridspark.llm.jaccard import near_rows
+from gridspark.operators.joins import ensure_checkpoint_dir
 
 ODD = [
     (1, "a b c d", "x"), (2, "a b c d", "y"), (2, "a b c d", "y"), (3, None, None), (4, "", "x"), (None, "", "x"),
@@ -165,3 +169,108 @@ def test_near_drop_keeps_clean_texts_of_a_repeated_id(make):
     rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more")]
     out = simhash.drop_near_copies(make(rows, "doc_id long, text string"))
     assert sorted(tuple(r) for r in out.collect()) == [(1, one), (1, two)]
+
+
+def five_grams(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_classes(texts):
+    """Smallest position reachable over pairs of similarity 0.8, by comparing all pairs."""
+    sets, root = [five_grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = max(root[i], root[j]), min(root[i], root[j])
+                root = [b if r == a else r for r in root]
+    return root
+
+
+def near_classes(make, texts, **more):
+    docs = make(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = near_rows(with_row_key(docs, "f", "i"), "doc_id", **more).collect()
+    classes = {}
+    for r in rows:
+        classes.setdefault(r["root"], []).append(r["id"])
+    least = {d: min(ids) for ids in classes.values() for d in ids}
+    assert len(rows) == len(texts)
+    return [least[i] for i in range(len(texts))]
+
+
+def test_near_classes_equal_all_pairs(make):
+    """Families of texts around the threshold, in chains, with copies, short and empty texts."""
+    rng = random.Random(11)
+    texts = [None, "", " \t", "a b", "A  b", "a b c d e", "a b c d e f"]
+    for _ in range(25):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 150))]
+        for _ in range(rng.randrange(1, 8)):
+            words = words[:]
+            for _ in range(rng.randrange(0, 5)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(400)}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    assert near_classes(make, texts) == plain_classes(texts)
+
+
+def test_open_bands_compare_no_pairs_of_boilerplate(make):
+    """300 texts share 70 % of their words, no two are alike: they share bands, but no rare shingle."""
+    rng = random.Random(2)
+    shared = [f"s{i}" for i in range(140)]
+    texts = [" ".join([*shared, *(f"t{d}x{j}" for j in range(60))]) for d in range(300)]
+    texts += [texts[0].replace("t0x5 ", "changed "), texts[1].replace("s7 ", "other ")]
+    rng.shuffle(texts)
+    sets = make([], "a int").sparkSession.createDataFrame(
+        [(i, i, [int(x) for x in own.view("int64")]) for i, own in enumerate(jaccard.shingle_sets([t.encode().split() for t in texts]))], "node long, root long, s array<long>"
+    )
+    tokens = jaccard.prefix_tokens(sets, 0.8).withColumn("root", F.col("node"))
+    pairs = jaccard.prefix_pairs(tokens, 0.8).collect()
+    assert len(pairs) <= 10  # of 45,451
+    classes = near_classes(make, texts)
+    assert sum(c != i for i, c in enumerate(classes)) == 2
+
+
+def test_prefix_pairs_leave_none_out(make):
+    rng = random.Random(8)
+    base = [rng.getrandbits(40) for _ in range(60)]
+    sets = []
+    for _ in range(80):
+        own = set(rng.sample(base, rng.randrange(30, 60))) | {rng.getrandbits(40) for _ in range(rng.randrange(0, 8))}
+        sets.append(sorted(own))
+    tokens = jaccard.prefix_tokens(make(list(enumerate(sets)), "node long, s array<long>"), 0.8).withColumn("root", F.col("node"))
+    got = {(r["u"], r["v"]) for r in jaccard.prefix_pairs(tokens, 0.8).collect()}
+    assert 0 < jaccard.pivot_pairs(tokens, 0.8, 1).count() < jaccard.PIVOTS * tokens.count()
+    for i in range(80):
+        for j in range(i + 1, 80):
+            both = len({*sets[i]} & {*sets[j]})
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                assert (i, j) in got
+
+
+def test_large_star_is_dealt_to_several_tasks(make, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHARE", 3)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(60)]
+    assert set(near_classes(make, texts)) == {0}
+
+
+def test_same_letters_are_linked(make):
+    texts = ["Order 17, paid!", "order 4 - PAID", "order", "7 8 9", "7 8 8", "Straße 5", "straße 77", "Strasse"]
+    assert near_classes(make, texts, letters=True) == [0, 0, 2, 3, 4, 5, 5, 7]
+
+
+def test_intermediate_tables_are_deleted(make):
+    docs = make([(i, f"a b c d e {i % 3}") for i in range(30)], "doc_id long, text string")
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    files = lambda: len(folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
+    before = files()
+    near_rows(with_row_key(docs, "f", "i"), "doc_id")
+    assert files() - before == 2  # the rows written first, and the result
+
+
+def test_exact_drop_takes_null_and_empty_for_one_text(make):
+    out = exact.drop_exact_copies(make([(5, None), (5, ""), (4, ""), (None, "a"), (None, "a"), (6, "b")], "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(0, "a"), (5, ""), (6, "b")]
