@@ -175,9 +175,17 @@ def request_interval(lo: float, hi: float, kind: str, positive: bool) -> tuple[f
     return a, b
 
 
-def _uses_positive(coords: DataFrame, column: str) -> bool:
-    x = F.col(column)
-    return bool(coords.agg(F.bool_or(is_finite(x) & (x > 180.0))).first()[0])
+def _two_dim_request(coords: DataFrame, lon: tuple[float, float]) -> tuple[float, float, bool]:
+    """Request and whether it is in 0..360; coordinates on both sides of 0..180 take it in either convention."""
+    x = F.col("lon")
+    facts = coords.filter(is_finite(x)).agg(F.bool_or(x > 180.0).alias("east"), F.bool_or(x < 0.0).alias("west")).first()
+    positive = bool(facts["east"])
+    try:
+        return *request_interval(*lon, "longitude", positive), positive
+    except GridError:
+        if not (positive and facts["west"]):
+            raise
+        return *request_interval(*lon, "longitude", False), False
 
 
 def bbox_axis(axis: DataFrame, lo: float, hi: float, kind: str = "linear") -> DataFrame:
@@ -205,7 +213,9 @@ def bbox_axis(axis: DataFrame, lo: float, hi: float, kind: str = "linear") -> Da
         tests[positive] = (y >= a) & (y <= b)
     if tests[False] is None and tests[True] is None:
         request_interval(lo, hi, kind, False)
-    aggs = [F.bool_or(x > 180.0).alias("_positive")]
+    east = F.bool_or(x > 180.0)
+    # an axis on both sides of 0..180 takes a request that wraps in 0..360 as signed
+    aggs = [(east if tests[True] is not None else east & ~F.bool_or(x < 0.0)).alias("_positive")]
     for positive, tag in ((False, "s"), (True, "p")):
         hit = F.lit(False) if tests[positive] is None else tests[positive]
         aggs += [F.min(F.when(hit, F.col("idx"))).alias(f"_f{tag}"), F.max(F.when(hit, F.col("idx"))).alias(f"_l{tag}")]
@@ -240,8 +250,7 @@ def bbox_2d(
     """Row/column envelope of the cells inside a lon/lat box; it may hold other cells too."""
     _check_interval(*lat, "latitude")
     _check_interval(*lon, "longitude")
-    positive = _uses_positive(coord2d, "lon")
-    a, b = request_interval(*lon, "longitude", positive)
+    a, b, positive = _two_dim_request(coord2d, lon)
     x = lon_convention(F.col("lon"), "positive" if positive else "signed")
     y = F.col("lat")
     inside = is_finite(x) & is_finite(y) & (x >= a) & (x <= b) & (y >= lat[0]) & (y <= lat[1])

@@ -374,6 +374,17 @@ def test_index_and_curvilinear_boxes(spark):
     assert (row["r0"], row["r1"], row["c0"], row["c1"], row["approximate"]) == (1, 1, 1, 1, True)
 
 
+def test_boxes_on_signed_coordinates_that_overhang_the_seam(spark):
+    lons = [-179.5, -90.0, -30.0, 0.0, 30.0, 90.0, 180.5]
+    grid = spark.createDataFrame([(1, 0, c, 0.0, x) for c, x in enumerate(lons)], "dataset_id INT, r INT, c INT, lat DOUBLE, lon DOUBLE")
+    axis = grid.select("dataset_id", F.col("c").alias("idx"), F.col("lon").alias("coord"))
+    for lo, hi, want in ((-60.0, 45.0, (2, 4)), (-100.0, -20.0, (1, 2)), (20.0, 100.0, (4, 5)), (170.0, 190.0, (0, 6))):
+        box, line = P.bbox_2d(grid, (lo, hi), (-5.0, 5.0)).first(), P.bbox_axis(axis, lo, hi, "longitude").first()
+        assert (box["c0"], box["c1"]) == want and (line["first"], line["last"]) == want
+    with pytest.raises(GridError, match="seam"):
+        P.bbox_2d(grid.filter("lon >= 0"), (-60.0, 45.0), (-5.0, 5.0))
+
+
 def test_difference(spark):
     cells = plane_cells(spark, [100, 50, -10, 0], 1).unionByName(plane_cells(spark, [90, 60, 20, 0], 2)).unionByName(
         plane_cells(spark, [1, 2], 3, cols=1)
