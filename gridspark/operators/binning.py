@@ -38,14 +38,17 @@ def block_of(index: Column, length: int, blocks: int) -> Column:
 def bin_grid(
     df: DataFrame, rows: int, cols: int, max_rows: int, max_cols: int,
     limits: tuple[float, float] | None = None, lat_ascending: bool = False, by: list[str] | None = None,
+    keep_rows: bool = False,
 ) -> DataFrame:
     """Mean of the finite cells of each block of a plane, north row first.
 
-    A value filter ``limits`` acts on cells before the mean.  ``filtered`` marks blocks
+    With ``keep_rows`` the limit on columns does not make fewer block rows.  A value filter ``limits`` acts on cells before the mean.  ``filtered`` marks blocks
     whose only finite cells were filtered out; other blocks without cells have NULL.
     """
     by = PLANE_KEY if by is None else by
     out_rows, out_cols = fit_size(rows, cols, max_rows, max_cols)
+    if keep_rows:
+        out_rows = min(rows, max_rows)
     r = F.lit(rows - 1) - F.col("r") if lat_ascending else F.col("r")
     x = finite_value()
     if limits is None:

@@ -149,6 +149,9 @@ def test_block_means_and_filter(spark):
     assert B.fit_size(10, 20, 4, 100) == (4, 8) and B.fit_size(3, 3, 9, 9) == (3, 3)
     cut = {(r["bin_r"], r["bin_c"]): (r["value"], r["filtered"]) for r in B.bin_grid(df, 2, 4, 2, 4, (0.0, 10.0), lat_ascending=True).collect()}
     assert cut[(0, 0)] == (None, True) and cut[(1, 3)] == (4.0, False)
+    # the limit on columns alone is tight
+    wide = {(r["bin_r"], r["bin_c"]): r["value"] for r in B.bin_grid(df, 2, 4, 2, 2, keep_rows=True).collect()}
+    assert wide == {(0, 0): 1.5, (0, 1): 3.5, (1, 0): 55.0, (1, 1): 75.0}
 
 
 def test_limits_and_colours(spark):
