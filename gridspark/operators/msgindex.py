@@ -312,18 +312,20 @@ def _in_ranges(x: Column, ranges: list[tuple[int, int]]) -> Column:
     return out
 
 
-def _quantity(scale: Column, value: Column, factor: float, unit: str) -> Column:
-    """Value times ten to minus scale; small numbers in the finer unit."""
-    x = value.cast("double") * F.pow(F.lit(10.0), -scale.cast("double"))
+def _quantity(scale: Column, value: Column, factor: float, unit: str, by_scale: bool = False) -> Column:
+    """Value times ten to minus scale; small numbers, or numbers of a small scale, in the finer unit."""
+    step = F.pow(F.lit(10.0), -scale.cast("double"))
+    x = value.cast("double") * step
     fine = F.concat(compact(x * factor), F.lit(unit))
-    return F.when(value == -(1 << 31), "missing").when(F.abs(x) < 1e-3, fine).otherwise(F.concat(compact(x), F.lit("m")))
+    return F.when(value == -(1 << 31), "missing").when((step if by_scale else F.abs(x)) < 1e-3, fine).otherwise(F.concat(compact(x), F.lit("m")))
 
 
-def aerosol(headers: DataFrame, species: DataFrame | None = None) -> DataFrame:
+def aerosol(headers: DataFrame, species: DataFrame | None = None, unit_by_scale: bool = False) -> DataFrame:
     """Aerosol qualifiers of messages with an aerosol template; NULL for all others.
 
     Adds species, size1, size2, wavelength1, wavelength2 (``interval=<type>;<value>``)
-    and optical.  ``species``: code, label; unknown codes become ``code-<n>``.
+    and optical.  ``species``: code, label; unknown codes become ``code-<n>``.  Lengths below
+    1 mm are in um or nm; with ``unit_by_scale`` all whose scale factor is below 1 mm.
     """
     template = F.col("product_template")
     known = _in_ranges(template, AEROSOL_TEMPLATES)
@@ -340,7 +342,7 @@ def aerosol(headers: DataFrame, species: DataFrame | None = None) -> DataFrame:
         whole = _byte(at + 10).isNotNull() & is_aerosol
         kind = F.concat(F.lit("interval="), _byte(at).cast("string"), F.lit(";"))
         ends = [
-            F.when(whole, F.concat(kind, _quantity(_signed_byte(at + 1 + 5 * i), _signed_word(at + 2 + 5 * i), factor, unit)))
+            F.when(whole, F.concat(kind, _quantity(_signed_byte(at + 1 + 5 * i), _signed_word(at + 2 + 5 * i), factor, unit, unit_by_scale)))
             for i in (0, 1)
         ]
         return ends[0], ends[1]
@@ -385,9 +387,9 @@ def _escape(x: Column) -> Column:
     return x
 
 
-def field_identity(headers: DataFrame, species: DataFrame | None = None) -> DataFrame:
+def field_identity(headers: DataFrame, species: DataFrame | None = None, unit_by_scale: bool = False) -> DataFrame:
     """Add ``machine_key``, ``human_name`` and ``short_name`` to message headers."""
-    rows = aerosol(headers, species)
+    rows = aerosol(headers, species, unit_by_scale)
 
     def part(name: str, column: str) -> Column:
         return F.concat(F.lit(f"{name}="), F.col(column).cast("string"))

@@ -480,3 +480,13 @@ def test_chunk_source_plans_only_what_filters_touch(spark, monkeypatch, scratch)
     assert sum(len(b) for p in some for b in reader.read(p)) == 3 * 6 * 2  # three steps, the last block of two columns
     none, _ = planned(D.EqualTo(("variable",), "y"))
     assert [p.groups for p in none] == [[]]
+
+
+def test_aerosol_units_by_value_or_by_scale(spark):
+    # scale 7, 20,000 and missing; scale 9, 2,000,000; scale 2, 5
+    payload = "0000" + "0030" + "0d00" + "f251" + "02" + "0700004e20" + "0780000000" + "07" + "09001e8480" + "0200000005"
+    df = spark.createDataFrame([(48, bytearray.fromhex(payload))], "product_template INT, payload BINARY")
+    names = ["size1", "size2", "wavelength1", "wavelength2"]
+    by_value, by_scale = (list(X.aerosol(df, unit_by_scale=s).select(names).first()) for s in (False, True))
+    assert by_value == ["interval=2;0.002m", "interval=2;missing", "interval=7;0.002m", "interval=7;0.05m"]
+    assert by_scale == ["interval=2;2000um", "interval=2;missing", "interval=7;2000000nm", "interval=7;0.05m"]
