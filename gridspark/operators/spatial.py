@@ -6,8 +6,9 @@ for no others, the pyramid tells the finest level at which the cell and its neig
 points; two levels up the same place's block surely holds the ``k`` nearest, because its border is farther
 away than any of those points.  The points of that block are the query's short candidate list.
 
-Blocks that hold too many places, e.g. of a query that sees a dense cluster from afar, get no
-list; their queries are searched one by one against ever smaller point cells.
+Blocks that hold too many places, e.g. of queries that see a dense line from afar, are split: smaller
+cells of queries keep the smaller cells of points that can hold one of their nearest.  Queries whose
+finest cell still sees too many are searched one by one against ever smaller point cells.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from ..model import FINITE, GridError
 from ..model import NAN as NAN_CLASS
 from .joins import cut_lineage, lookup_join
 
-#: Places a block may have as candidates; queries of fuller blocks are searched one by one (copies of a point are one place).
+#: Places a block may have as candidates; fuller blocks are split (copies of a point are one place).
 BLOCK_PLACES = 4096
 #: Places that may be left of a query that is searched by itself.
 CANDIDATES = 256
+#: Query cells with the keys of their blocks that may be broadcast.
+HOMES = 100_000
 _MAX_ROUNDS = 24
 
 
@@ -61,6 +64,15 @@ def _axes(space: Space, prefix: str) -> list[str]:
     return [f"{prefix}{a}" for a in range(space.dims)]
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join by sorting.
+
+    The cells here come from explodes, or hold lists, which sizes before the explode or after compression
+    do not tell; a broadcast chosen by these overfills the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _counted(points: DataFrame, space: Space, h: float) -> DataFrame:
     """Non-empty point cells of width h, the points (with copies) and the places they hold."""
     ps = _axes(space, "p")
@@ -78,8 +90,8 @@ def _children(live: DataFrame, cells: DataFrame, space: Space, f: int) -> DataFr
     )
 
 
-def _prune(pairs: DataFrame, by: list[str], near: Column, far: Column, k: int) -> DataFrame:
-    """Keep the cells that can hold one of the k nearest; ``_done`` when few points are left.
+def _prune(pairs: DataFrame, by: list[str], near: Column, far: Column, k: int, few: int) -> DataFrame:
+    """Keep the cells that can hold one of the k nearest; ``_done`` when at most ``few`` places are left.
 
     The k-th upper bound over the cells of a group limits the lower bounds of all.
     """
@@ -89,7 +101,7 @@ def _prune(pairs: DataFrame, by: list[str], near: Column, far: Column, k: int) -
     pairs = pairs.withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(group))
     # a little slack covers rounding of cell borders
     kept = pairs.filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-15))
-    return kept.withColumn("_done", F.sum("places").over(group) <= CANDIDATES)
+    return kept.withColumn("_done", F.sum("places").over(group) <= few)
 
 
 def _depth(places: int, space: Space) -> int:
@@ -109,7 +121,15 @@ def _around(cells: DataFrame, names: list[str], to: list[str]) -> DataFrame:
     return cells.withColumn("_near", F.explode(steps)).select(*cells.columns, "_near.*")
 
 
-def homes(asked: DataFrame, points: DataFrame, space: Space, k: int) -> tuple[DataFrame, DataFrame, int]:
+def _pyramid(points: DataFrame, space: Space, depth: int) -> DataFrame:
+    """(level, p0.., n, places): all cells that hold points, from the finest up."""
+    ps = _axes(space, "p")
+    finest = _counted(points, space, space.size / 2**depth)
+    cells = _levels(finest, ps, depth, ["n", "places"]).groupBy("level", *ps).agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
+    return cut_lineage(cells)
+
+
+def homes(asked: DataFrame, points: DataFrame, space: Space, k: int, pyramid: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(homes, blocks, depth): the block of each finest cell that holds queries.
 
     ``asked`` has the finest cells q0.. of the queries.  ``homes`` gives their ``level`` and, as
@@ -117,25 +137,60 @@ def homes(asked: DataFrame, points: DataFrame, space: Space, k: int) -> tuple[Da
     """
     qs, ps, hs = _axes(space, "q"), _axes(space, "p"), _axes(space, "h")
     depth = _depth(points.count(), space)
-    finest = _counted(points, space, space.size / 2**depth)
-    pyramid = _levels(finest, ps, depth, ["n", "places"]).groupBy("level", *ps).agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
-    pyramid = cut_lineage(pyramid)
+    pyramid = _pyramid(points, space, depth) if pyramid is None else pyramid
     above = _levels(asked, qs, depth)
-    full = _around(above.distinct(), qs, ps).join(pyramid, ["level", *ps]).groupBy("level", *qs).agg(F.sum("n").alias("n"))
+    full = _met(_around(above.distinct(), qs, ps), pyramid, ["level", *ps]).groupBy("level", *qs).agg(F.sum("n").alias("n"))
     full = full.filter(F.col("n") >= k).select("level", *qs)
     own = [F.col(q).alias(f"own_{q}") for q in qs]
     own_above = _levels(asked.select(*qs, *own), qs, depth, [f"own_{q}" for q in qs])
     # where fewer than k points exist, all of them are candidates
     level = F.least(F.coalesce(F.min("fit"), F.lit(depth)) + 2, F.lit(depth))
-    found = own_above.join(full.withColumn("fit", F.col("level")), ["level", *qs], "left").groupBy(*[f"own_{q}" for q in qs]).agg(level.alias("level"))
+    found = _met(own_above, full.withColumn("fit", F.col("level")), ["level", *qs], "left").groupBy(*[f"own_{q}" for q in qs]).agg(level.alias("level"))
     found = found.withColumnsRenamed({f"own_{q}": q for q in qs})
     found = cut_lineage(found.withColumns({h: F.expr(f"shiftright({q}, level)") for h, q in zip(hs, qs)}))
-    inside = _around(found.select("level", *hs).distinct(), hs, ps).join(pyramid, ["level", *ps])
+    inside = _met(_around(found.select("level", *hs).distinct(), hs, ps), pyramid, ["level", *ps])
     total = inside.groupBy("level", *hs).agg(F.sum("places").alias("total"))
-    blocks = cut_lineage(inside.select("level", *hs, *ps).join(total, ["level", *hs]))
+    blocks = cut_lineage(_met(inside.select("level", *hs, *ps), total, ["level", *hs]))
     return found, blocks, depth
 
 
+def _split_blocks(asked: DataFrame, blocks: DataFrame, pyramid: DataFrame, space: Space, depth: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(homes, blocks, rest): crowded blocks split until each has at most BLOCK_PLACES places.
+
+    ``asked`` has the finest query cells q0.. with their ``level`` and home h0..; ``blocks`` the cells p0.. of
+    these homes.  Each round halves query and point cells and keeps the point cells that can hold one of the k nearest
+    of any place of the query cell.  ``rest`` lists the finest query cells whose block stays crowded.
+    """
+    qs, ps, hs = _axes(space, "q"), _axes(space, "p"), _axes(space, "h")
+    front, found, kept_blocks = blocks.select("level", *hs, *ps), [], []
+    rest = asked.filter("level = 0").select(*qs)
+    asked = asked.filter("level > 0").select(*qs, "level")
+    p_cells = pyramid.select("level", *ps, "n", "places", *[F.shiftright(p, 1).alias(f"_{p}") for p in ps])
+    while not asked.isEmpty():
+        asked = asked.select(*qs, (F.col("level") - 1).alias("level"))
+        asked = asked.withColumns({h: F.expr(f"shiftright({q}, level)") for h, q in zip(hs, qs)})
+        q_cells = asked.select("level", *hs, *[F.shiftright(h, 1).alias(f"_{h}") for h in hs]).distinct()
+        above = front.select((F.col("level") - 1).alias("level"), *[F.col(c).alias(f"_{c}") for c in (*hs, *ps)])
+        pairs = _met(_met(above, q_cells, ["level", *[f"_{h}" for h in hs]]), p_cells, ["level", *[f"_{p}" for p in ps]])
+        w = F.pow(F.lit(2.0), F.col("level")) * (space.size / 2**depth)
+        near, far = F.lit(0.0), F.lit(0.0)
+        for h, p in zip(hs, ps):
+            apart = F.abs(F.col(h) - F.col(p))
+            gap, reach = F.greatest(apart - 1, F.lit(0)) * w, (apart + 1) * w
+            near, far = near + gap * gap, far + reach * reach
+        kept = cut_lineage(_prune(pairs, ["level", *hs], near, far, k, BLOCK_PLACES).select("level", *hs, *ps, "_done"))
+        done = kept.filter("_done").select("level", *hs, *ps)
+        settled = done.select("level", *hs).distinct()
+        kept_blocks.append(done)
+        found.append(asked.join(settled, ["level", *hs], "left_semi").select(*qs, "level", *hs))
+        open_ = cut_lineage(asked.join(settled, ["level", *hs], "left_anti").select(*qs, "level"))
+        rest = rest.unionByName(open_.filter("level = 0").select(*qs))
+        asked, front = open_.filter("level > 0"), kept.filter("NOT _done").drop("_done")
+    empty = blocks.limit(0)
+    homes_ = reduce(DataFrame.unionByName, found) if found else empty.select(*[F.col(h).alias(q) for h, q in zip(hs, qs)], "level", *hs)
+    return homes_, reduce(DataFrame.unionByName, kept_blocks, empty.select("level", *hs, *ps)), rest
+
+
 def _block_lists(points: DataFrame, blocks: DataFrame, space: Space, depth: int, payload: list[str]) -> DataFrame:
     """The points of each block (level, h0..)."""
     ps, hs = _axes(space, "p"), _axes(space, "h")
@@ -145,7 +200,7 @@ def _block_lists(points: DataFrame, blocks: DataFrame, space: Space, depth: int,
     fine = points.select(*xs, "n", *payload, *[_index(F.col(x), space, h).alias(p) for x, p in zip(xs, ps)])
     cells = F.array(*[F.struct(F.lit(i).alias("level"), *[F.shiftright(p, i).alias(p) for p in ps]) for i in levels])
     placed = fine.withColumn("_cell", F.explode(cells)).select("_cell.*", *xs, "n", *payload)
-    return blocks.join(placed, ["level", *ps]).groupBy("level", *hs).agg(F.collect_list(F.struct(*xs, "n", *payload)).alias("_cands"))
+    return _met(blocks, placed, ["level", *ps]).groupBy("level", *hs).agg(F.collect_list(F.struct(*xs, "n", *payload)).alias("_cands"))
 
 
 def _search_each(queries: DataFrame, points: DataFrame, space: Space, payload: list[str], k: int) -> DataFrame:
@@ -170,7 +225,7 @@ def _search_each(queries: DataFrame, points: DataFrame, space: Space, payload: l
             a = F.greatest(lo - F.col(x), F.col(x) - hi, F.lit(0.0))
             b = F.greatest(F.abs(F.col(x) - lo), F.abs(F.col(x) - hi))
             near, far = near + a * a, far + b * b
-        kept = cut_lineage(_prune(pairs, ["_qid"], near, far, k).select("_qid", *xs, *ps, "_done"))
+        kept = cut_lineage(_prune(pairs, ["_qid"], near, far, k, CANDIDATES).select("_qid", *xs, *ps, "_done"))
         last = turn == _MAX_ROUNDS - 1
         done = kept.select("_qid", *ps) if last else kept.filter("_done").select("_qid", *ps)
         placed = points.select(*xs, "n", *payload, *[_index(F.col(x), space, h).alias(p) for x, p in zip(xs, ps)])
@@ -186,7 +241,7 @@ def with_candidates(queries: DataFrame, points: DataFrame, space: Space, payload
 
     ``queries`` has x0.. (NULL when unusable); ``points`` has x0.., n and ``payload``.
     """
-    qs, hs = _axes(space, "q"), _axes(space, "h")
+    qs, ps, hs = _axes(space, "q"), _axes(space, "p"), _axes(space, "h")
     xs = [f"x{a}" for a in range(space.dims)]
     kind = "array<struct<" + ",".join(f"{f.name}: {f.dataType.simpleString()}" for f in points.select(*xs, "n", *payload).schema) + ">>"
     if points.isEmpty():
@@ -198,16 +253,25 @@ def with_candidates(queries: DataFrame, points: DataFrame, space: Space, payload
     depth = _depth(points.count(), space)
     h = space.size / 2**depth
     placed = queries.withColumns({q: F.when(usable, _index(F.col(x), space, h)) for q, x in zip(qs, xs)})
-    found, blocks, _ = homes(placed.filter(usable).select(*qs).distinct(), points, space, k)
-    lists = _block_lists(points, blocks.filter(F.col("total") <= BLOCK_PLACES), space, depth, payload)
-    # lists hang on cells that hold queries; a cell's queries read it together
-    table = found.join(lists, ["level", *hs]).select(*qs, "_cands")
-    crowded = blocks.filter(F.col("total") > BLOCK_PLACES).select("level", *hs).distinct()
-    if crowded.isEmpty():
-        return lookup_join(placed, table, qs, max_rows=5_000).drop(*qs)
-    apart = cut_lineage(found.join(crowded, ["level", *hs], "left_semi").select(*qs))
-    easy = lookup_join(placed.join(apart, qs, "left_anti"), table, qs, max_rows=5_000).drop(*qs)
-    hard = placed.join(apart, qs, "left_semi").drop(*qs)
+    pyramid = _pyramid(points, space, depth)
+    found, blocks, _ = homes(placed.filter(usable).select(*qs).distinct(), points, space, k, pyramid)
+    key = ["level", *hs]
+    crowded = blocks.filter(F.col("total") > BLOCK_PLACES).select(*key, *ps)
+    blocks = blocks.filter(F.col("total") <= BLOCK_PLACES).select(*key, *ps)
+    rest = None
+    if not crowded.isEmpty():
+        dense = crowded.select(*key).distinct()
+        more, parts, rest = _split_blocks(cut_lineage(found.join(dense, key, "left_semi").select(*qs, *key)), crowded, pyramid, space, depth, k)
+        found = cut_lineage(found.join(dense, key, "left_anti").select(*qs, *key).unionByName(more))
+        blocks = blocks.unionByName(parts)
+    lists = _block_lists(points, blocks, space, depth, payload)
+    # only the keys of a list travel with the queries; a list is shuffled once, with its block, and never broadcast
+    if rest is None or rest.isEmpty():
+        return lookup_join(placed, found, qs, max_rows=HOMES).drop(*qs).transform(_met, lists, key, "left").drop(*key)
+    rest = cut_lineage(rest)
+    easy = placed.join(rest, qs, "left_anti")
+    easy = lookup_join(easy, found, qs, max_rows=HOMES).drop(*qs).transform(_met, lists, key, "left").drop(*key)
+    hard = placed.join(rest, qs, "left_semi").drop(*qs)
     return easy.unionByName(_search_each(hard, points, space, payload, k))
 
 

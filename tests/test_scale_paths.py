@@ -163,6 +163,24 @@ def test_blocks_follow_the_queries(spark):
     assert len(per_block) <= 5 and all(r["n"] <= 9 and 1 <= r["total"] <= 300 for r in per_block)
 
 
+def test_far_queries_share_split_blocks(spark, monkeypatch):
+    """A dense line seen from afar: lists are shared by cells of queries and never broadcast."""
+    rng = random.Random(5)
+    grid_rows = [(r, c, -30.0 + 60.0 * r, -60.0 + 0.1 * c) for r in range(2) for c in range(1200)]
+    grid = spark.createDataFrame(grid_rows, "r INT, c INT, lat DOUBLE, lon DOUBLE")
+    asked = [(i, rng.uniform(-25, 25), rng.uniform(-60, 59)) for i in range(300)]
+    q = spark.createDataFrame(asked, "id INT, lat DOUBLE, lon DOUBLE")
+    monkeypatch.setattr(N, "BLOCK_PLACES", 500)
+    one_by_one, broadcast = [], []
+    search, join = N._search_each, N.lookup_join
+    monkeypatch.setattr(N, "_search_each", lambda *a: one_by_one.append(1) or search(*a))
+    monkeypatch.setattr(N, "lookup_join", lambda big, small, *a, **b: broadcast.append("_cands" in small.columns) or join(big, small, *a, **b))
+    got = {r["id"]: (r["src_r"], r["src_c"]) for r in N.nearest_cell(q, grid).collect()}
+    for i, lat, lon in asked:
+        assert got[i] == min(((y - lat) ** 2 + (x - lon) ** 2, r, c) for r, c, y, x in grid_rows)[1:]
+    assert one_by_one == [] and not any(broadcast)
+
+
 def test_nearest_tie_takes_the_lowest_cell(spark):
     grid = spark.createDataFrame([(0, 0, 0.0, -1.0), (0, 1, 0.0, 1.0)], "r INT, c INT, lat DOUBLE, lon DOUBLE")
     q = spark.createDataFrame([(0.0, 0.0), (0.0, 180.0)], "lat DOUBLE, lon DOUBLE")
