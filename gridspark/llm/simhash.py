@@ -50,19 +50,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row; ``fp`` is the fingerprint as a signed long.  Null text is empty."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, more: list[str] | None = None
+) -> DataFrame:
+    """(id, fp, ...) of every row; ``fp`` is the fingerprint as a signed long.  Null text is empty.  ``more`` are columns of longs."""
+    more = more or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield batch_of({"id": b.column(0), "fp": pa.array(fps.view(np.int64))})
+            yield batch_of({"id": b.column(0), "fp": pa.array(fps.view(np.int64))} | {c: b.column(2 + i) for i, c in enumerate(more)})
         give_back()
 
     short_batches(docs.sparkSession)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("t")).mapInArrow(
-        run, "id long, fp long"
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("t"), *more).mapInArrow(
+        run, ", ".join(["id long", "fp long", *[f"{c} long" for c in more]])
     )
 
 
@@ -217,20 +220,47 @@ def near_groups(
     the fingerprint zero and link like any other.  No rows give no rows.
     """
     marked = settle(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    classes = _classes(marked, budget, group).select("fp", "component_id")
+    return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _classes(marked: DataFrame, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of ``marked(id, fp)``."""
     known = marked.groupBy("fp").agg(F.min("id").alias("first"))
     roots = components(near_links(known.select("fp"), budget, group))
     known = known.join(roots, known["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first"
     )
     named = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = known.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return known.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
+def drop_linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document per component of linked fingerprints (:func:`near_groups`): the one with the smallest id.
+
+    Repeated rows of the smallest id count as one document (any of them stays); rows without an id stay.
+    """
+    file, at = fresh(docs, "_file"), fresh(docs, "_at")
+    keyed = with_row_key(docs, file, at)
+    own = keyed.select(F.col(file).alias("f"), F.col(at).alias("i"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = settle(fingerprints(own, "id", more=["f", "i"]), "fingerprints")
+    rows = marked.join(settle(_classes(marked).select("fp", "root"), "near-classes"), "fp")
+    return _drop_but_heads(docs, keyed, file, at, rows)
+
+
+def _drop_but_heads(docs: DataFrame, keyed: DataFrame, file: str, at: str, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows (f, i, id, root) that do not head their component; rows without an id stay."""
+    rows = rows.filter("id is not null").select("root", F.struct("id", "f", "i").alias("own"))
+    heads = rows.groupBy("root").agg(F.min("own").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "head")
+    heads = settle(heads, "near-heads")  # written, so that a hot component is split when it is joined
+    lost = rows.join(heads, "root").filter("own <> head").select(F.col("own.f").alias(file), F.col("own.i").alias(at))
+    return keyed.join(light(settle(lost, "near-copies")), [file, at], "left_anti").select(*docs.columns)
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document per component: the one with the smallest id.
 
@@ -242,8 +272,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     file, at = fresh(docs, "_file"), fresh(docs, "_at")
     keyed = with_row_key(docs, file, at)
     own = keyed.select(F.col(file).alias("f"), F.col(at).alias("i"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = near_rows(own, "id").filter("id is not null").select("root", F.struct("id", "f", "i").alias("own"))
-    heads = rows.groupBy("root").agg(F.min("own").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "head")
-    heads = settle(heads, "near-heads")  # written, so that a hot component is split when it is joined
-    lost = rows.join(heads, "root").filter("own <> head").select(F.col("own.f").alias(file), F.col("own.i").alias(at))
-    return keyed.join(light(settle(lost, "near-copies")), [file, at], "left_anti").select(*docs.columns)
+    return _drop_but_heads(docs, keyed, file, at, near_rows(own, "id"))

@@ -131,6 +131,19 @@ def test_near_drop_keeps_the_smallest_id(make):
     assert out.columns == ["doc_id", "text", "u"]
 
 
+def test_pipeline_drops_by_fingerprints(make):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = [(5, " ".join(words)), (3, " ".join([*words[:-1], "z"])), (None, " ".join(words)), (8, "other words here"), (9, ""), (7, None), (3, "apart")]
+    # a Jaccard similarity of 5 / 14, but near fingerprints
+    short = [(20, " ".join(["a b c d e"] * 30 + ["x y"])), (21, " ".join(["a b c d e"] * 30 + ["u v w x y z q"]))]
+    assert bin(simhash.fingerprint(short[0][1].encode()) ^ simhash.fingerprint(short[1][1].encode())).count("1") <= 3
+    out = corpus_pipeline.near_dedup(None, make(rows + short, "doc_id long, text string"), "")
+    assert {tuple(r) for r in out.collect()} == {rows[1], rows[2], rows[3], rows[5], rows[6], short[0]}
+
+
 def test_near_drop_finds_all_pairs_of_similarity(make):
     rng = random.Random(3)
     rows = []
