@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.text import read_documents
 from .joins import cut_lineage, lookup_join
 
 # The candidate bins are five degrees wide.
@@ -167,8 +168,10 @@ _TOPOLOGY = (
 )
 
 
-def read_topology(spark: SparkSession, path: str, layer: str = "land") -> DataFrame:
-    """Rings of the topology files matching ``path``."""
+def read_topology(spark: SparkSession, path: str, layer: str = "land", packed: bool = False) -> DataFrame:
+    """Rings of the topology files matching ``path``, or of the documents packed there by ``write_documents``."""
+    if packed:
+        return decode_topology(read_documents(spark, path).withColumnRenamed("name", "doc"), layer)
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
     return decode_topology(docs, layer)
 

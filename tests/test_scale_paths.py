@@ -2,6 +2,7 @@
 
 import random
 from itertools import groupby
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from gridspark.operators import ordered as O
 from gridspark.operators import polygons as Y
 from gridspark.operators import ranges as R
 from gridspark.operators import spatial as N
+from gridspark.sources import text as X
 
 
 @pytest.fixture
@@ -313,6 +315,18 @@ def test_topology(spark):
     assert pts[2] == [(9, 9), (10, 9), (10, 10), (9, 9)]  # closed
 
 
+def test_packed_topologies_need_no_file_each(spark, scratch):
+    text = '{"transform":{"scale":[1,1],"translate":[%d,0]},"arcs":[[[9,9],[1,0],[0,1]]],"objects":{"land":{"geometries":[{"type":"Polygon","arcs":[[0]]}]}}}'
+    docs = spark.createDataFrame([(f"d{i}", text % i) for i in range(50)], "doc STRING, text STRING").coalesce(2)
+    docs.write.partitionBy("doc").text(scratch + "/files")
+    X.write_documents(docs.withColumnRenamed("doc", "name"), scratch + "/packed")
+    single = Y.read_topology(spark, scratch + "/files/doc=*").withColumn("doc", F.regexp_extract("doc", "/doc=([^/]*)/", 1))
+    packed = Y.read_topology(spark, scratch + "/packed", packed=True)
+    same = lambda df: sorted(map(tuple, df.select("doc", "ring_id", F.to_json("points")).collect()))
+    assert same(packed) == same(single) and packed.count() == 50
+    assert len(list(Path(scratch + "/packed").glob("*.parquet"))) <= 2
+
+
 @pytest.mark.parametrize("block", [100_000, 2])
 def test_null_groups_survive_every_size(spark, monkeypatch, block):
     monkeypatch.setattr(O, "BLOCK", block)
