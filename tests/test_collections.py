@@ -216,6 +216,19 @@ def test_raw_codes_and_forecasts(spark):
     assert not X.is_forecast_collection(p.unionByName(spark.createDataFrame([("s3://b/x.f003.nc",)], "path STRING"))).first()["is_collection"]
 
 
+def test_lines_of_packed_documents(spark, scratch):
+    texts = {"good": "# head\n0 0 0 # black\n\n255 255 255\n", "wide": "0 0 0\r\n256 0 0", "short": "1 2 3", "none": ""}
+    for name, text in texts.items():
+        with open(f"{scratch}/{name}.ncmap", "w", newline="") as f:
+            f.write(text)
+    TX.write_documents(spark.createDataFrame([(f"{n}.ncmap", t) for n, t in texts.items()], "name STRING, text STRING"), scratch + "/packed")
+    lines = TX.document_lines(TX.read_documents(spark, scratch + "/packed"))
+    files = TX.numbered_lines(spark, f"{scratch}/*.ncmap").withColumn("path", F.regexp_extract("path", "([^/]*)$", 1))
+    same = lambda df: sorted(map(tuple, df.select("path", "line", "text").collect()))
+    assert same(lines) == same(files) and lines.count() == 7
+    assert [(r["name"], r["idx"], r["blue"]) for r in TX.parse_palettes(lines).orderBy("idx").collect()] == [("good", 0, 0), ("good", 1, 255)]
+
+
 # --- manifests ----------------------------------------------------------------------------
 
 
