@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,12 +259,79 @@ def _reader(base: str | None):
     return read
 
 
-_DECODED = "manifest STRING, variable STRING, t INT, z INT, r INT, c INT, rest ARRAY<INT>, raw DOUBLE"
+_DECODED = "manifest STRING, variable STRING, t INT, z INT, r INT, c INT, extra MAP<STRING, INT>, raw DOUBLE"
 _BATCH_CELLS = 200_000
 
 
+def _runs_of(rows: list[dict], fetch, fill_missing: bool) -> Iterator[tuple[list[dict], list[bytes | None]]]:
+    """The data of chunks, in pieces of about ``_BATCH_CELLS`` cells; None for a chunk whose object is gone."""
+    kept, data, cells = [], [], 0
+    for row in rows:
+        try:
+            found = row["inline"] if row["inline"] is not None else fetch(row["uri"], int(row["offset"]), int(row["length"]))
+        except FileNotFoundError:
+            if not fill_missing:
+                continue
+            found = None
+        kept.append(row)
+        data.append(found)
+        cells += int(np.prod(row["chunks"]))
+        if cells >= _BATCH_CELLS:
+            yield kept, data
+            kept, data, cells = [], [], 0
+    if kept:
+        yield kept, data
+
+
+def _decoded(rows: list[dict], data: list[bytes | None]) -> Iterator[pa.RecordBatch]:
+    """Cells of chunks, those of one form decoded together."""
+    forms: dict[tuple, list[tuple[dict, bytes | None]]] = {}
+    for row, raw in zip(rows, data, strict=True):
+        chunks = tuple(row["chunks"])
+        size = int(np.prod(chunks))
+        raw = None if raw is None else inflate(raw)
+        n = size if raw is None else min(len(raw) // element_type(row["dtype"]).itemsize, size)
+        forms.setdefault((row["dtype"], tuple(row["shape"]), chunks, tuple(row["dims"]), n, raw is None), []).append((row, raw))
+    for (dtype, shape, chunks, dims, n, gone), found in forms.items():
+        kind, rank = element_type(dtype), len(chunks)
+        if gone:
+            fills = np.array([np.nan if row["fill"] is None else row["fill"] for row, _ in found], dtype="float64")
+            values = np.repeat(fills, n)
+        else:
+            width = n * kind.itemsize
+            values = np.frombuffer(b"".join(raw[:width] for _, raw in found), dtype=kind).astype("float64")
+        first = np.array([row["idx"] for row, _ in found], dtype="int64").reshape(len(found), rank) * np.array(chunks, dtype="int64")
+        inner = np.unravel_index(np.arange(n), chunks) if rank else ()
+        where = [(first[:, axis, None] + inner[axis][None, :]).ravel() for axis in range(rank)]
+        own = np.repeat(np.arange(len(found)), n)
+        if (first + np.array(chunks, dtype="int64") > np.array(shape, dtype="int64")).any():
+            inside = np.logical_and.reduce([at < end for at, end in zip(where, shape, strict=True)])
+            where, values, own = [at[inside] for at in where], values[inside], own[inside]
+        yield _cell_batch([row for row, _ in found], own, where, values, dims)
+
+
+def _cell_batch(rows: list[dict], own: np.ndarray, where: list[np.ndarray], values: np.ndarray, dims: tuple[str, ...]) -> pa.RecordBatch:
+    """Cells of the chunks ``rows[own]`` of one rank; an axis that an array lacks is 0."""
+    rank, cells, zero = len(where), len(values), np.zeros(len(values), dtype="int32")
+    axis = lambda least, at: pa.array(where[at].astype("int32") if rank >= least else zero)
+    if rank > 4:
+        more = dims[2:rank - 2]
+        if len(more) != rank - 4:
+            raise GridError(f"array '{rows[0]['variable']}' of rank {rank} has {len(dims)} dimension names")
+        keys = pa.array(more, pa.string()).take(pa.array(np.tile(np.arange(rank - 4), cells)))
+        items = pa.array(np.stack(where[2:-2], axis=1).astype("int32").ravel())
+        extra = pa.MapArray.from_arrays(pa.array(np.arange(cells + 1, dtype="int32") * (rank - 4)), keys, items)
+    else:
+        extra = pa.nulls(cells, pa.map_(pa.string(), pa.int32()))
+    named = lambda key: pa.array([row[key] for row in rows], pa.string()).take(pa.array(own))
+    return pa.RecordBatch.from_arrays(
+        [named("manifest"), named("variable"), axis(3, 0), axis(4, 1), axis(2, -2), axis(1, -1), extra, pa.array(values)],
+        names=["manifest", "variable", "t", "z", "r", "c", "extra", "raw"],
+    )
+
+
 def decode_chunks(chunks: DataFrame, arrays: DataFrame, base: str | None = None, fill_missing: bool = False) -> DataFrame:
-    """Cells of the referenced chunks: manifest, variable, t, z, r, c[, extra], raw.
+    """Cells of the referenced chunks: manifest, variable, t, z, r, c, extra, raw.
 
     The last two axes are r and c; of the others the first is t, the second z, and any
     further ones go to the map ``extra``.  References to objects are spread by (uri, offset), so a
@@ -278,43 +345,15 @@ def decode_chunks(chunks: DataFrame, arrays: DataFrame, base: str | None = None,
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     read_ = rows.filter("inline IS NULL").repartitionByRange(parts, "uri", "offset", "idx").sortWithinPartitions("uri", "offset")
     rows = rows.filter("inline IS NOT NULL").unionByName(read_)
-    wanted = rows.select("manifest", "variable", "idx", "uri", "offset", "length", "inline", "shape", "chunks", "dtype", "fill")
+    wanted = rows.select("manifest", "variable", "idx", "uri", "offset", "length", "inline", "shape", "chunks", "dtype", "fill", "dims")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _reader(base)
-        out, held = [], 0
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                try:
-                    data = bytes(row.inline) if row.inline is not None else read(row.uri, int(row.offset), int(row.length))
-                except FileNotFoundError:
-                    if not fill_missing:
-                        continue
-                    where, values = _placed(np.full(int(np.prod(row.chunks)), row.fill, dtype="float64"), row.idx, row.shape, row.chunks)
-                else:
-                    where, values = _chunk_cells(data, row.dtype, row.idx, row.shape, row.chunks)
-                rank, zero = len(where), np.zeros(len(values), dtype="int32")
-                frame = pd.DataFrame({
-                    "manifest": row.manifest, "variable": row.variable,
-                    "t": where[0] if rank >= 3 else zero, "z": where[1] if rank >= 4 else zero,
-                    "r": where[-2] if rank >= 2 else zero, "c": where[-1] if rank >= 1 else zero,
-                    "rest": list(where[2:-2].T.astype("int32")) if rank > 4 else None, "raw": values,
-                })
-                out.append(frame)
-                held += len(frame)
-                if held >= _BATCH_CELLS:
-                    yield pd.concat(out, ignore_index=True)
-                    out, held = [], 0
-        if out:
-            yield pd.concat(out, ignore_index=True)
-
-    cells = wanted.mapInPandas(run, _DECODED)
-    names = lookup_join(cells, arrays.select("manifest", "variable", "dims"), ["manifest", "variable"])
-    extra = F.when(
-        F.col("rest").isNotNull(),
-        F.map_from_arrays(F.slice("dims", F.lit(3), F.size("rest")), F.col("rest")),
-    )
-    return names.select("manifest", "variable", "t", "z", "r", "c", extra.alias("extra"), "raw")
+            for kept, data in _runs_of(batch.to_pylist(), read, fill_missing):
+                yield from _decoded(kept, data)
+
+    return wanted.mapInArrow(run, _DECODED)
 
 
 #: Absent chunks of one gap that a row stands for before they are expanded.

@@ -298,6 +298,29 @@ def test_version_3_headers_and_long_time_chunks(spark):
     assert row["dims"] == ["time", "y", "x"] and row["scale_factor"] == 2.0 and row["long_name"] == "Field"
 
 
+def test_chunks_of_several_forms_in_one_batch(spark):
+    refs = {"s/.zarray": header([], [], "<i2"), "s/0": b64(struct.pack("<h", 7)),
+            "e/.zarray": header([3, 3], [2, 2], "|u1"), "e/0.0": b64(bytes([1, 2, 3, 4])), "e/1.1": b64(bytes([5, 6, 7, 8])), "e/0.1": b64(bytes([9])),
+            "f/.zarray": header([4], [2], ">f8"), "f/1": b64(gzip.compress(struct.pack(">2d", 0.5, NAN)))}
+    arrays, chunks = opened(spark, refs)
+    got = {(r["variable"], r["r"], r["c"]): r["raw"] for r in M.decode_chunks(chunks, arrays).collect()}
+    assert got.pop(("f", 0, 3)) != 0.0
+    assert got == {("e", 0, 0): 1, ("e", 0, 1): 2, ("e", 1, 0): 3, ("e", 1, 1): 4, ("e", 2, 2): 5, ("e", 0, 2): 9, ("s", 0, 0): 7, ("f", 0, 2): 0.5}
+
+
+def test_packed_manifests_read_like_files(spark, scratch):
+    rows = [(f"o{i}", n, json.dumps({"refs": {f"v{n}/.zarray": header([1], [1], "|u1"), f"v{n}/0": b64(bytes([i + n]))}})) for i in range(9) for n in range(2)]
+    docs = spark.createDataFrame(rows, "object STRING, shard INT, text STRING").coalesce(2)
+    M.write_manifests(docs, scratch + "/files")
+    M.write_manifests(docs, scratch + "/packed", packed=True)
+    same = []
+    for arrays, refs in (M.read_manifest(spark, scratch + "/files/object=*/shard=*/*"), M.read_manifest(spark, scratch + "/packed", packed=True)):
+        cells = M.decode_chunks(M.chunk_index(refs, arrays), arrays).withColumn("manifest", F.regexp_extract("manifest", "(o[0-9])$", 1))
+        same.append(sorted(map(tuple, cells.select("manifest", "variable", "raw").collect())))
+    assert same[0] == same[1] == sorted((f"o{i}", f"v{n}", float(i + n)) for i in range(9) for n in range(2))
+    assert len(list(Path(scratch + "/packed").glob("*.parquet"))) <= 2
+
+
 def test_further_axes_go_to_extra(spark):
     arrays, chunks = opened(spark, {"v/.zarray": header([1, 1, 2, 1, 2], [1, 1, 2, 1, 2], "|u1"), "v/.zattrs": {"_ARRAY_DIMENSIONS": ["time", "lev", "kernel", "y", "x"]}, "v/0.0.0.0.0": b64(bytes([1, 2, 3, 4]))})
     rows = M.decode_chunks(chunks, arrays).collect()
