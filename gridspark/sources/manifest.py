@@ -16,6 +16,7 @@ from ..model import GridError
 from ..operators.joins import cut_lineage, lookup_join, null_safe_join
 from ..operators.msgindex import reconcile
 from ..operators.ordered import number_rows, with_neighbours
+from .text import read_documents, write_documents
 
 #: Entries per manifest document that :func:`manifest_documents` writes.
 SHARD_ENTRIES = 10_000
@@ -24,8 +25,10 @@ SHARD_ENTRIES = 10_000
 _SPECIAL = r"^(?:.*/)?(\.zarray|\.zattrs|\.zgroup|zarr\.json)$"
 
 
-def read_manifest(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """Array headers and chunk references of all manifest files that match."""
+def read_manifest(spark: SparkSession, pattern: str, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Array headers and chunk references of all manifest files that match, or of packed ones."""
+    if packed:
+        return open_manifests(read_documents(spark, pattern).withColumnRenamed("name", "manifest"))
     # the shards of one object are one manifest
     name = F.regexp_replace(F.col("_metadata.file_path"), r"/shard=\d+/[^/]*$", "")
     docs = spark.read.text(pattern, wholetext=True).select(name.alias("manifest"), F.col("value").alias("text"))
@@ -74,28 +77,31 @@ def array_meta(refs: DataFrame) -> DataFrame:
     both = special.groupBy("manifest", "variable").agg(F.coalesce(pick(".zarray"), pick("zarr.json")).alias("h"), pick(".zattrs").alias("_a"))
     both = both.filter("h IS NOT NULL").withColumn("a", F.coalesce("_a", F.get_json_object("h", "$.attributes")))
 
-    def h(path: str) -> Column:
-        return F.get_json_object("h", path)
-
-    def a(name: str) -> Column:
-        return F.get_json_object("a", f"$.{name}")
-
-    fill_text = h("$.fill_value")
+    # each text is parsed once, not once per field
+    head = ["shape", "dimension_names", "chunks", "chunk_grid", "filters", "dtype", "data_type", "fill_value"]
+    notes = [
+        "_ARRAY_DIMENSIONS", "units", "long_name", "grib2_description", "description", "standard_name", "scale_factor", "add_offset",
+        "grib2_discipline",
+    ]
+    both = both.select("manifest", "variable", "a", F.json_tuple("h", *head).alias(*[f"_h_{n}" for n in head]))
+    both = both.select("*", F.json_tuple("a", *notes).alias(*[f"_a_{n}" for n in notes])).drop("a")
+    h, a = (lambda name: F.col(f"_h_{name}")), (lambda name: F.col(f"_a_{name}"))
+    fill_text = h("fill_value")
     fill = F.when(fill_text == "true", 1.0).when(fill_text == "false", 0.0).otherwise(fill_text.try_cast("double"))
-    shape = F.coalesce(_ints(h("$.shape")), F.array().cast("array<int>"))
+    shape = F.coalesce(_ints(h("shape")), F.array().cast("array<int>"))
     named = F.coalesce(
-        F.from_json(a("_ARRAY_DIMENSIONS"), "ARRAY<STRING>"), F.from_json(h("$.dimension_names"), "ARRAY<STRING>"),
+        F.from_json(a("_ARRAY_DIMENSIONS"), "ARRAY<STRING>"), F.from_json(h("dimension_names"), "ARRAY<STRING>"),
         F.transform(shape, lambda _, i: F.concat(F.lit("dim_"), i.cast("string"))),
     )
     chunks = F.coalesce(
-        _ints(h("$.chunks")), _ints(h("$.chunk_grid.configuration.chunk_shape")), F.array().cast("array<int>")
+        _ints(h("chunks")), _ints(F.get_json_object(h("chunk_grid"), "$.configuration.chunk_shape")), F.array().cast("array<int>")
     )
-    filters = F.from_json(h("$.filters"), "ARRAY<STRUCT<id: STRING>>")
+    filters = F.from_json(h("filters"), "ARRAY<STRUCT<id: STRING>>")
     message = F.coalesce(F.exists(filters, lambda f: f["id"].isin("grib", "grib2")), F.lit(False)) | a("grib2_discipline").isNotNull()
     return both.select(
         "manifest", "variable", named.alias("dims"), shape.alias("shape"),
         F.when(F.size(chunks) > 0, chunks).otherwise(shape).alias("chunks"),
-        F.coalesce(h("$.dtype"), h("$.data_type"), F.lit("<f4")).alias("dtype"), fill.alias("fill"),
+        F.coalesce(h("dtype"), h("data_type"), F.lit("<f4")).alias("dtype"), fill.alias("fill"),
         a("units").alias("units"),
         F.coalesce(a("long_name"), a("grib2_description"), a("description")).alias("long_name"),
         a("standard_name").alias("standard_name"), a("scale_factor").try_cast("double").alias("scale_factor"),
@@ -519,8 +525,14 @@ def manifest_documents(entries: DataFrame, diagnostics: DataFrame, shard_entries
     return both.select("object", "shard", text.alias("text"))
 
 
-def write_manifests(documents: DataFrame, path: str) -> None:
-    """One text file per document, below a folder per object and shard."""
+def write_manifests(documents: DataFrame, path: str, packed: bool = False) -> None:
+    """One text file per document, below a folder per object and shard; or many documents to a file, ``packed``.
+
+    Every file costs the driver and the file system the same, however small, so many small documents are best packed.
+    """
+    if packed:
+        write_documents(documents.select(F.col("object").cast("string").alias("name"), "text"), path)
+        return
     documents.select("object", "shard", "text").repartition("object", "shard").write.mode("overwrite").partitionBy(
         "object", "shard"
     ).text(path)
