@@ -315,6 +315,12 @@ def test_topology(spark):
     assert pts[2] == [(9, 9), (10, 9), (10, 10), (9, 9)]  # closed
 
 
+def test_many_small_groups_are_not_spread(spark, tiny_blocks, monkeypatch):
+    monkeypatch.setattr(O, "_spread", lambda *_: pytest.fail("spread"))
+    df = spark.range(20).select((F.col("id") % 5).alias("g"), "id")
+    assert {(r["id"], r["n"]) for r in O.number_rows(df, ["g"], [F.col("id")], "n").collect()} == {(i, i // 5 + 1) for i in range(20)}
+
+
 def test_packed_topologies_need_no_file_each(spark, scratch):
     text = '{"transform":{"scale":[1,1],"translate":[%d,0]},"arcs":[[[9,9],[1,0],[0,1]]],"objects":{"land":{"geometries":[{"type":"Polygon","arcs":[[0]]}]}}}'
     docs = spark.createDataFrame([(f"d{i}", text % i) for i in range(50)], "doc STRING, text STRING").coalesce(2)
