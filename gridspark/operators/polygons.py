@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.text import read_documents
-from .joins import cut_lineage, lookup_join
+from .joins import at_most, cut_lineage, sized_broadcast
 
 # The candidate bins are five degrees wide.
 LON_BINS, LAT_BINS = 72, 36
 #: Edges of a candidate bin beyond which the bin is cut into bands of latitude, and the most bands of a bin.
 BAND_EDGES, MOST_BANDS = 256, 1024
-#: Edges (over all bins) that are broadcast.
+#: Edges (over all bins), places or cells that are broadcast.
 BROADCAST_EDGES = 100_000
+#: Cells along a side of a candidate bin, from round to round, and places per cell below which cells are not worth a round.
+CELLS_OF_BIN, PLACES_PER_CELL = (2, 8, 32, 128), 8
+#: Degrees by which an edge is taken to be thicker than it is, far beyond any rounding.
+MARGIN = 1e-9
 
 
 def _signed(x: Column) -> Column:
@@ -66,6 +72,12 @@ def prepare_rings(rings: DataFrame) -> DataFrame:
     )
 
 
+def _finite() -> Column:
+    """Has the ring finite coordinates of a sensible size only?"""
+    sound = lambda x: F.coalesce(F.abs(x) <= 1e6, F.lit(False))
+    return F.forall("edges", lambda v: sound(v["x1"]) & sound(v["y1"]))
+
+
 def ring_bins(prepared: DataFrame) -> DataFrame:
     """One row per ring and candidate bin it may cover.
 
@@ -102,6 +114,19 @@ def edge_bins(prepared: DataFrame) -> DataFrame:
     return edges.withColumn("bin_lat", F.explode(lats)).withColumn("bin_lon", F.explode(lons))
 
 
+def mark_bins(prepared: DataFrame) -> DataFrame:
+    """The edges, horizontal ones too, in the candidate bins they touch; coordinates must be finite."""
+    edges = prepared.select("*", F.explode("edges").alias("_edge")).select(*[c for c in prepared.columns if c != "edges"], "_edge.*")
+    lats = F.sequence(lat_bin(F.least("y0", "y1") - MARGIN), lat_bin(F.greatest("y0", "y1") + MARGIN))
+
+    def turn_bin(x: Column) -> Column:
+        return F.floor((x + 180.0) / 360.0 * LON_BINS)
+
+    west, east = turn_bin(F.least("x0", "x1") - MARGIN), turn_bin(F.greatest("x0", "x1") + MARGIN)
+    lons = F.transform(F.sequence(west, F.least(east, west + LON_BINS - 1)), lambda i: F.pmod(i, F.lit(LON_BINS)).cast("int"))
+    return edges.withColumn("bin_lat", F.explode(lats)).withColumn("bin_lon", F.explode(lons))
+
+
 def _band(lat: Column) -> Column:
     """Band of a latitude inside its bin, which has ``bands`` of them."""
     south = F.col("bin_lat") * (180.0 / LAT_BINS) - 90.0
@@ -109,6 +134,25 @@ def _band(lat: Column) -> Column:
     return F.greatest(F.least(at, F.col("bands") - 1), F.lit(0))
 
 
+def _band_counts(binned: DataFrame) -> DataFrame:
+    """Bands of every bin: so many that a band holds few edges, but not more than the edges are short for.
+
+    Edges as tall as their bin lie in all of its bands, which only copies them.  At most LAT_BINS * LON_BINS rows.
+    """
+    high = 180.0 / LAT_BINS
+    south = F.col("bin_lat") * high - 90.0
+    tall = F.greatest(F.least(F.greatest("y0", "y1"), south + high) - F.greatest(F.least("y0", "y1"), south), F.lit(0.0))
+    useful = F.ceil(F.least(F.try_divide(F.lit(high), F.avg(tall)), F.lit(float(MOST_BANDS))))
+    wanted = F.ceil(F.count(F.lit(1)) / BAND_EDGES)
+    return binned.groupBy("bin_lat", "bin_lon").agg(F.least(wanted, useful, F.lit(MOST_BANDS)).cast("int").alias("bands"))
+
+
+def _banded(binned: DataFrame, sizes: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Rows in every band of their bin from one latitude to another."""
+    placed = binned.join(F.broadcast(sizes), ["bin_lat", "bin_lon"])
+    return placed.withColumn("band", F.explode(F.sequence(_band(low), _band(high)))).drop("bands")
+
+
 def _crosses(lat: Column, lon: Column) -> Column:
     """Does the edge cross the ray from a point of the ring's bounding box to the east?"""
     boxed = (lat >= F.col("s")) & (lat <= F.col("n")) & (
@@ -119,31 +163,84 @@ def _crosses(lat: Column, lon: Column) -> Column:
     return boxed & spans & (_near(lon, F.col("anchor")) < at)
 
 
+def _touches(lat: Column, lon: Column, half: float) -> Column:
+    """May the edge meet the square cell around a point?  It surely does not where this is false."""
+    dx, dy, reach = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), half + MARGIN
+    mid_x, mid_y = F.col("x0") + dx / 2, F.col("y0") + dy / 2
+    across = _near(lon, F.col("anchor")) - mid_x
+    across, up = across - 360.0 * F.floor(across / 360.0 + 0.5), lat - mid_y
+    # the nearest turn of the edge; an edge of almost half the globe may meet the cell in another one, too
+    apart = F.abs(dx * up - dy * across) > reach * (F.abs(dx) + F.abs(dy))
+    boxed = (F.abs(across) <= F.abs(dx) / 2 + reach) & (F.abs(up) <= F.abs(dy) / 2 + reach)
+    return boxed & (~apart | (F.abs(dx) / 2 + reach >= 90.0))
+
+
+def _meet(few: DataFrame, edges: DataFrame) -> DataFrame:
+    """Places or cells with the edges of their bin and band; the smaller side is broadcast if it is small."""
+    keys = ["bin_lat", "bin_lon", "band"]
+    if at_most(few, BROADCAST_EDGES):
+        return edges.join(F.broadcast(few), keys)
+    return few.join(sized_broadcast(edges, BROADCAST_EDGES), keys)
+
+
+def _settled_cells(cells: DataFrame, prepared: DataFrame, sizes: DataFrame, unit: str, side: float) -> DataFrame:
+    """Cells (``_r``, ``_c``) with ``inside``: are all of their points inside, or none (else NULL)?
+
+    Where no edge of a polygon meets a cell, its points agree with the centre of the cell.
+    """
+    half, lat, lon = side / 2, F.col("lat"), F.col("lon")
+    centres = cells.withColumn("lat", (F.col("_r") + 0.5) * side).withColumn("lon", (F.col("_c") + 0.5) * side)
+    placed = centres.withColumn("bin_lat", lat_bin(lat)).withColumn("bin_lon", lon_bin(lon)).join(F.broadcast(sizes), ["bin_lat", "bin_lon"])
+    placed = placed.withColumn("_own", _band(lat)).withColumn("band", F.explode(F.sequence(_band(lat - half), _band(lat + half))))
+    placed = placed.withColumn("_own", F.col("_own") == F.col("band")).drop("bands")
+    low, high = F.least("y0", "y1") - MARGIN, F.greatest("y0", "y1") + MARGIN
+    both = edge_bins(prepared).withColumn("_ray", F.lit(True)).unionByName(mark_bins(prepared).withColumn("_ray", F.lit(False)))
+    met = _meet(placed, _banded(both, sizes, low, high))
+    hits = met.filter(F.when(F.col("_ray"), F.col("_own") & _crosses(lat, lon)).otherwise(_touches(lat, lon, half)))
+    odd = F.count(F.when(F.col("_ray"), 1)) % 2 == 1
+    found = hits.groupBy("_r", "_c", unit).agg(odd.alias("_odd"), F.bool_or(~F.col("_ray")).alias("_met"))
+    told = found.groupBy("_r", "_c").agg(F.bool_or(F.col("_odd") & ~F.col("_met")).alias("_in"), F.bool_or("_met").alias("_open"))
+    state = F.when(F.col("_in"), True).when(F.col("_open"), None).otherwise(False)
+    return cells.join(told, ["_r", "_c"], "left").select("_r", "_c", state.alias("inside"))
+
+
 def in_polygons(points: DataFrame, rings: DataFrame, key: list[str], holes: bool = False) -> DataFrame:
     """Add ``inside`` to points (``lat``, ``lon``): does any ring contain the point?
 
-    Points meet single edges, not rings: those of their five-degree bin and, where a bin holds
-    many edges, of their band of latitude.  Crossings are counted per place and ring by partial
-    aggregation, so ``key`` may repeat or be NULL.  With ``holes`` the rings of one polygon
-    cancel out pairwise; without, every ring counts alone.
+    Cells of shrinking size settle most places at once: those that lie whole in a polygon, and those that
+    nothing covers.  Only the places of cells that stay open meet single edges: those of their five-degree
+    bin and, where a bin holds many short edges, of their band of latitude.  Crossings are counted by
+    partial aggregation, so ``key`` may repeat or be NULL.  With ``holes`` the rings of one polygon cancel
+    out pairwise; without, every ring counts alone.  Rings with a vertex that is not finite leave all
+    places to single edges.
     """
-    prepared = cut_lineage(prepare_rings(rings).drop("ring_id").withColumn("_ring", F.monotonically_increasing_id()))
-    binned = edge_bins(prepared)
-    bins = ["bin_lat", "bin_lon"]
-    wanted = F.ceil(F.count(F.lit(1)) / BAND_EDGES)
-    # at most LAT_BINS * LON_BINS rows
-    sizes = F.broadcast(binned.groupBy(*bins).agg(F.least(wanted, F.lit(MOST_BANDS)).cast("int").alias("bands")))
-    low, high = _band(F.least("y0", "y1")), _band(F.greatest("y0", "y1"))
-    edges = binned.join(sizes, bins).withColumn("band", F.explode(F.sequence(low, high))).drop("bands")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = prepare_rings(rings).drop("ring_id").repartition(parts).withColumn("_ring", F.monotonically_increasing_id())
+    prepared = cut_lineage(numbered)
+    # crossings of a polygon are odd if those of an odd number of its rings are
+    unit = "polygon_id" if holes else "_ring"
+    sizes = cut_lineage(_band_counts(edge_bins(prepared).unionByName(mark_bins(prepared.filter(_finite())))))
     lat, lon = F.col("lat"), F.col("lon")
-    places = points.select("lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct()
-    placed = places.withColumn("bin_lat", lat_bin(lat)).withColumn("bin_lon", lon_bin(lon)).join(sizes, bins)
-    placed = placed.withColumn("band", _band(lat)).drop("bands")
-    met = lookup_join(placed, edges, [*bins, "band"], "inner", BROADCAST_EDGES)
-    odd = met.filter(_crosses(lat, lon)).groupBy("lat", "lon", "polygon_id", "_ring").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
-    if holes:
-        odd = odd.groupBy("lat", "lon", "polygon_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
-    inside = odd.select("lat", "lon").distinct().withColumn("inside", F.lit(True))
+    rest = cut_lineage(points.select("lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL").distinct())
+    found = []
+    if prepared.filter(~_finite()).isEmpty():
+        for cells_of_bin in CELLS_OF_BIN:
+            side = 180.0 / LAT_BINS / cells_of_bin
+            common = (F.abs(lat) <= 90.0) & (F.abs(lon) <= 1e6)
+            at = rest.withColumn("_r", F.when(common, F.floor(lat / side))).withColumn("_c", F.when(common, F.floor(lon / side)))
+            cells = cut_lineage(at.filter("_r IS NOT NULL").select("_r", "_c").distinct())
+            n_cells = cells.count()
+            if n_cells == 0 or n_cells * PLACES_PER_CELL > rest.count():
+                break
+            settled = cut_lineage(_settled_cells(cells, prepared, sizes, unit, side))
+            told = cut_lineage(at.join(sized_broadcast(settled), ["_r", "_c"], "left"))
+            found.append(told.filter("inside").select("lat", "lon"))
+            rest = told.filter("inside IS NULL").select("lat", "lon")
+    edges = _banded(edge_bins(prepared), sizes, F.least("y0", "y1"), F.greatest("y0", "y1"))
+    placed = rest.withColumn("bin_lat", lat_bin(lat)).withColumn("bin_lon", lon_bin(lon))
+    met = _meet(_banded(placed, sizes, lat, lat), edges)
+    odd = met.filter(_crosses(lat, lon)).groupBy("lat", "lon", unit).agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
+    inside = reduce(DataFrame.unionByName, found, odd.select("lat", "lon").distinct()).withColumn("inside", F.lit(True))
     return points.join(inside, ["lat", "lon"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 

@@ -295,6 +295,95 @@ def test_star_polygons_equal_brute_force(spark, monkeypatch, most, limit):
             assert got[i] == want, (lat, lon, hits)
 
 
+def _inside(spots, rings, holes):
+    """Brute force: is a (lat, lon) in any ring, or with holes in any polygon?"""
+
+    def odd(pts, lat, lon):
+        x0 = pts[0][0]
+        near = lambda x: x - 360 * round((x - x0) / 360) if abs(x - x0) > 180 else x
+        px, n = near(lon), 0
+        w, e = min(p[0] for p in pts), max(p[0] for p in pts)
+        if e - w < 180 and not w <= lon <= e:
+            return False
+        for (ax, ay), (bx, by) in zip(pts, [pts[-1], *pts[:-1]]):
+            if (ay > lat) != (by > lat) and px < (near(ax) - near(bx)) * (lat - ay) / (ay - by) + near(ax):
+                n += 1
+        return n % 2 == 1
+
+    found = []
+    for lat, lon in spots:
+        hits = [pid for _, pid, pts in rings if odd(pts, lat, lon)]
+        found.append(any(hits.count(p) % 2 for p in hits) if holes else bool(hits))
+    return found
+
+
+@pytest.mark.parametrize("limit", [Y.BROADCAST_EDGES, 0])
+def test_cells_settle_places_as_single_edges_do(spark, monkeypatch, limit):
+    """Rings over each other, on borders of cells, over the date line and beyond 180 degrees; places on their borders, on the poles and in 0..360."""
+    monkeypatch.setattr(Y, "PLACES_PER_CELL", 0)
+    monkeypatch.setattr(Y, "CELLS_OF_BIN", (2, 8))
+    monkeypatch.setattr(Y, "BROADCAST_EDGES", limit)
+    rng = np.random.default_rng(5)
+    box = lambda w, s, e, n: [(float(x), float(y)) for x, y in ((w, s), (e, s), (e, n), (w, n))]
+    rings = [
+        ("a", "p0", box(-30, -20, 40, 35)), ("b", "p0", box(-5, -5, 10, 10)), ("c", "p0", box(0, 0, 2.5, 2.5)), ("d", "p1", box(-2.5, 0, 7.5, 5)),
+        ("seam", "p2", box(170, 50, -165, 70)), ("beyond", "p3", box(340, -60, 365, -45)), ("polar", "p4", box(-60, 80, 60, 90)),
+        ("wide", "p5", [(-120.0, -85.0), (0.0, -88.0), (120.0, -85.0), (120.0, -80.0), (0.0, -75.0), (-120.0, -80.0)]),
+        ("half", "p7", [(-100.0, 20.0), (95.0, 60.0), (90.0, -30.0)]), ("flat", "p8", [(50.0, 0.0), (60.0, 0.0), (55.0, 0.0)]),
+    ]
+    for i, (x, y) in enumerate([(70, 0), (72, 4), (-100, 40)]):
+        turn, far = np.sort(rng.uniform(0, 2 * np.pi, 40)), rng.uniform(4, 15, 40)
+        rings.append((f"s{i}", f"p{i % 2}", [(float(x + a), float(y + b)) for a, b in zip(far * np.cos(turn), far * np.sin(turn))]))
+    near = [(y + float(j), x + float(i)) for _, _, pts in rings[:9] for x, y in pts for i in rng.uniform(-4, 4, 4) for j in (0.0, *rng.uniform(-4, 4, 3))]
+    grid = [(float(a), float(o)) for a in (-90, -85, -5, 0, 2.5, 10, 35, 89.9, 90) for o in (-180, -30, -5, 0, 2.5, 10, 40, 175, 180, 190, 195, 345, 360, 365)]
+    spots = near + grid + [(float(a), float(o)) for a, o in rng.uniform([-90, -180], [90, 370], (600, 2))]
+    pts = spark.createDataFrame([(i, a, o) for i, (a, o) in enumerate(spots)], "id INT, lat DOUBLE, lon DOUBLE")
+    for holes in (False, True):
+        got = {r["id"]: r["inside"] for r in Y.in_polygons(pts, spark.createDataFrame(rings, SCHEMA), ["id"], holes).collect()}
+        assert [s for i, (s, w) in enumerate(zip(spots, _inside(spots, rings, holes))) if got[i] != w] == []
+
+
+def test_places_under_many_rings_meet_few_edges(spark, monkeypatch):
+    """Places times rings over them would be 400,000 pairs; cells inside a ring, and cells outside of all, need none."""
+    monkeypatch.setattr(Y, "PLACES_PER_CELL", 1)
+    met, meet = [], Y._meet
+
+    def counted(few, edges):
+        met.append(meet(few, edges).cache())
+        return met[-1]
+
+    monkeypatch.setattr(Y, "_meet", counted)
+    rings = spark.range(200).select(
+        F.concat(F.lit("r"), "id").alias("ring_id"), F.col("id").cast("string").alias("polygon_id"),
+        F.array(*[F.struct((F.lit(x) + F.col("id") / 1000).alias("lon"), F.lit(y).alias("lat")) for x, y in ((0.5, 0.5), (24.5, 0.5), (24.5, 24.5), (0.5, 24.5))]).alias("points"),
+    )
+    pts = spark.range(4000).select("id", (F.col("id") % 61 * 0.41).alias("lat"), (F.col("id") % 67 * 0.37 + F.col("id") * 1e-6).alias("lon"))
+    out = Y.in_polygons(pts, rings, ["id"], holes=True)
+    wrong = out.filter(F.col("inside") != ((F.col("lat") >= 0.5) & (F.col("lat") < 24.5) & (F.col("lon") >= 0.5) & (F.col("lon") < 24.5 + 0.199)))
+    assert wrong.isEmpty() and out.filter("inside").count() > 2000
+    assert len(met) > 1 and met[-1].select("lat", "lon").distinct().count() < 1500
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), 1e9])
+def test_a_ring_with_a_bad_vertex_leaves_the_others_right(spark, monkeypatch, bad):
+    monkeypatch.setattr(Y, "PLACES_PER_CELL", 0)
+    rings = spark.createDataFrame([*RINGS, ring(9, [(20, 20), (21, 20), (bad, 21)])], SCHEMA)
+    pts = spark.createDataFrame([(i, la, lo) for i, (la, lo, _, _) in enumerate(SPOTS)], "id INT, lat DOUBLE, lon DOUBLE")
+    got = {r["id"]: r["inside"] for r in Y.in_polygons(pts, rings, ["id"], True).collect()}
+    assert got == {i: s[3] for i, s in enumerate(SPOTS)}
+
+
+def test_bands_do_not_copy_tall_edges(spark, monkeypatch):
+    monkeypatch.setattr(Y, "BAND_EDGES", 1)
+    tall = spark.range(100).select(
+        F.lit("p").alias("polygon_id"), F.col("id").alias("_ring"), F.lit("x").alias("ring_id"),
+        F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((1.0, -20.0), (2.0, -20.0), (2.0, 20.0))]).alias("points"),
+    )
+    binned = Y.edge_bins(Y.prepare_rings(tall))
+    sizes = Y._band_counts(binned)
+    assert Y._banded(binned, sizes, F.least("y0", "y1"), F.greatest("y0", "y1")).count() <= 2 * binned.count()
+
+
 def test_border_cells(spark):
     land = {(0, 0), (2, 3)}
     mask = spark.createDataFrame([(r, c, (r, c) in land) for r in range(4) for c in range(5)], "r INT, c INT, land BOOLEAN")
