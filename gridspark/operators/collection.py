@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import parse_label
 from ..model import GridSet
 from .catalog import leading_axes, with_dim_map
-from .joins import lookup_join
+from .joins import cut_lineage, lookup_join
 from .ordered import number_rows, with_neighbours
 
 
@@ -200,20 +200,19 @@ def corner_compat(gs: GridSet, variables: DataFrame) -> DataFrame:
 
     ``variables``: variable, dataset_id.  Uses 2-D coordinates.
     """
-    grid = gs.coord2d.groupBy("dataset_id").agg(
-        (F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"),
-        F.min_by(F.struct("lat", "lon"), F.struct("r", "c")).alias("first"),
-        F.max_by(F.struct("lat", "lon"), F.struct("r", "c")).alias("last"),
-    )
-    first = variables.groupBy("variable").agg(F.min("dataset_id").alias("reference_id"))
-    named = lookup_join(variables.select("variable", "dataset_id"), first, ["variable"], "inner").filter(
+    # one number in the order of (r, c), NULL first: aggregates of fixed width are hashed, those of structs would sort all cells
+    place = F.shiftleft(F.coalesce("r", F.lit(-(2**31) + 1)).cast("long"), 32) + F.coalesce("c", F.lit(-(2**31))).cast("long")
+    ends = [f(name, place).alias(f"{end}_{name}") for end, f in (("first", F.min_by), ("last", F.max_by)) for name in ("lat", "lon")]
+    found = gs.coord2d.groupBy("dataset_id").agg((F.max("r") + 1).alias("rows"), (F.max("c") + 1).alias("cols"), *ends)
+    corners = F.struct("rows", "cols", *[F.struct(*[F.col(f"{end}_{name}").alias(name) for name in ("lat", "lon")]).alias(end) for end in ("first", "last")])
+    grid = cut_lineage(found.select("dataset_id", corners.alias("_m")))
+    first = cut_lineage(variables.groupBy("variable").agg(F.min("dataset_id").alias("reference_id")))
+    # few datasets are references: their corners go by variable, not by a shuffle on the reference
+    theirs = lookup_join(grid.select(F.col("dataset_id").alias("reference_id"), F.col("_m").alias("_r")), first, ["reference_id"], "inner")
+    named = lookup_join(variables.select("variable", "dataset_id"), theirs, ["variable"], "inner").filter(
         F.col("dataset_id") != F.col("reference_id")
     )
-    mine = lookup_join(named, grid.select("dataset_id", F.struct("rows", "cols", "first", "last").alias("_m")), ["dataset_id"], "inner")
-    both = lookup_join(
-        mine, grid.select(F.col("dataset_id").alias("reference_id"), F.struct("rows", "cols", "first", "last").alias("_r")),
-        ["reference_id"], "inner",
-    )
+    both = lookup_join(named, grid, ["dataset_id"], "inner")
 
     def same(path: str) -> Column:
         a, b = F.col(f"_m.{path}"), F.col(f"_r.{path}")

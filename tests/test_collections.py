@@ -117,6 +117,30 @@ def test_coordinate_compatibility(spark):
 # --- series, distributions, colours -----------------------------------------------------
 
 
+def test_corners_are_hashed_and_references_not_shuffled(spark, monkeypatch):
+    """Corners of fixed width need no sort of all cells, and a reference many datasets share is no join key of theirs."""
+    plans, cut = [], K.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(K, "cut_lineage", seen)
+    nan, cells = NAN, []
+    for d, first, last in ((1, (0.0, 5.0), (1.0, 9.0)), (2, (0.0, 5.0), (1.0, 9.0)), (3, (0.0, 5.0), (1.0, 8.0)), (4, (nan, 5.0), (1.0, 9.0)), (5, (None, 5.0), (1.0, 9.0))):
+        cells += [(d, 0, 0, *first), (d, 0, 11, 2.0, 2.0), (d, 1, 0, 3.0, 3.0), (d, 1, 11, *last)]
+    cells += [(6, 0, 0, 0.0, 5.0), (6, 2, 11, 1.0, 9.0)]
+    grid = spark.createDataFrame(cells, "dataset_id INT, r INT, c INT, lat DOUBLE, lon DOUBLE")
+    held = spark.createDataFrame([(v, d) for v in ("x", "y") for d in range(1, 7) if (v, d) != ("y", 1)], "variable STRING, dataset_id INT")
+    out = K.corner_compat(GridSet(cells=None, coord2d=grid), held)
+    got = {(r["variable"], r["dataset_id"], r["reference_id"]): r["message"].split("have ")[1] for r in out.collect()}
+    other, shape = "grids in different places", "grids of different shapes"
+    assert got == {(v, d, i): shape if d == 6 else other for v, i in (("x", 1), ("y", 2)) for d in (3, 4, 5, 6)}
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 1 and not any("SortAggregate" in p or "ObjectHashAggregate" in p for p in plans)
+    assert not any("hashpartitioning(reference_id" in p for p in plans)
+
+
 def test_time_series_keeps_gaps(spark):
     cells = plane(spark, [1, 2, 3, 4], 2)
     line = spark.createDataFrame([("x", 0, 1, 0, "a"), ("x", 1, 7, 0, "b")], "variable STRING, t_global INT, dataset_id INT, t INT, label STRING")
