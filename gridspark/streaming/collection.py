@@ -21,6 +21,8 @@ ARRIVALS = (
     "numeric BOOLEAN, units STRING, long_name STRING, standard_name STRING, format STRING, path STRING, "
     "labels ARRAY<STRING>, error STRING"
 )
+#: Arrivals that one task takes, at most as many tasks as shuffle partitions.
+ROWS_PER_TASK = 10_000
 #: Tables that :func:`latest` gives.
 TABLES = ("frames", "diagnostics", "timeline", "progress")
 
@@ -65,6 +67,13 @@ def derived_arrivals(arrivals: DataFrame, formulas: list[Derived]) -> DataFrame
     return reduce(lambda a, b: a.unionByName(b), out) if out else None
 
 
+def _spread(batch: DataFrame) -> DataFrame:
+    """The batch in partitions of limited size: a file that arrives may be one task, and so would be all that is joined to it."""
+    most = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(most, batch.count() // ROWS_PER_TASK + 1)
+    return batch.repartition(parts) if parts > 1 else batch
+
+
 def update_collection(formulas: list[Derived] | None, sink: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: store the batch, its frames and how it differs from what was there.
 
@@ -95,7 +104,7 @@ def update_collection(formulas: list[Derived] | None, sink: str) -> Callable[[Da
                 )
             return rows.drop("batch_id")
 
-        new = write(batch.select(*[f.name for f in batch.schema]), "arrivals")
+        new = write(_spread(batch), "arrivals")
         good = new.filter("error IS NULL AND variable IS NOT NULL")
         if formulas:
             inputs = write(good.filter(F.col("variable").isin(needed)), "inputs")

@@ -551,3 +551,17 @@ def test_aerosol_units_by_value_or_by_scale(spark):
     by_value, by_scale = (list(X.aerosol(df, unit_by_scale=s).select(names).first()) for s in (False, True))
     assert by_value == ["interval=2;0.002m", "interval=2;missing", "interval=7;0.002m", "interval=7;0.05m"]
     assert by_scale == ["interval=2;2000um", "interval=2;missing", "interval=7;2000000nm", "interval=7;0.05m"]
+
+
+def test_a_file_of_many_arrivals_is_more_than_one_task(spark, scratch, monkeypatch):
+    monkeypatch.setattr(L, "ROWS_PER_TASK", 10, raising=False)
+    dims = [("time", 1, "time"), ("lat", 4, "latitude"), ("lon", 8, "longitude")]
+    rows = [(d, 0, v, dims, True, "K" if d == 7 else "m", v, None, "netcdf4", f"f{d}", [f"t={d}"], None) for d in range(60) for v in ("a", "b")]
+    batch = spark.createDataFrame(rows, L.ARRIVALS).coalesce(1)
+    L.update_collection(None, scratch)(batch, 0)
+    assert len(list(Path(scratch + "/arrivals/batch_id=0").glob("*.parquet"))) == 4  # as many as shuffle partitions
+    assert len(list(Path(scratch + "/frames/batch_id=0").glob("*.parquet"))) > 1
+    line = L.latest(spark, scratch, "timeline").filter("variable = 'a'").orderBy("t_global").collect()
+    assert [(r["t_global"], r["dataset_id"], r["label"]) for r in line] == [(i, d, f"t={d}") for i, d in enumerate(range(60))]
+    notes = sorted((r["variable"], r["dataset_id"]) for r in L.latest(spark, scratch, "diagnostics").collect())
+    assert notes == [("a", 7), ("b", 7)]
