@@ -11,6 +11,9 @@ from .catalog import leading_axes, with_dim_map
 from .joins import cut_lineage, lookup_join
 from .ordered import number_rows, with_neighbours
 
+#: Columns of a variable that must agree with its first dataset, besides format and dimension shapes.
+COMPARED = ["dims", "numeric", "units", "long_name", "standard_name"]
+
 
 def frames(gs: GridSet, labels: DataFrame | None = None) -> DataFrame:
     """One row per variable, dataset and local time step: the virtual concatenation.
@@ -61,8 +64,7 @@ def differences(gs: GridSet) -> DataFrame:
 
     Dimension lengths may differ along time only.
     """
-    fields = ["dims", "numeric", "units", "long_name", "standard_name"]
-    rows = with_dim_map(gs.vars.select("dataset_id", "variable", *fields), gs.dims)
+    rows = with_dim_map(gs.vars.select("dataset_id", "variable", *COMPARED), gs.dims)
     fmt = F.lit(None).cast("string").alias("format")
     if gs.datasets is not None:
         rows = rows.join(gs.datasets.select("dataset_id", "format"), "dataset_id", "left")
@@ -70,8 +72,17 @@ def differences(gs: GridSet) -> DataFrame:
         rows = rows.select("*", fmt)
     first = rows.groupBy("variable").agg(
         F.min("dataset_id").alias("reference_id"),
-        F.min_by(F.struct("format", *fields, "dim_map"), "dataset_id").alias("_r"),
+        F.min_by(F.struct("format", *COMPARED, "dim_map"), "dataset_id").alias("_r"),
     )
+    return differences_from(rows, first)
+
+
+def differences_from(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Compare variables with given references, one per variable, row by row.
+
+    ``rows``: variable, dataset_id, format, the columns ``COMPARED`` and dim_map; ``first``: variable,
+    reference_id and the same columns as the struct ``_r``.
+    """
     both = lookup_join(rows, first, ["variable"], "inner").filter(F.col("dataset_id") != F.col("reference_id"))
 
     def same_dim(d: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import GridError, GridSet
-from ..operators.collection import differences, duplicate_labels, frames, missing_notes, timeline
+from ..operators.catalog import leading_axes, with_dim_map
+from ..operators.collection import COMPARED, differences_from, duplicate_labels, missing_notes, timeline
 from ..operators.decode import decode, finite_value
 from ..operators.derive import Derived, derived_vars
 from ..operators.joins import cut_lineage, lookup_join
@@ -40,12 +41,42 @@ def catalogue(arrivals: DataFrame) -> tuple[GridSet, DataFrame]:
     return GridSet(cells=None, vars=vars_, dims=dims, datasets=datasets), labels
 
 
+def _with_own_dims(rows: DataFrame) -> DataFrame:
+    """Arrivals with the names of their dimensions and ``dim_map``: a row holds what its own dimensions are, so none is joined."""
+    once = F.filter("dims", lambda d, i: F.array_position("dims.dim", d["dim"]) == i + 1)
+    sizes = F.map_from_entries(F.transform(once, lambda d: F.struct(d["dim"], F.struct(d["role"], d["length"]))))
+    return rows.withColumn("dim_map", sizes).withColumn("dims", F.col("dims.dim"))
+
+
+def _frames(good: DataFrame) -> DataFrame:
+    """One row per arrival and local time step, as :func:`gridspark.operators.collection.frames`, out of the row alone."""
+    rows = leading_axes(_with_own_dims(good), None)
+    steps = F.explode(F.sequence(F.lit(0), F.greatest("n_time", F.lit(1)) - 1)).alias("t")
+    label = F.coalesce(F.get("labels", "t"), F.concat(F.lit("t="), F.col("t").cast("string")))
+    return rows.select("dataset_id", "variable", steps, "labels", "path").select(
+        "dataset_id", "variable", "t", label.alias("label"), F.col("path").alias("identity")
+    )
+
+
+def _differences(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """How arrivals differ from the first one of their variable (``firsts``); only datasets with a first one are gathered."""
+    homes = lookup_join(rows, firsts.select("dataset_id").distinct(), ["dataset_id"], "left_semi").unionByName(firsts)
+    whole = homes.select("dataset_id", F.explode("dims").alias("d")).select("dataset_id", "d.*").dropDuplicates(["dataset_id", "dim"])
+    own = _with_own_dims(firsts).withColumnRenamed("dim_map", "_own")
+    # what a dataset's other variables tell of a dimension counts where the first arrival has none of that name
+    others = F.map_filter("dim_map", lambda d, _: ~F.coalesce(F.map_contains_key("_own", d), F.lit(False)))
+    held = with_dim_map(own, whole).withColumn("dim_map", F.coalesce(F.map_concat(others, "_own"), "dim_map"))
+    first = held.select("variable", F.col("dataset_id").alias("reference_id"), F.struct("format", *COMPARED, "dim_map").alias("_r"))
+    found = _with_own_dims(rows).select("variable", "dataset_id", "format", *COMPARED, "dim_map")
+    return differences_from(found, cut_lineage(first)).select("variable", "dataset_id", "message")
+
+
 def derived_arrivals(arrivals: DataFrame, formulas: list[Derived]) -> DataFrame | None:
     """Arrivals of the formulas' results, for the datasets that can evaluate them; labels are those of the first reference.
 
     Formulas are bound against what the files hold, so none sees another's result.
     """
-    gs, labels = catalogue(arrivals)
+    gs, _ = catalogue(arrivals)
     names = gs.vars.select("variable").distinct()
     out = []
     for d in formulas:
@@ -120,22 +151,21 @@ def update_collection(formulas: list[Derived] | None, sink: str) -> Callable[[Da
                 seen = before("derived").select("dataset_id", "variable").distinct()
                 derived = write(lookup_join(derived, seen, ["dataset_id", "variable"], "left_anti").select(*new.columns), "derived")
                 good = cut_lineage(good.unionByName(derived))
-        gs, labels = catalogue(good)
-        write(frames(gs, labels), "frames")
+        write(_frames(good), "frames")
         old = before("first")
         whole = F.struct(*old.columns)
-        firsts = write(old.unionByName(good).groupBy("variable").agg(F.min_by(whole, "dataset_id").alias("_f")).select("_f.*"), "first")
+        both = old.unionByName(good.select(*old.columns))
+        # the smallest number is hashed; the rows that hold it are few
+        least = both.groupBy("variable").agg(F.min("dataset_id").alias("dataset_id"))
+        heads = lookup_join(both, least, ["variable", "dataset_id"], "left_semi")
+        firsts = write(heads.groupBy("variable").agg(F.min_by(whole, "dataset_id").alias("_f")).select("_f.*"), "first")
         moved = firsts.select("variable", F.col("dataset_id").alias("_now")).join(old.select("variable", F.col("dataset_id").alias("_was")), "variable")
         moved = write(moved.filter("_now < _was").select("variable"), "restarts")
         rows = good
         if not moved.isEmpty():
             past = before("arrivals").filter("error IS NULL").unionByName(before("derived"))
             rows = good.unionByName(lookup_join(past, moved, ["variable"], "left_semi"))
-        touched = rows.select("variable").distinct()
-        heads = lookup_join(firsts, touched, ["variable"], "left_semi")
-        own = rows.select("variable", "dataset_id").distinct()
-        known = cut_lineage(rows.unionByName(lookup_join(heads, own, ["variable", "dataset_id"], "left_anti")))
-        write(differences(catalogue(known)[0]).select("variable", "dataset_id", "message"), "differences")
+        write(_differences(rows, firsts), "differences")
 
     return run
 

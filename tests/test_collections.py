@@ -565,3 +565,37 @@ def test_a_file_of_many_arrivals_is_more_than_one_task(spark, scratch, monkeypat
     assert [(r["t_global"], r["dataset_id"], r["label"]) for r in line] == [(i, d, f"t={d}") for i, d in enumerate(range(60))]
     notes = sorted((r["variable"], r["dataset_id"]) for r in L.latest(spark, scratch, "diagnostics").collect())
     assert notes == [("a", 7), ("b", 7)]
+
+
+def test_frames_and_differences_of_a_batch_come_from_its_rows(spark, scratch):
+    """As from the catalogue's tables, but no arrival is shuffled for its dimensions, labels, path or first dataset."""
+    def dims(time, x):
+        return [("time", time, "time"), (x, 4, "latitude"), ("lon", 8, "longitude")]
+
+    def row(d, v, ds, labels, units="K"):
+        return (d, 0, v, ds, True, units, v, None, "netcdf3" if d == 5 else "netcdf4", f"f{d}", labels, None)
+
+    rows = [row(d, v, dims(d % 3 + 1, "lat"), [f"t={d}"] * 2, "m" if d == 7 else "K") for d in range(1, 400) for v in ("a", "b")]
+    rows += [
+        row(0, "a", dims(1, "lat"), None), row(0, "b", dims(1, "y"), ["x", None]),
+        # dimensions that the first a lacks, but not its dataset; those that both lack; one name twice; none at all
+        row(400, "a", dims(2, "y"), ["p", None]), row(401, "a", dims(2, "z"), []),
+        row(402, "a", [("time", 1, "time"), ("n", 3, None), ("n", 3, None)], ["q"]), row(403, "a", None, ["r", "s"]),
+    ]
+    batch = spark.createDataFrame(rows, L.ARRIVALS).coalesce(1)
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    L.update_collection(None, scratch)(batch, 0)
+    assert shuffled() - before < len(rows) // 2
+    gs, labels = L.catalogue(batch)
+    for table, want in (("frames", K.frames(gs, labels)), ("differences", K.differences(gs))):
+        got = spark.read.parquet(f"{scratch}/{table}").drop("batch_id")
+        want = sorted(want.select(*got.columns).collect(), key=str)
+        assert sorted(got.collect(), key=str) == want and want
+    notes = {r["dataset_id"]: r["message"] for r in spark.read.parquet(scratch + "/differences").filter("variable = 'a'").collect()}
+    assert notes[400].endswith("on dimensions") and notes[401].endswith("on dimensions, dimension shapes or roles")
