@@ -241,6 +241,19 @@ def test_raw_codes_and_forecasts(spark):
     assert not X.is_forecast_collection(p.unionByName(spark.createDataFrame([("s3://b/x.f003.nc",)], "path STRING"))).first()["is_collection"]
 
 
+def test_packed_documents_are_read_in_small_pieces(spark, scratch):
+    """A reader holds the texts of a row group at once: it is bounded by its text, however few documents that are."""
+    entry = F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda i: F.concat(F.lit('"grib2_message_'), i, F.lit('/0":["object",'), i * 137, F.lit(",137]")))
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").cast("string").alias("name"), F.concat("id", F.lit("{"), F.array_join(entry, ","), F.lit("}")).alias("text"))
+    TX.write_documents(docs, scratch + "/packed")
+    sizes = []
+    for file in Path(scratch + "/packed").glob("*.parquet"):
+        found = pq.ParquetFile(file).metadata
+        sizes += [found.row_group(i).total_byte_size for i in range(found.num_row_groups)]
+    assert sum(sizes) > 64 << 20 and max(sizes) < 32 << 20 and len(sizes) < 100
+    assert sorted(TX.read_documents(spark, scratch + "/packed").collect()) == sorted(docs.collect())
+
+
 def test_lines_of_packed_documents(spark, scratch):
     texts = {"good": "# head\n0 0 0 # black\n\n255 255 255\n", "wide": "0 0 0\r\n256 0 0", "short": "1 2 3", "none": ""}
     for name, text in texts.items():
